@@ -1,0 +1,169 @@
+"""Keyed on/off state with hysteresis over a series of changes."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gaugeline import names as N
+from gaugeline.functions.time import position, ref
+from gaugeline.functions.values import halve_positive, number
+from gaugeline.operators.sequence import row_index
+from gaugeline.plans.timeline import DEFAULT_BUCKET, POS
+from gaugeline.session import settle
+
+STEPS_PER_PASS = 1_000_000
+_STATE = ("__level", "__on", "__held")
+
+
+def hysteresis(
+    df: DataFrame,
+    *,
+    change: str,
+    level: str,
+    ts: str,
+    keys: Sequence[str] = (),
+    tiebreak: Sequence[str] = (),
+    threshold: float = N.LEVEL_THRESHOLD,
+    rate: float = N.BOOST_RATE,
+    min_steps: int = N.MIN_ON_STEPS,
+    halve_gains: bool = True,
+    level_trigger: bool = False,
+    steps_per_pass: int = STEPS_PER_PASS,
+    bucket: str | int = DEFAULT_BUCKET,
+) -> DataFrame:
+    """Add up changes from the first predicted level; below `threshold` switch on, which adds
+    `rate` to each step until the level is above it and at least `min_steps` have passed.
+
+    Each step needs the one before, so a series is worked off in order. The rows are grouped and
+    sorted by Spark and a task streams through them with one state in hand. A series longer than
+    `steps_per_pass` takes several passes, each from the written state of the pass before, so no
+    task gets more of one series than that and a lost executor repeats one pass only.
+    """
+    by = [ref(k) for k in keys]
+    raw = F.coalesce(number(df, change), F.lit(0.0))
+    rows = df.where(ref(ts).isNotNull()).select(
+        *by,
+        *[ref(c) for c in dict.fromkeys([ts, *tiebreak]) if c not in keys],
+        position(df, ts).alias(POS),
+        raw.alias("pred_DO_delta_raw"),
+        halve_positive(raw, halve_gains).alias("pred_DO_delta_effective"),
+        number(df, level).alias("__start"),
+    )
+    rule = _rule(threshold, rate, min_steps, level_trigger)
+    longest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    empty = [F.lit(None).cast(t).alias(c) for c, t in zip(_STATE, ("double", "boolean", "int"))]
+    if longest <= steps_per_pass:
+        done = _one_pass(rows.select("*", *empty), keys, tiebreak, rule)
+    else:
+        indexed = settle(
+            row_index(rows, "__step", ts=POS, keys=keys, tiebreak=tiebreak, bucket=bucket)
+        )
+        parts: list[DataFrame] = []
+        for n in range(math.ceil(longest / steps_per_pass)):
+            here = indexed.where(
+                (F.col("__step") >= n * steps_per_pass)
+                & (F.col("__step") < (n + 1) * steps_per_pass)
+            )
+            if parts:
+                last = parts[-1].where(F.col("__step") == n * steps_per_pass - 1).select(
+                    *[ref(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                    F.col("simulated_DO").alias("__level"),
+                    F.col("aerator_on").alias("__on"),
+                    "__held",
+                )
+                match = reduce(
+                    lambda a, b: a & b,
+                    [ref(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)],
+                    F.lit(True),
+                )
+                if keys:
+                    here = here.join(last, match).drop(*[f"__k{i}" for i in range(len(keys))])
+                else:
+                    state = last.first()
+                    here = here.select("*", *[
+                        F.lit(state[c]).cast(t).alias(c)
+                        for c, t in zip(_STATE, ("double", "boolean", "int"))
+                    ])
+            else:
+                here = here.select("*", *empty)
+            parts.append(settle(_one_pass(here, keys, tiebreak, rule)))
+        done = reduce(DataFrame.unionByName, parts)
+    on = F.col("aerator_on")
+    return done.select(
+        *by,
+        *[ref(c) for c in dict.fromkeys([ts, *tiebreak]) if c not in keys],
+        F.when(~F.isnan("simulated_DO"), F.col("simulated_DO")).alias("simulated_DO"),
+        on,
+        "pred_DO_delta_raw",
+        "pred_DO_delta_effective",
+        F.when(on, F.lit(rate)).otherwise(F.lit(0.0)).alias("aerator_boost_h"),
+        F.when(~on, F.col("pred_DO_delta_effective")).alias("pred_DO_delta_applied"),
+    )
+
+
+def _rule(threshold: float, rate: float, min_steps: int, level_trigger: bool):
+    """One step of the state machine: (level, on, held) and a row to the next state."""
+
+    def low(level: float, predicted: float) -> bool:
+        return level < threshold or (level_trigger and predicted < threshold)
+
+    def begin(predicted: float) -> tuple[float, bool, int]:
+        return predicted, low(predicted, predicted), 0
+
+    def advance(state, change: float, predicted: float) -> tuple[float, bool, int]:
+        level, on, held = state
+        if not on:
+            level += change
+            return level, low(level, predicted), 0
+        level += change + rate
+        if level > threshold and held + 1 >= min_steps:
+            return level, False, 0
+        return level, True, held + 1
+
+    return begin, advance
+
+
+def _one_pass(rows: DataFrame, keys: Sequence[str], tiebreak: Sequence[str], rule) -> DataFrame:
+    begin, advance = rule
+    by = [ref(k) for k in keys]
+    name = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    named = rows.withColumn("__series", name)
+    placed = named.repartition("__series") if keys else named.repartition(1)
+    ordered = placed.sortWithinPartitions("__series", POS, *[ref(c) for c in tiebreak])
+    kept = [f for f in ordered.schema.fields if f.name not in (*_STATE, "__series")]
+    schema = T.StructType(
+        [*kept, T.StructField("simulated_DO", T.DoubleType()),
+         T.StructField("aerator_on", T.BooleanType()), T.StructField("__held", T.IntegerType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, state = None, None
+        for batch in batches:
+            steps = []
+            columns = ("__series", "pred_DO_delta_effective", "__start", *_STATE)
+            for here, change, first, level, on, held in zip(
+                *[batch.column(c).to_pylist() for c in columns]
+            ):
+                predicted = math.nan if first is None else first
+                if here != series:
+                    series = here
+                    known = on is not None
+                    state = (math.nan if level is None else level, on, held) if known \
+                        else begin(predicted)
+                state = advance(state, change, predicted)
+                steps.append(state)
+            levels, flags, helds = zip(*steps) if steps else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(f.name) for f in kept], pa.array(levels, pa.float64()),
+                 pa.array(flags, pa.bool_()), pa.array(helds, pa.int32())],
+                names=schema.names,
+            )
+
+    return ordered.mapInArrow(run, schema)

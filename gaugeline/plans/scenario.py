@@ -1,0 +1,34 @@
+"""Score scenarios with a change model and a level model and run the on/off rule over them."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from gaugeline import names as N
+from gaugeline.functions.columns import prediction_column
+from gaugeline.functions.values import with_timestamp
+from gaugeline.operators.boosting import QuantileModel
+from gaugeline.operators.hysteresis import hysteresis
+from gaugeline.operators.scoring import score_all
+
+
+def scenario_schedule(
+    weather: DataFrame,
+    change_model: QuantileModel,
+    level_model: QuantileModel,
+    *,
+    keys: Sequence[str] = ("scenario",),
+    tiebreak: Sequence[str] = (),
+    ts: str = N.DATE,
+    **rule,
+) -> DataFrame:
+    """On/off schedule of each scenario. Both models score the same rows, so nothing is joined."""
+    scored = score_all(with_timestamp(weather, ts), [change_model, level_model], ts=ts)
+    return hysteresis(
+        scored,
+        change=prediction_column(change_model.target, change_model.label),
+        level=prediction_column(level_model.target, level_model.label),
+        ts=ts, keys=keys, tiebreak=tiebreak, **rule,
+    )
