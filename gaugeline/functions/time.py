@@ -20,9 +20,17 @@ _UNIT_MICROS = {
 }
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ref(name: str) -> Column:
     """A column by its literal name; names here hold spaces, dots, `%` and brackets."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def width_micros(width: str | int) -> int:
@@ -41,24 +49,22 @@ def position(df: DataFrame, ts: str) -> Column:
     Timestamps without zone are read off the calendar fields, so the session zone plays no part.
     """
     kind = df.schema[ts].dataType
-    col = ref(ts)
+    col = quoted(ts)
     if isinstance(kind, (T.LongType, T.IntegerType)):
-        return col.cast("bigint")
+        return ref(ts).cast("bigint")
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(col)
+        return F.unix_micros(ref(ts))
     if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("bigint") * F.lit(DAY_MICROS)
+        return F.expr(f"unix_date({col}) * {DAY_MICROS}L")
     if isinstance(kind, T.TimestampNTZType):
-        return (
-            F.unix_date(col.cast("date")).cast("bigint") * F.lit(DAY_MICROS)
-            + F.hour(col) * F.lit(HOUR_MICROS).cast("bigint")
-            + F.minute(col) * F.lit(60_000_000).cast("bigint")
-            + (F.date_part(F.lit("SECOND"), col) * F.lit(1_000_000)).cast("bigint")
+        return F.expr(
+            f"unix_date(cast({col} AS DATE)) * {DAY_MICROS}L + hour({col}) * {HOUR_MICROS}L"
+            f" + minute({col}) * 60000000L"
+            f" + cast(extract(SECOND FROM {col}) * 1000000 AS BIGINT)"
         )
     raise TypeError(f"{ts!r} is {kind.simpleString()}, not a time or an integer position")
 
 
-def bucket_of(pos: Column, width: int) -> Column:
-    """Index of the bucket of `width` that holds `pos`, also before 1970."""
-    size = F.lit(width).cast("bigint")
-    return F.call_function("div", pos - F.pmod(pos, size), size)
+def bucket_of(pos: str, width: int) -> Column:
+    """Index of the bucket of `width` that holds the position `pos` (SQL), also before 1970."""
+    return F.expr(f"(({pos}) - pmod({pos}, {width}L)) div {width}L")

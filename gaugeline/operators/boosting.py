@@ -79,7 +79,7 @@ def training_table(
         number(work, target).alias("y"),
     )
     needed = ["y"] + [f"x{i}" for i in range(len(features))] * require_features
-    return nested_holdout(drop_missing(numeric, needed), ts=ts, tiebreak=tiebreak)
+    return nested_holdout(settle(drop_missing(numeric, needed)), ts=ts, tiebreak=tiebreak)
 
 
 def parse_tree(text: str) -> list[Node]:

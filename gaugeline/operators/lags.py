@@ -104,27 +104,41 @@ def minutes_on(
     keys: Sequence[str] = (),
     tiebreak: Sequence[str] = (),
     bucket: str | int = DEFAULT_BUCKET,
-    lags: Mapping[str, tuple[str, int]] | None = None,
 ) -> DataFrame:
     """Minutes the flag was on in the last hours: on-rows in `(t - h, t]` times median spacing.
 
-    `outputs` maps new columns to hours; `lags` are computed along in the same shuffle. The median
-    spacing is that of the whole series. Rows of equal time count for each other.
+    `outputs` maps new columns to hours. The median spacing is that of the whole series. Rows of
+    equal time count for each other.
     """
     rows = add_time_lags(
-        df, lags or {}, ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket,
+        df, {}, ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket,
         rolling={out: (flag, h) for out, h in outputs.items()},
     )
-    step = median_spacing(df, "__step", ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket)
+    return times_spacing(rows, list(outputs), df, ts=ts, keys=keys, bucket=bucket)
+
+
+def times_spacing(
+    rows: DataFrame,
+    columns: Sequence[str],
+    series: DataFrame,
+    *,
+    ts: str,
+    keys: Sequence[str] = (),
+    bucket: str | int = DEFAULT_BUCKET,
+) -> DataFrame:
+    """Multiply `columns` by the median spacing, in minutes, of the series the rows belong to."""
+    step = median_spacing(series, "__step", ts=ts, keys=keys, bucket=bucket)
     if keys:
         names = [f"__k{i}" for i in range(len(keys))]
         match = F.lit(True)
         for k, name in zip(keys, names):
             match = match & ref(k).eqNullSafe(F.col(name))
-        rows = rows.join(step.toDF(*names, "__step"), match, "left")
+        scaled = rows.join(step.toDF(*names, "__step"), match, "left")
     else:
-        rows = rows.withColumn("__step", step.scalar())
-    return rows.select(
-        *[ref(c) for c in rows.columns if c not in outputs and not c.startswith("__")],
-        *[(ref(out) * F.col("__step")).alias(out) for out in outputs],
+        scaled = rows.withColumn("__step", step.scalar())
+    return scaled.select(
+        *[
+            (ref(c) * F.col("__step")).alias(c) if c in columns else ref(c)
+            for c in rows.columns
+        ]
     )

@@ -117,9 +117,15 @@ def spacing(
     bucket: str | int = DEFAULT_BUCKET,
 ) -> DataFrame:
     """Minutes since the row before; missing on the first row of a series."""
-    rows = _neighbours(df, [], ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket)
-    gap = (F.col(POS) - F.col("__prev.at")) / F.lit(60_000_000.0)
-    return rows.select(*[ref(c) for c in df.columns if c != out], gap.alias(out))
+    rows = bucketed(df, ts, keys, bucket)
+    laid = with_carries(rows, [Carry("__before", F.max(POS), F.max)], keys)
+    before = F.lag(F.coalesce(F.col("__before"), F.col(POS))).over(row_order(keys, tiebreak))
+    gap = (F.col(POS) - F.col("__prev")) / F.lit(60_000_000.0)
+    return (
+        laid.withColumn("__prev", before)
+        .where(~F.col(CARRY))
+        .select(*[ref(c) for c in df.columns if c != out], gap.alias(out))
+    )
 
 
 def median_spacing(
@@ -128,14 +134,11 @@ def median_spacing(
     *,
     ts: str,
     keys: Sequence[str] = (),
-    tiebreak: Sequence[str] = (),
     bucket: str | int = DEFAULT_BUCKET,
 ) -> DataFrame:
     """Exact median of the minutes between neighbouring rows, one row for each series."""
-    gaps = spacing(
-        df.select(*[ref(c) for c in dict.fromkeys([ts, *keys, *tiebreak])]),
-        "__gap", ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket,
-    )
+    times = df.select(*[ref(c) for c in dict.fromkeys([ts, *keys])])
+    gaps = spacing(times, "__gap", ts=ts, keys=keys, bucket=bucket)
     return exact_medians(gaps, {"__gap": out}, keys=keys)
 
 

@@ -12,48 +12,42 @@ from gaugeline.functions.values import with_numbers, with_timestamp
 from gaugeline.operators.clean import (
     drop_incomplete_lags, drop_undated, drop_zero_level, fill_hour,
 )
-from gaugeline.operators.lags import add_future_levels, add_time_lags, lake_lags, minutes_on
+from gaugeline.operators.lags import add_future_levels, add_time_lags, lake_lags, times_spacing
 from gaugeline.plans.timeline import DEFAULT_BUCKET
 
 
-def lake_lag_table(
+def lake_features(
     df: DataFrame,
+    horizons: Sequence[int] = N.HORIZONS,
     *,
     date: str | None = None,
     level: str | None = None,
     keys: Sequence[str] = (),
     tiebreak: Sequence[str] = (),
     bucket: str | int = DEFAULT_BUCKET,
-    level_required: bool = False,
 ) -> DataFrame:
-    """Dated, cleaned readings with level and air lags and minutes-on, rows without a lag dropped.
+    """Dated, cleaned readings with level and air lags, minutes-on, future levels and changes.
 
-    The order of the steps is part of the result: zero levels go before the lags are looked up.
-    The lags need a level and an air temperature; without them only the cleaning is done.
+    The order of the steps is part of the result: zero levels go before the lags are looked up,
+    rows without a lag go before the future is, so futures are those of surviving rows. Without
+    an air temperature there are no lags. Minutes-on are scaled last: a row with a lag has a row
+    before it, so the spacing it is multiplied by is never missing and cannot drop a row.
     """
-    ts = date_column(df.columns, date)
     value = level_column(df.columns, level)
-    if level_required and not value:
+    if not value:
         raise ValueError("No level column found.")
-    flag = flag_column(df.columns)
-    typed = with_timestamp(df, ts)
-    typed = with_numbers(typed, [c for c in (value, N.AIR_TEMP, flag) if c])
-    clean = drop_zero_level(fill_hour(typed, ts), value)
-    if not value or N.AIR_TEMP not in df.columns:
-        return drop_undated(clean, ts) if level_required else clean
-    options = dict(ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket)
-    dated = drop_undated(clean, ts)
-    if flag:
-        outputs = {N.FLAG_LAG_PREFIX + s: h for s, h in N.LAKE_LAG_HOURS.items()}
-        lagged = minutes_on(dated, flag, outputs, lags=lake_lags(value), **options)
-    else:
-        lagged = add_time_lags(dated, lake_lags(value), **options)
-    return drop_incomplete_lags(lagged)
+    ts = date_column(df.columns, date)
+    options = dict(ts=ts, keys=keys, bucket=bucket)
+    clean = drop_undated(_cleaned(df, ts, value), ts)
+    lagged, on = _lagged(clean, value, tiebreak=tiebreak, **options)
+    full = add_future_levels(
+        drop_incomplete_lags(lagged), value, horizons, tiebreak=tiebreak, **options
+    )
+    return times_spacing(full, on, clean, **options) if on else full
 
 
-def lake_features(
+def lake_lag_table(
     df: DataFrame,
-    horizons: Sequence[int] = N.HORIZONS,
     *,
     date: str | None = None,
     level: str | None = None,
@@ -61,14 +55,29 @@ def lake_features(
     tiebreak: Sequence[str] = (),
     bucket: str | int = DEFAULT_BUCKET,
 ) -> DataFrame:
-    """The lag table plus, looked up among its surviving rows only, future levels and changes."""
-    table = lake_lag_table(
-        df, date=date, level=level, keys=keys, tiebreak=tiebreak, bucket=bucket,
-        level_required=True,
-    )
-    return add_future_levels(
-        table, level_column(df.columns, level), horizons,
-        ts=date_column(df.columns, date), keys=keys, tiebreak=tiebreak, bucket=bucket,
-    )
+    """The same without future columns. Without level or air temperature it only cleans."""
+    value = level_column(df.columns, level)
+    ts = date_column(df.columns, date)
+    options = dict(ts=ts, keys=keys, bucket=bucket)
+    clean = _cleaned(df, ts, value)
+    if not value or N.AIR_TEMP not in df.columns:
+        return drop_incomplete_lags(clean)
+    dated = drop_undated(clean, ts)
+    lagged, on = _lagged(dated, value, tiebreak=tiebreak, **options)
+    full = drop_incomplete_lags(lagged)
+    return times_spacing(full, on, dated, **options) if on else full
+
 
+def _cleaned(df: DataFrame, ts: str, value: str | None) -> DataFrame:
+    typed = with_timestamp(df, ts)
+    numeric = [c for c in (value, N.AIR_TEMP, flag_column(df.columns)) if c]
+    return drop_zero_level(fill_hour(with_numbers(typed, numeric), ts), value)
 
+
+def _lagged(df: DataFrame, value: str, **options) -> tuple[DataFrame, list[str]]:
+    """Lags and on-counts in one shuffle, and the names of the on-counts."""
+    if N.AIR_TEMP not in df.columns:
+        return df, []
+    flag = flag_column(df.columns)
+    rolling = {N.FLAG_LAG_PREFIX + s: (flag, h) for s, h in N.LAKE_LAG_HOURS.items() if flag}
+    return add_time_lags(df, lake_lags(value), rolling=rolling, **options), list(rolling)

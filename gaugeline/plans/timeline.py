@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gaugeline.functions.time import bucket_of, position, ref, width_micros
+from gaugeline.functions.time import bucket_of, position, ref, sql_text, width_micros
 
 POS = "__pos"
 BUCKET = "__bucket"
@@ -69,7 +69,7 @@ def bucketed(df: DataFrame, ts: str, keys: Sequence[str], bucket: str | int) ->
     """Rows that have a time, with their position and bucket."""
     width = resolve_bucket(df, ts, keys, bucket)
     return df.where(ref(ts).isNotNull()).withColumn(POS, position(df, ts)).withColumn(
-        BUCKET, bucket_of(F.col(POS), width)
+        BUCKET, bucket_of(POS, width)
     )
 
 
@@ -98,13 +98,14 @@ def suggest_bucket(
     finest = width_micros(BUCKET_LADDER[-1])
     level = (
         df.where(ref(ts).isNotNull())
-        .groupBy(*[ref(k) for k in keys], bucket_of(position(df, ts), finest).alias("__slot"))
+        .withColumn(POS, position(df, ts))
+        .groupBy(*[ref(k) for k in keys], bucket_of(POS, finest).alias("__slot"))
         .agg(F.count(F.lit(1)).alias("__rows"))
     )
     for step in BUCKET_LADDER[:-1]:
         ratio = width_micros(step) // finest
         fullest = (
-            level.groupBy(*[ref(k) for k in keys], bucket_of(F.col("__slot"), ratio).alias("__b"))
+            level.groupBy(*[ref(k) for k in keys], bucket_of("__slot", ratio).alias("__b"))
             .agg(F.sum("__rows").alias("__rows"))
             .agg(F.max("__rows"))
             .first()[0]
@@ -160,41 +161,40 @@ def look_up(
     bucket may be narrower or wider than the offsets.
     """
     width = resolve_bucket(df, ts, keys, bucket)
-    size = F.lit(width).cast("bigint")
     shifts = sorted({0} | {x.shift for x in lookups} | {s.span for s in sums})
     far = max(abs(s) for s in shifts) + 1
     columns = df.columns
     narrow = list(dict.fromkeys([*keys, *tiebreak, *sources, *[s.column for s in sums]]))
-    wide = [c for c in columns if c not in narrow]
+    cell = {c: ref(c) for c in dict.fromkeys([*columns, *narrow])}
+    pos, home, carry = F.col(POS), F.col(HOME), F.col(CARRY)
+    target = {shift: bucket_of(f"{POS} + {shift}L", width) for shift in shifts}
+    seen = {shift: F.col(BUCKET) == target[shift] for shift in shifts}
+    # A lookup that only asks when needs no struct, and its summaries are plain hash aggregates.
+    picked = pos
+    if sources:
+        picked = F.struct(
+            pos.alias("at"),
+            *[cell[c].alias(f"tie{i}") for i, c in enumerate(tiebreak)],
+            *[cell[c].alias(f"v{i}") for i, c in enumerate(sources)],
+        )
     candidate = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
 
-    picked = F.struct(
-        F.col(POS).alias("at"),
-        *[ref(c).alias(f"tie{i}") for i, c in enumerate(tiebreak)],
-        *[ref(c).alias(f"v{i}") for i, c in enumerate(sources)],
-    )
-    def target(shift: int) -> Column:
-        return bucket_of(F.col(POS) + F.lit(shift).cast("bigint"), width)
-
     placed = (
-        df.where(ref(ts).isNotNull())
+        df.where(cell[ts].isNotNull())
         .select("*", position(df, ts).alias(POS), candidate.alias("__cand"))
-        .withColumn(BUCKET, F.explode(F.array_distinct(F.array(*[target(s) for s in shifts]))))
-        .withColumn(HOME, F.col(BUCKET) == target(0))
+        .withColumn(BUCKET, F.explode(F.array_distinct(F.array(*target.values()))))
+        .withColumn(HOME, seen[0])
         .select(
-            *[ref(c) for c in narrow],
-            *[F.when(F.col(HOME), ref(c)).alias(c) for c in wide],
-            POS, BUCKET, HOME, F.when(F.col("__cand"), picked).alias(PICKED),
+            *[cell[c] for c in narrow],
+            *[F.when(home, cell[c]).alias(c) for c in columns if c not in narrow],
+            POS, BUCKET, HOME, *[F.when(F.col("__cand"), picked).alias(PICKED)] * bool(lookups),
         )
     )
 
-    def seen(shift: int) -> Column:
-        return F.col(BUCKET) == target(shift)
-
     carries = [
         Carry(
             f"__c{i}",
-            (F.min if x.forward else F.max)(F.when(seen(x.shift), F.col(PICKED))),
+            (F.min if x.forward else F.max)(F.when(seen[x.shift], F.col(PICKED))),
             F.min if x.forward else F.max,
             "after" if x.forward else "before",
         )
@@ -206,17 +206,16 @@ def look_up(
             if (s.column, shift) not in totals:
                 name = f"__s{len(totals)}"
                 totals[s.column, shift] = name
-                part = F.when(seen(shift), ref(s.column))
+                part = F.when(seen[shift], cell[s.column])
                 carries.append(Carry(name, F.sum(part), F.sum))
                 carries.append(Carry(name + "n", F.count(part), F.sum))
 
     rows = with_carries(placed, carries, keys).select(
         "*",
-        F.when(F.col(CARRY), F.col(BUCKET) * size - far).otherwise(F.col(POS)).alias(ASC),
-        F.when(F.col(CARRY), -((F.col(BUCKET) + 1) * size + far))
-        .otherwise(-F.col(POS)).alias(DESC),
+        F.expr(f"if({CARRY}, {BUCKET} * {width}L - {far}L, {POS})").alias(ASC),
+        F.expr(f"if({CARRY}, -({BUCKET} + 1) * {width}L - {far}L, -{POS})").alias(DESC),
     )
-    part = Window.partitionBy(*[ref(k) for k in keys], BUCKET)
+    part = Window.partitionBy(*[cell[k] for k in keys], BUCKET)
 
     def upto(order: str, offset: int) -> WindowSpec:
         return part.orderBy(order).rangeBetween(Window.unboundedPreceding, -offset)
@@ -228,27 +227,24 @@ def look_up(
         near, far_off = best(F.col(PICKED)).over(frame), best(F.col(f"__c{i}")).over(frame)
         result.append(better(near, far_off).alias(f"__r{i}"))
     for (column, shift), name in totals.items():
-        mine = F.when(seen(shift), ref(column))
-        value = F.when(F.col(CARRY), F.col(name)).otherwise(mine)
-        count = F.when(F.col(CARRY), F.col(name + "n")).otherwise(mine.isNotNull().cast("bigint"))
-        result.append(F.sum(value).over(upto(ASC, shift)).alias(name + "v"))
-        result.append(F.sum(count).over(upto(ASC, shift)).alias(name + "k"))
-
-    answered = rows.select("*", *result).where(~F.col(CARRY) & F.col(HOME))
-    out: list[Column] = [ref(c) for c in columns]
+        mine, frame = F.when(seen[shift], cell[column]), upto(ASC, shift)
+        value = F.when(carry, F.col(name)).otherwise(mine)
+        count = F.when(carry, F.col(name + "n")).otherwise(mine.isNotNull().cast("bigint"))
+        result.append(F.sum(value).over(frame).alias(name + "v"))
+        result.append(F.sum(count).over(frame).alias(name + "k"))
+
+    answered = rows.select("*", *result).where(~carry & home)
+    out: list[Column] = [cell[c] for c in columns]
     for i, x in enumerate(lookups):
-        out.append(
-            F.when(
-                F.col(f"__r{i}").isNotNull(),
-                F.struct(
-                    F.col(f"__r{i}.at").alias("at"),
-                    *[F.col(f"__r{i}.v{j}").alias(c) for j, c in enumerate(sources)],
-                ),
-            ).alias(x.out)
-        )
+        fields = [f"'at', __r{i}{'.at' if sources else ''}"]
+        fields += [f"{sql_text(c)}, __r{i}.v{j}" for j, c in enumerate(sources)]
+        found = F.expr(f"if(__r{i} IS NOT NULL, named_struct({', '.join(fields)}), NULL)")
+        out.append(found.alias(x.out))
     for s in sums:
         now, then = totals[s.column, 0], totals[s.column, s.span]
-        present = F.col(now + "k") - F.coalesce(F.col(then + "k"), F.lit(0)) > 0
-        total = F.col(now + "v") - F.coalesce(F.col(then + "v"), F.lit(0.0))
-        out.append(F.when(present, total).alias(s.out))
+        out.append(
+            F.expr(
+                f"if({now}k > coalesce({then}k, 0), {now}v - coalesce({then}v, 0), NULL)"
+            ).alias(s.out)
+        )
     return answered.select(*out)
