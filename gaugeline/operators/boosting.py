@@ -22,7 +22,7 @@ from gaugeline.operators.quantiles import exact_medians
 from gaugeline.session import settle
 
 TREE_DEPTH = 5
-ROUNDS_PER_TABLE = 10
+ROUNDS_PER_TABLE = 4
 LEAF_ACCURACY = 10_000
 
 

@@ -26,12 +26,13 @@ def get_session(app: str = "gaugeline", master: str | None = None, **conf: str)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a scratch folder only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
-        folder = tempfile.mkdtemp(prefix="gaugeline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeline-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
