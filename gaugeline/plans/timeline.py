@@ -30,7 +30,7 @@ DESC = "__desc"
 PICKED = "__picked"
 
 DEFAULT_BUCKET = "1 day"
-BUCKET_LADDER = ("1 day", "1 hour", "1 minute", "1 second")
+BUCKET_LADDER = ("365 days", "30 days", "1 day", "1 hour", "1 minute", "1 second")
 ROWS_PER_BUCKET = 5_000_000
 
 
@@ -92,25 +92,14 @@ def suggest_bucket(
 ) -> str:
     """The widest bucket of the ladder whose fullest (series, bucket) stays under the row limit.
 
-    One pass counts rows at the finest step; the coarser steps add up those counts, so a hot
-    series or a hot day is counted on the map side and never gathered.
+    Each step counts rows by (series, bucket), combined on the map side, and reads two columns or
+    so; sparse series need the first step only.
     """
-    finest = width_micros(BUCKET_LADDER[-1])
-    level = (
-        df.where(ref(ts).isNotNull())
-        .withColumn(POS, position(df, ts))
-        .groupBy(*[ref(k) for k in keys], bucket_of(POS, finest).alias("__slot"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-    )
+    placed = df.where(ref(ts).isNotNull()).withColumn(POS, position(df, ts))
     for step in BUCKET_LADDER[:-1]:
-        ratio = width_micros(step) // finest
-        fullest = (
-            level.groupBy(*[ref(k) for k in keys], bucket_of("__slot", ratio).alias("__b"))
-            .agg(F.sum("__rows").alias("__rows"))
-            .agg(F.max("__rows"))
-            .first()[0]
-        )
-        if (fullest or 0) <= rows_per_bucket:
+        cell = bucket_of(POS, width_micros(step)).alias(BUCKET)
+        counts = placed.groupBy(*[ref(k) for k in keys], cell).agg(F.count(F.lit(1)).alias("rows"))
+        if (counts.agg(F.max("rows")).first()[0] or 0) <= rows_per_bucket:
             return step
     return BUCKET_LADDER[-1]
 

@@ -258,9 +258,17 @@ JOIN ({_asof('lake', 6, keys)}) x6 USING (event_id)
 """
 
 
+def _series(keys: list[str]) -> dict:
+    """A site has some dozens of readings a month, all sites together thousands a day."""
+    return dict(ts=N.DATE, keys=keys, bucket="30 days" if keys else "1 day")
+
+
+_SITE = dict(_series(["site"]), tiebreak=["event_id"])
+
+
 def _lags(rows: DataFrame, keys: list[str]) -> DataFrame:
     wanted = lags.lake_lags(N.LEVEL)
-    out = lags.add_time_lags(rows, wanted, ts=N.DATE, keys=keys, tiebreak=["event_id"])
+    out = lags.add_time_lags(rows, wanted, tiebreak=["event_id"], **_series(keys))
     return out.select("event_id", *wanted)
 
 
@@ -283,7 +291,7 @@ def _future_sql(keys: str) -> str:
 
 
 def _futures(rows: DataFrame, keys: list[str]) -> DataFrame:
-    out = lags.add_future_levels(rows, N.LEVEL, ts=N.DATE, keys=keys, tiebreak=["event_id"])
+    out = lags.add_future_levels(rows, N.LEVEL, tiebreak=["event_id"], **_series(keys))
     changes = [f"{N.DELTA_PREFIX}{h}h" for h in N.HORIZONS]
     return rounded(
         out.select("event_id", *changes, *[lags.level_name(h) for h in N.HORIZONS]), *changes
@@ -322,7 +330,7 @@ SELECT event_id, round(s1 * m, 6) AS "Aerator_TLAG_15", round(s3 * m, 6) AS "Aer
 
 def _on(rows: DataFrame, keys: list[str]) -> DataFrame:
     outputs = {N.FLAG_LAG_PREFIX + s: h for s, h in N.LAKE_LAG_HOURS.items()}
-    out = lags.minutes_on(rows, N.FLAG, outputs, ts=N.DATE, keys=keys, tiebreak=["event_id"])
+    out = lags.minutes_on(rows, N.FLAG, outputs, tiebreak=["event_id"], **_series(keys))
     return rounded(out.select("event_id", *outputs), *outputs)
 
 
@@ -344,9 +352,7 @@ SELECT l_suppkey, round(quantile_cont(g, 0.5), 6) AS median_minutes FROM gaps GR
 """)
 def spacing_medians(spark: SparkSession, folder: str) -> DataFrame:
     rows = priced_lines(spark, folder)
-    found = sequence.median_spacing(
-        rows, ts=N.DATE, keys=["l_suppkey"], bucket="365 days"
-    )
+    found = sequence.median_spacing(rows, ts=N.DATE, keys=["l_suppkey"], bucket="365 days")
     return rounded(found, "median_minutes")
 
 
@@ -409,7 +415,7 @@ WINDOW up AS (PARTITION BY station ORDER BY d, o_orderkey ROWS BETWEEN UNBOUNDED
 def weather_lags_filled(spark: SparkSession, folder: str) -> DataFrame:
     parsed = normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"])
     out = add_weather_lags(
-        parsed, keys=["station"], tiebreak=["o_orderkey"], bucket="30 days"
+        parsed, keys=["station"], tiebreak=["o_orderkey"], bucket="365 days"
     )
     return snake(out.drop(N.HUMIDITY, N.PRESSURE, N.HOUR))
 
@@ -421,7 +427,6 @@ WITH {LAKE_SQL}, changed AS (
   SELECT *, coalesce(coalesce(flag, 0) <> lag(coalesce(flag, 0)) OVER (
     PARTITION BY site ORDER BY d, event_id), false) AS transition FROM lake)
 """
-_SITE = dict(ts=N.DATE, keys=["site"], tiebreak=["event_id"])
 
 
 @registered(_CHANGED_SQL + "SELECT event_id, transition FROM changed")
@@ -710,13 +715,17 @@ _ON_COLUMNS = [N.FLAG_LAG_PREFIX + s for s in N.LAKE_LAG_HOURS]
 
 @registered(f"{_LAKE_LAGS_SQL} SELECT {_LAKE_COLUMNS}, {_LAKE_FUTURES} FROM full_ f {_LAKE_JOINS}")
 def lake_feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    out = lake_features(lake(spark, folder), keys=["site"], tiebreak=["event_id"])
+    out = lake_features(
+        lake(spark, folder), keys=["site"], tiebreak=["event_id"], bucket="30 days"
+    )
     return rounded(snake(out), *_ON_COLUMNS, *[f"{N.DELTA_PREFIX}{h}h" for h in N.HORIZONS])
 
 
 @registered(f"{_LAKE_LAGS_SQL} SELECT {_LAKE_COLUMNS} FROM full_ f")
 def lake_lags_only(spark: SparkSession, folder: str) -> DataFrame:
-    out = lake_lag_table(lake(spark, folder), keys=["site"], tiebreak=["event_id"])
+    out = lake_lag_table(
+        lake(spark, folder), keys=["site"], tiebreak=["event_id"], bucket="30 days"
+    )
     return rounded(snake(out), *_ON_COLUMNS)
 
 
@@ -904,7 +913,7 @@ def scenario_schedules(spark: SparkSession, folder: str) -> DataFrame:
     )
     stations = normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"])
     weather = add_weather_lags(
-        stations, keys=["station"], tiebreak=["o_orderkey"], bucket="30 days"
+        stations, keys=["station"], tiebreak=["o_orderkey"], bucket="365 days"
     )
     names = dict(zip(N.WEATHER_LAG_HOURS, [N.AIR_LAG_PREFIX + s for s in N.LAKE_LAG_HOURS]))
     return scenario_schedule(

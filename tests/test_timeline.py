@@ -196,7 +196,7 @@ def test_minutes_on_counts_rows_of_equal_time_for_each_other(spark):
 def test_bucket_follows_the_fullest_cell(spark):
     df = spark.range(3000).select(
         (F.lit(START) + F.make_dt_interval(secs=F.col("id"))).alias("ts"))
-    assert suggest_bucket(df, "ts", rows_per_bucket=5000) == "1 day"
+    assert suggest_bucket(df, "ts", rows_per_bucket=5000) == "365 days"
     assert suggest_bucket(df, "ts", rows_per_bucket=2999) == "1 minute"
     found = look_up(df, ts="ts", lookups=[Lookup("x", 10_000_000)], bucket="auto")
     assert found.where("x IS NOT NULL").count() == 2990
