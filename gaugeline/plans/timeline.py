@@ -46,6 +46,9 @@ class Carry:
 
 def with_carries(rows: DataFrame, carries: Sequence[Carry], keys: Sequence[str]) -> DataFrame:
     """`rows` (which hold `BUCKET`) plus one carry row for each bucket of each series."""
+    marked = rows.withColumn(CARRY, F.lit(False))
+    if not carries:
+        return marked
     series = [ref(k) for k in keys]
     folded = rows.groupBy(*series, BUCKET).agg(*[c.fold.alias(c.name) for c in carries])
     windows = {
@@ -62,7 +65,7 @@ def with_carries(rows: DataFrame, carries: Sequence[Carry], keys: Sequence[str])
         F.lit(True).alias(CARRY),
         *[c.merge(F.col(c.name)).over(windows[c.reach]).alias(c.name) for c in carries],
     )
-    return rows.withColumn(CARRY, F.lit(False)).unionByName(carry_rows, allowMissingColumns=True)
+    return marked.unionByName(carry_rows, allowMissingColumns=True)
 
 
 def bucketed(df: DataFrame, ts: str, keys: Sequence[str], bucket: str | int) -> DataFrame:
@@ -168,10 +171,14 @@ def look_up(
         )
     candidate = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
 
+    # Buckets rise with the shift, so a repeated one equals the one before it.
+    places = [target[shifts[0]]]
+    places += [F.nullif(target[b], target[a]) for a, b in zip(shifts, shifts[1:])]
     placed = (
         df.where(cell[ts].isNotNull())
         .select("*", position(df, ts).alias(POS), candidate.alias("__cand"))
-        .withColumn(BUCKET, F.explode(F.array_distinct(F.array(*target.values()))))
+        .withColumn(BUCKET, F.explode(F.array(*places)))
+        .where(F.col(BUCKET).isNotNull())
         .withColumn(HOME, seen[0])
         .select(
             *[cell[c] for c in narrow],
@@ -189,15 +196,27 @@ def look_up(
         )
         for i, x in enumerate(lookups)
     ]
-    totals: dict[tuple[str, int], str] = {}
+    # A rolling sum is the running total up to `t` less the one up to `t - span`. In a bucket at
+    # least as wide as the span both run over the rows present; in a narrower one each starts from
+    # the total carried in. `totals` names the running
+    # totals, `parts` holds what each adds up and `ends` the two that make up a sum.
+    totals: dict[tuple[str, int, bool], str] = {}
+    parts: dict[str, Column] = {}
+    ends: list[list[tuple[str, int]]] = []
     for s in sums:
+        local = s.span <= width
+        names = []
         for shift in (0, s.span):
-            if (s.column, shift) not in totals:
-                name = f"__s{len(totals)}"
-                totals[s.column, shift] = name
-                part = F.when(seen[shift], cell[s.column])
-                carries.append(Carry(name, F.sum(part), F.sum))
-                carries.append(Carry(name + "n", F.count(part), F.sum))
+            tag = (s.column, s.span if local else shift, local)
+            name = totals.setdefault(tag, f"__s{len(totals)}")
+            mask = seen[0] | seen[s.span] if local else seen[shift]
+            if name not in parts:
+                parts[name] = F.when(mask, cell[s.column])
+                if not local:
+                    carries.append(Carry(name, F.sum(parts[name]), F.sum))
+                    carries.append(Carry(name + "n", F.count(parts[name]), F.sum))
+            names.append((name, shift))
+        ends.append(names)
 
     rows = with_carries(placed, carries, keys).select(
         "*",
@@ -215,12 +234,15 @@ def look_up(
         best, better = (F.min, F.least) if x.forward else (F.max, F.greatest)
         near, far_off = best(F.col(PICKED)).over(frame), best(F.col(f"__c{i}")).over(frame)
         result.append(better(near, far_off).alias(f"__r{i}"))
-    for (column, shift), name in totals.items():
-        mine, frame = F.when(seen[shift], cell[column]), upto(ASC, shift)
-        value = F.when(carry, F.col(name)).otherwise(mine)
-        count = F.when(carry, F.col(name + "n")).otherwise(mine.isNotNull().cast("bigint"))
-        result.append(F.sum(value).over(frame).alias(name + "v"))
-        result.append(F.sum(count).over(frame).alias(name + "k"))
+    carried = {c.name for c in carries}
+    for name, shift in dict.fromkeys(pair for pairs in ends for pair in pairs):
+        value, count = parts[name], parts[name].isNotNull().cast("bigint")
+        if name in carried:
+            value = F.when(carry, F.col(name)).otherwise(value)
+            count = F.when(carry, F.col(name + "n")).otherwise(count)
+        frame = upto(ASC, shift)
+        result.append(F.sum(value).over(frame).alias(f"{name}v{shift}"))
+        result.append(F.sum(count).over(frame).alias(f"{name}k{shift}"))
 
     answered = rows.select("*", *result).where(~carry & home)
     out: list[Column] = [cell[c] for c in columns]
@@ -229,11 +251,11 @@ def look_up(
         fields += [f"{sql_text(c)}, __r{i}.v{j}" for j, c in enumerate(sources)]
         found = F.expr(f"if(__r{i} IS NOT NULL, named_struct({', '.join(fields)}), NULL)")
         out.append(found.alias(x.out))
-    for s in sums:
-        now, then = totals[s.column, 0], totals[s.column, s.span]
+    for s, ((now, zero), (then, span)) in zip(sums, ends):
         out.append(
             F.expr(
-                f"if({now}k > coalesce({then}k, 0), {now}v - coalesce({then}v, 0), NULL)"
+                f"if({now}k{zero} > coalesce({then}k{span}, 0), "
+                f"{now}v{zero} - coalesce({then}v{span}, 0), NULL)"
             ).alias(s.out)
         )
     return answered.select(*out)
