@@ -53,17 +53,16 @@ def daily_fit(
 
 
 def append_fit_summary(fits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add the row with the sum of points and the unweighted mean of the daily slopes."""
-    nothing = F.lit(None).cast("double")
-    summary = fits.groupBy(*[ref(k) for k in keys]).agg(
-        F.sum("n_points").alias("n_points"), F.avg("slope_DO_per_hour").alias("slope_DO_per_hour")
-    )
-    return fits.unionByName(
-        summary.select(
-            *[ref(k) for k in keys],
-            F.lit(N.SUMMARY_LABEL).alias("date"),
-            "n_points",
-            "slope_DO_per_hour",
-            *[nothing.alias(c) for c in ("intercept", "r_squared", "time_start_h", "time_end_h")],
-        )
+    """Add the row with the sum of points and the unweighted mean of the daily slopes.
+
+    Each day is counted once under its own name and once under the label of the summary, so the
+    readings are aggregated once; a day on its own is its own sum and mean.
+    """
+    own = F.col("date") != N.SUMMARY_LABEL
+    named = fits.withColumn("date", F.explode(F.array("date", F.lit(N.SUMMARY_LABEL))))
+    columns = ("intercept", "r_squared", "time_start_h", "time_end_h")
+    return named.groupBy(*[ref(k) for k in keys], "date").agg(
+        F.sum("n_points").alias("n_points"),
+        F.avg("slope_DO_per_hour").alias("slope_DO_per_hour"),
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in columns],
     )
