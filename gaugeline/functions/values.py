@@ -13,15 +13,7 @@ from gaugeline.functions.time import ref
 
 # What counts as a number, and the date layouts tried after ISO.
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-DATE_FORMATS = (
-    "M/d/yy H:mm",
-    "M/d/yyyy H:mm",
-    "M/d/yy H:mm:ss",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yy",
-    "M/d/yyyy",
-    "yyyy-MM-dd'T'HH:mm:ss",
-)
+DATE_FORMATS = ("M/d/yy[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]")
 
 
 def number(df: DataFrame, name: str) -> Column:

@@ -44,7 +44,8 @@ def drop_flagged_pressure(df: DataFrame, pressure: str = N.PRESSURE) -> DataFram
 
 
 def in_season(df: DataFrame, ts: str, months: tuple[int, int] = N.SEASON_MONTHS) -> DataFrame:
-    return df.where(F.month(ref(ts)).between(*months))
+    first, last = months
+    return df.where(F.month(ref(ts)).isin(*range(first, last + 1)))
 
 
 def in_months(df: DataFrame, ts: str, months: Sequence[int] = N.SUMMER_MONTHS) -> DataFrame:

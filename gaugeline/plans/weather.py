@@ -27,9 +27,10 @@ def normalise_weather(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     up to the hour. Only row-wise steps, so it also runs on a stream.
 
     The season test comes before the rounding: a reading late on September 30 moves to October 1.
+    It also drops the rows without a readable date, which have no month.
     """
     picked = drop_flagged_pressure(select_aliases(df, keep=keep))
-    dated = drop_undated(picked.withColumn("__ts", timestamp(picked, N.DATE)), "__ts")
+    dated = picked.withColumn("__ts", timestamp(picked, N.DATE))
     hour = ceil_hour(F.col("__ts"))
     return in_season(dated, "__ts").select(
         *[ref(k) for k in keep],
