@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from gaugeline import names as N
 from gaugeline.functions.time import HOUR_MICROS, ref
 from gaugeline.operators.sequence import median_spacing
-from gaugeline.plans.timeline import DEFAULT_BUCKET, Lookup, RollingSum, look_up
+from gaugeline.plans.timeline import (
+    DEFAULT_BUCKET, Lookup, RollingSum, look_up, resolve_bucket,
+)
 
 
 def add_time_lags(
@@ -110,6 +112,7 @@ def minutes_on(
     `outputs` maps new columns to hours. The median spacing is that of the whole series. Rows of
     equal time count for each other.
     """
+    bucket = resolve_bucket(df, ts, keys, bucket)
     rows = add_time_lags(
         df, {}, ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket,
         rolling={out: (flag, h) for out, h in outputs.items()},

@@ -13,7 +13,7 @@ from gaugeline.operators.clean import (
     drop_incomplete_lags, drop_undated, drop_zero_level, fill_hour,
 )
 from gaugeline.operators.lags import add_future_levels, add_time_lags, lake_lags, times_spacing
-from gaugeline.plans.timeline import DEFAULT_BUCKET
+from gaugeline.plans.timeline import DEFAULT_BUCKET, resolve_bucket
 
 
 def lake_features(
@@ -37,8 +37,8 @@ def lake_features(
     if not value:
         raise ValueError("No level column found.")
     ts = date_column(df.columns, date)
-    options = dict(ts=ts, keys=keys, bucket=bucket)
     clean = drop_undated(_cleaned(df, ts, value), ts)
+    options = dict(ts=ts, keys=keys, bucket=resolve_bucket(clean, ts, keys, bucket))
     lagged, on = _lagged(clean, value, tiebreak=tiebreak, **options)
     full = add_future_levels(
         drop_incomplete_lags(lagged), value, horizons, tiebreak=tiebreak, **options
@@ -58,11 +58,11 @@ def lake_lag_table(
     """The same without future columns. Without level or air temperature it only cleans."""
     value = level_column(df.columns, level)
     ts = date_column(df.columns, date)
-    options = dict(ts=ts, keys=keys, bucket=bucket)
     clean = _cleaned(df, ts, value)
     if not value or N.AIR_TEMP not in df.columns:
         return drop_incomplete_lags(clean)
     dated = drop_undated(clean, ts)
+    options = dict(ts=ts, keys=keys, bucket=resolve_bucket(dated, ts, keys, bucket))
     lagged, on = _lagged(dated, value, tiebreak=tiebreak, **options)
     full = drop_incomplete_lags(lagged)
     return times_spacing(full, on, dated, **options) if on else full

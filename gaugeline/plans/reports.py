@@ -17,7 +17,7 @@ from gaugeline.operators.coverage import daily_coverage, day_blocks
 from gaugeline.operators.fit import append_fit_summary, daily_fit
 from gaugeline.operators.neighbourhood import join_first_at_time, near_events
 from gaugeline.operators.sequence import mark_transitions
-from gaugeline.plans.timeline import DEFAULT_BUCKET
+from gaugeline.plans.timeline import DEFAULT_BUCKET, resolve_bucket
 
 
 def coverage_report(
@@ -66,7 +66,8 @@ def transition_table(
              if c in readings.columns]
     typed = drop_undated(with_numbers(with_timestamp(readings, ts), [flag]), ts)
     needed = list(dict.fromkeys([*keys, ts, *tiebreak, *extra]))
-    options = dict(ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket)
+    width = resolve_bucket(typed, ts, keys, bucket)
+    options = dict(ts=ts, keys=keys, tiebreak=tiebreak, bucket=width)
     marked = mark_transitions(
         typed.select(*[ref(c) for c in needed]), flag, "__changed", **options
     )

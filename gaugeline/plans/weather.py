@@ -17,7 +17,7 @@ from gaugeline.operators.clean import drop_flagged_pressure, drop_undated, in_se
 from gaugeline.operators.climate import average_year, best_summer_year_rows
 from gaugeline.operators.lags import add_time_lags
 from gaugeline.operators.sequence import fill_both_ways
-from gaugeline.plans.timeline import DEFAULT_BUCKET
+from gaugeline.plans.timeline import DEFAULT_BUCKET, resolve_bucket
 
 _VALUES = (N.AIR_TEMP, N.HUMIDITY, N.PRESSURE)
 
@@ -83,7 +83,8 @@ def add_weather_lags(
         raise ValueError(f"Missing columns: {missing}")
     names = list(N.WEATHER_LAG_HOURS)
     typed = with_numbers(with_timestamp(df.drop(*names), N.DATE), [N.AIR_TEMP])
-    options = dict(ts=N.DATE, keys=keys, tiebreak=tiebreak, bucket=bucket)
+    width = resolve_bucket(typed, N.DATE, keys, bucket)
+    options = dict(ts=N.DATE, keys=keys, tiebreak=tiebreak, bucket=width)
     lags = {c: (N.AIR_TEMP, h) for c, h in N.WEATHER_LAG_HOURS.items()}
     filled = fill_both_ways(add_time_lags(typed, lags, **options), names, **options)
     return reorder(filled, [*keys, N.DATE, *_VALUES, N.HOUR], names)

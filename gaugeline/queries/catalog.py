@@ -33,7 +33,7 @@ from gaugeline.plans.weather import (
 from gaugeline.queries.inputs import (
     LAKE_SQL, LINES_SQL, WEATHER_SQL, lake, priced_lines, raw_weather, table,
 )
-from gaugeline.session import shared_folder
+from gaugeline.session import settle, shared_folder
 from gaugeline.sources.registry import delete_model, list_models, load_model, save_model
 from gaugeline.sources.tables import read_table, read_text_table, table_size, write_table
 
@@ -868,9 +868,10 @@ _SHORT = dict(rounds=6, learning_rate=0.3, patience=3)
 
 
 def _training_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return lake_features(
+    """Written once, since training and scoring both read them."""
+    return settle(lake_features(
         lake(spark, folder), (1,), keys=["site"], tiebreak=["event_id"], bucket="30 days"
-    )
+    ))
 
 
 @registered()
