@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
@@ -116,15 +118,43 @@ def tree_sql(nodes: Sequence[Node], names: Sequence[str], leaf, at: int = 0) ->
 
 
 def trees_sql(base: float, trees: Sequence[Sequence[Node]], names: Sequence[str]) -> str:
-    """Base value plus all trees, added up pairwise so that the expression stays shallow."""
-    terms = [f"{base!r}D"]
-    terms += [tree_sql(t, names, lambda i, t=t: f"{t[i].value!r}D") for t in trees]
-    while len(terms) > 1:
-        terms = [
-            f"({terms[i]} + {terms[i + 1]})" if i + 1 < len(terms) else terms[i]
-            for i in range(0, len(terms), 2)
-        ]
-    return terms[0]
+    """Base value plus a few trees as SQL."""
+    return " + ".join(
+        [f"{base!r}D", *[tree_sql(t, names, lambda i, t=t: f"{t[i].value!r}D") for t in trees]]
+    )
+
+
+def predicted(base: float, trees: Sequence[Sequence[Node]], inputs: Sequence[Column]) -> Column:
+    """Base value plus all trees, in Arrow batches.
+
+    A few hundred trees as nested CASE exceed what one compiled method may hold and take long to
+    plan. Here all rows of a batch walk down a tree together.
+    """
+    flat = [
+        tuple(
+            np.array([getattr(n, part) for n in tree])
+            for part in ("feature", "threshold", "left", "right", "value")
+        )
+        for tree in trees
+    ]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            cells = batch.to_numpy(dtype=float)
+            total = np.full(len(cells), base)
+            for feature, threshold, left, right, value in flat:
+                at = np.zeros(len(cells), dtype=int)
+                going = np.flatnonzero(feature[at] >= 0)
+                while len(going):
+                    node = at[going]
+                    low = cells[going, feature[node]] <= threshold[node]
+                    at[going] = np.where(low, left[node], right[node])
+                    going = going[feature[at[going]] >= 0]
+                total += value[at]
+            yield pd.Series(total)
+
+    scorer = F.pandas_udf(run, "double")
+    return scorer(F.struct(*[c.alias(f"x{i}") for i, c in enumerate(inputs)]))
 
 
 def train_quantile(
@@ -199,8 +229,9 @@ def train_quantile(
     errors = {
         r["split"]: r["mae"]
         for r in filled.where(~fit_part)
+        .select("split", "y", predicted(base, kept, [F.col(x) for x in xs]).alias("p"))
         .groupBy("split")
-        .agg(F.avg(F.abs(F.col("y") - F.expr(trees_sql(base, kept, xs)))).alias("mae"))
+        .agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
         .collect()
     }
     return QuantileModel(

@@ -11,7 +11,7 @@ from gaugeline import names as N
 from gaugeline.functions.columns import prediction_column
 from gaugeline.functions.time import ref
 from gaugeline.functions.values import calendar_features, number, timestamp
-from gaugeline.operators.boosting import QuantileModel, trees_sql
+from gaugeline.operators.boosting import QuantileModel, predicted
 
 
 def impute(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
@@ -24,8 +24,8 @@ def score(
 ) -> DataFrame:
     """Add calendar columns and the prediction; the feature columns themselves stay as they are.
 
-    Missing features take the medians of the training rows. The model is one SQL expression, so
-    scoring is a projection without a shuffle and without Python.
+    Missing features take the medians of the training rows. Scoring is a projection without a
+    shuffle; only the features and the prediction pass through Arrow.
     """
     if any(c in model.features for c in N.CALENDAR_FEATURES):
         if ts not in df.columns:
@@ -35,18 +35,12 @@ def score(
     missing = [c for c in model.features if c not in df.columns]
     if missing:
         raise ValueError(f"Missing feature columns: {missing}")
-    shown = df.columns
-    inputs = df.select(
-        *[ref(c) for c in shown],
-        *[
-            F.coalesce(number(df, c), F.lit(model.medians.get(c)), F.lit(0.0)).alias(f"__x{i}")
-            for i, c in enumerate(model.features)
-        ],
-    )
-    xs = [f"__x{i}" for i in range(len(model.features))]
     out = prediction_column(model.target, model.label, weather_only)
-    value = F.expr(trees_sql(model.base, model.trees, xs))
-    return inputs.select(*[ref(c) for c in shown if c != out], value.alias(out))
+    inputs = [
+        F.coalesce(number(df, c), F.lit(model.medians.get(c)), F.lit(0.0)) for c in model.features
+    ]
+    value = predicted(model.base, model.trees, inputs)
+    return df.select(*[ref(c) for c in df.columns if c != out], value.alias(out))
 
 
 def score_all(df: DataFrame, models: Sequence[QuantileModel], *, ts: str = N.DATE) -> DataFrame:

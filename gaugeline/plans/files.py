@@ -10,12 +10,15 @@ from gaugeline import names as N
 from gaugeline.functions.columns import date_column, prediction_column
 from gaugeline.functions.values import with_timestamp
 from gaugeline.operators.boosting import QuantileModel, train_quantile, train_targets
+from gaugeline.operators.coverage import day_blocks
 from gaugeline.operators.scoring import metrics_report, score
 from gaugeline.plans.lake import lake_features, lake_lag_table
 from gaugeline.plans.reports import coverage_report, daily_fit_report, transition_table
 from gaugeline.plans.scenario import scenario_schedule
 from gaugeline.plans.timeline import DEFAULT_BUCKET
-from gaugeline.plans.weather import add_weather_lags, normalise_weather, yearly_analytics
+from gaugeline.plans.weather import (
+    add_weather_lags, normalise_weather, prepare_parsed, yearly_analytics,
+)
 from gaugeline.session import settle
 from gaugeline.sources.registry import load_model, save_model
 from gaugeline.sources.tables import (
@@ -48,18 +51,23 @@ def weather_file(spark: SparkSession, source: str, out: str | None = None) -> st
 
 
 def yearly_files(spark: SparkSession, source: str, folder: str | None = None) -> dict[str, str]:
-    """Parsed weather to the three yearly reports."""
-    reports = yearly_analytics(read_table(spark, source))
-    return write_reports(reports, folder or _beside(source), source, order_by=N.DATE)
+    """Parsed weather to the three yearly reports, from one reading of the text."""
+    table = settle(prepare_parsed(read_table(spark, source)))
+    return write_reports(
+        yearly_analytics(table), folder or _beside(source), source, order_by=N.DATE
+    )
 
 
 def coverage_files(spark: SparkSession, source: str, folder: str) -> dict[str, str]:
-    """Daily coverage and day blocks; the blocks read the daily table that was written."""
-    reports = coverage_report(read_table(spark, source))
-    order = {"daily_time_coverage": "calendar_date", "consecutive_day_blocks": "block_id"}
+    """Daily coverage and day blocks; both come from one pass over the readings."""
+    days = settle(coverage_report(read_table(spark, source))["daily_time_coverage"])
+    tables = {
+        "daily_time_coverage": (days, "calendar_date"),
+        "consecutive_day_blocks": (day_blocks(days), "block_id"),
+    }
     return {
-        name: write_table(reports[name], f"{folder.rstrip('/')}/{name}", source, order_by=by)
-        for name, by in order.items()
+        name: write_table(table, f"{folder.rstrip('/')}/{name}", source, order_by=by)
+        for name, (table, by) in tables.items()
     }
 
 

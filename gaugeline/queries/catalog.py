@@ -792,8 +792,8 @@ WITH {LAKE_SQL}, weeks AS (SELECT DISTINCT date_trunc('week', d) AS w FROM lake)
 ranked AS (SELECT w, row_number() OVER (ORDER BY w) AS r, count(*) OVER () AS n FROM weeks),
 sized AS (SELECT *, greatest(1, ceil(n * 0.3::DOUBLE))::INTEGER AS nt FROM ranked),
 fit AS (SELECT w FROM sized WHERE r <= n - nt - greatest(1, ceil((n - nt) * 0.2::DOUBLE)))
-SELECT round(quantile_cont(air, 0.5), 6) AS air, round(quantile_cont(rh, 0.5), 6) AS rh,
-  round(quantile_cont(mb, 0.5), 6) AS mb, round(quantile_cont(lvl, 0.5), 6) AS lvl
+SELECT round(quantile_cont(air, 0.5), 6) AS air, round(quantile_cont(rh::DOUBLE, 0.5), 6) AS rh,
+  round(quantile_cont(mb::DOUBLE, 0.5), 6) AS mb, round(quantile_cont(lvl, 0.5), 6) AS lvl
 FROM lake JOIN fit ON date_trunc('week', d) = w
 """)
 def fit_medians(spark: SparkSession, folder: str) -> DataFrame:
