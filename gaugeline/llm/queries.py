@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm.bpe import decode_ids, encode_texts
 from gaugeline.llm.repetition import repetition_rules
+from gaugeline.llm.token_files import read_token_files, with_crc32, write_token_files
+from gaugeline.llm.warc import read_records, write_archive
+from gaugeline.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def registered(sql: str | None = None):
     def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
+        @functools.wraps(query)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            importable(spark)
+            return query(spark, folder)
+
+        QUERIES[query.__name__] = run
         if sql:
             SQL[query.__name__] = sql
         return query
@@ -28,6 +50,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _REPEATS_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -72,3 +99,44 @@ def op1_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hexed,
+    list_transform(range(32), lambda i: (('0x' || substr(sha1(b), 10 * (i // 8) + 1, 10))::BIGINT
+      >> (35 - 5 * (i % 8))) & 31) AS letters FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY hexed) AS latest FROM h)
+SELECT page_id, payload_bytes, list_reduce(list_transform(letters,
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (i + 1)::INT, 1)),
+    lambda x, y: x || y) AS payload_digest,
+  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM r
+"""
+
+
+@registered(_WARC_SQL)
+def op5_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    archive = write_archive(table(spark, folder, "pages"), scratch(spark, "warc"))
+    return read_records(spark, archive).drop("target_uri")
+
+
+@registered()
+def op8_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = encode_texts(table(spark, folder, "documents"), path)
+    decoded = decode_ids(ids, path, keep=("doc_id", "ids"))
+    return decoded.select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@registered()
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = write_token_files(
+        table(spark, folder, "documents"), scratch(spark, "tokens"), path, end_id=2)
+    return with_crc32(read_token_files(spark, files))
