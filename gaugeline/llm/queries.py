@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bpe import decode_ids, encode_texts
+from gaugeline.llm import quality, toxicity
 from gaugeline.llm.repetition import repetition_rules
 from gaugeline.llm.token_files import read_token_files, with_crc32, write_token_files
 from gaugeline.llm.warc import read_records, write_archive
-from gaugeline.session import shared_folder
+from gaugeline.session import settle, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +102,23 @@ def op1_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered()
+def op4_fourier_quality(spark: SparkSession, folder: str) -> DataFrame:
+    stats = settle(quality.document_statistics(table(spark, folder, "documents")))
+    model = quality.fit(quality.training_rows(stats, table(spark, folder, "labels"), "quality"))
+    return quality.score(stats, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@registered()
+def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = settle(toxicity.find_segments(docs, toxicity.learn(docs, labels)))
+    scored = toxicity.score(found, toxicity.fit_law(found, labels))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
+                         "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hexed,
