@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.bpe import decode_ids, encode_texts
 from gaugeline.llm import quality, toxicity
+from gaugeline.llm.metric import near_vectors
+from gaugeline.llm.minhash import near_duplicates
 from gaugeline.llm.repetition import repetition_rules
 from gaugeline.llm.token_files import read_token_files, with_crc32, write_token_files
 from gaugeline.llm.warc import read_records, write_archive
@@ -102,6 +104,17 @@ def op1_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered()
+def op2_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_vectors(table(spark, folder, "embeddings"), least_cosine=0.98)
+    return found.select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), "kept")
+
+
+@registered()
+def op3_minhash_stars(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
 @registered()
 def op4_fourier_quality(spark: SparkSession, folder: str) -> DataFrame:
     stats = settle(quality.document_statistics(table(spark, folder, "documents")))
