@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +25,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeline.llm.text import BLANKS, Runs, Texts, byte_set, run_hashes, runs, texts_of
+
 IDS = np.dtype("<u4")
 #: Texts of more characters are cut into halves.
 CHUNK_CHARS = 32768
-#: Words kept by a worker; the ones not met for a while go first.
-STORED_WORDS = 400_000
+#: Words whose ids a worker keeps, about 30 bytes each; the ones not met for a while go first.
+STORED_WORDS = 1_500_000
 #: Ids on each side of a join that are encoded again at first.
 WINDOW = 16
 
 # The characters that end a word for the library's expressions.
-_BLANK = "\t-\r \x85\xa0  -     　"
-_SPACED_WORDS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-_WORDS = re.compile(f"[^{_BLANK}]+")
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"[^{_BLANK}] (?=[^{_BLANK}])")
 
+_PLAIN = byte_set(bytes(range(128))) & ~BLANKS
+# First bytes of characters that are no blanks for sure, and of two-byte ones among them.
+_NO_BLANK = _PLAIN | byte_set(bytes(b for b in range(0xC3, 0xF8) if b not in (0xE1, 0xE2, 0xE3)))
+_TWO = byte_set(bytes(range(0xC3, 0xE0)))
+
+
+def spaced_words(texts: Texts) -> Runs:
+    """Stretches of text that a byte-level encoding treats alike wherever they stand.
+
+    They begin with the blank before a word. Of a longer run of blanks the last blank goes with the
+    word if it is a space; the others stay together. Where a neighbour may be a blank outside ASCII
+    nothing is cut, which only makes a longer stretch.
+    """
+    data, n = texts.data, len(texts.data)
+    if not n:
+        return Runs(*(np.zeros(0, dtype=np.int64),) * 3)
+    edge = np.zeros(n, dtype=bool)
+    edge[texts.offsets[:-1][texts.offsets[:-1] < n]] = True
+    blank = BLANKS[data]
+    before = np.concatenate([[0], data[:-1]]).astype(np.uint8)
+    word_before = _PLAIN[before] | np.concatenate([[False, False], _TWO[data[:-2]]])[:n]
+    word_after = np.concatenate([_NO_BLANK[data[1:]], [False]])
+    cut = blank & word_before | (data == 32) & word_after
+    # A single line feed between two words stands alone.
+    lone = (data == 10) & word_before & word_after & ~edge
+    cut[1:] |= lone[:-1]
+    start = np.flatnonzero(cut | edge)
+    return Runs(start, np.append(start[1:], n), np.searchsorted(texts.offsets, start, "right") - 1)
+
+
+class Store:
+    """Ids of words by the words' 64-bit hashes, in sorted arrays; bounded."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.fresh_most = most, max(most // 16, 1)
+        self.main = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.fresh = self.main
+        self.used = np.zeros(0, dtype=bool)
+        self.pool = np.zeros(1 << 16, dtype=IDS)
+        self.filled = 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, place in the pool, number of ids) of each hash."""
+        known = np.zeros(len(hashes), dtype=bool)
+        place, count = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+        for k, (keys, at, n) in enumerate((self.main, self.fresh)):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[i] == hashes
+                place[hit], count[hit] = at[i[hit]], n[i[hit]]
+                known |= hit
+                if k == 0:
+                    self.used[i[hit]] = True
+        return known, place, count
+
+    def put(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Places of new words' ids, which are given one after another."""
+        if self.filled + len(ids) > len(self.pool):
+            grown = np.zeros(max(2 * len(self.pool), self.filled + len(ids)), dtype=IDS)
+            grown[:self.filled] = self.pool[:self.filled]
+            self.pool = grown
+        self.pool[self.filled:self.filled + len(ids)] = ids
+        place = self.filled + np.cumsum(count) - count
+        self.filled += len(ids)
+        return place
+
+    def add(self, hashes: np.ndarray, place: np.ndarray, count: np.ndarray) -> None:
+        """New hashes, ascending, whose ids have been put; may move the pool."""
+        self.fresh = self._merged(self.fresh, (hashes, place, count.astype(np.int32)))[0]
+        if len(self.fresh[0]) > self.fresh_most:
+            self.main, order, old = self._merged(self.main, self.fresh)
+            self.used = np.concatenate([self.used, np.ones(len(order) - old, dtype=bool)])[order]
+            self.fresh = tuple(x[:0] for x in self.main)
+            if len(self.main[0]) > self.most:
+                self._forget()
+
+    @staticmethod
+    def _merged(a, b):
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b)), order, len(a[0])
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.used)
+        if len(keep) > self.most // 2:
+            keep = keep[:: -(-2 * len(keep) // self.most)]
+        keys, place, count = (x[keep] for x in self.main)
+        ids = self.pool[ranges(place, count)]
+        self.pool, self.filled = ids, len(ids)
+        self.main = keys, np.cumsum(count, dtype=np.int64) - count, count
+        self.used = np.zeros(len(keys), dtype=bool)
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] numbers), then the same for the others."""
+    ends = np.cumsum(count, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
+
 
 class Encoder:
     """Whole texts to ids of one tokenizer file, word by word."""
@@ -53,67 +150,81 @@ class Encoder:
         shape = json.loads(self.tokenizer.to_str())
         special = [t["content"] for t in shape["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.first_bytes = byte_set(bytes({s.encode()[0] for s in special}))
         self.mark = special[-1] if special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if special else None
         #: Whether blanks are part of the ids, so that ids decode to the text.
         self.keeps_blanks = (shape["pre_tokenizer"] or {}).get("type") == "ByteLevel"
-        self.limit = stored_words
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.store = Store(stored_words)
         self._bytes: tuple[np.ndarray, np.ndarray] | None = None
 
     def whole(self, text: str) -> bytes:
+        return self._whole(text).tobytes()
+
+    def _whole(self, text: str) -> np.ndarray:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype=IDS).tobytes()
-
-    def words(self, text: str) -> list[str]:
-        if self.keeps_blanks:
-            return _SPACED_WORDS.findall(text)
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return _WORDS.findall(text)  # these four end a word for Python only
-        return text.split()
-
-    def _learn(self, words: Iterable[str]) -> None:
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        missing = []
-        for word in words:
-            if word not in self.new:
-                known = self.old.get(word)
-                if known is None:
-                    missing.append(word)
-                else:
-                    self.new[word] = known
-        if not missing:
-            return
+        return np.array(ids, dtype=IDS)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
         if self.mark is None:
-            self.new.update((w, self.whole(w)) for w in missing)
-            return
-        joined = self.tokenizer.encode_batch_fast([self.mark.join(missing)], add_special_tokens=False)
-        ids = np.array(joined[0].ids, dtype=IDS)
-        cuts = np.flatnonzero(ids == self.mark_id) * 4
-        raw = ids.tobytes()
-        starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]
-        for word, a, b in zip(missing, starts, ends, strict=True):
-            self.new[word] = raw[a:b]
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text, as the library gives them for the whole text."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        wanted: set[str] = set()
-        for i, text in enumerate(texts):
-            if self.special is not None and self.special.search(text):
-                out[i] = self.whole(text)
-                continue
-            words = self.words(text)
-            wanted.update(words)
-            split.append((i, words))
-        self._learn(wanted)
-        get = self.new.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words))
-        return out  # type: ignore[return-value]
+            each = [self._whole(w) for w in words]
+            return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+        ids = self._whole(self.mark.join(words))
+        marks = np.flatnonzero(ids == self.mark_id)
+        if len(marks) != len(words) - 1:
+            raise ValueError("a special token inside a word")
+        count = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+        return np.delete(ids, marks), count
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the offsets of each text's: as the library gives for the whole texts."""
+        n, data = len(texts), texts.data
+        apart: dict[int, np.ndarray] = {}
+        if self.special is not None:
+            # Texts with a special token are rare; the library takes them as they are.
+            lead = np.flatnonzero(self.first_bytes[data])
+            for i in np.unique(np.searchsorted(texts.offsets, lead, "right") - 1).tolist():
+                text = data[texts.offsets[i]:texts.offsets[i + 1]].tobytes().decode()
+                if self.special.search(text):
+                    apart[i] = self._whole(text)
+        words = spaced_words(texts) if self.keeps_blanks else runs(texts, BLANKS)
+        if apart:
+            plain = ~np.isin(words.text, list(apart))
+            words = Runs(words.start[plain], words.end[plain], words.text[plain])
+        each, first, inverse = np.unique(
+            run_hashes(data, words), return_index=True, return_inverse=True)
+        known, place, count = self.store.find(each)
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw, spans = data.tobytes(), zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())
+            ids, found = self._learn([raw[a:b].decode() for a, b in spans])
+            place[new], count[new] = self.store.put(ids, found), found
+        of_word = count[inverse]
+        out = self.store.pool[ranges(place[inverse], of_word)]
+        if len(new):
+            self.store.add(each[new], place[new], found)
+        size = np.bincount(words.text, of_word, minlength=n).astype(np.int64)
+        for i, own in apart.items():
+            size[i] = len(own)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        if apart:
+            filled = np.empty(offsets[-1], dtype=IDS)
+            rest = np.ones(offsets[-1], dtype=bool)
+            for i, own in apart.items():
+                filled[offsets[i]:offsets[i + 1]] = own
+                rest[offsets[i]:offsets[i + 1]] = False
+            filled[rest] = out
+            out = filled
+        return out, offsets
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text of a short list."""
+        out = []
+        for part in texts_of(pa.array(list(texts), pa.string())):
+            ids, offsets = self.encode(part)
+            out += [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+        return out
 
     def _table(self) -> tuple[np.ndarray, np.ndarray]:
         if self._bytes is None:
@@ -210,22 +321,12 @@ def encoder_for(path: str, stored_words: int = STORED_WORDS) -> Encoder:
     return _KEPT[key]
 
 
-#: Characters encoded at once; bounds what a task holds beside the batch.
-GROUP_CHARS = 1 << 20
-
-
-def groups_of(column: pa.Array, most: int = GROUP_CHARS):
-    """(first row, texts) of runs of rows with about `most` characters; null is empty."""
-    first, held, texts = 0, 0, []
-    for i in range(len(column)):
-        text = column[i].as_py() or ""
-        texts.append(text)
-        held += len(text)
-        if held >= most:
-            yield first, texts
-            first, held, texts = i + 1, 0, []
-    if texts:
-        yield first, texts
+def binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """One binary value for each text, without a copy for each."""
+    ends = pa.py_buffer((offsets * 4).astype(np.int64))
+    large = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1,
+                                  [None, ends, pa.py_buffer(np.ascontiguousarray(ids))])
+    return large.cast(pa.binary())
 
 
 def _encoded(df: DataFrame, path: str, stored_words: int) -> DataFrame:
@@ -235,11 +336,10 @@ def _encoded(df: DataFrame, path: str, stored_words: int) -> DataFrame:
     def rows(batches):
         encoder = encoder_for(path, stored_words)
         for batch in batches:
-            for first, texts in groups_of(batch.column(batch.num_columns - 1)):
-                part = batch.slice(first, len(texts))
+            for texts in texts_of(batch.column(batch.num_columns - 1)):
+                part = batch.slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(encoder.encode(texts), pa.binary())],
-                    names=schema.names)
+                    [*part.columns[:-1], binary_rows(*encoder.encode(texts))], names=schema.names)
 
     return df.mapInArrow(rows, schema)
 
@@ -319,13 +419,3 @@ def decode_ids(
                 [*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
     return own.mapInArrow(rows, schema).withColumnsRenamed(dict(zip(names, keep)))
-
-
-def per_batch(df: DataFrame, schema: T.StructType, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """All columns but the last, and the columns that `make` gives for a batch."""
-
-    def rows(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(batch)], names=schema.names)
-
-    return df.mapInArrow(rows, schema)

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.llm.bpe import IDS, STORED_WORDS, encoder_for, groups_of
+from gaugeline.llm.bpe import IDS, STORED_WORDS, encoder_for
+from gaugeline.llm.text import texts_of
 
 #: Part totals up to so many rows (16 bytes each) are sent to all executors; more are joined.
 MOST_PARTS_SENT = 1 << 20
@@ -51,26 +52,22 @@ def write_token_files(
         T.StructField("part_start", T.LongType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
     ])
-    end = np.array([end_id], dtype=IDS).tobytes()
 
     def rows(batches):
         encoder = encoder_for(path, stored_words)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, texts in groups_of(batch.column(2)):
-                ids = [x + end for x in encoder.encode(texts)]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(n)
-                values = pa.Array.from_buffers(
-                    pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            for texts in texts_of(batch.column(2)):
+                ids, offsets = encoder.encode(texts)
+                ids = np.insert(ids, offsets[1:], end_id).astype(np.int32)
+                offsets = offsets + np.arange(len(offsets))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, len(texts)),
+                    batch.column(0).slice(texts.first, len(texts)),
                     pa.array(np.full(len(texts), part, dtype=np.int32)),
-                    pa.array(before + ends - n), pa.array(n),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], ends]).astype(np.int32)), values),
+                    pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                 ], names=schema.names)
-                before += int(ends[-1])
+                before += int(offsets[-1])
 
     own.mapInArrow(rows, schema).write.options(**(LAYOUT | (layout or {}))).parquet(folder)
     return folder
