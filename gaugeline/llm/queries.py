@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bpe import decode_ids, encode_texts
-from gaugeline.llm import quality, toxicity
+from gaugeline.llm import pii, quality, toxicity
 from gaugeline.llm.metric import near_vectors
 from gaugeline.llm.minhash import near_duplicates
 from gaugeline.llm.repetition import repetition_rules
@@ -165,6 +165,14 @@ def op8_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered()
+def op9_pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.find_spans(docs, pii.train(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.col("rule_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 @registered()
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
