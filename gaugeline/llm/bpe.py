@@ -31,7 +31,9 @@ IDS = np.dtype("<u4")
 #: Texts of more characters are cut into halves.
 CHUNK_CHARS = 32768
 #: Words whose ids a worker keeps, about 30 bytes each; the ones not met for a while go first.
-STORED_WORDS = 1_500_000
+STORED_WORDS = 1_000_000
+#: Words the library is given at once; it keeps some 200 bytes for each id meanwhile.
+ASKED_WORDS = 4096
 #: Ids on each side of a join that are encoded again at first.
 WINDOW = 16
 
@@ -72,12 +74,12 @@ def spaced_words(texts: Texts) -> Runs:
 class Store:
     """Ids of words by the words' 64-bit hashes, in sorted arrays; bounded."""
 
-    def __init__(self, most: int) -> None:
+    def __init__(self, most: int, kind: type = np.uint32) -> None:
         self.most, self.fresh_most = most, max(most // 16, 1)
         self.main = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         self.fresh = self.main
         self.used = np.zeros(0, dtype=bool)
-        self.pool = np.zeros(1 << 16, dtype=IDS)
+        self.pool = np.zeros(1 << 16, dtype=kind)
         self.filled = 0
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +99,7 @@ class Store:
     def put(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Places of new words' ids, which are given one after another."""
         if self.filled + len(ids) > len(self.pool):
-            grown = np.zeros(max(2 * len(self.pool), self.filled + len(ids)), dtype=IDS)
+            grown = np.zeros(max(len(self.pool) * 3 // 2, self.filled + len(ids)), dtype=self.pool.dtype)
             grown[:self.filled] = self.pool[:self.filled]
             self.pool = grown
         self.pool[self.filled:self.filled + len(ids)] = ids
@@ -155,7 +157,8 @@ class Encoder:
         self.mark_id = self.tokenizer.token_to_id(self.mark) if special else None
         #: Whether blanks are part of the ids, so that ids decode to the text.
         self.keeps_blanks = (shape["pre_tokenizer"] or {}).get("type") == "ByteLevel"
-        self.store = Store(stored_words)
+        small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
+        self.store = Store(stored_words, np.uint16 if small else np.uint32)
         self._bytes: tuple[np.ndarray, np.ndarray] | None = None
 
     def whole(self, text: str) -> bytes:
@@ -167,6 +170,9 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
+        if len(words) > ASKED_WORDS:
+            parts = [self._learn(words[i:i + ASKED_WORDS]) for i in range(0, len(words), ASKED_WORDS)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         if self.mark is None:
             each = [self._whole(w) for w in words]
             return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
@@ -201,7 +207,7 @@ class Encoder:
             ids, found = self._learn([raw[a:b].decode() for a, b in spans])
             place[new], count[new] = self.store.put(ids, found), found
         of_word = count[inverse]
-        out = self.store.pool[ranges(place[inverse], of_word)]
+        out = self.store.pool[ranges(place[inverse], of_word)].astype(IDS)
         if len(new):
             self.store.add(each[new], place[new], found)
         size = np.bincount(words.text, of_word, minlength=n).astype(np.int64)
@@ -323,13 +329,13 @@ def encoder_for(path: str, stored_words: int = STORED_WORDS) -> Encoder:
 
 def binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """One binary value for each text, without a copy for each."""
-    ends = pa.py_buffer((offsets * 4).astype(np.int64))
+    ends = pa.py_buffer((offsets * ids.itemsize).astype(np.int64))
     large = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1,
                                   [None, ends, pa.py_buffer(np.ascontiguousarray(ids))])
     return large.cast(pa.binary())
 
 
-def _encoded(df: DataFrame, path: str, stored_words: int) -> DataFrame:
+def _encoded(df: DataFrame, path: str, stored_words: int, kind: np.dtype = IDS) -> DataFrame:
     """The last column, a text, replaced by its ids."""
     schema = T.StructType(df.schema.fields[:-1] + [T.StructField("ids", T.BinaryType())])
 
@@ -338,8 +344,9 @@ def _encoded(df: DataFrame, path: str, stored_words: int) -> DataFrame:
         for batch in batches:
             for texts in texts_of(batch.column(batch.num_columns - 1)):
                 part = batch.slice(texts.first, len(texts))
+                ids, offsets = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], binary_rows(*encoder.encode(texts))], names=schema.names)
+                    [*part.columns[:-1], binary_rows(ids.astype(kind), offsets)], names=schema.names)
 
     return df.mapInArrow(rows, schema)
 
@@ -347,13 +354,16 @@ def _encoded(df: DataFrame, path: str, stored_words: int) -> DataFrame:
 def encode_texts(
     df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
     chunk_chars: int = CHUNK_CHARS, window: int = WINDOW, stored_words: int = STORED_WORDS,
+    id_bytes: int = 4,
 ) -> DataFrame:
-    """`keep` columns and `ids` (binary) of each row's whole text."""
+    """`keep` columns and `ids` (binary) of each row's whole text. With `id_bytes` 2 the ids are
+    16-bit, for vocabularies of at most 65,536."""
+    kind = np.dtype(f"<u{id_bytes}")
     names = [f"k{i}" for i in range(len(keep))]
     own = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)],
                     F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     back = dict(zip(names, keep))
-    short = _encoded(own.where(F.length("body") <= chunk_chars), path, stored_words)
+    short = _encoded(own.where(F.length("body") <= chunk_chars), path, stored_words, kind)
 
     longer = own.where(F.length("body") > chunk_chars).select(
         *names, F.monotonically_increasing_id().alias("row"), "body")
@@ -380,9 +390,9 @@ def encode_texts(
         key, row, parts = None, None, []
 
         def made():
+            ids = np.frombuffer(join_tree(encoder, parts, window), dtype=IDS).astype(kind).tobytes()
             return pa.RecordBatch.from_arrays(
-                [*row.columns[:len(names)], pa.array([join_tree(encoder, parts, window)], pa.binary())],
-                names=joined.names)
+                [*row.columns[:len(names)], pa.array([ids], pa.binary())], names=joined.names)
 
         for batch in batches:
             for i in range(batch.num_rows):

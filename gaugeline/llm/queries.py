@@ -15,6 +15,7 @@ from gaugeline.llm.bpe import decode_ids, encode_texts
 from gaugeline.llm import pii, quality, toxicity
 from gaugeline.llm.metric import near_vectors
 from gaugeline.llm.minhash import near_duplicates
+from gaugeline.llm.packing import pack
 from gaugeline.llm.repetition import repetition_rules
 from gaugeline.llm.token_files import read_token_files, with_crc32, write_token_files
 from gaugeline.llm.warc import read_records, write_archive
@@ -123,6 +124,13 @@ def op4_fourier_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@registered()
+def op6_cutting_stock(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(table(spark, folder, "documents"), path, end_id=0).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @registered()
 def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")

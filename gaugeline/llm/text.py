@@ -36,16 +36,20 @@ def numbers(n: int, seed: int = 0) -> np.ndarray:
 
 
 _BYTE = numbers(256, 1)
-_POWER = np.ones(1, dtype=_U)
+_BASE = 0xD1342543DE82EF95
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWER
-    if len(_POWER) < n:
-        step = np.full(max(n, 4096), 0xD1342543DE82EF95, dtype=_U)
-        step[0] = 1
-        _POWER = np.multiply.accumulate(step)
-    return _POWER
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base, and of its inverse, from the 0th to the nth."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        _POWERS[:] = []
+        for base in (_BASE, _UNBASE):
+            step = np.full(max(n + 1, SLICE_BYTES + 1), base, dtype=_U)
+            step[0] = 1
+            _POWERS.append(np.multiply.accumulate(step))
+    return _POWERS
 
 
 def byte_set(chars: bytes) -> np.ndarray:
@@ -127,13 +131,13 @@ def run_hashes(data: np.ndarray, of: Runs) -> np.ndarray:
     """64-bit hashes of the bytes of each run; equal bytes give equal hashes in every process."""
     if not len(of.start):
         return np.zeros(0, dtype=_U)
-    length = of.end - of.start
-    first = np.concatenate([[0], np.cumsum(length)[:-1]])
-    place = np.arange(int(length.sum())) - np.repeat(first, length)
-    powers = _powers(int(length.max()))
+    up, down = _powers(len(data))
     with np.errstate(over="ignore"):
-        values = _BYTE[data[np.repeat(of.start, length) + place]] * powers[place]
-        return mixed(np.add.reduceat(values, first) + length.astype(_U) * _U(_STEP))
+        total = np.zeros(len(data) + 1, dtype=_U)
+        np.cumsum(_BYTE[data] * up[:len(data)], out=total[1:])
+        # The sum of byte value times power, as if the run began at power 0.
+        own = (total[of.end] - total[of.start]) * down[of.start]
+        return mixed(own + (of.end - of.start).astype(_U) * _U(_STEP))
 
 
 _PLACE = numbers(64, 2) | _U(1)
