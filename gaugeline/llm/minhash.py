@@ -28,8 +28,9 @@ from gaugeline.llm.text import (
 )
 from gaugeline.session import settle
 
-#: Bins of a sketch; 32 bands of 8. A pair at 0.85 shares no bucket once in 25,000 times.
-BINS, ROWS = 256, 8
+#: Bins of a sketch. Bands take 8 bins from 85 percent on, else 6: a pair at 85 percent shares no
+#: bucket once in 25,000 times, one at 80 percent once in 300,000.
+BINS = 256
 #: Members of a bucket compared at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 1024
 #: Ids of candidates up to this many are broadcast (8 bytes each) to pick their sets from the files.
@@ -51,7 +52,7 @@ def _borrowed(sketch: np.ndarray, full: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(texts: Texts, size: int) -> dict[str, np.ndarray]:
+def sketches(texts: Texts, size: int, rows: int) -> dict[str, np.ndarray]:
     """Sets, sketches and band keys of the texts of a slice."""
     n = len(texts)
     data = LOWER[texts.data]
@@ -70,10 +71,11 @@ def sketches(texts: Texts, size: int) -> dict[str, np.ndarray]:
     sketch[owner[least], bin_[least]] = hashes[least]
     full[owner[least], bin_[least]] = True
     small = np.where(full, sketch % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
-    dense = _borrowed(sketch, full).reshape(n, BINS // ROWS, ROWS)
+    bands = BINS // rows
+    dense = _borrowed(sketch, full)[:, :bands * rows].reshape(n, bands, rows)
     with np.errstate(over="ignore"):
-        keys = mixed((dense * _PLACE[:ROWS]).sum(axis=2, dtype=np.uint64)
-                     + numbers(BINS // ROWS, 3))
+        keys = mixed((dense * _PLACE[:rows]).sum(axis=2, dtype=np.uint64)
+                     + numbers(bands, 3))
         count = np.bincount(owner, minlength=n)
         total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes), dtype=np.uint64)])
         ends = np.concatenate([[0], np.cumsum(count)])
@@ -92,7 +94,8 @@ _SKETCHED = T.StructType([
 ])
 
 
-def sketch_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+def sketch_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5,
+                 rows_of_band: int = 8) -> DataFrame:
     """(doc_id, n, one, two, keys, small, shingles) of each row; `one` and `two` identify the set."""
     own = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"))
     schema = T.StructType([own.schema["doc_id"], *_SKETCHED.fields])
@@ -105,7 +108,7 @@ def sketch_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     def rows(batches):
         for batch in batches:
             for texts in texts_of(batch.column(1)):
-                s, n = sketches(texts, size), len(texts)
+                s, n = sketches(texts, size, rows_of_band), len(texts)
                 bands = s["keys"].shape[1]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(texts.first, n), pa.array(s["n"]),
@@ -199,13 +202,29 @@ def _between(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("key", "low", "high").applyInArrow(group, schema).distinct()
 
 
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80,
+             size: int = 5) -> DataFrame:
+    """The rows of `df` whose document is the smallest of its component, with their columns as they
+    are. Rows with equal ids are one document and stay or go together; so are those with null ids
+    that are linked only among themselves."""
+    found = settle(near_duplicates(df, doc_id, text, percent, size))
+    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept"))
+    gone = settle(gone.select(F.col("doc_id").alias("gone_id")))
+    if gone.count() <= MOST_IDS_SENT:
+        gone = F.broadcast(gone)
+    own = df.toDF(*[f"k{i}" for i in range(len(df.columns))])
+    key = F.col(f"k{df.columns.index(doc_id)}")
+    return own.join(gone, key.eqNullSafe(F.col("gone_id")), "left_anti").toDF(*df.columns)
+
+
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, size: int = 5,
     block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): texts whose shingle sets are linked, directly or by
     a chain, at a Jaccard similarity of `percent` or more are one component."""
-    table = settle(sketch_table(df, doc_id, text, size).withColumn("row", F.monotonically_increasing_id()))
+    sketched = sketch_table(df, doc_id, text, size, 8 if percent >= 85 else 6)
+    table = settle(sketched.withColumn("row", F.monotonically_increasing_id()))
     filled = table.where("n > 0")
     first = filled.groupBy("one", "two", "n").agg(F.min("row").alias("node"))
     first = settle(first)

@@ -58,11 +58,12 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float,
 
 
 def cutting_stock(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 0.002,
-                  most_rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
+                  most_rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """(counts by length, times): patterns and how often to use them, rounded down.
 
     Solves min sum(x) with every length covered, by the revised simplex method on the patterns made
-    so far; stops when the bound from the prices shows less than `gap` to gain.
+    so far; stops when the bound from the prices shows less than `gap` to gain, or after so many
+    rounds. The plan is then whole all the same, and what it leaves over is not lost.
     """
     m = len(lengths)
     if not m:

@@ -237,3 +237,20 @@ def training_rows(stats: DataFrame, labels: DataFrame, label: str, doc_id: str =
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label"))
     known = known.where(F.col("label").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     return stats.join(known, "doc_id").select("doc_id", "stats", "label")
+
+
+def keep_good(df: DataFrame, model: Model | None, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of `df` with a score of at least `threshold`, with their columns as they are."""
+    if model is None:
+        return df if threshold <= 0.5 else df.limit(0)
+    names = [f"k{i}" for i in range(len(df.columns))]
+    own = df.toDF(*names)
+    at = df.columns.index(text)
+
+    def rows(batches):
+        for batch in batches:
+            for texts in texts_of(batch.column(at)):
+                good = model.score(statistics(texts)) >= threshold
+                yield batch.slice(texts.first, len(texts)).filter(pa.array(good))
+
+    return own.mapInArrow(rows, own.schema).toDF(*df.columns)

@@ -147,19 +147,35 @@ def repetition_rules(
     `window` words that occur again. Kept are texts that pass it, with at most `max_fraction` of
     the words in repeated passages of `passage` words or more and none longer than `max_longest`.
     """
-    own = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
+    names = [f"k{i}" for i in range(len(keep))]
+    own = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)],
                     F.col(f"`{text}`").cast("string").alias("body"))
+    limits = (window, passage, least_words, base_percent, max_fraction, max_longest)
+    return _judged(own, limits).withColumnsRenamed(dict(zip(names, keep)))
+
+
+def keep_passing(df: DataFrame, text: str = "text", window: int = 5, passage: int = 10,
+                 least_words: int = 10, base_percent: int = 20, max_fraction: float = 0.15,
+                 max_longest: int = 100) -> DataFrame:
+    """The rows of `df` that `repetition_rules` keeps, with their columns as they are."""
+    own = df.toDF(*[f"k{i}" for i in range(len(df.columns))])
+    own = own.select("*", F.col(f"k{df.columns.index(text)}").cast("string").alias("body"))
+    limits = (window, passage, least_words, base_percent, max_fraction, max_longest)
+    return _judged(own, limits).where("kept").select(*own.columns[:-1]).toDF(*df.columns)
+
+
+def _judged(own: DataFrame, limits: tuple) -> DataFrame:
+    """The columns of `own` but the last, the text, and the figures of the text."""
     schema = T.StructType(own.schema.fields[:-1] + [T.StructField(n, t) for n, t in FIELDS])
 
     def rows(batches):
         for batch in batches:
             for texts in texts_of(batch.column(batch.num_columns - 1)):
                 part = batch.slice(texts.first, len(texts))
-                found = _judge(
-                    texts, window, passage, least_words, base_percent, max_fraction, max_longest)
                 made = [pa.array(x, pa.bool_() if x.dtype == bool else
-                                 pa.float64() if x.dtype.kind == "f" else pa.int64()) for x in found]
+                                 pa.float64() if x.dtype.kind == "f" else pa.int64())
+                        for x in _judge(texts, *limits)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *made], names=[f.name for f in schema.fields])
 
-    return own.mapInArrow(rows, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return own.mapInArrow(rows, schema)
