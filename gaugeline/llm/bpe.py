@@ -290,16 +290,25 @@ class Encoder:
             window *= 2
 
 
-def halves(text: str, chunk_chars: int) -> list[tuple[str, bool]]:
-    """Parts of at most `chunk_chars`, in order, and whether each begins between two words."""
+def halves(text: str, chunk_chars: int, special: re.Pattern | None = None) -> list[tuple[str, bool]]:
+    """Parts of at most `chunk_chars`, in order, and whether each begins where the library cuts too.
+
+    That is between two words or before a special token; a special token is never cut.
+    """
     if len(text) <= chunk_chars:
         return [(text, False)]
     middle = len(text) // 2
     reach = chunk_chars // 8
     near = _CUT.search(text, max(middle - 1, 0), middle + reach)
-    at = near.end() - 1 if near else middle
-    right = halves(text[at:], chunk_chars)
-    return halves(text[:at], chunk_chars) + [(right[0][0], bool(near))] + right[1:]
+    at, between = (near.end() - 1, True) if near else (middle, False)
+    for m in special.finditer(text, max(at - 256, 0), at + 256) if special else ():
+        if m.start() < at < m.end():
+            # A token at the very beginning moves the cut behind it.
+            at, between = (m.start() or m.end()), True
+    if at == len(text):
+        return [(text, False)]
+    right = halves(text[at:], chunk_chars, special)
+    return halves(text[:at], chunk_chars, special) + [(right[0][0], between)] + right[1:]
 
 
 def join_tree(encoder: Encoder, parts: list[tuple[bytes, bool]], window: int = WINDOW) -> bytes:
@@ -373,9 +382,10 @@ def encode_texts(
                                  T.StructField("body", T.StringType())])
 
     def cut_rows(batches):
+        special = encoder_for(path, stored_words).special
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = halves(batch.column(batch.num_columns - 1)[i].as_py(), chunk_chars)
+                parts = halves(batch.column(batch.num_columns - 1)[i].as_py(), chunk_chars, special)
                 row = batch.slice(i, 1)
                 n = pa.array(np.zeros(len(parts), dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
