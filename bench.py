@@ -14,7 +14,7 @@ HEADLINE = (
     "average_year", "hottest_summer", "lag_features", "lag_features_global", "future_deltas",
     "minutes_on", "supplier_price_lags", "spacing_medians", "near_transitions", "true_runs",
     "weather_lags_filled", "lake_feature_table", "week_split_counts", "fit_medians",
-    "hysteresis_states", "quantile_scores",
+    "quantile_scores",
 )
 
 

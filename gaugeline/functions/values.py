@@ -13,7 +13,11 @@ from gaugeline.functions.time import ref
 
 # What counts as a number, and the date layouts tried after ISO.
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-DATE_FORMATS = ("M/d/yy[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]")
+# One pattern of optional parts, four-digit years first, is one expression and one formatter.
+DATE_FORMATS = (
+    "[yyyy/M/d][M/d/yyyy][M/d/yy][M-d-yyyy][M-d-yy][d-MMM-yyyy][d-MMM-yy][d MMM yyyy][MMM d, yyyy]"
+    "[yyyyMMdd][ h:mm[:ss] a][ H:mm[:ss]]",
+)
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -38,12 +42,19 @@ def timestamp(df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMATS) -
     col = ref(name)
     if not isinstance(kind, T.StringType):
         return col.cast("timestamp_ntz")
-    text = F.trim(col)
+    text = F.nullif(F.trim(col), F.lit(""))
     tries = [F.expr(f"try_cast(trim(`{name}`) AS TIMESTAMP_NTZ)")]
-    tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    tries += [_this_century(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz"), text)
+              for f in formats]
     return F.coalesce(*tries)
 
 
+def _this_century(when: Column, text: Column) -> Column:
+    """Two-digit years from 69 on belong to the last century."""
+    late = (F.year(when) >= 2069) & ~text.rlike("[0-9]{4}")
+    return F.when(late, when - F.expr("INTERVAL '100' YEAR")).otherwise(when)
+
+
 def with_timestamp(
     df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMATS
 ) -> DataFrame:

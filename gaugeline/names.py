@@ -55,10 +55,6 @@ FEATURE_FRACTION = 0.9
 SEED = 42
 PATIENCE = 50
 
-LEVEL_THRESHOLD = 3.0
-BOOST_RATE = 0.286
-MIN_ON_STEPS = 3
-
 LAKE_SUFFIX = "_parsed_DOdeltas"
 PARSED_SUFFIX = "_parsed"
 REPORT_HOTTEST = "Largest_Temp_Summer"

@@ -310,6 +310,6 @@ def train_targets(
             models.append(
                 train_quantile(df, name, "mid", features=features, require_features=True, **options)
             )
-        except ValueError as error:
-            failures[name] = str(error)
+        except Exception as error:  # noqa: BLE001 - one target's failure must not lose the others
+            failures[name] = f"{type(error).__name__}: {error}"
     return models, failures

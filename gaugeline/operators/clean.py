@@ -18,7 +18,7 @@ def drop_undated(df: DataFrame, ts: str) -> DataFrame:
 
 
 def fill_hour(df: DataFrame, ts: str, out: str = N.HOUR) -> DataFrame:
-    """Keep an hour that is there and not blank, else take it from the time."""
+    """Keep an hour that is there and neither blank nor NaN, else take it from the time."""
     own = F.hour(ref(ts))
     if out not in df.columns:
         return df.withColumn(out, own)
@@ -26,6 +26,8 @@ def fill_hour(df: DataFrame, ts: str, out: str = N.HOUR) -> DataFrame:
     there = ref(out)
     if isinstance(kind, T.StringType):
         there = F.when(F.trim(there) != "", there)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        there = F.when(~F.isnan(there), there)
     return df.withColumn(out, F.coalesce(there, own.cast(kind)))
 
 

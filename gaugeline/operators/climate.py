@@ -27,12 +27,18 @@ def summer_means(
 def best_year(
     df: DataFrame, value: str, *, ts: str = N.DATE, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """The year with the highest summer mean, the earliest of equals; one row for each series."""
-    rank = F.struct(F.col("summer_mean").alias("mean"), (-F.col("year")).alias("back"))
+    """The year with the highest summer mean, the earliest of equals; one row for each series.
+
+    A series without any summer value has a missing year.
+    """
+    summer = F.when(F.month(ref(ts)).isin(*N.SUMMER_MONTHS), ref(value))
+    years = df.where(ref(ts).isNotNull()).groupBy(
+        *[ref(k) for k in keys], F.year(ref(ts)).alias("year")
+    ).agg(F.avg(summer).alias("mean"))
+    rank = F.struct(F.col("mean"), (-F.col("year")).alias("back"))
     return (
-        summer_means(df, value, ts=ts, keys=keys)
-        .groupBy(*[ref(k) for k in keys])
-        .agg(F.max(rank).alias("__top"))
+        years.groupBy(*[ref(k) for k in keys])
+        .agg(F.max(F.when(F.col("mean").isNotNull(), rank)).alias("__top"))
         .select(*[ref(k) for k in keys], (-F.col("__top.back")).alias("best_year"))
     )
 
@@ -42,18 +48,18 @@ def best_summer_year_rows(
 ) -> DataFrame:
     """All rows, summer or not, of the year whose summer mean of `value` is highest.
 
-    Without keys the year is one number, so it enters the filter as a scalar subquery; an input
-    without any summer value raises. With keys the one-row-per-series result is joined and Spark
-    broadcasts it only if its measured size allows.
+    Without keys the year is one number, so it enters the filter as a scalar subquery; with keys the
+    one-row-per-series result is joined and Spark broadcasts it only if its measured size allows.
+    A series without any summer value raises.
     """
     best = best_year(df, value, ts=ts, keys=keys)
+    year = F.coalesce(
+        F.col("best_year"),
+        F.raise_error(F.lit(f"No values of {value} in June to August.")).cast("int"),
+    )
     if not keys:
-        year = F.coalesce(
-            F.col("best_year"),
-            F.raise_error(F.lit(f"No values of {value} in June to August.")).cast("int"),
-        )
         return df.where(F.year(ref(ts)) == best.select(year).scalar())
-    renamed = best.select(*[ref(k).alias(f"__k{i}") for i, k in enumerate(keys)], "best_year")
+    renamed = best.select(*[ref(k).alias(f"__k{i}") for i, k in enumerate(keys)], year.alias("best_year"))
     match = F.year(ref(ts)) == F.col("best_year")
     for i, k in enumerate(keys):
         match = match & ref(k).eqNullSafe(F.col(f"__k{i}"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline import names as N
@@ -70,12 +70,21 @@ def pair_predictions(
     *,
     ts: str,
     keys: Sequence[str] = (),
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Bring the `columns` of `levels` to the rows of `changes` at the same (series, time).
 
-    A row that has no partner on the other side raises, as does a time `levels` holds twice.
+    With `tiebreak`, columns that both sides have, rows that share a time pair in that order. A row
+    that has no partner on the other side raises; without `tiebreak` so does a time that `levels`
+    holds twice.
     """
     by = [*keys, ts]
+    names = changes.columns
+    if tiebreak:
+        place = F.row_number().over(
+            Window.partitionBy(*[ref(c) for c in by]).orderBy(*[ref(c) for c in tiebreak]))
+        changes, levels = (df.withColumn("__place", place) for df in (changes, levels))
+        by = [*by, "__place"]
     right = levels.groupBy(*[ref(c) for c in by]).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.max(ref(c)).alias(f"__p{i}") for i, c in enumerate(columns)],
@@ -92,6 +101,6 @@ def pair_predictions(
         .cast("boolean")
     )
     return joined.where(checked).select(
-        *[ref(c) for c in changes.columns],
+        *[ref(c) for c in names],
         *[F.col(f"__p{i}").alias(c) for i, c in enumerate(columns)],
     )

@@ -14,7 +14,6 @@ from gaugeline.operators.coverage import day_blocks
 from gaugeline.operators.scoring import metrics_report, score
 from gaugeline.plans.lake import lake_features, lake_lag_table
 from gaugeline.plans.reports import coverage_report, daily_fit_report, transition_table
-from gaugeline.plans.scenario import scenario_schedule
 from gaugeline.plans.timeline import DEFAULT_BUCKET
 from gaugeline.plans.weather import (
     add_weather_lags, normalise_weather, prepare_parsed, yearly_analytics,
@@ -41,7 +40,8 @@ def lake_file(
         table, suffix = lake_lag_table(df, **options), N.PARSED_SUFFIX
     else:
         table, suffix = lake_features(df, horizons, **options), N.LAKE_SUFFIX
-    return write_table(table, out or default_output(source, suffix), source)
+    ts = date_column(table.columns, options.get("date"))
+    return write_table(table, out or default_output(source, suffix), source, order_by=ts)
 
 
 def weather_file(spark: SparkSession, source: str, out: str | None = None) -> str:
@@ -80,7 +80,8 @@ def weather_lag_folder(
 ) -> str:
     """Air-temperature lags for every file of a folder, each file a series of its own."""
     table = read_series_folder(spark, folder)
-    return write_by_series(add_weather_lags(table, keys=["series"], bucket=bucket), out)
+    lagged = add_weather_lags(table, keys=["series"], bucket=bucket)
+    return write_by_series(lagged, out, order_by=N.DATE)
 
 
 def transition_file(
@@ -127,17 +128,3 @@ def predict_file(
     table = score(read_table(spark, source), model, weather_only=weather_only)
     column = prediction_column(model.target, model.label, weather_only)
     return write_table(table, out, source), column
-
-
-def schedule_folder(
-    spark: SparkSession, folder: str, registry: str, out: str, *,
-    change_model: str = "model_DO_delta_1h_quantile_mid",
-    level_model: str = "model_DO_1h_quantile_mid", **rule,
-) -> str:
-    """On/off schedules for every weather file of a folder."""
-    weather = read_series_folder(spark, folder, "scenario")
-    schedule = scenario_schedule(
-        weather, load_model(spark, registry, change_model), load_model(spark, registry, level_model),
-        keys=["scenario"], **rule,
-    )
-    return write_by_series(schedule, out, "scenario")

@@ -20,13 +20,11 @@ from gaugeline.operators.boosting import train_quantile, train_targets
 from gaugeline.operators.coverage import daily_coverage, day_blocks
 from gaugeline.operators.fit import append_fit_summary, daily_fit
 from gaugeline.operators.holdout import holdout, nested_holdout, split_counts, week_key
-from gaugeline.operators.hysteresis import hysteresis
 from gaugeline.operators.neighbourhood import near_events, pair_predictions
 from gaugeline.operators.quantiles import exact_medians
 from gaugeline.operators.scoring import impute, mean_absolute_error, metrics_report, score
 from gaugeline.plans.lake import lake_features, lake_lag_table
 from gaugeline.plans.reports import transition_table
-from gaugeline.plans.scenario import scenario_schedule
 from gaugeline.plans.weather import (
     add_weather_lags, normalise_weather, prepare_parsed, yearly_analytics,
 )
@@ -115,6 +113,26 @@ def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
     return snake(with_timestamp(texts, date_column(texts.columns)))
 
 
+_LAYOUTS = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "M/d/yy h:mm a", "MM/dd/yyyy hh:mm a",
+    "dd-MMM-yyyy HH:mm", "MMM d, yyyy", "yyyyMMdd", "M-d-yy H:mm", "d MMM yyyy", "M/d/yyyy H:mm:ss",
+)
+
+
+@registered(f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % {len(_LAYOUTS)} IN (5, 6, 8) THEN o_orderdate
+  ELSE o_orderdate + to_minutes((o_orderkey % 1440)::INTEGER) END AS d FROM orders
+""")
+def parsed_date_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates written in all layouts, some without a time of day."""
+    minutes = F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    when, text = F.col("o_orderdate") + minutes, F.lit(None).cast("string")
+    for i, layout in enumerate(_LAYOUTS):
+        text = F.when(F.col("o_orderkey") % len(_LAYOUTS) == i, F.date_format(when, layout)).otherwise(text)
+    rows = table(spark, folder, "orders").select("o_orderkey", text.alias(N.DATE))
+    return snake(with_timestamp(rows, N.DATE))
+
+
 @registered("""
 SELECT count(*) AS total, count(*) FILTER (WHERE o_orderpriority LIKE '5%') AS dropped FROM orders
 """)
@@ -644,6 +662,20 @@ def best_summer_years(spark: SparkSession, folder: str) -> DataFrame:
     return climate.best_year(rows, N.AIR_TEMP, keys=["station"])
 
 
+@registered(f"""
+WITH {WEATHER_SQL}, part AS (SELECT * FROM weather WHERE station <> '5-LOW' OR month(d) = 5),
+means AS (SELECT station, year(d) AS y, avg(air) AS m FROM part WHERE month(d) IN (6, 7, 8)
+  GROUP BY ALL HAVING avg(air) IS NOT NULL),
+best AS (SELECT station, y FROM means QUALIFY row_number() OVER (PARTITION BY station ORDER BY m DESC, y) = 1)
+SELECT station, y::INTEGER AS best_year FROM (SELECT DISTINCT station FROM part) LEFT JOIN best USING (station)
+""")
+def best_summer_years_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """One station has readings in May only; it stays, without a year."""
+    rows = prepare_parsed(_parsed_weather(spark, folder, ["station"]))
+    some = rows.where((F.col("station") != "5-LOW") | (F.month(ref(N.DATE)) == 5))
+    return climate.best_year(some, N.AIR_TEMP, keys=["station"])
+
+
 _YEAR_COLUMNS = """strftime(d, '%Y-%m-%d %H:%M:%S') AS d, air, rh, mb, hour(d)::DOUBLE AS hour"""
 
 
@@ -813,43 +845,7 @@ def persistence_error(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(mean_absolute_error(rows, N.LEVEL, "guess", by=["site"]), "mae")
 
 
-# ---------------------------------------------------------------- hysteresis and pairing
-
-_STEPS = "(o_totalprice - 250000) / 100000"
-
-
-@registered(f"""
-WITH RECURSIVE steps AS (
-  SELECT o_custkey, o_orderkey, o_orderdate,
-    {_STEPS} AS raw, CASE WHEN {_STEPS} > 0 THEN {_STEPS} * 0.5 ELSE {_STEPS} END AS eff,
-    o_totalprice / 100000 AS lvl,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
-run AS (
-  SELECT o_custkey, 0::BIGINT AS i, lvl::DOUBLE AS s, lvl < 3.0 AS is_on, 0 AS held
-  FROM steps WHERE i = 1
-  UNION ALL
-  SELECT r.o_custkey, n.i, r.s + n.eff + CASE WHEN r.is_on THEN 0.286 ELSE 0 END,
-    CASE WHEN r.is_on THEN NOT (r.s + n.eff + 0.286 > 3.0 AND r.held + 1 >= 3)
-      ELSE r.s + n.eff < 3.0 END,
-    CASE WHEN r.is_on AND NOT (r.s + n.eff + 0.286 > 3.0 AND r.held + 1 >= 3) THEN r.held + 1
-      ELSE 0 END
-  FROM run r JOIN steps n ON n.o_custkey = r.o_custkey AND n.i = r.i + 1)
-SELECT o_custkey, o_orderkey, o_orderdate, round(s, 9) AS "simulated_DO", is_on AS aerator_on,
-  round(raw, 9) AS "pred_DO_delta_raw", round(eff, 9) AS "pred_DO_delta_effective",
-  CASE WHEN is_on THEN 0.286 ELSE 0 END::DOUBLE AS aerator_boost_h,
-  CASE WHEN NOT is_on THEN round(eff, 9) END AS "pred_DO_delta_applied"
-FROM run JOIN steps USING (o_custkey, i)
-""")
-def hysteresis_states(spark: SparkSession, folder: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    rows = table(spark, folder, "orders").select(
-        "o_custkey", "o_orderkey", "o_orderdate",
-        ((price - 250000) / 100000).alias("change"), (price / 100000).alias("level"),
-    )
-    out = hysteresis(rows, change="change", level="level", ts="o_orderdate",
-                     keys=["o_custkey"], tiebreak=["o_orderkey"])
-    return rounded(out, "simulated_DO", "pred_DO_delta_raw", "pred_DO_delta_effective",
-                   "pred_DO_delta_applied", places=9)
+# ---------------------------------------------------------------- pairing
 
 
 @registered("SELECT event_id, ts, value AS change, value * 2 AS level FROM events")
@@ -862,6 +858,24 @@ def paired_predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered("""
+SELECT o_orderkey, date_trunc('hour', o_orderdate + to_minutes((o_orderkey % 1440)::INTEGER)) AS d,
+  o_totalprice AS change, o_totalprice * 2 AS level FROM orders
+""")
+def paired_repeated_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Times cut to the hour, which many rows of a station share; they pair in order."""
+    minutes = F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("station"),
+        F.date_trunc("hour", F.col("o_orderdate") + minutes).cast("timestamp_ntz").alias("d"),
+        F.col("o_totalprice").alias("change"),
+    )
+    levels = rows.select("station", "d", "o_orderkey", (F.col("change") * 2).alias("level"))
+    paired = pair_predictions(
+        rows, levels, ["level"], ts="d", keys=["station"], tiebreak=["o_orderkey"])
+    return paired.drop("station")
+
+
 # ---------------------------------------------------------------- models (no SQL form)
 
 _SHORT = dict(rounds=6, learning_rate=0.3, patience=3)
@@ -902,21 +916,3 @@ def model_list(spark: SparkSession, folder: str) -> DataFrame:
     save_model(spark, model, folder_, "superseded")
     delete_model(spark, folder_, "superseded")
     return list_models(spark, folder_).drop("saved_at")
-
-
-@registered()
-def scenario_schedules(spark: SparkSession, folder: str) -> DataFrame:
-    """Stations as scenarios: weather with lags, scored by two lake models, then the on/off rule."""
-    rows = _training_rows(spark, folder)
-    change, level = (
-        train_quantile(rows, t, "mid", tiebreak=["event_id"], **_SHORT)
-        for t in (f"{N.DELTA_PREFIX}1h", "DO_1h")
-    )
-    stations = normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"])
-    weather = add_weather_lags(
-        stations, keys=["station"], tiebreak=["o_orderkey"], bucket="365 days"
-    )
-    names = dict(zip(N.WEATHER_LAG_HOURS, [N.AIR_LAG_PREFIX + s for s in N.LAKE_LAG_HOURS]))
-    return scenario_schedule(
-        weather.withColumnsRenamed(names), change, level, keys=["station"], tiebreak=["o_orderkey"]
-    )

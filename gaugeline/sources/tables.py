@@ -19,8 +19,9 @@ MISSING_TEXTS = (
 )
 
 
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"')
+def _scan(spark: SparkSession, path: str, multi_line: bool = False, **options: str) -> DataFrame:
+    reader = spark.read.option("header", True).option("escape", '"').options(**options)
+    reader = reader.option("multiLine", multi_line)
     try:
         return reader.option("enforceSchema", False).csv(path)
     except AnalysisException as error:
@@ -29,19 +30,20 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def read_text_table(spark: SparkSession, path: str) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Every cell as the text it is; only an empty cell becomes an empty string."""
-    df = _scan(spark, path)
+    df = _scan(spark, path, multi_line)
     return trim_names(df.select(*[F.coalesce(ref(c), F.lit("")).alias(c) for c in df.columns]))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Text columns with trimmed names; texts for a missing cell become missing.
 
     No type is inferred, which would be a second pass over the data; the operators turn the
-    columns they use into numbers and times.
+    columns they use into numbers and times. With `multi_line` a quoted cell may hold line breaks;
+    a file is then read by one task.
     """
-    df = _scan(spark, path)
+    df = _scan(spark, path, multi_line)
     cells = [F.when(~ref(c).isin(*MISSING_TEXTS), ref(c)).alias(c) for c in df.columns]
     return trim_names(df.select(*cells))
 
@@ -49,9 +51,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def read_series_folder(spark: SparkSession, folder: str, series: str = "series") -> DataFrame:
     """All CSV files of a folder as one table; the file's stem names the series.
 
-    The files must share one header; a file with another header raises while it is read.
+    Files of other kinds are left alone. The CSV files must share one header; a file with another
+    header raises while it is read.
     """
-    df = _scan(spark, folder)
+    df = _scan(spark, folder, pathGlobFilter="*.[cC][sS][vV]")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     cells = [F.when(~ref(c).isin(*MISSING_TEXTS), ref(c)).alias(c.strip()) for c in df.columns]
     return df.select(F.url_decode(name).alias(series), *cells)
@@ -101,11 +104,18 @@ def write_reports(reports: Mapping[str, DataFrame], folder: str, source: str | N
     }
 
 
-def write_by_series(df: DataFrame, folder: str, series: str = "series") -> str:
-    """One sub-folder for each series. A scanned folder cannot be rewritten in place, so a new
-    one is needed; within a series the rows may be spread over several files."""
-    writer = df.write.partitionBy(series).option("header", True).mode("errorifexists")
-    writer.csv(folder)
+def write_by_series(
+    df: DataFrame, folder: str, series: str = "series", order_by: str | None = None
+) -> str:
+    """One sub-folder for each series, its rows by `order_by`. A scanned folder cannot be rewritten
+    in place, so a new one is needed.
+
+    Rows are dealt out by ranges of (series, order), so a series lies in few tasks and files, in
+    order, and a long one is still spread over several.
+    """
+    order = [ref(c) for c in (series, order_by) if c]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.partitionBy(series).option("header", True).mode("errorifexists").csv(folder)
     return folder
 
 

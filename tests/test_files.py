@@ -1,4 +1,4 @@
-"""Whole runs on files: parse, train, predict, schedule."""
+"""Whole runs on files: parse, train, predict."""
 
 from datetime import datetime, timedelta
 
@@ -28,7 +28,7 @@ def lake_csv(tmp_path_factory):
     return put(tmp_path_factory.mktemp("lake") / "lake.csv", [head, *lines])
 
 
-def test_lake_to_schedule(spark, lake_csv, tmp_path):
+def test_lake_to_predictions(spark, lake_csv, tmp_path):
     features = files.lake_file(spark, lake_csv)
     assert features == lake_csv[:-4] + "_parsed_DOdeltas.csv"
     table = read_table(spark, features)
@@ -50,19 +50,6 @@ def test_lake_to_schedule(spark, lake_csv, tmp_path):
     assert report.first()["target"] == "DO"
     assert spark.read.json(str(tmp_path / "metrics")).first()["train_rows"] > 0
 
-    folder = tmp_path / "scenarios"
-    folder.mkdir()
-    lags = ("AT_TLAG_15", "AT_TLAG_30", "AT_TLAG_60")
-    head = ",".join([N.DATE, N.AIR_TEMP, N.HUMIDITY, N.PRESSURE, N.HOUR, *lags])
-    for scenario in ("hot", "wet"):
-        put(folder / f"{scenario}.csv", [head] + [
-            f"2001-06-{1 + h // 24:02d} {h % 24:02d}:00:00,{h % 24},50,1000,{h % 24},1,2,3"
-            for h in range(72)])
-    schedule = spark.read.option("header", True).csv(
-        files.schedule_folder(spark, str(folder), registry, str(tmp_path / "schedule")))
-    assert {r["scenario"]: r["count"] for r in schedule.groupBy("scenario").count().collect()} == {
-        "hot": 72, "wet": 72}
-
 
 def test_reports_and_transitions(spark, lake_csv, tmp_path):
     paths = files.coverage_files(spark, lake_csv, str(tmp_path / "coverage"))
@@ -94,6 +81,7 @@ def test_weather_files(spark, tmp_path):
     head = ",".join(read_table(spark, parsed).columns)
     put(tmp_path / "in" / "a.csv", [head, *lines])
     put(tmp_path / "in" / "b.csv", [head, *lines[:5]])
+    put(tmp_path / "in" / "notes.txt", ["no table"])
     out = files.weather_lag_folder(spark, str(tmp_path / "in"), str(tmp_path / "lagged"), "auto")
     back = spark.read.option("header", True).csv(out)
     assert {r["series"]: r["count"] for r in back.groupBy("series").count().collect()} == {

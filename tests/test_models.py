@@ -1,4 +1,4 @@
-"""Splits, training, scoring, the registry and the on/off rule."""
+"""Splits, training, scoring, the registry and pairing."""
 
 import math
 import random
@@ -15,10 +15,8 @@ from gaugeline.operators.boosting import (
 from gaugeline.operators.holdout import (
     check_split_sizes, holdout, nested_holdout, split_counts, week_key,
 )
-from gaugeline.operators.hysteresis import hysteresis
 from gaugeline.operators.neighbourhood import pair_predictions
 from gaugeline.operators.scoring import metrics_report, score
-from gaugeline.plans.scenario import scenario_schedule
 from gaugeline.sources.registry import delete_model, list_models, load_model, save_model
 
 START = datetime(2024, 1, 1)
@@ -183,65 +181,6 @@ def test_targets_that_fail_are_reported(spark, readings):
         train_quantile(readings, "hour")
 
 
-def by_hand(steps, threshold=3.0, rate=0.286, least=3, halve=True, trigger=False):
-    level, out = steps[0][1], []
-    level = math.nan if level is None else level
-    on, since = level < threshold, 0
-    for change, predicted in steps:
-        change = change or 0.0
-        change = change / 2 if halve and change > 0 else change
-        below = trigger and predicted is not None and predicted < threshold
-        if on:
-            level, since = level + (change + rate), since + 1
-            on = not (level > threshold and since >= least)
-        else:
-            level = level + change
-            on, since = level < threshold or below, 0
-        out.append((None if math.isnan(level) else level, on))
-    return out
-
-
-@pytest.mark.parametrize("rule", [
-    {}, dict(threshold=2.0, rate=0.5, least=1), dict(halve=False), dict(trigger=True)])
-@pytest.mark.parametrize("steps_per_pass", [1_000_000, 17])
-def test_hysteresis(spark, rule, steps_per_pass):
-    rng = random.Random(9)
-    sizes = {"a": 100, "b": 17, "c": 1, "d": 35, None: 20}
-    walks = {k: [(None if rng.random() < 0.1 else rng.uniform(-1, 0.9), rng.uniform(1, 5))
-                 for _ in range(n)] for k, n in sizes.items()}
-    walks["c"] = [(1.0, None)]
-    data = [(k, START + timedelta(hours=i // 2), i, *s) for k, w in walks.items()
-            for i, s in enumerate(w)]
-    rng.shuffle(data)
-    df = spark.createDataFrame(
-        data, "k string, ts timestamp_ntz, id int, change double, level double")
-    names = dict(least="min_steps", halve="halve_gains", trigger="level_trigger")
-    got = hysteresis(
-        df, change="change", level="level", ts="ts", keys=["k"], tiebreak=["id"],
-        steps_per_pass=steps_per_pass, **{names.get(n, n): v for n, v in rule.items()},
-    ).collect()
-    assert len(got) == len(data)
-    want = {(k, i): v for k, w in walks.items() for i, v in enumerate(by_hand(w, **rule))}
-    rate = rule.get("rate", 0.286)
-    for r in got:
-        level, on = want[r["k"], r["id"]]
-        assert r["aerator_on"] == on
-        assert r["simulated_DO"] == (None if level is None else pytest.approx(level, abs=1e-9))
-        assert r["aerator_boost_h"] == (rate if on else 0.0)
-        assert r["pred_DO_delta_applied"] == (None if on else r["pred_DO_delta_effective"])
-
-
-def test_hysteresis_of_one_series_without_key(spark):
-    steps = [(0.1 * (-1) ** i - 0.05, 3.2) for i in range(40)]
-    df = spark.createDataFrame(
-        [(START + timedelta(hours=i), *s) for i, s in enumerate(steps)],
-        "ts timestamp_ntz, change double, level double")
-    for size in (100, 9):
-        got = hysteresis(df, change="change", level="level", ts="ts", steps_per_pass=size)
-        assert [(pytest.approx(r["simulated_DO"]), r["aerator_on"])
-                for r in got.orderBy("ts").collect()] == by_hand(steps)
-
-
 def test_pairing(spark):
     left = spark.createDataFrame([(1, "a", 5.0), (2, "a", 6.0)], "t int, k string, change double")
     right = left.select("t", "k", (F.col("change") * 2).alias("level"))
@@ -252,17 +191,11 @@ def test_pairing(spark):
             pair_predictions(left, odd, ["level"], ts="t", keys=["k"]).collect()
 
 
-def test_scenarios(spark, readings):
-    def constant(target, value):
-        return QuantileModel(target, ["hour", "day"], {"hour": 1.0, "day": 1.0}, value,
-                             [[Node(0, 11.5, 1, 2, 0.0), Node(-1, 0, -1, -1, -0.2),
-                               Node(-1, 0, -1, -1, 0.2)]], 0.5, "mid", "pure_weather")
-
-    names = F.explode(F.array(F.lit("hot"), F.lit("wet")))
-    weather = readings.where("id < 48").select(N.DATE, "hour", names.alias("scenario"))
-    out = scenario_schedule(weather, constant("DO_delta_1h", -0.1), constant("DO_1h", 3.5))
-    hours = [h % 24 for h in range(48)]
-    steps = [(-0.1 + (-0.2 if h <= 11 else 0.2), 3.5 + (-0.2 if h <= 11 else 0.2)) for h in hours]
-    for name in ("hot", "wet"):
-        got = out.where(F.col("scenario") == name).orderBy(N.DATE).collect()
-        assert [(pytest.approx(r["simulated_DO"]), r["aerator_on"]) for r in got] == by_hand(steps)
+def test_pairing_of_rows_that_share_a_time(spark):
+    left = spark.createDataFrame([(1, 1, 5.0), (1, 2, 6.0), (2, 1, 7.0)], "t int, i int, change double")
+    right = left.select("t", "i", (F.col("change") * 2).alias("level"))
+    got = pair_predictions(left, right, ["level"], ts="t", tiebreak=["i"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 5.0, 10.0), (1, 2, 6.0, 12.0), (2, 1, 7.0, 14.0)]
+    for odd in (right.where("i = 1"), right.union(right.where("t = 2"))):
+        with pytest.raises(Exception, match="do not pair up"):
+            pair_predictions(left, odd, ["level"], ts="t", tiebreak=["i"]).collect()

@@ -29,6 +29,12 @@ def test_read(spark, tmp_path):
         S.read_table(spark, str(tmp_path / "gone.csv"))
 
 
+def test_line_breaks_in_cells(spark, tmp_path):
+    path = put(tmp_path / "a.csv", 'DATE,note\n2024-01-01,"two\nlines"\n2024-01-02,x\n')
+    rows = S.read_table(spark, path, multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("2024-01-01", "two\nlines"), ("2024-01-02", "x")]
+
+
 def test_output_names(spark, tmp_path):
     assert S.default_output("/x/lake.v1.csv", N.LAKE_SUFFIX) == "/x/lake.v1_parsed_DOdeltas.csv"
     assert S.default_output("/x/lake", N.PARSED_SUFFIX) == "/x/lake_parsed.csv"
