@@ -21,9 +21,10 @@ from gaugeline.functions.values import calendar_features, number
 from gaugeline.operators.clean import drop_missing
 from gaugeline.operators.holdout import check_split_sizes, nested_holdout, split_counts
 from gaugeline.operators.quantiles import exact_medians
-from gaugeline.session import settle
+from gaugeline.session import discard, settle
 
 TREE_DEPTH = 5
+MAX_BINS = 255
 ROUNDS_PER_TABLE = 4
 LEAF_ACCURACY = 10_000
 
@@ -169,6 +170,7 @@ def train_quantile(
     learning_rate: float = N.LEARNING_RATE,
     patience: int = N.PATIENCE,
     depth: int = TREE_DEPTH,
+    max_bins: int = MAX_BINS,
     feature_fraction: float = N.FEATURE_FRACTION,
     seed: int = N.SEED,
     require_features: bool = False,
@@ -181,7 +183,7 @@ def train_quantile(
     error has not improved for `patience` rounds; the best run of trees is kept. The table with
     the running score is written to the shared folder every few rounds, so the plan of a round
     holds a few trees only and a lost executor repeats little. What reaches the driver in a round
-    is a tree, one number for each leaf and one error.
+    is a tree, one number for each leaf and one error. Superseded tables are deleted.
     """
     if target not in targets(df.columns):
         raise ValueError(f"{target!r} is no level, change or future level of the table.")
@@ -213,7 +215,8 @@ def train_quantile(
     best_error, best_size = _error(table, [], xs), 0
     for done in range(1, rounds + 1):
         chosen = sorted(picker.sample(usable, take))
-        tree = _grow(table, pending, xs, chosen, alpha, learning_rate, depth, seed + done)
+        tree = _grow(
+            table, pending, xs, chosen, alpha, learning_rate, depth, max_bins, seed + done)
         trees.append(tree)
         pending.append(tree)
         error = _error(table, pending, xs)
@@ -222,7 +225,8 @@ def train_quantile(
         elif done - best_size >= patience:
             break
         if len(pending) == ROUNDS_PER_TABLE:
-            table = settle(table.withColumn("score", _score(pending, xs)))
+            old, table = table, settle(table.withColumn("score", _score(pending, xs)))
+            discard(old)
             pending = []
     kept = trees[: max(1, best_size)] if trees else []
 
@@ -234,6 +238,8 @@ def train_quantile(
         .agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
         .collect()
     }
+    for written in (table, raw):
+        discard(written)
     return QuantileModel(
         target, features, medians, base, kept, alpha, label, mode,
         errors.get("test"), errors.get("val"), counts,
@@ -257,6 +263,7 @@ def _grow(
     alpha: float,
     learning_rate: float,
     depth: int,
+    max_bins: int,
     seed: int,
 ) -> list[Node]:
     names = [xs[i] for i in chosen]
@@ -267,7 +274,8 @@ def _grow(
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(
         scored.withColumn("label", slope)
     )
-    fitted = DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=20, seed=seed).fit(
+    fitted = DecisionTreeRegressor(
+        maxDepth=depth, maxBins=max_bins, minInstancesPerNode=20, seed=seed).fit(
         vectors.select("features", "label")
     )
     nodes = parse_tree(fitted.toDebugString)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import names as N
@@ -109,17 +109,24 @@ def minutes_on(
 ) -> DataFrame:
     """Minutes the flag was on in the last hours: on-rows in `(t - h, t]` times median spacing.
 
+    Flags are summed as decimals (`flag_number`).
+
     `outputs` maps new columns to hours. The median spacing is that of the whole series. Rows of
     equal time count for each other.
     """
     bucket = resolve_bucket(df, ts, keys, bucket)
     rows = add_time_lags(
-        df, {}, ts=ts, keys=keys, tiebreak=tiebreak, bucket=bucket,
-        rolling={out: (flag, h) for out, h in outputs.items()},
-    )
+        df.withColumn("__flag", flag_number(flag)), {}, ts=ts, keys=keys, tiebreak=tiebreak,
+        bucket=bucket, rolling={out: ("__flag", h) for out, h in outputs.items()},
+    ).drop("__flag")
     return times_spacing(rows, list(outputs), df, ts=ts, keys=keys, bucket=bucket)
 
 
+def flag_number(flag: str) -> Column:
+    """A flag, or a share of one with up to six decimals, as a decimal, whose sums are exact."""
+    return ref(flag).cast("double").cast("decimal(18,6)")
+
+
 def times_spacing(
     rows: DataFrame,
     columns: Sequence[str],
@@ -141,7 +148,7 @@ def times_spacing(
         scaled = rows.withColumn("__step", step.scalar())
     return scaled.select(
         *[
-            (ref(c) * F.col("__step")).alias(c) if c in columns else ref(c)
+            (ref(c).cast("double") * F.col("__step")).alias(c) if c in columns else ref(c)
             for c in rows.columns
         ]
     )

@@ -4,80 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.time import ref
-from gaugeline.plans.timeline import BUCKET, CARRY, Carry, with_carries
+from gaugeline.session import settle
 
-BINS_PER_OCTAVE = 16_384
+BINS_PER_OCTAVE = 2_048
 _TOP = 1_200 * BINS_PER_OCTAVE
 
 
+def _bin(value: Column) -> Column:
+    octave = F.least(F.log2(F.abs(value)), F.lit(1_100.0))
+    depth = F.floor(octave * BINS_PER_OCTAVE).cast("bigint") + F.lit(_TOP)
+    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(
+        F.signum(value).cast("bigint") * depth)
+
+
 def exact_medians(
     df: DataFrame, columns: Mapping[str, str], *, keys: Sequence[str] = ()
 ) -> DataFrame:
     """One row for each key with the exact median of each column (`columns` maps input to output).
 
     Missing values are skipped and an even count averages the middle two, so a column without
-    values gives a missing median. Equal values are counted first, on the map side. The counts are
-    then ordered inside narrow value bins, 16,384 to each power of two, and the bins learn how many
-    values lie below them by carry rows; no task holds all values of a key.
+    values gives a missing median. The first pass counts values by narrow bins, 2,048 to each power
+    of two, on the map side, and finds the bins that hold the middle; the second moves only the
+    distinct values of these bins. The columns are written once, so both passes read them alone.
     """
-    series = [ref(k) for k in keys]
-    long = df.select(
-        *series,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("__which"), ref(c).cast("double").alias("__value"))
-                    for i, c in enumerate(columns)
-                ]
-            )
-        ).alias("__cell"),
-    ).select(*series, "__cell.*")
-    groups = [*keys, "__which"]
-    counts = (
-        long.where(F.col("__value").isNotNull() & ~F.isnan("__value"))
-        .groupBy(*[ref(g) for g in groups], "__value")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
+    names = [f"__k{i}" for i in range(len(keys))]
+    narrow = settle(df.select(
+        *[ref(k).alias(n) for k, n in zip(keys, names)],
+        *[ref(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)],
+    ))
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("__which"), F.col(f"__v{i}").alias("__value"))
+        for i in range(len(columns))
+    ])
     value = F.col("__value")
-    octave = F.least(F.log2(F.abs(value)), F.lit(1_100.0))
-    depth = F.floor(octave * BINS_PER_OCTAVE).cast("bigint") + F.lit(_TOP)
-    binned = counts.withColumn(
-        BUCKET,
-        F.when(value == 0, F.lit(0).cast("bigint"))
-        .otherwise(F.signum(value).cast("bigint") * depth),
-    )
-    laid = with_carries(
-        binned,
-        [
-            Carry("__below", F.sum("__n"), F.sum),
-            Carry("__total", F.sum("__n"), F.sum, "all"),
-        ],
-        groups,
+    long = (
+        narrow.select(*names, F.explode(cells).alias("__cell")).select(*names, "__cell.*")
+        .where(value.isNotNull() & ~F.isnan(value)).withColumn("__bin", _bin(value))
     )
-    part = Window.partitionBy(*[ref(g) for g in groups], BUCKET).orderBy(
-        value.asc_nulls_first()
-    ).rowsBetween(Window.unboundedPreceding, 0)
-    shown = F.when(F.col(CARRY), F.coalesce(F.col("__below"), F.lit(0))).otherwise(F.col("__n"))
-    ranked = laid.select(
+    group = [*names, "__which"]
+    counts = long.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy(*group).orderBy("__bin")
+    ranked = counts.select(
         "*",
-        F.sum(shown).over(part).alias("__upto"),
-        F.first("__total", ignorenulls=True).over(part).alias("__all"),
-    ).where(~F.col(CARRY))
+        F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
+        F.sum("__n").over(Window.partitionBy(*group)).alias("__all"),
+    )
+    low = F.call_function("div", F.col("__all") - 1, F.lit(2))
+    high = F.call_function("div", F.col("__all"), F.lit(2))
 
-    def holds(rank):
+    def holds(rank: Column) -> Column:
         return (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__n"))
 
-    low = F.call_function("div", F.col("__all") - 1, F.lit(2))
-    high = F.call_function("div", F.col("__all"), F.lit(2))
-    middle = ranked.where(holds(low) | holds(high))
+    bins = ranked.where(holds(low) | holds(high)).select(
+        *[F.col(n).alias(f"{n}m") for n in names], F.col("__which").alias("__whichm"),
+        F.col("__bin").alias("__binm"), (F.col("__upto") - F.col("__n")).alias("__below"), "__all",
+    )
+    match = (F.col("__which") == F.col("__whichm")) & (F.col("__bin") == F.col("__binm"))
+    for n in names:
+        match = match & F.col(n).eqNullSafe(F.col(f"{n}m"))
+    inside = (
+        long.join(bins, match).groupBy(*group, "__bin", "__value", "__below", "__all")
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    upto = F.sum("__n").over(
+        Window.partitionBy(*group, "__bin").orderBy("__value")
+        .rowsBetween(Window.unboundedPreceding, 0))
+    middle = inside.withColumn("__upto", F.col("__below") + upto).where(holds(low) | holds(high))
     halves = []
     for i, out in enumerate(columns.values()):
         here = F.col("__which") == i
         first = F.max(F.when(here & holds(low), value))
         second = F.max(F.when(here & holds(high), value))
         halves.append(((first + second) / 2).alias(out))
-    return middle.groupBy(*series).agg(*halves)
+    found = middle.groupBy(*names).agg(*halves)
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)],
+                        *[ref(out) for out in columns.values()])

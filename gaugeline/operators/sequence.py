@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.time import ref
 from gaugeline.operators.quantiles import exact_medians
 from gaugeline.plans.timeline import (
-    CARRY, DEFAULT_BUCKET, POS, Carry, Lookup, bucketed, look_up, row_order, with_carries,
+    CARRY, DEFAULT_BUCKET, POS, Carry, Lookup, bucketed, fold_last, look_up, row_order, with_carries,
 )
 
 
@@ -39,9 +39,12 @@ def _neighbours(
     """
     rows = bucketed(df, ts, keys, bucket)
     mine = _last(columns, tiebreak)
-    carries = [Carry("__before", F.max(mine), F.max)]
+    values, ties = [ref(c) for c in columns], [ref(c) for c in tiebreak]
+    kinds = [df.schema[c].dataType for c in tiebreak]
+    every = F.lit(True)
+    carries = [Carry("__before", fold_last(every, values, ties, kinds), F.max)]
     if following:
-        carries.append(Carry("__after", F.min(mine), F.min, "after"))
+        carries.append(Carry("__after", fold_last(every, values, ties, kinds, first=True), F.min, "after"))
     if index:
         carries.append(Carry("__count", F.count(F.lit(1)), F.sum))
     laid = with_carries(rows, carries, keys)
@@ -154,10 +157,12 @@ def fill_both_ways(
     """Missing values take the last value before them; leading ones the first value after them."""
     rows = bucketed(df, ts, keys, bucket)
     carries = []
+    ties, kinds = [ref(c) for c in tiebreak], [df.schema[c].dataType for c in tiebreak]
     for i, c in enumerate(columns):
-        known = F.when(ref(c).isNotNull(), _last([c], tiebreak))
-        carries.append(Carry(f"__last{i}", F.max(known), F.max))
-        carries.append(Carry(f"__head{i}", F.min(known), F.min, "all"))
+        known = ref(c).isNotNull()
+        carries.append(Carry(f"__last{i}", fold_last(known, [ref(c)], ties, kinds), F.max))
+        carries.append(
+            Carry(f"__head{i}", fold_last(known, [ref(c)], ties, kinds, first=True), F.min, "all"))
     laid = with_carries(rows, carries, keys)
     upto = row_order(keys, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
     filled = {}

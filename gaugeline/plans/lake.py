@@ -12,8 +12,9 @@ from gaugeline.functions.values import with_numbers, with_timestamp
 from gaugeline.operators.clean import (
     drop_incomplete_lags, drop_undated, drop_zero_level, fill_hour,
 )
-from gaugeline.operators.lags import add_future_levels, add_time_lags, lake_lags, times_spacing
+from gaugeline.operators.lags import add_future_levels, add_time_lags, flag_number, lake_lags, times_spacing
 from gaugeline.plans.timeline import DEFAULT_BUCKET, resolve_bucket
+from gaugeline.session import settle
 
 
 def lake_features(
@@ -32,17 +33,19 @@ def lake_features(
     rows without a lag go before the future is, so futures are those of surviving rows. Without
     an air temperature there are no lags. Minutes-on are scaled last: a row with a lag has a row
     before it, so the spacing it is multiplied by is never missing and cannot drop a row.
+
+    The cleaned readings and the lagged rows are written on the way: the source is read and parsed
+    once, and full rows are shuffled twice, once for the lags and once for the future.
     """
     value = level_column(df.columns, level)
     if not value:
         raise ValueError("No level column found.")
     ts = date_column(df.columns, date)
-    clean = drop_undated(_cleaned(df, ts, value), ts)
+    clean = settle(drop_undated(_cleaned(df, ts, value), ts))
     options = dict(ts=ts, keys=keys, bucket=resolve_bucket(clean, ts, keys, bucket))
     lagged, on = _lagged(clean, value, tiebreak=tiebreak, **options)
-    full = add_future_levels(
-        drop_incomplete_lags(lagged), value, horizons, tiebreak=tiebreak, **options
-    )
+    lagged = settle(drop_incomplete_lags(lagged))
+    full = add_future_levels(lagged, value, horizons, tiebreak=tiebreak, **options)
     return times_spacing(full, on, clean, **options) if on else full
 
 
@@ -61,7 +64,7 @@ def lake_lag_table(
     clean = _cleaned(df, ts, value)
     if not value or N.AIR_TEMP not in df.columns:
         return drop_incomplete_lags(clean)
-    dated = drop_undated(clean, ts)
+    dated = settle(drop_undated(clean, ts))
     options = dict(ts=ts, keys=keys, bucket=resolve_bucket(dated, ts, keys, bucket))
     lagged, on = _lagged(dated, value, tiebreak=tiebreak, **options)
     full = drop_incomplete_lags(lagged)
@@ -79,5 +82,6 @@ def _lagged(df: DataFrame, value: str, **options) -> tuple[DataFrame, list[str]]
     if N.AIR_TEMP not in df.columns:
         return df, []
     flag = flag_column(df.columns)
-    rolling = {N.FLAG_LAG_PREFIX + s: (flag, h) for s, h in N.LAKE_LAG_HOURS.items() if flag}
-    return add_time_lags(df, lake_lags(value), rolling=rolling, **options), list(rolling)
+    rolling = {N.FLAG_LAG_PREFIX + s: ("__flag", h) for s, h in N.LAKE_LAG_HOURS.items() if flag}
+    flagged = df.withColumn("__flag", flag_number(flag)) if flag else df
+    return add_time_lags(flagged, lake_lags(value), rolling=rolling, **options).drop("__flag"), list(rolling)

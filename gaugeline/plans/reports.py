@@ -18,6 +18,7 @@ from gaugeline.operators.fit import append_fit_summary, daily_fit
 from gaugeline.operators.neighbourhood import join_first_at_time, near_events
 from gaugeline.operators.sequence import mark_transitions
 from gaugeline.plans.timeline import DEFAULT_BUCKET, resolve_bucket
+from gaugeline.session import settle
 
 
 def coverage_report(
@@ -68,9 +69,9 @@ def transition_table(
     needed = list(dict.fromkeys([*keys, ts, *tiebreak, *extra]))
     width = resolve_bucket(typed, ts, keys, bucket)
     options = dict(ts=ts, keys=keys, tiebreak=tiebreak, bucket=width)
-    marked = mark_transitions(
-        typed.select(*[ref(c) for c in needed]), flag, "__changed", **options
-    )
+    marked = settle(mark_transitions(
+        settle(typed.select(*[ref(c) for c in needed])), flag, "__changed", **options
+    ))
     near = near_events(marked, "__changed", hours, **options)
     joined = join_first_at_time(
         with_timestamp(features, ts), near, extra, ts=ts, keys=keys, tiebreak=tiebreak

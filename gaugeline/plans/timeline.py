@@ -8,7 +8,9 @@ arrives as one extra *carry row*:
 2. run over the summaries of a series, at most time span / bucket width rows;
 3. add the result to the bucket as a carry row that sorts before the real rows.
 
-No join, no broadcast, one shuffle of the rows themselves.
+No join and no broadcast. The rows are shuffled once, but read twice, once for the fold, which moves
+summaries only. Whoever chains several of these operators writes the table in between
+(`session.settle`), as `plans/lake.py` does; else each reading repeats all steps before it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeline.functions.time import bucket_of, position, ref, sql_text, width_micros
 
@@ -41,7 +44,8 @@ class Carry:
     name: str
     fold: Column
     merge: Callable[[Column], Column]
-    reach: str = "before"
+    #: "before", "after", "all", or the first and last of a range of buckets, relative to the bucket.
+    reach: str | tuple[int, int] = "before"
 
 
 def with_carries(rows: DataFrame, carries: Sequence[Carry], keys: Sequence[str]) -> DataFrame:
@@ -59,6 +63,8 @@ def with_carries(rows: DataFrame, carries: Sequence[Carry], keys: Sequence[str])
         "all": Window.partitionBy(*series).orderBy(BUCKET)
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing),
     }
+    by_number = Window.partitionBy(*series).orderBy(BUCKET)
+    windows |= {c.reach: by_number.rangeBetween(*c.reach) for c in carries if isinstance(c.reach, tuple)}
     carry_rows = folded.select(
         *series,
         BUCKET,
@@ -122,13 +128,52 @@ class Lookup:
 
 @dataclass(frozen=True)
 class RollingSum:
-    """Sum of `column` over `(t - span, t]`, rows of equal time included; missing if all missing."""
+    """Sum of `column` over `(t - span, t]`, rows of equal time included; missing if all missing.
+
+    Whole numbers and decimals are exact. Other numbers are only ever added, never taken off a
+    running total, so a large or infinite value leaves nothing behind once it is out of the span.
+    """
 
     out: str
     column: str
     span: int
 
 
+def order_number(tiebreak: Sequence[Column], kinds: Sequence[T.DataType]) -> Column | None:
+    """Position and tiebreak as one number of fixed width, or None if they do not fit into one.
+
+    A maximum by such a number is a hash aggregate; by a struct it is a sort of all rows.
+    """
+    whole = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    if not tiebreak:
+        return F.col(POS)
+    if len(tiebreak) > 1 or not isinstance(kinds[0], whole):
+        return None
+    # A missing tiebreak comes first.
+    tie = F.coalesce(tiebreak[0].cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    return F.col(POS).cast("decimal(18,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + tie
+
+
+def fold_last(
+    eligible: Column, sources: Sequence[Column], tiebreak: Sequence[Column],
+    kinds: Sequence[T.DataType], first: bool = False,
+) -> Column:
+    """The struct (at, tie.., v..) of the last eligible row of a group, or of the first."""
+    pick, pick_by = (F.min, F.min_by) if first else (F.max, F.max_by)
+    fields = [*[(f"tie{i}", c) for i, c in enumerate(tiebreak)],
+              *[(f"v{i}", c) for i, c in enumerate(sources)]]
+    order = order_number(tiebreak, kinds)
+    if order is None:
+        row = F.struct(F.col(POS).alias("at"), *[c.alias(n) for n, c in fields])
+        return pick(F.when(eligible, row))
+    order = F.when(eligible, order)
+    return F.when(
+        F.max(F.when(eligible, F.col(POS))).isNotNull(),
+        F.struct(pick(F.when(eligible, F.col(POS))).alias("at"),
+                 *[pick_by(c, order).alias(n) for n, c in fields]),
+    )
+
+
 def look_up(
     df: DataFrame,
     *,
@@ -153,10 +198,14 @@ def look_up(
     bucket may be narrower or wider than the offsets.
     """
     width = resolve_bucket(df, ts, keys, bucket)
-    shifts = sorted({0} | {x.shift for x in lookups} | {s.span for s in sums})
+    # Sums that are only added up want buckets no wider than their span.
+    added = [s for s in sums if isinstance(df.schema[s.column].dataType, (T.DoubleType, T.FloatType))]
+    width = min([width, *[s.span for s in added]])
+    sums = [s for s in sums if s not in added]
+    shifts = sorted({0} | {x.shift for x in lookups} | {s.span for s in [*sums, *added]})
     far = max(abs(s) for s in shifts) + 1
     columns = df.columns
-    narrow = list(dict.fromkeys([*keys, *tiebreak, *sources, *[s.column for s in sums]]))
+    narrow = list(dict.fromkeys([*keys, *tiebreak, *sources, *[s.column for s in [*sums, *added]]]))
     cell = {c: ref(c) for c in dict.fromkeys([*columns, *narrow])}
     pos, home, carry = F.col(POS), F.col(HOME), F.col(CARRY)
     target = {shift: bucket_of(f"{POS} + {shift}L", width) for shift in shifts}
@@ -187,13 +236,16 @@ def look_up(
         )
     )
 
+    kinds = [df.schema[c].dataType for c in tiebreak]
+
+    def fold(x: Lookup) -> Column:
+        eligible = seen[x.shift] & F.col(PICKED).isNotNull()
+        if not sources:
+            return (F.min if x.forward else F.max)(F.when(eligible, pos))
+        return fold_last(eligible, [cell[c] for c in sources], [cell[c] for c in tiebreak], kinds, x.forward)
+
     carries = [
-        Carry(
-            f"__c{i}",
-            (F.min if x.forward else F.max)(F.when(seen[x.shift], F.col(PICKED))),
-            F.min if x.forward else F.max,
-            "after" if x.forward else "before",
-        )
+        Carry(f"__c{i}", fold(x), F.min if x.forward else F.max, "after" if x.forward else "before")
         for i, x in enumerate(lookups)
     ]
     # A rolling sum is the running total up to `t` less the one up to `t - span`. In a bucket at
@@ -218,6 +270,15 @@ def look_up(
             names.append((name, shift))
         ends.append(names)
 
+    # A sum that is only added up has three parts: this bucket's rows up to `t`; the copies of rows
+    # that leave the span within this bucket, and have not left at `t`; and all rows in between.
+    for i, s in enumerate(added):
+        q = s.span // width
+        carries.append(Carry(f"__e{i}", F.sum(F.when(home & (target[s.span] == F.col(BUCKET) + q + 1),
+                                                     cell[s.column])), F.sum, (-q, -q)))
+        if q > 1:
+            carries.append(Carry(f"__m{i}", F.sum(F.when(home, cell[s.column])), F.sum, (1 - q, -1)))
+
     rows = with_carries(placed, carries, keys).select(
         "*",
         F.expr(f"if({CARRY}, {BUCKET} * {width}L - {far}L, {POS})").alias(ASC),
@@ -244,6 +305,18 @@ def look_up(
         result.append(F.sum(value).over(frame).alias(f"{name}v{shift}"))
         result.append(F.sum(count).over(frame).alias(f"{name}k{shift}"))
 
+    for i, s in enumerate(added):
+        value = cell[s.column]
+        leaving = -F.when(seen[s.span], pos + s.span).when(home, pos)
+        still = part.orderBy(leaving.asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
+        result += [
+            F.sum(F.when(home, value)).over(upto(ASC, 0)).alias(f"__own{i}"),
+            F.sum(F.when(seen[s.span] & ~carry, value)).over(still).alias(f"__tail{i}"),
+            F.max(f"__e{i}").over(part).alias(f"__edge{i}"),
+            (F.max(f"__m{i}").over(part) if s.span // width > 1 else F.lit(None).cast("double"))
+            .alias(f"__mid{i}"),
+        ]
+
     answered = rows.select("*", *result).where(~carry & home)
     out: list[Column] = [cell[c] for c in columns]
     for i, x in enumerate(lookups):
@@ -258,4 +331,8 @@ def look_up(
                 f"{now}v{zero} - coalesce({then}v{span}, 0), NULL)"
             ).alias(s.out)
         )
+    for i, s in enumerate(added):
+        terms = [F.col(f"__{n}{i}") for n in ("tail", "edge", "mid", "own")]
+        total = sum((F.coalesce(x, F.lit(0.0)) for x in terms), F.lit(0.0))
+        out.append(F.when(F.coalesce(*terms).isNotNull(), total).alias(s.out))
     return answered.select(*out)

@@ -18,6 +18,7 @@ from gaugeline.operators.climate import average_year, best_summer_year_rows
 from gaugeline.operators.lags import add_time_lags
 from gaugeline.operators.sequence import fill_both_ways
 from gaugeline.plans.timeline import DEFAULT_BUCKET, resolve_bucket
+from gaugeline.session import settle
 
 _VALUES = (N.AIR_TEMP, N.HUMIDITY, N.PRESSURE)
 
@@ -86,5 +87,6 @@ def add_weather_lags(
     width = resolve_bucket(typed, N.DATE, keys, bucket)
     options = dict(ts=N.DATE, keys=keys, tiebreak=tiebreak, bucket=width)
     lags = {c: (N.AIR_TEMP, h) for c, h in N.WEATHER_LAG_HOURS.items()}
-    filled = fill_both_ways(add_time_lags(typed, lags, **options), names, **options)
+    lagged = settle(add_time_lags(settle(typed), lags, **options))
+    filled = fill_both_ways(lagged, names, **options)
     return reorder(filled, [*keys, N.DATE, *_VALUES, N.HOUR], names)

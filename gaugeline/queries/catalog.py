@@ -16,13 +16,15 @@ from gaugeline.functions.values import (
     number, timestamp, with_numbers, with_timestamp,
 )
 from gaugeline.operators import clean, climate, lags, sequence
-from gaugeline.operators.boosting import train_quantile, train_targets
+from gaugeline.operators.boosting import Node, QuantileModel, train_quantile, train_targets
 from gaugeline.operators.coverage import daily_coverage, day_blocks
 from gaugeline.operators.fit import append_fit_summary, daily_fit
 from gaugeline.operators.holdout import holdout, nested_holdout, split_counts, week_key
 from gaugeline.operators.neighbourhood import near_events, pair_predictions
 from gaugeline.operators.quantiles import exact_medians
-from gaugeline.operators.scoring import impute, mean_absolute_error, metrics_report, score
+from gaugeline.operators.scoring import (
+    impute, mean_absolute_error, metrics_report, score, score_all,
+)
 from gaugeline.plans.lake import lake_features, lake_lag_table
 from gaugeline.plans.reports import transition_table
 from gaugeline.plans.weather import (
@@ -362,6 +364,23 @@ def minutes_on_global(spark: SparkSession, folder: str) -> DataFrame:
     return _on(lake(spark, folder), [])
 
 
+@registered(f"""
+WITH {LINES_SQL}
+SELECT l_suppkey, l_orderkey, l_linenumber, round(sum(price) OVER (PARTITION BY l_suppkey ORDER BY d
+  RANGE BETWEEN INTERVAL 720 HOUR - INTERVAL 1 MICROSECOND PRECEDING AND CURRENT ROW), 2) AS month_total
+FROM lines
+""")
+def rolling_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices, which are no flags, summed over 30 days."""
+    found = lags.add_time_lags(
+        priced_lines(spark, folder).withColumn("price", F.col("price").cast("double")), {}, ts=N.DATE,
+        keys=["l_suppkey"], tiebreak=["l_orderkey", "l_linenumber"], bucket="365 days",
+        rolling={"month_total": ("price", 720)},
+    )
+    return rounded(found.select("l_suppkey", "l_orderkey", "l_linenumber", "month_total"),
+                   "month_total", places=2)
+
+
 @registered(f"""
 WITH {LINES_SQL}, gaps AS (
   SELECT l_suppkey, (epoch_us(d) - lag(epoch_us(d)) OVER (PARTITION BY l_suppkey ORDER BY d))
@@ -876,6 +895,51 @@ def paired_repeated_times(spark: SparkSession, folder: str) -> DataFrame:
     return paired.drop("station")
 
 
+# ---------------------------------------------------------------- scoring with a given model
+
+
+def _given(target: str, label: str, shift: float) -> QuantileModel:
+    """Two trees on the weather and the day, small enough to be said in SQL."""
+    leaf = lambda value: Node(-1, 0.0, -1, -1, value)
+    weather = [Node(0, 20.0, 1, 4, 0.0), Node(1, 60.0, 2, 3, 0.0), leaf(0.5), leaf(1.0), leaf(-0.25)]
+    day = [Node(2, 190.0, 1, 2, 0.0), leaf(0.125), leaf(0.25)]
+    return QuantileModel(
+        target, [N.AIR_TEMP, N.HUMIDITY, "dayofyear"],
+        {N.AIR_TEMP: 12.0, N.HUMIDITY: 50.0, "dayofyear": 1.0}, shift, [weather, day],
+        N.QUANTILE_TIERS[label], label, "pure_weather",
+    )
+
+
+def _given_sql(shift: float) -> str:
+    return f"""{shift} + CASE WHEN coalesce(air, 12) <= 20 THEN
+    CASE WHEN coalesce(rh, 50) <= 60 THEN 0.5 ELSE 1.0 END ELSE -0.25 END
+  + CASE WHEN dayofyear(d) <= 190 THEN 0.125 ELSE 0.25 END"""
+
+
+@registered(f"""
+WITH {LAKE_SQL} SELECT event_id, round(({_given_sql(1.5)})::DOUBLE, 6) AS "pred_DO_quantile_high" FROM lake
+""")
+def model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A saved model, read back from the registry, scores every reading; marks take the median."""
+    models = f"{shared_folder(spark)}/gaugeline-models-{uuid.uuid4().hex}"
+    name = save_model(spark, _given(N.LEVEL, "high", 1.5), models)
+    scored = score(lake(spark, folder), load_model(spark, models, name))
+    return rounded(scored.select("event_id", "pred_DO_quantile_high"), "pred_DO_quantile_high")
+
+
+@registered(f"""
+WITH {WEATHER_SQL}
+SELECT o_orderkey, station, round(({_given_sql(-0.5)})::DOUBLE, 6) AS "pred_DO_delta_1h_quantile_mid",
+  round(({_given_sql(4.0)})::DOUBLE, 6) AS "pred_DO_1h_quantile_mid" FROM weather
+""")
+def scenario_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Stations as scenarios: a change model and a level model score the same weather rows."""
+    rows = normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"])
+    models = [_given(f"{N.DELTA_PREFIX}1h", "mid", -0.5), _given("DO_1h", "mid", 4.0)]
+    columns = ["pred_DO_delta_1h_quantile_mid", "pred_DO_1h_quantile_mid"]
+    return rounded(score_all(rows, models).select("o_orderkey", "station", *columns), *columns)
+
+
 # ---------------------------------------------------------------- models (no SQL form)
 
 _SHORT = dict(rounds=6, learning_rate=0.3, patience=3)

@@ -46,4 +46,13 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/gaugeline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    settled = spark.read.parquet(path)
+    settled._settled_at = path
+    return settled
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    spark = settled.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(settled._settled_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

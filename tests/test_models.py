@@ -110,6 +110,20 @@ def tiers(readings):
     return train_tiers(readings, "DO", **OPTIONS)
 
 
+def test_training_leaves_no_tables_behind(spark, readings):
+    import os
+
+    from gaugeline.session import shared_folder
+
+    def tables():
+        return {d for d in os.listdir(shared_folder(spark).removeprefix("file:")) if d.startswith("gaugeline-")}
+
+    before = tables()
+    train_quantile(readings, "DO", "mid", **(OPTIONS | dict(rounds=9)))
+    # What is left are the rows before the split and the columns of the medians.
+    assert len(tables() - before) <= 3
+
+
 def pinball(scored, column, alpha):
     gap = F.col("DO") - F.col(column)
     return scored.agg(F.avg(F.greatest(alpha * gap, (alpha - 1) * gap))).first()[0]
