@@ -77,3 +77,23 @@ def metrics_report(
     ]
     rows += [(t, None, None, None, None, None, None, why) for t, why in (failures or {}).items()]
     return spark.createDataFrame(rows, METRICS_SCHEMA)
+
+
+RECORD_SCHEMA = (
+    "csv string, features array<string>, targets_trained array<string>, "
+    "results array<struct<target string, mae_test double, mae_validation double, train_rows bigint, "
+    "validation_rows bigint, test_rows bigint, feature_cols array<string>, model_path string>>"
+)
+
+
+def metrics_record(
+    spark: SparkSession, models: Sequence[QuantileModel], csv: str, paths: Mapping[str, str]
+) -> DataFrame:
+    """One record for a whole training run, with the path of each target's model."""
+    results = [
+        (m.target, m.mae, m.mae_validation, m.rows.get("fit", 0), m.rows.get("val", 0),
+         m.rows.get("test", 0), m.features, paths.get(m.target))
+        for m in models
+    ]
+    features = list(dict.fromkeys(f for m in models for f in m.features))
+    return spark.createDataFrame([(csv, features, [m.target for m in models], results)], RECORD_SCHEMA)

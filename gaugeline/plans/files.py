@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline import names as N
 from gaugeline.functions.columns import date_column, prediction_column
-from gaugeline.functions.values import with_timestamp
+from gaugeline.functions.values import with_numbers, with_timestamp
 from gaugeline.operators.boosting import QuantileModel, train_quantile, train_targets
 from gaugeline.operators.coverage import day_blocks
-from gaugeline.operators.scoring import metrics_report, score
+from gaugeline.operators.scoring import metrics_record, metrics_report, score
 from gaugeline.plans.lake import lake_features, lake_lag_table
 from gaugeline.plans.reports import coverage_report, daily_fit_report, transition_table
-from gaugeline.plans.timeline import DEFAULT_BUCKET
 from gaugeline.plans.weather import (
     add_weather_lags, normalise_weather, prepare_parsed, yearly_analytics,
 )
@@ -36,6 +35,7 @@ def lake_file(
 ) -> str:
     """Lake readings to features, with future levels unless `horizons` is None."""
     df = read_table(spark, source)
+    options = {"bucket": "auto"} | options
     if horizons is None:
         table, suffix = lake_lag_table(df, **options), N.PARSED_SUFFIX
     else:
@@ -76,17 +76,21 @@ def daily_fit_file(spark: SparkSession, source: str, out: str) -> str:
 
 
 def weather_lag_folder(
-    spark: SparkSession, folder: str, out: str, bucket: str | int = DEFAULT_BUCKET
+    spark: SparkSession, folder: str, out: str, bucket: str | int = "auto",
+    tiebreak: Sequence[str] = (),
 ) -> str:
-    """Air-temperature lags for every file of a folder, each file a series of its own."""
-    table = read_series_folder(spark, folder)
-    lagged = add_weather_lags(table, keys=["series"], bucket=bucket)
+    """Air-temperature lags for every file of a folder, each file a series of its own.
+
+    `tiebreak` names columns, read as numbers, that order rows of equal time.
+    """
+    table = with_numbers(read_series_folder(spark, folder), tiebreak)
+    lagged = add_weather_lags(table, keys=["series"], tiebreak=tiebreak, bucket=bucket)
     return write_by_series(lagged, out, order_by=N.DATE)
 
 
 def transition_file(
     spark: SparkSession, features: str, readings: str, out: str,
-    bucket: str | int = DEFAULT_BUCKET,
+    bucket: str | int = "auto",
 ) -> str:
     table = transition_table(
         read_table(spark, features), read_table(spark, readings), bucket=bucket
@@ -109,14 +113,15 @@ def train_all_file(
     spark: SparkSession, source: str, registry: str, metrics: str,
     wanted: Sequence[str] | None = None, **options,
 ) -> DataFrame:
-    """Train every target, save the models and write the metrics report."""
+    """Train every target, save the models and write the record of the run; returns the report."""
     table = settle(with_timestamp(read_table(spark, source), N.DATE))
     models, failures = train_targets(table, wanted, **options)
+    paths = {}
     for model in models:
-        save_model(spark, model, registry, f"model_weather_only_{model.target}_{model.label}")
-    report = metrics_report(spark, models, failures)
-    write_metrics(report, metrics)
-    return report
+        name = f"model_weather_only_{model.target}_{model.label}"
+        paths[model.target] = f"{registry.rstrip('/')}/{save_model(spark, model, registry, name)}"
+    write_metrics(metrics_record(spark, models, source, paths), metrics)
+    return metrics_report(spark, models, failures)
 
 
 def predict_file(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.functions.time import bucket_of, position, ref, sql_text, width_micros
+from gaugeline.session import settle
 
 POS = "__pos"
 BUCKET = "__bucket"
@@ -101,14 +102,19 @@ def suggest_bucket(
 ) -> str:
     """The widest bucket of the ladder whose fullest (series, bucket) stays under the row limit.
 
-    Each step counts rows by (series, bucket), combined on the map side, and reads two columns or
-    so; sparse series need the first step only.
+    The table is read once: rows are counted by (series, minute) on the map side, and the wider
+    steps add up these counts.
     """
-    placed = df.where(ref(ts).isNotNull()).withColumn(POS, position(df, ts))
+    least = width_micros(BUCKET_LADDER[-2])
+    counts = settle(
+        df.where(ref(ts).isNotNull()).withColumn(POS, position(df, ts))
+        .groupBy(*[ref(k) for k in keys], bucket_of(POS, least).alias("__cell"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+    )
     for step in BUCKET_LADDER[:-1]:
-        cell = bucket_of(POS, width_micros(step)).alias(BUCKET)
-        counts = placed.groupBy(*[ref(k) for k in keys], cell).agg(F.count(F.lit(1)).alias("rows"))
-        if (counts.agg(F.max("rows")).first()[0] or 0) <= rows_per_bucket:
+        cell = bucket_of(f"__cell * {least}L", width_micros(step)).alias(BUCKET)
+        fullest = counts.groupBy(*[ref(k) for k in keys], cell).agg(F.sum("__rows").alias("__rows"))
+        if (fullest.agg(F.max("__rows")).first()[0] or 0) <= rows_per_bucket:
             return step
     return BUCKET_LADDER[-1]
 

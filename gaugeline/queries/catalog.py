@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline import names as N
-from gaugeline.functions.columns import date_column, level_column, reorder
+from gaugeline.functions.columns import date_column, level_column, prediction_column, reorder
 from gaugeline.functions.time import ref
 from gaugeline.functions.values import (
     calendar_features, ceil_hour, count_unreadable_dates, date_text, halve_positive, hours_of_day,
     number, timestamp, with_numbers, with_timestamp,
 )
 from gaugeline.operators import clean, climate, lags, sequence
-from gaugeline.operators.boosting import Node, QuantileModel, train_quantile, train_targets
+from gaugeline.operators.boosting import (
+    Node, QuantileModel, train_quantile, train_targets, training_table,
+)
 from gaugeline.operators.coverage import daily_coverage, day_blocks
 from gaugeline.operators.fit import append_fit_summary, daily_fit
 from gaugeline.operators.holdout import holdout, nested_holdout, split_counts, week_key
@@ -25,6 +27,7 @@ from gaugeline.operators.quantiles import exact_medians
 from gaugeline.operators.scoring import (
     impute, mean_absolute_error, metrics_report, score, score_all,
 )
+from gaugeline.plans.files import weather_lag_folder
 from gaugeline.plans.lake import lake_features, lake_lag_table
 from gaugeline.plans.reports import transition_table
 from gaugeline.plans.weather import (
@@ -35,7 +38,10 @@ from gaugeline.queries.inputs import (
 )
 from gaugeline.session import settle, shared_folder
 from gaugeline.sources.registry import delete_model, list_models, load_model, save_model
-from gaugeline.sources.tables import read_table, read_text_table, table_size, write_table
+from gaugeline.sources.tables import (
+    default_output, peek_targets, read_table, read_text_table, table_size, write_metrics,
+    write_reports, write_table,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,7 +437,7 @@ def supplier_price_lags(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("b.price").alias("before_24h"), F.col("c.price").alias("after_24h"))
 
 
-@registered(f"""
+_WEATHER_LAGS_SQL = f"""
 WITH {WEATHER_SQL},
 lasts AS (SELECT * FROM weather QUALIFY row_number() OVER (
   PARTITION BY station, d ORDER BY o_orderkey DESC) = 1),
@@ -448,7 +454,37 @@ SELECT o_orderkey, station, d, air,
 FROM lagged
 WINDOW up AS (PARTITION BY station ORDER BY d, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   down AS (PARTITION BY station ORDER BY d, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-""")
+"""
+
+
+def _one_file(df: DataFrame, path: str) -> None:
+    """One CSV file of that name, beside files of other kinds."""
+    spark, parts = df.sparkSession, f"{path}.parts"
+    df.coalesce(1).write.option("header", True).csv(parts)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = files.globStatus(jvm_path(f"{parts}/part-*"))[0].getPath()
+    files.rename(part, jvm_path(path))
+
+
+@registered(_WEATHER_LAGS_SQL)
+def weather_folder_lags(spark: SparkSession, folder: str) -> DataFrame:
+    """One file for each station, the folder run, and its files read back."""
+    home = f"{shared_folder(spark).rstrip('/')}/gaugeline-folder-{uuid.uuid4().hex}"
+    rows = settle(normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"]))
+    for (station,) in rows.select("station").distinct().collect():
+        _one_file(rows.where(F.col("station") == station).drop("station"), f"{home}/in/{station}.csv")
+    rows.limit(1).select("station").write.text(f"{home}/in/notes.txt")
+    out = weather_lag_folder(spark, f"{home}/in", f"{home}/out", tiebreak=["o_orderkey"])
+    back = spark.read.option("header", True).csv(out)
+    lagged = list(N.WEATHER_LAG_HOURS)
+    return snake(with_numbers(back, [N.AIR_TEMP, *lagged]).select(
+        F.col("o_orderkey").cast("double").cast("bigint").alias("o_orderkey"),
+        F.col("series").alias("station"),
+        timestamp(back, N.DATE).alias(N.DATE), N.AIR_TEMP, *lagged))
+
+
+@registered(_WEATHER_LAGS_SQL)
 def weather_lags_filled(spark: SparkSession, folder: str) -> DataFrame:
     parsed = normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"])
     out = add_weather_lags(
@@ -780,6 +816,46 @@ def lake_lags_only(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(snake(out), *_ON_COLUMNS)
 
 
+@registered(f"""
+WITH {WEATHER_SQL}, {{best}}
+SELECT '{N.REPORT_HOTTEST}' AS report, count(*) AS rows FROM weather, best WHERE year(d) = y
+UNION ALL SELECT '{N.REPORT_HUMID}', count(*) FROM weather, best2 WHERE year(d) = y
+UNION ALL SELECT '{N.REPORT_AVERAGE}', count(DISTINCT strftime(d, '%m-%d %H:%M:%S')) FROM weather
+""".replace("{best}", _best("air") + ", " + _best("rh").replace("means", "means2").replace("best", "best2")))
+def report_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The three yearly reports as files, each read back and counted."""
+    home = f"{shared_folder(spark).rstrip('/')}/gaugeline-reports-{uuid.uuid4().hex}"
+    reports = yearly_analytics(settle(_parsed_weather(spark, folder, [])))
+    counted = None
+    for name, path in write_reports(reports, home, order_by=N.DATE).items():
+        own = read_table(spark, path).agg(F.count(F.lit(1)).alias("rows")).withColumn("report", F.lit(name))
+        counted = own if counted is None else counted.unionByName(own)
+    return counted
+
+
+_LAKE_TARGETS = [N.LEVEL, *[f"{N.DELTA_PREFIX}{h}h" for h in N.HORIZONS], *[f"DO_{h}h" for h in N.HORIZONS]]
+
+
+@registered(f"""
+{_LAKE_LAGS_SQL}, t AS (SELECT f.lvl AS "DO", {_LAKE_FUTURES} FROM full_ f {_LAKE_JOINS})
+""" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS target, 'pred_{t}_quantile_mid' AS prediction, count("{t}") AS n_values FROM t"""
+    for t in _LAKE_TARGETS))
+def file_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature table as a file under its usual name: what its header offers for training."""
+    home = f"{shared_folder(spark).rstrip('/')}/gaugeline-targets-{uuid.uuid4().hex}"
+    features = lake_features(
+        lake(spark, folder), keys=["site"], tiebreak=["event_id"], bucket="30 days")
+    path = write_table(features, default_output(f"{home}/lake.csv", N.LAKE_SUFFIX))
+    found = peek_targets(spark, path)
+    table_ = read_table(spark, path)
+    counts = table_.agg(*[F.count(number(table_, t)).alias(t) for t in found])
+    cells = F.array(*[
+        F.struct(F.lit(t).alias("target"), F.lit(prediction_column(t, "mid")).alias("prediction"),
+                 ref(t).alias("n_values")) for t in found])
+    return counts.select(F.inline(cells))
+
+
 # ---------------------------------------------------------------- splits, medians, errors
 
 
@@ -864,6 +940,29 @@ def persistence_error(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(mean_absolute_error(rows, N.LEVEL, "guess", by=["site"]), "mae")
 
 
+@registered(f"""
+WITH {LAKE_SQL}, x AS ({_asof('lake', 1, 'site')})
+SELECT site, round(avg(abs(l.lvl - x.lvl)), 6) AS mae FROM lake l JOIN x USING (event_id) GROUP BY site
+""")
+def metrics_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The errors of each site as a metrics file, read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/gaugeline-metrics-{uuid.uuid4().hex}"
+    write_metrics(persistence_error(spark, folder), path)
+    return spark.read.schema("site bigint, mae double").json(path)
+
+
+_COMPLETE = "lvl IS NOT NULL AND air IS NOT NULL AND rh IS NOT NULL AND mb IS NOT NULL"
+
+
+@registered(_split_sql(f"SELECT d FROM lake WHERE {_COMPLETE}"))
+def complete_rows_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with the target and all features, dealt to fit, validation and test."""
+    rows = training_table(
+        lake(spark, folder), N.LEVEL, [N.AIR_TEMP, N.HUMIDITY, N.PRESSURE], ts=N.DATE,
+        tiebreak=["event_id"], require_features=True)
+    return split_counts(rows)
+
+
 # ---------------------------------------------------------------- pairing
 
 

@@ -48,7 +48,10 @@ def test_lake_to_predictions(spark, lake_csv, tmp_path):
     report = files.train_all_file(
         spark, features, str(tmp_path / "weather"), str(tmp_path / "metrics"), ["DO"], **QUICK)
     assert report.first()["target"] == "DO"
-    assert spark.read.json(str(tmp_path / "metrics")).first()["train_rows"] > 0
+    record = spark.read.json(str(tmp_path / "metrics")).first()
+    assert record["csv"] == features and record["targets_trained"] == ["DO"]
+    assert record["results"][0]["train_rows"] > 0
+    assert record["results"][0]["model_path"].endswith("/model_weather_only_DO_mid")
 
 
 def test_reports_and_transitions(spark, lake_csv, tmp_path):
