@@ -5,7 +5,8 @@ of every bin, and empty bins borrow from full ones in an order that is the same
 Bands of the sketch are bucket keys. A bucket offers only a star of candidates, one centre with each
 other member; the centre is another one in each bucket. Candidates are confirmed on whole sets.
 Buckets that still hold several components are looked through for pairs between components that
-their sketches do not rule out, so a link that a star has passed over is found.
+their sketches do not rule out; these are compared on whole sets inside the bucket, which gives no
+more links than members. So a link that a star has passed over is found.
 
 Equal sets are one node. Defined results: a null or empty text, or one of blanks, has no shingles
 and is its own component; a text with fewer words than a shingle has one shingle; rows with a null
@@ -32,7 +33,7 @@ from gaugeline.session import settle
 #: bucket once in 25,000 times, one at 80 percent once in 300,000.
 BINS = 256
 #: Members of a bucket compared at once; larger buckets are dealt out in pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Ids of candidates up to this many are broadcast (8 bytes each) to pick their sets from the files.
 MOST_IDS_SENT = 1_000_000
 _SIZE = 6  # bytes kept of a shingle's hash
@@ -127,13 +128,16 @@ def _similar(n: str, m: str, percent: int):
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
+def picked(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets of these rows; few enough rows are broadcast, so the other sets stay in their files."""
+    rows = settle(rows)
+    return sets.join(F.broadcast(rows) if rows.count() <= MOST_IDS_SENT else rows, "row")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar. `sets`: (row, shingles)."""
-    nodes = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    nodes = settle(nodes)
-    if nodes.count() <= MOST_IDS_SENT:
-        nodes = F.broadcast(nodes)
-    sets = settle(sets.join(nodes, "row"))
+    sets = settle(picked(sets, pairs.select(F.col("a").alias("row")).union(
+        pairs.select(F.col("b").alias("row"))).distinct()))
     both = (
         pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b")), "b")
         .join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a")), "a")
@@ -141,65 +145,101 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
     def rows(batches):
-        def of(value: pa.Scalar) -> np.ndarray:
-            raw = np.frombuffer(value.as_buffer(), dtype=np.uint8).reshape(-1, _SIZE)
-            wide = np.zeros((len(raw), 8), dtype=np.uint8)
-            wide[:, :_SIZE] = raw
-            return wide.view(np.uint64).ravel()
-
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = of(x), of(y)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [_similar_sets(_of(x.as_py()), _of(y.as_py()), percent)
+                    for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(
                 [c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return both.mapInArrow(rows, "a long, b long")
 
 
-def _between(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members in different components that their sketches do not rule out.
+def _of(packed: bytes) -> np.ndarray:
+    """The shingle hashes of a set."""
+    raw = np.frombuffer(packed, dtype=np.uint8).reshape(-1, _SIZE)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :_SIZE] = raw
+    return wide.view(np.uint64).ravel()
+
+
+def _similar_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _open_pairs(group: pa.Table, percent: int):
+    """Pairs (i, j) of a bucket's rows in different components that their sketches do not rule out.
 
-    `members`: (key, low, high, own, row, n, component, small); `own` is the member's block, the
-    group compares block `low` with block `high`.
+    `own` is a member's block; the group compares block `low` with block `high`. A pair that shares
+    an earlier band is left to that band's bucket.
     """
     least = percent / 100
-    schema = "a long, b long"
-
-    def compare(left, right, same: bool):
-        for at in range(0, len(left["row"]), 64):
-            part = {k: v[at:at + 64] for k, v in left.items()}
-            n, m = part["n"][:, None], right["n"][None, :]
-            allowed = (part["component"][:, None] != right["component"][None, :]) & (
-                100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            if same:
-                allowed &= np.arange(at, at + len(part["row"]))[:, None] < np.arange(len(right["row"]))[None, :]
-            i, j = np.nonzero(allowed)
-            for to in range(0, len(i), 1 << 14):
-                a, b = i[to:to + (1 << 14)], j[to:to + (1 << 14)]
-                x, y = part["small"][a], right["small"][b]
-                seen = ((x > 0) | (y > 0)).sum(axis=1)
-                equal = ((x == y) & (x > 0)).sum(axis=1)
-                # The bins show `seen` of about `union` shingles, drawn without putting back.
-                union = np.maximum(part["n"][a], right["n"][b])
-                spread = np.sqrt(least * (1 - least) / seen * np.maximum(1 - seen / (union + 1), 0.05))
-                near = equal / seen >= least - 4.5 * spread - 2 / seen
-                yield part["row"][a[near]], right["row"][b[near]]
+    own, n, component = (group.column(c).to_numpy() for c in ("own", "n", "component"))
+    small = np.frombuffer(b"".join(group.column("small").to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+    keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+    low, high, key = (group.column(c)[0].as_py() for c in ("low", "high", "key"))
+    earlier = int(np.flatnonzero(keys[0] == key)[0])
+    left = np.flatnonzero(own == low)
+    right = left if low == high else np.flatnonzero(own == high)
+    for at in range(0, len(left), 64):
+        part = left[at:at + 64]
+        allowed = (component[part][:, None] != component[right][None, :]) & (
+            100 * np.minimum(n[part][:, None], n[right][None, :])
+            >= percent * np.maximum(n[part][:, None], n[right][None, :]))
+        if low == high:
+            allowed &= part[:, None] < right[None, :]
+        i, j = np.nonzero(allowed)
+        for to in range(0, len(i), 1 << 13):
+            a, b = part[i[to:to + (1 << 13)]], right[j[to:to + (1 << 13)]]
+            x, y = small[a], small[b]
+            seen = ((x > 0) | (y > 0)).sum(axis=1)
+            equal = ((x == y) & (x > 0)).sum(axis=1)
+            # The bins show `seen` of about `union` shingles, drawn without putting back.
+            union = np.maximum(n[a], n[b])
+            spread = np.sqrt(least * (1 - least) / seen * np.maximum(1 - seen / (union + 1), 0.05))
+            near = equal / seen >= least - 4.5 * spread - 2 / seen
+            near &= ~(keys[a, :earlier] == keys[b, :earlier]).any(axis=1)
+            yield a[near], b[near], (equal / seen)[near]
+
+
+def _open_members(members: DataFrame, percent: int) -> DataFrame:
+    """The members of a bucket that have such a pair: at most all of them."""
 
     def group(batch: pa.Table) -> pa.Table:
-        col = {c: batch.column(c).to_numpy() for c in ("low", "high", "own", "row", "n", "component")}
-        small = np.frombuffer(b"".join(batch.column("small").to_pylist()), dtype=np.uint16).reshape(-1, BINS)
-        low, high = int(col["low"][0]), int(col["high"][0])
-        side = lambda k: {c: v[col["own"] == k] for c, v in (col | {"small": small}).items()}
-        left = side(low)
-        found = list(compare(left, left if low == high else side(high), low == high))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        has = np.zeros(batch.num_rows, dtype=bool)
+        for a, b, _ in _open_pairs(batch, percent):
+            has[a] = has[b] = True
+        return batch.select(["key", "low", "high", "own", "row"]).filter(pa.array(has))
+
+    return members.groupBy("key", "low", "high").applyInArrow(
+        group, "key long, low int, high int, own int, row long")
+
+
+def _found_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links of whole sets that join components within a bucket: fewer than it has members."""
+
+    def group(batch: pa.Table) -> pa.Table:
+        row, up = batch.column("row").to_pylist(), {c: c for c in batch.column("component").to_pylist()}
+        component, links = batch.column("component").to_pylist(), []
+        sets = [_of(x) for x in batch.column("shingles").to_pylist()]
+
+        def root(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        for a, b, estimate in _open_pairs(batch, percent):
+            order = np.argsort(-estimate, kind="stable")
+            for i, j in zip(a[order].tolist(), b[order].tolist()):
+                x, y = root(component[i]), root(component[j])
+                if x != y and _similar_sets(sets[i], sets[j], percent):
+                    up[max(x, y)] = min(x, y)
+                    links.append((min(row[i], row[j]), max(row[i], row[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()),
+                         "b": pa.array([y for _, y in links], pa.int64())})
 
-    return members.groupBy("key", "low", "high").applyInArrow(group, schema).distinct()
+    return members.groupBy("key", "low", "high").applyInArrow(group, "a long, b long")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80,
@@ -263,13 +303,17 @@ def near_duplicates(
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                 "own", "row", "n", "component")
-        .join(nodes.select("row", "small"), "row")
-        .select("key", "low", "high", "own", "row", "n", "component", "small")
     )
-    more = settle(_between(dealt, percent))
-    more = settle(confirmed(more, sets, percent))
-    if not more.isEmpty():
-        by_node = settle(components(links.union(more)))
+    sketch = nodes.select("row", "keys", "small")
+    near = settle(_open_members(dealt.join(sketch, "row"), percent))
+    if not near.isEmpty():
+        more = (
+            near.join(sketch, "row").join(picked(sets, near.select("row").distinct()), "row")
+            .join(by_node.select(F.col("node").alias("row"), "component"), "row", "left")
+            .withColumn("component", F.coalesce("component", "row"))
+            .join(nodes.select("row", "n"), "row")
+        )
+        by_node = settle(components(links.union(_found_links(more, percent))))
 
     ids = (
         filled.select("row", "doc_id", "n", "one", "two").join(first, ["one", "two", "n"])
