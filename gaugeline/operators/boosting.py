@@ -1,16 +1,15 @@
-"""Quantile regression by boosted trees on Spark ML decision trees."""
+"""Quantile regression by boosted trees on counted, coded features."""
 
 from __future__ import annotations
 
+import math
 import random
-import re
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +24,11 @@ from gaugeline.session import discard, settle
 
 TREE_DEPTH = 5
 MAX_BINS = 255
-ROUNDS_PER_TABLE = 4
-LEAF_ACCURACY = 10_000
+ROUNDS_PER_TABLE = 25
+ACCURACY = 10_000
+LEAST_ROWS = 20
+#: Rows of the coded table that one task passes over.
+ROWS_PER_TASK = 200_000
 
 
 @dataclass(frozen=True)
@@ -85,46 +87,6 @@ def training_table(
     return nested_holdout(settle(drop_missing(numeric, needed)), ts=ts, tiebreak=tiebreak)
 
 
-def parse_tree(text: str) -> list[Node]:
-    """The nodes of a fitted Spark ML regression tree, from its printed form."""
-    lines = [ln.strip() for ln in text.splitlines()[1:] if ln.strip()]
-    nodes: list[Node | None] = []
-
-    def read(at: int) -> tuple[int, int]:
-        me = len(nodes)
-        nodes.append(None)
-        if lines[at].startswith("Predict:"):
-            nodes[me] = Node(-1, 0.0, -1, -1, float(lines[at].split(":")[1]))
-            return me, at + 1
-        feature, threshold = re.match(r"If \(feature (\d+) <= (\S+)\)", lines[at]).groups()
-        left, at = read(at + 1)
-        right, at = read(at + 1)
-        nodes[me] = Node(int(feature), float(threshold), left, right, 0.0)
-        return me, at
-
-    read(0)
-    return nodes
-
-
-def tree_sql(nodes: Sequence[Node], names: Sequence[str], leaf, at: int = 0) -> str:
-    """The tree as a nested CASE over the named columns; `leaf(index)` gives a leaf's text."""
-    node = nodes[at]
-    if node.feature < 0:
-        return leaf(at)
-    return (
-        f"CASE WHEN {names[node.feature]} <= {node.threshold!r}D "
-        f"THEN {tree_sql(nodes, names, leaf, node.left)} "
-        f"ELSE {tree_sql(nodes, names, leaf, node.right)} END"
-    )
-
-
-def trees_sql(base: float, trees: Sequence[Sequence[Node]], names: Sequence[str]) -> str:
-    """Base value plus a few trees as SQL."""
-    return " + ".join(
-        [f"{base!r}D", *[tree_sql(t, names, lambda i, t=t: f"{t[i].value!r}D") for t in trees]]
-    )
-
-
 def predicted(base: float, trees: Sequence[Sequence[Node]], inputs: Sequence[Column]) -> Column:
     """Base value plus all trees, in Arrow batches.
 
@@ -172,18 +134,20 @@ def train_quantile(
     depth: int = TREE_DEPTH,
     max_bins: int = MAX_BINS,
     feature_fraction: float = N.FEATURE_FRACTION,
+    accuracy: int = ACCURACY,
     seed: int = N.SEED,
     require_features: bool = False,
     mode: str = "pure_weather",
 ) -> QuantileModel:
     """Train on one target at the quantile of `tier`.
 
-    Each round fits a regression tree to the slope of the pinball loss and gives each leaf the
-    quantile of the residuals in it, times the learning rate. Training stops once the validation
-    error has not improved for `patience` rounds; the best run of trees is kept. The table with
-    the running score is written to the shared folder every few rounds, so the plan of a round
-    holds a few trees only and a lost executor repeats little. What reaches the driver in a round
-    is a tree, one number for each leaf and one error. Superseded tables are deleted.
+    Features are coded once, by at most `max_bins` cuts each, and the coded table is written. A round
+    grows one tree on the slope of the pinball loss: each level is one pass in which partitions count
+    their rows by node, feature and code, and the summed counts, of a fixed size, come to the driver.
+    Each leaf then takes the quantile of the residuals in it, times the learning rate; quantiles and
+    cuts are exact to one in `accuracy` rows. Training stops once the validation error has not
+    improved for `patience` rounds; the best run of trees is kept. The running score is written
+    every few rounds and the table before it deleted, so a pass walks a few trees only.
     """
     if target not in targets(df.columns):
         raise ValueError(f"{target!r} is no level, change or future level of the table.")
@@ -203,32 +167,40 @@ def train_quantile(
     medians = {c: found[x] for c, x in zip(features, xs)}
     usable = [i for i, c in enumerate(features) if medians[c] is not None]
     filled = raw.fillna({xs[i]: medians[features[i]] for i in usable}).fillna(0.0, subset=xs)
-    base = filled.where(fit_part).agg(
-        F.percentile_approx("y", alpha, LEAF_ACCURACY)
-    ).first()[0]
-    table = settle(filled.select(*xs, "y", "split", F.lit(base).alias("score")))
+    points = [(k + 1) / max_bins for k in range(max_bins - 1)]
+    measured = filled.where(fit_part).agg(
+        F.percentile_approx("y", alpha, accuracy).alias("base"),
+        *[F.percentile_approx(x, points, accuracy).alias(x) for x in xs],
+    ).first()
+    base = measured["base"]
+    cuts = [np.unique(np.array(measured[x], dtype=float)) for x in xs]
+    tasks = max(1, sum(counts.values()) // ROWS_PER_TASK)
+    table = settle(_coded(filled, xs, cuts, base).coalesce(tasks))
 
     picker = random.Random(seed)
     take = max(1, round(len(usable) * feature_fraction))
     trees: list[list[Node]] = []
     pending: list[list[Node]] = []
-    best_error, best_size = _error(table, [], xs), 0
-    for done in range(1, rounds + 1):
-        chosen = sorted(picker.sample(usable, take))
-        tree = _grow(
-            table, pending, xs, chosen, alpha, learning_rate, depth, max_bins, seed + done)
-        trees.append(tree)
-        pending.append(tree)
-        error = _error(table, pending, xs)
+    best_error, best_size = math.inf, 0
+    for done in range(rounds + 1):
+        chosen = sorted(picker.sample(usable, take)) if done < rounds else []
+        tree, error = _grow(table, pending, chosen, cuts, alpha, depth, tasks)
+        # The error of the trees so far comes with the first pass of the next one.
         if error < best_error:
             best_error, best_size = error, done
         elif done - best_size >= patience:
             break
+        if done == rounds:
+            break
+        tree = _valued(table, pending, tree, alpha, learning_rate, accuracy)
+        trees.append(tree)
+        pending.append(tree)
         if len(pending) == ROUNDS_PER_TABLE:
-            old, table = table, settle(table.withColumn("score", _score(pending, xs)))
+            old, table = table, settle(_rescored(table, pending))
             discard(old)
             pending = []
-    kept = trees[: max(1, best_size)] if trees else []
+    kept = trees[: max(1, best_size)]
+    kept = [[_plain(n, cuts) for n in tree] for tree in kept]
 
     errors = {
         r["split"]: r["mae"]
@@ -246,53 +218,187 @@ def train_quantile(
     )
 
 
-def _score(pending: Sequence[Sequence[Node]], xs: Sequence[str]) -> Column:
-    return F.col("score") + F.expr(trees_sql(0.0, pending, xs))
+# In training a node's threshold is the number of a cut; codes up to it go left.
+_PARTS = ("fit", "val", "test")
+_CODED = "codes binary, y double, part int, score double"
 
 
-def _error(table: DataFrame, pending: Sequence[Sequence[Node]], xs: Sequence[str]) -> float:
-    valid = table.where(F.col("split") == "val")
-    return valid.agg(F.avg(F.abs(F.col("y") - _score(pending, xs)))).first()[0]
+def _plain(node: Node, cuts: Sequence[np.ndarray]) -> Node:
+    if node.feature < 0:
+        return node
+    return replace(node, threshold=float(cuts[node.feature][int(node.threshold)]))
+
+
+def _coded(df: DataFrame, xs: Sequence[str], cuts: Sequence[np.ndarray], base: float) -> DataFrame:
+    part = F.array_position(F.array(*[F.lit(p) for p in _PARTS]), F.col("split")).cast("int") - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.column_stack([
+                np.searchsorted(c, batch.column(i).to_numpy(zero_copy_only=False), "left")
+                for i, c in enumerate(cuts)]).astype(np.uint8)
+            n = len(xs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r.tobytes() for r in codes], pa.binary()), batch.column(n),
+                 batch.column(n + 1), pa.array(np.full(len(codes), base))],
+                names=["codes", "y", "part", "score"])
+
+    return df.select(*xs, F.col("y").cast("double"), part.alias("part")).mapInArrow(run, _CODED)
+
+
+def _leaves(tree: Sequence[Node], codes: np.ndarray) -> np.ndarray:
+    """The node each row of codes ends in."""
+    feature, cut, left, right = (
+        np.array([getattr(n, p) for n in tree]) for p in ("feature", "threshold", "left", "right"))
+    at = np.zeros(len(codes), dtype=int)
+    going = np.flatnonzero(feature[at] >= 0)
+    while len(going):
+        node = at[going]
+        at[going] = np.where(codes[going, feature[node]] <= cut[node], left[node], right[node])
+        going = going[feature[at[going]] >= 0]
+    return at
+
+
+def _unpacked(batch: pa.RecordBatch, pending: Sequence[Sequence[Node]]):
+    """Codes, value, part and running score of a batch."""
+    raw = b"".join(batch.column(0).to_pylist())
+    codes = np.frombuffer(raw, dtype=np.uint8).reshape(batch.num_rows, -1)
+    y, part, score = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+    for tree in pending:
+        score = score + np.array([n.value for n in tree])[_leaves(tree, codes)]
+    return codes, y, part, score
+
+
+def _rescored(table: DataFrame, pending: Sequence[Sequence[Node]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = _unpacked(batch, pending)[3]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(score)], names=["codes", "y", "part", "score"])
+
+    return table.mapInArrow(run, _CODED)
+
+
+def _counts(
+    table: DataFrame, pending: Sequence[Sequence[Node]], tree: Sequence[Node], open_: Sequence[int],
+    chosen: Sequence[int], tasks: int,
+) -> tuple[dict[int, np.ndarray], float]:
+    """For each feature the rows (all, above the score) by open node and code, and the mean error."""
+    place = np.full(len(tree), -1)
+    place[list(open_)] = np.arange(len(open_))
+    shape = (2, len(open_), 256)
+    schema = "feature int, cells binary, error double"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = {f: np.zeros(shape, dtype=np.int64) for f in chosen}
+        wrong, n = 0.0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, y, part, score = _unpacked(batch, pending)
+            wrong += float(np.abs(y - score)[part == 1].sum())
+            n += int((part == 1).sum())
+            fit = np.flatnonzero(part == 0)
+            node = place[_leaves(tree, codes[fit])]
+            fit, node = fit[node >= 0], node[node >= 0]
+            above = (y[fit] > score[fit]).astype(float)
+            for f in chosen:
+                cell = node * 256 + codes[fit, f]
+                cells[f][0] += np.bincount(cell, minlength=shape[1] * 256).reshape(shape[1:])
+                cells[f][1] += np.bincount(cell, above, minlength=shape[1] * 256).astype(
+                    np.int64).reshape(shape[1:])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*chosen, -1], pa.int32()),
+             pa.array([*[cells[f].tobytes() for f in chosen], np.array([n], dtype=np.int64).tobytes()]),
+             pa.array([0.0] * len(chosen) + [wrong])], names=["feature", "cells", "error"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for f, raw, wrong in zip(*(c.to_pylist() for c in batch.columns)):
+                own = total.setdefault(f, [0, 0.0])
+                own[0] = own[0] + np.frombuffer(raw, dtype=np.int64)
+                own[1] += wrong
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([v[0].tobytes() for v in total.values()], pa.binary()),
+             pa.array([v[1] for v in total.values()], pa.float64())], names=["feature", "cells", "error"])
+
+    sums = table.mapInArrow(partial, schema)
+    if tasks > 1:
+        sums = sums.repartition(len(chosen) + 1, "feature").mapInArrow(added, schema)
+    cells, error = {}, math.inf
+    for r in sums.collect():
+        numbers = np.frombuffer(r["cells"], dtype=np.int64)
+        if r["feature"] >= 0:
+            cells[r["feature"]] = cells.get(r["feature"], 0) + numbers.reshape(shape)
+        elif numbers[0]:
+            error = r["error"] / numbers[0]
+    return cells, error
 
 
 def _grow(
-    table: DataFrame,
-    pending: Sequence[Sequence[Node]],
-    xs: Sequence[str],
-    chosen: Sequence[int],
-    alpha: float,
-    learning_rate: float,
-    depth: int,
-    max_bins: int,
-    seed: int,
+    table: DataFrame, pending: Sequence[Sequence[Node]], chosen: Sequence[int],
+    cuts: Sequence[np.ndarray], alpha: float, depth: int, tasks: int,
+) -> tuple[list[Node], float]:
+    """A tree without leaf values, level by level, and the validation error before it."""
+    tree, open_, error = [Node(-1, 0.0, -1, -1, 0.0)], [0], math.inf
+    leaves = 1
+    for level in range(max(depth, 1) if chosen else 1):
+        cells, found = _counts(table, pending, tree, open_, chosen, tasks)
+        error = found if level == 0 else error
+        splits = []
+        for place, node in enumerate(open_):
+            best = (1e-9, -1, 0)
+            for f in chosen:
+                n, above = (np.cumsum(c[place]) for c in cells[f])
+                slope = above - (1 - alpha) * n
+                last = len(cuts[f])
+                nl, sl = n[:last], slope[:last]
+                nr, sr = n[-1] - nl, slope[-1] - sl
+                gain = sl ** 2 / np.maximum(nl, 1) + sr ** 2 / np.maximum(nr, 1) - slope[-1] ** 2 / max(n[-1], 1)
+                gain = np.where((nl >= LEAST_ROWS) & (nr >= LEAST_ROWS), gain, 0.0)
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (float(gain[k]), f, k)
+            if best[1] >= 0:
+                splits.append((best, node))
+        open_ = []
+        # The best splits first, while leaves are left to give.
+        for (_, f, k), node in sorted(splits, key=lambda s: (-s[0][0], s[1])):
+            if leaves < N.TREE_LEAVES and depth > 0:
+                left = len(tree)
+                tree += [Node(-1, 0.0, -1, -1, 0.0)] * 2
+                tree[node] = Node(f, float(k), left, left + 1, 0.0)
+                open_ += [left, left + 1]
+                leaves += 1
+        if not open_:
+            break
+    return tree, error
+
+
+def _valued(
+    table: DataFrame, pending: Sequence[Sequence[Node]], tree: Sequence[Node], alpha: float,
+    learning_rate: float, accuracy: int,
 ) -> list[Node]:
-    names = [xs[i] for i in chosen]
-    scored = table.where(F.col("split") == "fit").select(
-        *names, (F.col("y") - _score(pending, xs)).alias("residual")
-    )
-    slope = F.when(F.col("residual") > 0, F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(
-        scored.withColumn("label", slope)
-    )
-    fitted = DecisionTreeRegressor(
-        maxDepth=depth, maxBins=max_bins, minInstancesPerNode=20, seed=seed).fit(
-        vectors.select("features", "label")
-    )
-    nodes = parse_tree(fitted.toDebugString)
-    leaf = F.expr(tree_sql(nodes, names, str)).alias("leaf")
-    values = {
+    """The tree with the quantile of the residuals in each leaf, times the learning rate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes, y, part, score = _unpacked(batch, pending)
+                fit = part == 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_leaves(tree, codes[fit]).astype(np.int32)), pa.array((y - score)[fit])],
+                    names=["leaf", "residual"])
+
+    found = {
         r["leaf"]: r["value"]
-        for r in scored.groupBy(leaf)
-        .agg(F.percentile_approx("residual", alpha, LEAF_ACCURACY).alias("value"))
-        .collect()
+        for r in table.mapInArrow(run, "leaf int, residual double").groupBy("leaf")
+        .agg(F.percentile_approx("residual", alpha, accuracy).alias("value")).collect()
     }
-    return [
-        Node(
-            chosen[n.feature] if n.feature >= 0 else -1, n.threshold, n.left, n.right,
-            learning_rate * values.get(i, 0.0) if n.feature < 0 else 0.0,
-        )
-        for i, n in enumerate(nodes)
-    ]
+    return [replace(n, value=learning_rate * found.get(i, 0.0)) if n.feature < 0 else n
+            for i, n in enumerate(tree)]
 
 
 def train_tiers(

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import names as N
 from gaugeline.operators.boosting import (
-    Node, QuantileModel, parse_tree, quantile_alpha, train_quantile, train_targets, train_tiers,
-    trees_sql,
+    quantile_alpha, train_quantile, train_targets, train_tiers,
 )
 from gaugeline.operators.holdout import (
     check_split_sizes, holdout, nested_holdout, split_counts, week_key,
@@ -70,21 +69,28 @@ def test_tiers():
         ("low", 0.1), ("high", 0.9), ("mid", 0.5), ("mid", 0.5)]
 
 
-def test_tree_text_to_sql(spark):
-    text = """DecisionTreeRegressionModel: uid=x, depth=2, numNodes=5, numFeatures=2
-  If (feature 1 <= 0.5)
-   If (feature 0 <= -1.0E-4)
-    Predict: 1.0
-   Else (feature 0 > -1.0E-4)
-    Predict: 2.0
-  Else (feature 1 > 0.5)
-   Predict: -3.5
-"""
-    nodes = parse_tree(text)
-    assert [n.feature for n in nodes] == [1, 0, -1, -1, -1]
-    df = spark.createDataFrame([(-1.0, 0.5), (0.0, 0.0), (0.0, 0.6)], "a double, b double")
-    got = df.select(F.expr(trees_sql(10.0, [nodes, nodes, nodes], ["a", "b"])).alias("p"))
-    assert [r["p"] for r in got.collect()] == [13.0, 16.0, -0.5]
+def test_trees_split_where_plain_trees_do(spark, readings):
+    """One round, one level: the split with the largest gain among all cuts, by hand."""
+    model = train_quantile(readings, "DO", "high", tiebreak=["id"], rounds=1, learning_rate=1.0, depth=1,
+                           feature_fraction=1.0)
+    rows = nested_holdout(readings, ts=N.DATE, tiebreak=["id"]).where("split = 'fit'").toPandas()
+    slope = (rows["DO"] > model.base) - 0.1
+    best = (0.0, None, None)
+    for f, name in enumerate(model.features):
+        x = rows[name] if name in rows else getattr(rows[N.DATE].dt, name)
+        x = x.astype(float).fillna(model.medians[name])
+        for cut in sorted(set(x))[:-1]:
+            left = slope[x <= cut]
+            right = slope[x > cut]
+            if min(len(left), len(right)) >= 20:
+                gain = left.sum() ** 2 / len(left) + right.sum() ** 2 / len(right)
+                if gain > best[0]:
+                    best = (gain, f, cut)
+    root = model.trees[0][0]
+    assert root.feature == best[1]
+    spread = rows[model.features[best[1]]].astype(float)
+    # Cuts are quantiles, at most 255, so the best of all values may lie between two of them.
+    assert abs((spread <= root.threshold).mean() - (spread <= best[2]).mean()) < 2 / 255
 
 
 @pytest.fixture(scope="module")
@@ -149,6 +155,15 @@ def test_quantiles(readings, tiers):
     assert repeat.trees == tiers["mid"].trees
 
 
+def test_training_by_default_stops_and_beats_the_constant(spark, readings):
+    """300 rounds at most, 50 without a gain."""
+    model = train_quantile(readings, "DO", "low", tiebreak=["id"])
+    scored = score(readings, model).withColumn("base", F.lit(model.base))
+    assert pinball(scored, "pred_DO_quantile_low", 0.1) < 0.8 * pinball(scored, "base", 0.1)
+    assert 10 < len(model.trees) <= 300
+    assert all(sum(n.feature < 0 for n in t) <= N.TREE_LEAVES for t in model.trees)
+
+
 def test_missing_features_take_the_median(spark, readings, tiers):
     model = tiers["mid"]
     row = readings.limit(1).withColumn(N.AIR_TEMP, F.lit("M"))
