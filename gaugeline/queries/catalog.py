@@ -1041,13 +1041,10 @@ def scenario_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- models (no SQL form)
 
-_SHORT = dict(rounds=6, learning_rate=0.3, patience=3)
-
-
 def _training_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Written once, since training and scoring both read them."""
     return settle(lake_features(
-        lake(spark, folder), (1,), keys=["site"], tiebreak=["event_id"], bucket="30 days"
+        lake(spark, folder), keys=["site"], tiebreak=["event_id"], bucket="30 days"
     ))
 
 
@@ -1056,16 +1053,17 @@ def quantile_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A model of the upper quantile, kept in the registry, scores every row."""
     rows = _training_rows(spark, folder)
     folder_ = f"{shared_folder(spark)}/gaugeline-models-{uuid.uuid4().hex}"
-    model = train_quantile(rows, N.LEVEL, "high", tiebreak=["event_id"], **_SHORT)
+    model = train_quantile(rows, N.LEVEL, "high", tiebreak=["event_id"])
     name = save_model(spark, model, folder_)
     return snake(score(rows, load_model(spark, folder_, name)))
 
 
 @registered()
 def model_report(spark: SparkSession, folder: str) -> DataFrame:
+    """All eleven targets, on a short schedule: the default one is `quantile_scores`' subject."""
     rows = _training_rows(spark, folder)
     models, failures = train_targets(
-        rows, [f"{N.DELTA_PREFIX}1h", "DO_1h"], tiebreak=["event_id"], **_SHORT
+        rows, tiebreak=["event_id"], rounds=6, learning_rate=0.3, patience=3
     )
     return metrics_report(spark, models, failures)
 
@@ -1074,7 +1072,7 @@ def model_report(spark: SparkSession, folder: str) -> DataFrame:
 def model_list(spark: SparkSession, folder: str) -> DataFrame:
     rows = _training_rows(spark, folder)
     folder_ = f"{shared_folder(spark)}/gaugeline-models-{uuid.uuid4().hex}"
-    model = train_quantile(rows, N.LEVEL, "low", tiebreak=["event_id"], **_SHORT)
+    model = train_quantile(rows, N.LEVEL, "low", tiebreak=["event_id"])
     save_model(spark, model, folder_)
     save_model(spark, model, folder_, "superseded")
     delete_model(spark, folder_, "superseded")
