@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.llm.text import BLANKS, Runs, Texts, byte_set, run_hashes, runs, texts_of
+from gaugeline.llm.text import BLANKS, Runs, Texts, byte_set, give_back, run_hashes, texts_of
 
 IDS = np.dtype("<u4")
 #: Texts of more characters are cut into halves.
@@ -45,6 +45,27 @@ _PLAIN = byte_set(bytes(range(128))) & ~BLANKS
 # First bytes of characters that are no blanks for sure, and of two-byte ones among them.
 _NO_BLANK = _PLAIN | byte_set(bytes(b for b in range(0xC3, 0xF8) if b not in (0xE1, 0xE2, 0xE3)))
 _TWO = byte_set(bytes(range(0xC3, 0xE0)))
+# A mark behind an ASCII letter or digit begins a token of its own in both kinds of vocabulary.
+_ALNUM = byte_set(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_MARKS = byte_set(b".,;:!?|")
+
+
+def plain_words(texts: Texts) -> Runs:
+    """Words between ASCII blanks, a mark that follows a letter or digit cut off with what follows."""
+    data, n = texts.data, len(texts.data)
+    if not n:
+        return Runs(*(np.zeros(0, dtype=np.int64),) * 3)
+    edge = np.zeros(n, dtype=bool)
+    edge[texts.offsets[:-1][texts.offsets[:-1] < n]] = True
+    blank = BLANKS[data]
+    before = np.concatenate([[0], data[:-1]]).astype(np.uint8)
+    bound = blank | edge | BLANKS[before] | (_MARKS[data] & _ALNUM[before])
+    bound[0] = True
+    at = np.flatnonzero(bound)
+    end = np.append(at[1:], n)
+    words = ~blank[at]
+    start = at[words]
+    return Runs(start, end[words], np.searchsorted(texts.offsets, start, "right") - 1)
 
 
 def spaced_words(texts: Texts) -> Runs:
@@ -64,6 +85,7 @@ def spaced_words(texts: Texts) -> Runs:
     word_before = _PLAIN[before] | np.concatenate([[False, False], _TWO[data[:-2]]])[:n]
     word_after = np.concatenate([_NO_BLANK[data[1:]], [False]])
     cut = blank & word_before | (data == 32) & word_after
+    cut |= _MARKS[data] & _ALNUM[before]
     # A single line feed between two words stands alone.
     lone = (data == 10) & word_before & word_after & ~edge
     cut[1:] |= lone[:-1]
@@ -194,7 +216,7 @@ class Encoder:
                 text = data[texts.offsets[i]:texts.offsets[i + 1]].tobytes().decode()
                 if self.special.search(text):
                     apart[i] = self._whole(text)
-        words = spaced_words(texts) if self.keeps_blanks else runs(texts, BLANKS)
+        words = spaced_words(texts) if self.keeps_blanks else plain_words(texts)
         if apart:
             plain = ~np.isin(words.text, list(apart))
             words = Runs(words.start[plain], words.end[plain], words.text[plain])
@@ -344,7 +366,8 @@ def binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return large.cast(pa.binary())
 
 
-def _encoded(df: DataFrame, path: str, stored_words: int, kind: np.dtype = IDS) -> DataFrame:
+def _encoded(df: DataFrame, path: str, stored_words: int, kind: np.dtype = IDS,
+             then: tuple | None = None) -> DataFrame:
     """The last column, a text, replaced by its ids."""
     schema = T.StructType(df.schema.fields[:-1] + [T.StructField("ids", T.BinaryType())])
 
@@ -356,23 +379,33 @@ def _encoded(df: DataFrame, path: str, stored_words: int, kind: np.dtype = IDS)
                 ids, offsets = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], binary_rows(ids.astype(kind), offsets)], names=schema.names)
+        give_back()
+
+    return _mapped(df, rows, schema, then)
+
 
-    return df.mapInArrow(rows, schema)
+def _mapped(df: DataFrame, rows, schema: T.StructType, then: tuple | None) -> DataFrame:
+    """`rows` over the batches of a task, followed by `then` in the same worker."""
+    if then is None:
+        return df.mapInArrow(rows, schema)
+    after, schema = then
+    return df.mapInArrow(lambda batches: after(rows(batches)), schema)
 
 
 def encode_texts(
     df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
     chunk_chars: int = CHUNK_CHARS, window: int = WINDOW, stored_words: int = STORED_WORDS,
-    id_bytes: int = 4,
+    id_bytes: int = 4, then: tuple | None = None,
 ) -> DataFrame:
     """`keep` columns and `ids` (binary) of each row's whole text. With `id_bytes` 2 the ids are
-    16-bit, for vocabularies of at most 65,536."""
+    16-bit, for vocabularies of at most 65,536. `then`, a function of a task's batches with the
+    schema of its result, runs in the same worker; the result is then its own."""
     kind = np.dtype(f"<u{id_bytes}")
     names = [f"k{i}" for i in range(len(keep))]
     own = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)],
                     F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     back = dict(zip(names, keep))
-    short = _encoded(own.where(F.length("body") <= chunk_chars), path, stored_words, kind)
+    short = _encoded(own.where(F.length("body") <= chunk_chars), path, stored_words, kind, then)
 
     longer = own.where(F.length("body") > chunk_chars).select(
         *names, F.monotonically_increasing_id().alias("row"), "body")
@@ -417,8 +450,8 @@ def encode_texts(
             yield made()
 
     pieces = _encoded(longer.mapInArrow(cut_rows, cut).repartition("row", "part"), path, stored_words)
-    whole = pieces.repartition("row").sortWithinPartitions("row", "part").mapInArrow(join_rows, joined)
-    return short.unionByName(whole).withColumnsRenamed(back)
+    whole = _mapped(pieces.repartition("row").sortWithinPartitions("row", "part"), join_rows, joined, then)
+    return short.unionByName(whole).withColumnsRenamed(back if then is None else {})
 
 
 def decode_ids(

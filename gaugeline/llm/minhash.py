@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gaugeline.llm.components import components
 from gaugeline.llm.text import (
-    _PLACE, BLANKS, LOWER, Texts, mixed, numbers, run_hashes, runs, shingle_hashes, texts_of,
+    _PLACE, BLANKS, LOWER, Texts, give_back, mixed, numbers, run_hashes, runs, shingle_hashes, texts_of,
 )
 from gaugeline.session import settle
 
@@ -119,6 +119,7 @@ def sketch_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                     binary(s["small"], np.arange(n + 1) * 2 * BINS),
                     binary(s["set"], s["ends"] * _SIZE),
                 ], names=schema.names)
+        give_back()
 
     return own.mapInArrow(rows, schema)
 
@@ -150,6 +151,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(
                 [c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            give_back()
 
     return both.mapInArrow(rows, "a long, b long")
 
@@ -209,6 +211,7 @@ def _open_members(members: DataFrame, percent: int) -> DataFrame:
         has = np.zeros(batch.num_rows, dtype=bool)
         for a, b, _ in _open_pairs(batch, percent):
             has[a] = has[b] = True
+        give_back()
         return batch.select(["key", "low", "high", "own", "row"]).filter(pa.array(has))
 
     return members.groupBy("key", "low", "high").applyInArrow(
@@ -236,6 +239,7 @@ def _found_links(members: DataFrame, percent: int) -> DataFrame:
                 if x != y and _similar_sets(sets[i], sets[j], percent):
                     up[max(x, y)] = min(x, y)
                     links.append((min(row[i], row[j]), max(row[i], row[j])))
+        give_back()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()),
                          "b": pa.array([y for _, y in links], pa.int64())})
 

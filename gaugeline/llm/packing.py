@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm.bpe import IDS, binary_rows, encode_texts
+from gaugeline.llm.text import give_back
 from gaugeline.session import settle
 
 #: Counts by task and length up to this many rows (24 bytes each) are broadcast; more are joined.
 MOST_COUNTS_SENT = 1_000_000
 #: Ids of a batch that are cut at once.
-CUT_IDS = 1 << 22
+CUT_IDS = 1 << 20
 
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -213,8 +214,7 @@ def pack(
     `ids` are little-endian unsigned 32-bit. Every sequence is full or a power of two long.
     """
     narrow = np.dtype("<u2")
-    encoded = encode_texts(df, path, text, (doc_id,), id_bytes=2).toDF("doc_id", "ids")
-    kind = encoded.schema["doc_id"]
+    kind = T.StructField("doc_id", df.schema[doc_id].dataType)
     written = T.StructType([
         kind, T.StructField("block", T.IntegerType()), T.StructField("rest", T.IntegerType()),
         T.StructField("place", T.LongType()), T.StructField("whole_before", T.LongType()),
@@ -241,7 +241,7 @@ def pack(
             ], names=written.names)
             whole += int(wholes[-1]) if len(wholes) else 0
 
-    table = settle(encoded.mapInArrow(numbered, written))
+    table = settle(encode_texts(df, path, text, (doc_id,), id_bytes=2, then=(numbered, written)))
     counts = settle(table.groupBy("block", "rest").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("tokens") / size)).alias("wholes")))
     histogram = {r.rest: r.n for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
@@ -295,5 +295,6 @@ def pack(
                 to = max(int(np.searchsorted(total, done + CUT_IDS, "right")), at + 1)
                 yield cut(batch.slice(at, to - at))
                 at = to
+            give_back()
 
     return ranked.mapInArrow(pieces, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.llm.text import BLANKS, LOWER, Texts, byte_set, mixed, run_hashes, runs, texts_of
+from gaugeline.llm.text import BLANKS, LOWER, Texts, byte_set, give_back, mixed, run_hashes, runs, texts_of
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_spread", "upper", "digits", "non_ascii",
@@ -105,6 +105,7 @@ def document_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text
                         pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]),
                         pa.array(found.ravel())),
                 ], names=schema.names)
+        give_back()
 
     return own.mapInArrow(rows, schema)
 
@@ -252,5 +253,6 @@ def keep_good(df: DataFrame, model: Model | None, threshold: float = 0.3, text:
             for texts in texts_of(batch.column(at)):
                 good = model.score(statistics(texts)) >= threshold
                 yield batch.slice(texts.first, len(texts)).filter(pa.array(good))
+        give_back()
 
     return own.mapInArrow(rows, own.schema).toDF(*df.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.llm.text import BLANKS, Texts, byte_set, mixed, run_hashes, runs, texts_of
+from gaugeline.llm.text import BLANKS, Texts, byte_set, give_back, mixed, run_hashes, runs, texts_of
 
 SYMBOLS = byte_set(b"#*$%&|<>")
 _NEWLINE = byte_set(b"\n")
@@ -177,5 +177,6 @@ def _judged(own: DataFrame, limits: tuple) -> DataFrame:
                         for x in _judge(texts, *limits)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *made], names=[f.name for f in schema.fields])
+        give_back()
 
     return own.mapInArrow(rows, schema)

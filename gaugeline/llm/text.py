@@ -6,6 +6,7 @@ array passes over all texts of a slice at once and no Python object is made for
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,6 +98,26 @@ class Runs:
     text: np.ndarray
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library than glibc
+    _trim = None
+
+
+_passed = 0
+#: Bytes of text after which a worker gives free memory back; it also does at the end of a task.
+GIVE_BACK_BYTES = 8 << 20
+
+
+def give_back() -> None:
+    """Free memory that the allocators of this worker hold on to goes back to the machine."""
+    global _passed
+    _passed = 0
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def texts_of(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Texts]:
     """Slices of a string column, whole texts each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,6 +133,11 @@ def texts_of(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Texts
         own = offsets[at:to + 1]
         yield Texts(at, data[own[0]:own[-1]], own - own[0])
         at = to
+    global _passed
+    _passed += len(data)
+    if _passed > GIVE_BACK_BYTES:
+        del column, buffers, offsets, data
+        give_back()
 
 
 def runs(texts: Texts, ends: np.ndarray, data: np.ndarray | None = None) -> Runs:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm.bpe import IDS, STORED_WORDS, encoder_for
-from gaugeline.llm.text import texts_of
+from gaugeline.llm.text import give_back, texts_of
+from gaugeline.session import settle
 
 #: Part totals up to so many rows (16 bytes each) are sent to all executors; more are joined.
 MOST_PARTS_SENT = 1 << 20
@@ -68,6 +69,7 @@ def write_token_files(
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                 ], names=schema.names)
                 before += int(offsets[-1])
+        give_back()
 
     own.mapInArrow(rows, schema).write.options(**(LAYOUT | (layout or {}))).parquet(folder)
     return folder
@@ -76,11 +78,11 @@ def write_token_files(
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the files with `start`, the ids of all documents before; unread columns stay unread."""
     files = spark.read.parquet(folder)
-    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+    totals = settle(files.groupBy("part").agg(F.sum("n_tokens").alias("tokens")))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each part: as many as the writer had tasks, not rows.
     bases = totals.select(F.col("part"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    if files.select("part").distinct().count() <= MOST_PARTS_SENT:
+    if totals.count() <= MOST_PARTS_SENT:
         bases = F.broadcast(bases)
     return files.join(bases, "part").select(
         "doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm.quality import held_out
-from gaugeline.llm.text import LOWER, Runs, Texts, byte_set, mixed, run_hashes, runs, texts_of
+from gaugeline.llm.text import LOWER, Runs, Texts, byte_set, give_back, mixed, run_hashes, runs, texts_of
 from gaugeline.session import settle
 
 _LETTER = byte_set(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
@@ -191,6 +191,7 @@ def find_segments(df: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(texts.first, len(texts)), pa.array(n_words),
                     pa.array(found, kind)], names=schema.names)
+        give_back()
 
     return own.mapInArrow(rows, schema)
 
