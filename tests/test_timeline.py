@@ -240,3 +240,23 @@ def test_plan_of_one_long_series(spark):
     # The fold of the rows is a hash aggregate: no row is sorted before it moves.
     assert "SortAggregate" not in plan
     assert "props" not in explained(out.select("l"))
+
+
+def test_the_lake_plan_reads_its_source_once(spark):
+    from gaugeline.queries.catalog import QUERIES
+
+    reads = []
+    plain = type(spark.read).parquet
+
+    def counted(self, *paths, **options):
+        reads.extend(p for p in paths if "events.parquet" in p)
+        return plain(self, *paths, **options)
+
+    type(spark.read).parquet = counted
+    try:
+        plan = explained(QUERIES["lake_feature_table"](spark, "/root/testdata/sf0.001"))
+    finally:
+        type(spark.read).parquet = plain
+    # What is left to run starts from the written tables; no row is sorted before it moves.
+    assert len(reads) == 1 and "events.parquet" not in plan
+    assert "SortAggregate" not in plan
