@@ -31,7 +31,7 @@ IDS = np.dtype("<u4")
 #: Texts of more characters are cut into halves.
 CHUNK_CHARS = 32768
 #: Words whose ids a worker keeps, about 30 bytes each; the ones not met for a while go first.
-STORED_WORDS = 1_000_000
+STORED_WORDS = 1_200_000
 #: Words the library is given at once; it keeps some 200 bytes for each id meanwhile.
 ASKED_WORDS = 4096
 #: Ids on each side of a join that are encoded again at first.
