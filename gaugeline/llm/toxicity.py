@@ -1,7 +1,8 @@
 """Toxic passages: maximum-scoring segments over token log-odds, with extreme-value calibration.
 
 Log-odds of words and word beginnings between toxic and other labelled texts are shrunk by a
-Dirichlet prior in proportion to their overall use. A text is scanned once for all of its maximal
+Dirichlet prior in proportion to their overall use, and by a use of each term that is dealt to both
+sides as all words are: so a term of one side only is told however large the tables are. A text is scanned once for all of its maximal
 scoring segments. How large the largest segment of a clean text grows follows an extreme-value law
 with the text's length; a segment's expected count under that law tells whether it is significant.
 The expected count of a text's best segments, calibrated on the labelled rows, is its score.
@@ -111,9 +112,10 @@ def _labelled(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
 
 
 def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-          label: str = "toxic", prior: float = 500.0, least_z: float = 2.5, drift: float = 2.0,
+          label: str = "toxic", prior: float = 500.0, even: float = 1.0, least_z: float = 2.5, drift: float = 2.0,
           most_labels: int = MOST_LABELS, most_terms: int = MOST_TERMS) -> Lexicon:
-    """Log-odds of all telling terms. `prior` is the Dirichlet mass, `drift` what each word costs."""
+    """Log-odds of all telling terms. `prior` is the Dirichlet mass of all terms, `even` that of each
+    term, dealt by the sides' words; `drift` is what each word costs."""
     rows = _labelled(df, labels, doc_id, text, label, most_labels).select("label", "body")
 
     def counted(batches):
@@ -148,8 +150,11 @@ def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     n_bad, n_good = by_kind(0), by_kind(1)
     share = F.lit(prior) * (F.col("bad") + F.col("good")) / (n_bad + n_good)
-    bad, good = F.col("bad") + share, F.col("good") + share
-    odds = F.log(bad / (n_bad + prior - bad)) - F.log(good / (n_good + prior - good))
+    # `share` goes to zero with a term's part of all words, `even` does not.
+    even_bad, even_good = even * n_bad / (n_bad + n_good), even * n_good / (n_bad + n_good)
+    bad, good = F.col("bad") + share + even_bad, F.col("good") + share + even_good
+    odds = (F.log(bad / (n_bad + prior + even_bad - bad))
+            - F.log(good / (n_good + prior + even_good - good)))
     told = counts.select("term", odds.alias("odds"), (odds / F.sqrt(1 / bad + 1 / good)).alias("z"))
     top = (told.where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "term").limit(most_terms)
            .select("term", "odds").collect())
