@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.bpe import decode_ids, encode_texts
 from gaugeline.llm import pii, quality, toxicity
+from gaugeline.llm.clustering import cluster_vectors
+from gaugeline.llm.contamination import contamination
+from gaugeline.llm.divergence import source_divergence
 from gaugeline.llm.metric import near_vectors
 from gaugeline.llm.minhash import near_duplicates
 from gaugeline.llm.packing import pack
@@ -194,3 +197,109 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = write_token_files(
         table(spark, folder, "documents"), scratch(spark, "tokens"), path, end_id=2)
     return with_crc32(read_token_files(spark, files))
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS_SQL = rf"regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WINDOWS_SQL = f"""
+WITH dw AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS total
+  FROM (SELECT doc_id, {_ITEM_WORDS_SQL} AS words FROM documents)),
+bw AS (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS total
+  FROM (SELECT item_id, {_ITEM_WORDS_SQL} AS words FROM benchmark)),
+b AS (SELECT item_id, least(total, 10) AS size, array_to_string(ten[1:least(total, 10)], ' ') AS passage
+  FROM (SELECT *, [word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, 10))}] AS ten FROM bw
+    WINDOW o AS (PARTITION BY item_id ORDER BY i)) WHERE i + least(total, 10) - 1 <= total),
+d AS (SELECT doc_id, i, size, array_to_string(ten[1:size], ' ') AS passage
+  FROM (SELECT *, [word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, 10))}] AS ten FROM dw
+    WINDOW o AS (PARTITION BY doc_id ORDER BY i)) JOIN (SELECT DISTINCT size FROM b) ON i + size - 1 <= total),
+found AS (SELECT doc_id, i, size, item_id FROM d JOIN b USING (size, passage)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n_words FROM dw GROUP BY doc_id) USING (doc_id)
+LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
+@registered(_WINDOWS_SQL)
+def op11_benchmark_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _kmeans_sql(k: int = 16, rounds: int = 3) -> str:
+    nearest = """
+a{r} AS MATERIALIZED (SELECT row, vec_id, v, min(struct_pack(d := d, c := c)) AS near FROM (
+  SELECT x.row, x.vec_id, x.v, c.c, list_sum(list_transform(range(1, 65),
+    lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d FROM x, c{r} c) GROUP BY row, vec_id, v)"""
+    moved = """
+s{r} AS (SELECT c, i, sum(y)::HUGEINT AS s, count(*) AS n FROM (
+  SELECT near.c AS c, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{n} AS MATERIALIZED (SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))"""
+    steps = [f"""
+x AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id,
+    list_transform(embedding, lambda y: floor(64 * y::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64
+    AND len(list_filter(embedding, lambda y: NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+  SELECT sha256('1:' || vec_id) AS h, v FROM x ORDER BY h, v LIMIT {k}))"""]
+    for r in range(rounds):
+        steps += [nearest.format(r=r), moved.format(r=r, n=r + 1)]
+    steps.append(nearest.format(r=rounds))
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, near.c::INT AS cluster, near.d AS distance,
+  (sum(near.d) OVER (PARTITION BY near.c))::BIGINT AS cluster_inertia, (sum(near.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON near.c = c.c"""
+
+
+@registered(_kmeans_sql())
+def op12_shallot_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    members, clusters = cluster_vectors(table(spark, folder, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",").cast("binary"), 256)
+    # One row a cluster: as many as the parameter k says.
+    clusters = clusters.select("cluster", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+    return members.join(F.broadcast(clusters), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+_DIVERGENCE_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+uses AS (SELECT row, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM uses GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM uses JOIN kept USING (lang, term) GROUP BY ALL),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) + coalesce(v, 0) AS whole
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN vocab USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source)),
+cells AS (SELECT lang, source, term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // whole AS p
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+of_lang AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // any_value(whole) AS q
+  FROM counts JOIN (SELECT lang, sum(total) + any_value(v) AS whole FROM
+    (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) JOIN vocab USING (lang) GROUP BY lang)
+    USING (lang) GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+telling AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+  FROM cells JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM telling)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@registered(_DIVERGENCE_SQL)
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"))
