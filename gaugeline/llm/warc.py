@@ -6,6 +6,11 @@ of a WARC/1.1 file. Payload rows carry the SHA-1 of the payload up to and with t
 reader streams a record of any size, stops at the first bad piece and never holds the record.
 Payloads met before become revisit records without a block.
 
+Payloads stay where they are. Writing scans twice: the first scan finds the payloads that several
+pages share, by digest, and that list is sent to the second while it is small. Reading takes the
+file splits as they lie and finishes every record that begins and ends in one; only the records that
+a split cuts in two are read again and brought together.
+
 Defined results: a null payload is empty; a null page id is written as `null`, is never the larger
 one, and reads back as null; of rows with one page id and equal payloads, all that have the largest
 page id are responses; a null url leaves its header line out; other columns are not written.
@@ -22,7 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeline.session import settle
+
 CHUNK_BYTES = 1 << 16
+#: Shared payloads (digest, length, page: some 60 bytes) up to which their list is sent to all tasks.
+SENT_PAYLOADS = 1_000_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = hashlib.sha1(b"").digest()
 
@@ -47,19 +56,25 @@ def _urn(page: Column) -> Column:
 def chunk_table(
     df: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html",
     chunk_bytes: int = CHUNK_BYTES, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z",
+    sent_payloads: int = SENT_PAYLOADS,
 ) -> DataFrame:
-    """(record, chunk_no, data, running_sha1) of one WARC record for each row."""
+    """(record, chunk_no, data, running_sha1) of one WARC record for each row.
+
+    Payloads that several pages share are counted first. More of them than `sent_payloads` are joined
+    by digest instead, which moves each payload once; Spark then splits the copies of a hot one.
+    """
     body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).cast("binary")
     rows = df.select(
         F.monotonically_increasing_id().alias("record"),
         F.col(f"`{page_id}`").cast("long").alias("page"), F.col(f"`{url}`").alias("uri"),
         body.alias("payload"),
     ).withColumns({"n": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
-    latest = (
-        rows.select("page", "n", "digest").where(F.col("n") >= least_bytes)
-        .groupBy("digest", "n").agg(F.max("page").alias("latest"))
-    )
-    rows = rows.join(latest, ["digest", "n"], "left")
+    shared = settle(
+        rows.where(F.col("n") >= least_bytes).groupBy("digest", "n")
+        .agg(F.max("page").alias("latest"), F.min("page").alias("least"), F.count_if(F.col("page").isNull()).alias("nulls"))
+        .where((F.col("least") < F.col("latest")) | F.col("latest").isNotNull() & (F.col("nulls") > 0))
+        .select("digest", "n", "latest"))
+    rows = rows.join(F.broadcast(shared) if shared.count() <= sent_payloads else shared, ["digest", "n"], "left")
     again = F.coalesce(F.col("latest") > F.col("page"), F.col("page").isNull() & F.col("latest").isNotNull())
     stored = F.when(again, 0).otherwise(F.col("n"))
     header = F.concat(
@@ -114,41 +129,72 @@ _FIELD = re.compile(rb"^([^:\r\n]+): ([^\r\n]*)\r$", re.M)
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each record of a written chunk table, from its header and a check of its payload.
 
-    Raises on a piece out of order, a length or a digest that does not hold.
+    A task streams its splits and leaves a record that it does not see whole, from the header to the
+    closing lines, to a second pass over these records alone: at most two a split, so their numbers
+    are sent to all tasks. Raises on a piece out of order, a length or a digest that does not hold.
     """
     chunks = spark.read.parquet(folder).select("record", "chunk_no", "data", "running_sha1")
-    rows = chunks.repartition("record").sortWithinPartitions("record", "chunk_no")
-    schema = T.StructType([
-        T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()),
-        T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()),
-        T.StructField("refers_to", T.LongType()), T.StructField("target_uri", T.StringType()),
-    ])
+    found = settle(chunks.mapInArrow(_records(whole=False), _READ))
+    out = found.where("left_over IS NULL").drop("left_over")
+    cut = found.where("left_over IS NOT NULL").select(F.col("left_over").alias("record")).distinct()
+    if cut.isEmpty():
+        return out
+    again = chunks.join(F.broadcast(cut), "record", "left_semi")
+    again = again.repartition("record").sortWithinPartitions("record", "chunk_no")
+    return out.unionByName(again.mapInArrow(_records(whole=True), _READ).drop("left_over"))
+
+
+_READ = T.StructType([
+    T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()),
+    T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()),
+    T.StructField("refers_to", T.LongType()), T.StructField("target_uri", T.StringType()),
+    T.StructField("left_over", T.LongType()),
+])
+_READ_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+
+def _page_of(urn: str | None) -> int | None:
+    name = (urn or "null").strip("<>").rpartition(":")[2]
+    return None if name == "null" else int(name)
+
+
+def _finished(head: dict[str, str], length: int, sha: bytes) -> tuple:
+    stored = head["WARC-Payload-Digest"].removeprefix("sha1:")
+    if length != int(head["Content-Length"]):
+        raise ValueError(f"{head['WARC-Record-ID']}: {length} bytes, {head['Content-Length']} stated")
+    if head["WARC-Type"] == "response" and base64.b32encode(sha).decode() != stored:
+        raise ValueError(f"{head['WARC-Record-ID']}: the payload does not match its digest")
+    return (_page_of(head["WARC-Record-ID"]), int(head["X-Payload-Length"]), stored, head["WARC-Type"],
+            _page_of(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"), None)
+
+
+def _records(whole: bool):
+    """Reads chunks in order; `whole` says that every record must be complete."""
+
+    def run(batches):
+        # The record being read, its last chunk, header, digest so far and length so far.
+        now, last, head, running, length, out = None, -1, None, None, 0, []
+
+        def leave(record: int) -> None:
+            if whole:
+                raise ValueError(f"record {record}: chunks are missing after {last}")
+            out.append((*[None] * 6, record))
 
-    def page_of(urn: str | None) -> int | None:
-        name = (urn or "null").strip("<>").rpartition(":")[2]
-        return None if name == "null" else int(name)
-
-    def finished(head: dict[str, str], length: int, sha: bytes) -> tuple:
-        stored = head["WARC-Payload-Digest"].removeprefix("sha1:")
-        if length != int(head["Content-Length"]):
-            raise ValueError(f"{head['WARC-Record-ID']}: {length} bytes, {head['Content-Length']} stated")
-        if head["WARC-Type"] == "response" and base64.b32encode(sha).decode() != stored:
-            raise ValueError(f"{head['WARC-Record-ID']}: the payload does not match its digest")
-        return (page_of(head["WARC-Record-ID"]), int(head["X-Payload-Length"]), stored,
-                head["WARC-Type"], page_of(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"))
-
-    def records(batches):
-        head, running, length, last = None, hashlib.sha1(), 0, (None, -1)
         for batch in batches:
-            out = []
             for record, no, data, sha in zip(*(batch.column(i) for i in range(4))):
                 record, no = record.as_py(), no.as_py()
-                if last[0] == record and no != last[1] + 1 or last[0] != record and no != 0:
-                    raise ValueError(f"record {record}: chunk {no} after {last}")
-                last = (record, no)
+                if now is not None and (record != now or no != last + 1):
+                    leave(now)
+                    now = None
                 if no == 0:
+                    now, running, length = record, hashlib.sha1(), 0
                     head = {k.decode(): v.decode() for k, v in _FIELD.findall(data.as_py())}
-                    running, length = hashlib.sha1(), 0
+                elif now is None:
+                    if whole:
+                        raise ValueError(f"record {record}: begins with chunk {no}")
+                    # Its beginning is elsewhere.
+                    if not out or out[-1][-1] != record:
+                        out.append((*[None] * 6, record))
                 elif sha.is_valid:
                     piece = memoryview(data.as_buffer())
                     running.update(piece)
@@ -156,13 +202,21 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                     if running.digest() != sha.as_py():
                         raise ValueError(f"record {record}: chunk {no} does not match its digest")
                 else:
-                    out.append(finished(head, length, running.digest()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], kind) for i, kind in enumerate(
-                    (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))],
-                names=schema.names)
+                    out.append(_finished(head, length, running.digest()))
+                    now = None
+                last = no
+            yield _read_batch(out)
+            out.clear()
+        if now is not None:
+            leave(now)
+            yield _read_batch(out)
+
+    return run
+
 
-    return rows.mapInArrow(records, schema)
+def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_READ_TYPES)], names=_READ.names)
 
 
 def write_archive(df: DataFrame, folder: str, **options) -> str:

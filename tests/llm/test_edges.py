@@ -200,6 +200,45 @@ def test_warc_bytes_and_damage(spark, tmp_path):
         warc.read_records(spark, str(tmp_path / "bad")).collect()
 
 
+def test_warc_records_cut_by_splits(spark, tmp_path):
+    """Row groups and splits far smaller than a record; a payload that a third of all pages share."""
+    data = [(i, f"http://{i}/", "same" * 5000 if i % 3 == 0 else str(i) * (i * 97 % 9000)) for i in range(200)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(2)
+    folders = [str(tmp_path / n) for n in ("sent", "joined")]
+    for folder, most in zip(folders, (10, 0)):
+        chunks = warc.chunk_table(df, chunk_bytes=1000, sent_payloads=most)
+        chunks.write.option("parquet.block.size", 4096).option("parquet.page.size.row.check.min", 1).option(
+            "parquet.block.size.row.check.min", 1).parquet(folder)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        chunks = spark.read.parquet(folders[0])
+        assert chunks.rdd.getNumPartitions() > 20
+        first = chunks.select("record", "chunk_no", "data", "running_sha1").mapInArrow(
+            warc._records(whole=False), warc._READ)
+        assert first.where("left_over IS NOT NULL").count() > 2
+        results = [sorted((tuple(r) for r in warc.read_records(spark, f).collect()), key=str) for f in folders]
+        long = chunks.where("chunk_no = 4").first()["record"]
+        for no, message in ((3, "missing"), (0, "begins")):
+            bad = str(tmp_path / f"bad{no}")
+            chunks.where(f"NOT (record = {long} AND chunk_no = {no})").write.parquet(bad)
+            with pytest.raises(Exception, match=message):
+                warc.read_records(spark, bad).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert results[0] == results[1] and len(results[0]) == 200
+    import base64
+    import hashlib
+
+    latest = {}
+    for i, _, html in data:
+        latest[html] = max(i, latest.get(html, i))
+    wanted = sorted(((i, len(html), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode(),
+                      "response" if latest[html] == i else "revisit", None if latest[html] == i else latest[html], url)
+                     for i, url, html in data), key=str)
+    assert results[0] == wanted
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
