@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +15,14 @@ from gaugeline.functions.columns import feature_columns, targets
 from gaugeline.functions.time import ref
 from gaugeline.functions.values import calendar_features, number
 from gaugeline.operators.clean import drop_missing
-from gaugeline.operators.holdout import check_split_sizes, nested_holdout, split_counts
+from gaugeline.operators.forest import Goal, Node, boost, plain
+from gaugeline.operators.holdout import check_split_sizes, nested_holdout, split_counts, split_weeks
 from gaugeline.operators.quantiles import exact_medians
 from gaugeline.session import discard, settle
 
 TREE_DEPTH = 5
 MAX_BINS = 255
-ROUNDS_PER_TABLE = 25
 ACCURACY = 10_000
-LEAST_ROWS = 20
-#: Rows of the coded table that one task passes over.
-ROWS_PER_TASK = 200_000
-
-
-@dataclass(frozen=True)
-class Node:
-    """A split (`feature <= threshold` goes left) or, with feature -1, a leaf with a value."""
-
-    feature: int
-    threshold: float
-    left: int
-    right: int
-    value: float
 
 
 @dataclass
@@ -141,13 +124,12 @@ def train_quantile(
 ) -> QuantileModel:
     """Train on one target at the quantile of `tier`.
 
-    Features are coded once, by at most `max_bins` cuts each, and the coded table is written. A round
-    grows one tree on the slope of the pinball loss: each level is one pass in which partitions count
-    their rows by node, feature and code, and the summed counts, of a fixed size, come to the driver.
-    Each leaf then takes the quantile of the residuals in it, times the learning rate; quantiles and
-    cuts are exact to one in `accuracy` rows. Training stops once the validation error has not
-    improved for `patience` rounds; the best run of trees is kept. The running score is written
-    every few rounds and the table before it deleted, so a pass walks a few trees only.
+    Features are coded once, by at most `max_bins` cuts each. A round grows one tree on the slope of
+    the pinball loss: each level is one pass in which tasks count their rows by node, feature and
+    code, and the summed counts, of a fixed size, come to the driver. Each leaf then takes the
+    quantile of the residuals in it, times the learning rate; quantiles and cuts are exact to one in
+    `accuracy` rows. Training stops once the validation error has not improved for `patience` rounds;
+    the best run of trees is kept (see `forest.boost`).
     """
     if target not in targets(df.columns):
         raise ValueError(f"{target!r} is no level, change or future level of the table.")
@@ -162,243 +144,49 @@ def train_quantile(
     check_split_sizes(counts, 30 if require_features else 0)
 
     xs = [f"x{i}" for i in range(len(features))]
-    fit_part = F.col("split") == "fit"
-    found = exact_medians(raw.where(fit_part), {x: x for x in xs}).first()
+    found = exact_medians(raw.where(F.col("split") == "fit"), {x: x for x in xs}).first()
     medians = {c: found[x] for c, x in zip(features, xs)}
     usable = [i for i, c in enumerate(features) if medians[c] is not None]
     filled = raw.fillna({xs[i]: medians[features[i]] for i in usable}).fillna(0.0, subset=xs)
-    points = [(k + 1) / max_bins for k in range(max_bins - 1)]
-    measured = filled.where(fit_part).agg(
-        F.percentile_approx("y", alpha, accuracy).alias("base"),
-        *[F.percentile_approx(x, points, accuracy).alias(x) for x in xs],
-    ).first()
-    base = measured["base"]
-    cuts = [np.unique(np.array(measured[x], dtype=float)) for x in xs]
-    tasks = max(1, sum(counts.values()) // ROWS_PER_TASK)
-    table = settle(_coded(filled, xs, cuts, base).coalesce(tasks))
-
-    picker = random.Random(seed)
-    take = max(1, round(len(usable) * feature_fraction))
-    trees: list[list[Node]] = []
-    pending: list[list[Node]] = []
-    best_error, best_size = math.inf, 0
-    for done in range(rounds + 1):
-        chosen = sorted(picker.sample(usable, take)) if done < rounds else []
-        tree, error = _grow(table, pending, chosen, cuts, alpha, depth, tasks)
-        # The error of the trees so far comes with the first pass of the next one.
-        if error < best_error:
-            best_error, best_size = error, done
-        elif done - best_size >= patience:
-            break
-        if done == rounds:
-            break
-        tree = _valued(table, pending, tree, alpha, learning_rate, accuracy)
-        trees.append(tree)
-        pending.append(tree)
-        if len(pending) == ROUNDS_PER_TABLE:
-            old, table = table, settle(_rescored(table, pending))
-            discard(old)
-            pending = []
-    kept = trees[: max(1, best_size)]
-    kept = [[_plain(n, cuts) for n in tree] for tree in kept]
-
-    errors = {
-        r["split"]: r["mae"]
-        for r in filled.where(~fit_part)
-        .select("split", "y", predicted(base, kept, [F.col(x) for x in xs]).alias("p"))
-        .groupBy("split")
-        .agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
-        .collect()
-    }
-    for written in (table, raw):
-        discard(written)
-    return QuantileModel(
-        target, features, medians, base, kept, alpha, label, mode,
-        errors.get("test"), errors.get("val"), counts,
-    )
+    part = F.array_position(F.array(*[F.lit(p) for p in _PARTS]), F.col("split")) - 1
+    table = filled.select(*xs, F.col("y").alias("y0"), part.cast("int").alias("p0"))
+    (model,) = _models(table, [target], [counts], [medians], features, usable, alpha, label, mode,
+                       max_bins=max_bins, accuracy=accuracy, rounds=rounds, learning_rate=learning_rate,
+                       patience=patience, depth=depth, feature_fraction=feature_fraction, seed=seed)
+    discard(raw)
+    return model
 
 
-# In training a node's threshold is the number of a cut; codes up to it go left.
 _PARTS = ("fit", "val", "test")
-_CODED = "codes binary, y double, part int, score double"
-
-
-def _plain(node: Node, cuts: Sequence[np.ndarray]) -> Node:
-    if node.feature < 0:
-        return node
-    return replace(node, threshold=float(cuts[node.feature][int(node.threshold)]))
 
 
-def _coded(df: DataFrame, xs: Sequence[str], cuts: Sequence[np.ndarray], base: float) -> DataFrame:
-    part = F.array_position(F.array(*[F.lit(p) for p in _PARTS]), F.col("split")).cast("int") - 1
+def _models(
+    table: DataFrame, names: Sequence[str], counts: Sequence[Mapping[str, int]],
+    medians: Sequence[Mapping[str, float | None]], features: Sequence[str], usable: Sequence[int], alpha: float,
+    label: str, mode: str, *, max_bins: int, accuracy: int, **schedule,
+) -> list[QuantileModel]:
+    """Models of `y0..` from `x0..`, by the parts `p0..`, trained together on the same codes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = np.column_stack([
-                np.searchsorted(c, batch.column(i).to_numpy(zero_copy_only=False), "left")
-                for i, c in enumerate(cuts)]).astype(np.uint8)
-            n = len(xs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in codes], pa.binary()), batch.column(n),
-                 batch.column(n + 1), pa.array(np.full(len(codes), base))],
-                names=["codes", "y", "part", "score"])
-
-    return df.select(*xs, F.col("y").cast("double"), part.alias("part")).mapInArrow(run, _CODED)
-
-
-def _leaves(tree: Sequence[Node], codes: np.ndarray) -> np.ndarray:
-    """The node each row of codes ends in."""
-    feature, cut, left, right = (
-        np.array([getattr(n, p) for n in tree]) for p in ("feature", "threshold", "left", "right"))
-    at = np.zeros(len(codes), dtype=int)
-    going = np.flatnonzero(feature[at] >= 0)
-    while len(going):
-        node = at[going]
-        at[going] = np.where(codes[going, feature[node]] <= cut[node], left[node], right[node])
-        going = going[feature[at[going]] >= 0]
-    return at
-
-
-def _unpacked(batch: pa.RecordBatch, pending: Sequence[Sequence[Node]]):
-    """Codes, value, part and running score of a batch."""
-    raw = b"".join(batch.column(0).to_pylist())
-    codes = np.frombuffer(raw, dtype=np.uint8).reshape(batch.num_rows, -1)
-    y, part, score = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-    for tree in pending:
-        score = score + np.array([n.value for n in tree])[_leaves(tree, codes)]
-    return codes, y, part, score
-
-
-def _rescored(table: DataFrame, pending: Sequence[Sequence[Node]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                score = _unpacked(batch, pending)[3]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(score)], names=["codes", "y", "part", "score"])
-
-    return table.mapInArrow(run, _CODED)
-
-
-def _counts(
-    table: DataFrame, pending: Sequence[Sequence[Node]], tree: Sequence[Node], open_: Sequence[int],
-    chosen: Sequence[int], tasks: int,
-) -> tuple[dict[int, np.ndarray], float]:
-    """For each feature the rows (all, above the score) by open node and code, and the mean error."""
-    place = np.full(len(tree), -1)
-    place[list(open_)] = np.arange(len(open_))
-    shape = (2, len(open_), 256)
-    schema = "feature int, cells binary, error double"
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = {f: np.zeros(shape, dtype=np.int64) for f in chosen}
-        wrong, n = 0.0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, y, part, score = _unpacked(batch, pending)
-            wrong += float(np.abs(y - score)[part == 1].sum())
-            n += int((part == 1).sum())
-            fit = np.flatnonzero(part == 0)
-            node = place[_leaves(tree, codes[fit])]
-            fit, node = fit[node >= 0], node[node >= 0]
-            above = (y[fit] > score[fit]).astype(float)
-            for f in chosen:
-                cell = node * 256 + codes[fit, f]
-                cells[f][0] += np.bincount(cell, minlength=shape[1] * 256).reshape(shape[1:])
-                cells[f][1] += np.bincount(cell, above, minlength=shape[1] * 256).astype(
-                    np.int64).reshape(shape[1:])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*chosen, -1], pa.int32()),
-             pa.array([*[cells[f].tobytes() for f in chosen], np.array([n], dtype=np.int64).tobytes()]),
-             pa.array([0.0] * len(chosen) + [wrong])], names=["feature", "cells", "error"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
-        for batch in batches:
-            for f, raw, wrong in zip(*(c.to_pylist() for c in batch.columns)):
-                own = total.setdefault(f, [0, 0.0])
-                own[0] = own[0] + np.frombuffer(raw, dtype=np.int64)
-                own[1] += wrong
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([v[0].tobytes() for v in total.values()], pa.binary()),
-             pa.array([v[1] for v in total.values()], pa.float64())], names=["feature", "cells", "error"])
-
-    sums = table.mapInArrow(partial, schema)
-    if tasks > 1:
-        sums = sums.repartition(len(chosen) + 1, "feature").mapInArrow(added, schema)
-    cells, error = {}, math.inf
-    for r in sums.collect():
-        numbers = np.frombuffer(r["cells"], dtype=np.int64)
-        if r["feature"] >= 0:
-            cells[r["feature"]] = cells.get(r["feature"], 0) + numbers.reshape(shape)
-        elif numbers[0]:
-            error = r["error"] / numbers[0]
-    return cells, error
-
-
-def _grow(
-    table: DataFrame, pending: Sequence[Sequence[Node]], chosen: Sequence[int],
-    cuts: Sequence[np.ndarray], alpha: float, depth: int, tasks: int,
-) -> tuple[list[Node], float]:
-    """A tree without leaf values, level by level, and the validation error before it."""
-    tree, open_, error = [Node(-1, 0.0, -1, -1, 0.0)], [0], math.inf
-    leaves = 1
-    for level in range(max(depth, 1) if chosen else 1):
-        cells, found = _counts(table, pending, tree, open_, chosen, tasks)
-        error = found if level == 0 else error
-        splits = []
-        for place, node in enumerate(open_):
-            best = (1e-9, -1, 0)
-            for f in chosen:
-                n, above = (np.cumsum(c[place]) for c in cells[f])
-                slope = above - (1 - alpha) * n
-                last = len(cuts[f])
-                nl, sl = n[:last], slope[:last]
-                nr, sr = n[-1] - nl, slope[-1] - sl
-                gain = sl ** 2 / np.maximum(nl, 1) + sr ** 2 / np.maximum(nr, 1) - slope[-1] ** 2 / max(n[-1], 1)
-                gain = np.where((nl >= LEAST_ROWS) & (nr >= LEAST_ROWS), gain, 0.0)
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), f, k)
-            if best[1] >= 0:
-                splits.append((best, node))
-        open_ = []
-        # The best splits first, while leaves are left to give.
-        for (_, f, k), node in sorted(splits, key=lambda s: (-s[0][0], s[1])):
-            if leaves < N.TREE_LEAVES and depth > 0:
-                left = len(tree)
-                tree += [Node(-1, 0.0, -1, -1, 0.0)] * 2
-                tree[node] = Node(f, float(k), left, left + 1, 0.0)
-                open_ += [left, left + 1]
-                leaves += 1
-        if not open_:
-            break
-    return tree, error
-
-
-def _valued(
-    table: DataFrame, pending: Sequence[Sequence[Node]], tree: Sequence[Node], alpha: float,
-    learning_rate: float, accuracy: int,
-) -> list[Node]:
-    """The tree with the quantile of the residuals in each leaf, times the learning rate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                codes, y, part, score = _unpacked(batch, pending)
-                fit = part == 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_leaves(tree, codes[fit]).astype(np.int32)), pa.array((y - score)[fit])],
-                    names=["leaf", "residual"])
-
-    found = {
-        r["leaf"]: r["value"]
-        for r in table.mapInArrow(run, "leaf int, residual double").groupBy("leaf")
-        .agg(F.percentile_approx("residual", alpha, accuracy).alias("value")).collect()
-    }
-    return [replace(n, value=learning_rate * found.get(i, 0.0)) if n.feature < 0 else n
-            for i, n in enumerate(tree)]
+    The cuts are quantiles of the features over all rows that any of them is fitted on.
+    """
+    xs = [f"x{i}" for i in range(len(features))]
+    n = range(len(names))
+    fit = F.greatest(*[F.col(f"p{g}") == 0 for g in n], F.lit(False))
+    points = [(k + 1) / max_bins for k in range(max_bins - 1)]
+    measured = table.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.percentile_approx(F.when(F.col(f"p{g}") == 0, F.col(f"y{g}")), alpha, accuracy).alias(f"y{g}") for g in n],
+        *[F.percentile_approx(F.when(fit, F.col(x)), points, accuracy).alias(x) for x in xs],
+    ).first()
+    cuts = [np.unique(np.array(measured[x], dtype=float)) for x in xs]
+    goals = [Goal(alpha, float(measured[f"y{g}"])) for g in n]
+    boost(table, cuts, usable, goals, measured["rows"], accuracy=accuracy, **schedule)
+    return [
+        QuantileModel(name, list(features), dict(medians[g]), goals[g].base,
+                      [[plain(node, cuts) for node in tree] for tree in goals[g].trees], alpha, label, mode,
+                      goals[g].mae, goals[g].mae_validation, dict(counts[g]))
+        for g, name in enumerate(names)
+    ]
 
 
 def train_tiers(
@@ -408,22 +196,70 @@ def train_tiers(
 
 
 def train_targets(
-    df: DataFrame, wanted: Sequence[str] | None = None, **options
+    df: DataFrame, wanted: Sequence[str] | None = None, *, ts: str = N.DATE, tiebreak: Sequence[str] = (),
+    rounds: int = N.BOOST_ROUNDS, learning_rate: float = N.LEARNING_RATE, patience: int = N.PATIENCE,
+    depth: int = TREE_DEPTH, max_bins: int = MAX_BINS, feature_fraction: float = N.FEATURE_FRACTION,
+    accuracy: int = ACCURACY, seed: int = N.SEED, mode: str = "pure_weather",
 ) -> tuple[list[QuantileModel], Mapping[str, str]]:
     """Train the middle quantile for each target; a target that fails is left out and reported.
 
-    Lags may be absent here, and a row needs its target and all of its features.
+    Lags may be absent here, and a row needs its target and all of its features. The features are
+    read and coded once, and all targets grow their trees in the same passes, each with its own rows,
+    its own week split and its own stopping. A target with too few weeks is split by rows and
+    trained by itself.
     """
     names = [t for t in (wanted or targets(df.columns, by_length=True)) if t in df.columns]
     if not names:
         raise ValueError("No targets in the table.")
     features = feature_columns(df.columns, lags_required=False)
-    models, failures = [], {}
-    for name in names:
+    known = set(targets(df.columns))
+    failures = {name: f"ValueError: {name!r} is no level, change or future level of the table."
+                for name in names if name not in known}
+    names = [name for name in dict.fromkeys(names) if name in known]
+    label, alpha = quantile_alpha("mid")
+    schedule = dict(max_bins=max_bins, accuracy=accuracy, rounds=rounds, learning_rate=learning_rate,
+                    patience=patience, depth=depth, feature_fraction=feature_fraction, seed=seed)
+    work = calendar_features(df, ts)
+    xs = [f"x{i}" for i in range(len(features))]
+    rows = settle(drop_missing(work.select(
+        ref(ts).alias("__ts"), *[number(work, c).alias(x) for c, x in zip(features, xs)],
+        *[number(work, name).alias(f"y{g}") for g, name in enumerate(names)]), xs)) if names else None
+    parts = split_weeks(rows, [f"y{g}" for g in range(len(names))], ts="__ts") if names else []
+    together, by_rows = [], []
+    for g, name in enumerate(names):
+        if parts[g] is None:
+            by_rows.append(name)
+            continue
+        try:
+            check_split_sizes(parts[g].rows, 30)
+            together.append(g)
+        except ValueError as error:
+            failures[name] = f"{type(error).__name__}: {error}"
+    trained: dict[str, QuantileModel] = {}
+    if together:
+        table = rows.select(*xs, *[F.col(f"y{g}").alias(f"y{i}") for i, g in enumerate(together)],
+                            *[F.coalesce(parts[g].number, F.lit(-1)).alias(f"p{i}") for i, g in enumerate(together)])
+        table = settle(table.where(F.greatest(*[F.col(f"p{i}") for i in range(len(together))], F.lit(-1)) >= 0))
+        medians = _medians(table, xs, features, len(together))
+        models = _models(table, [names[g] for g in together], [parts[g].rows for g in together], medians, features,
+                         range(len(features)), alpha, label, mode, **schedule)
+        trained |= {m.target: m for m in models}
+        discard(table)
+    for name in by_rows:
         try:
-            models.append(
-                train_quantile(df, name, "mid", features=features, require_features=True, **options)
-            )
+            trained[name] = train_quantile(df, name, "mid", ts=ts, tiebreak=tiebreak, features=features,
+                                           require_features=True, mode=mode, **schedule)
         except Exception as error:  # noqa: BLE001 - one target's failure must not lose the others
             failures[name] = f"{type(error).__name__}: {error}"
-    return models, failures
+    if rows is not None:
+        discard(rows)
+    return [trained[name] for name in names if name in trained], failures
+
+
+def _medians(
+    table: DataFrame, xs: Sequence[str], features: Sequence[str], goals: int
+) -> list[dict[str, float | None]]:
+    """Exact medians of the features over the fit rows of each goal, all in the same passes."""
+    masked = {f"{x}_{g}": F.when(F.col(f"p{g}") == 0, F.col(x)) for g in range(goals) for x in xs}
+    found = exact_medians(table.select(*[c.alias(n) for n, c in masked.items()]), {n: n for n in masked}).first()
+    return [{c: found[f"{x}_{g}"] for c, x in zip(features, xs)} for g in range(goals)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -109,6 +110,43 @@ def nested_holdout(
     )
 
 
+@dataclass(frozen=True)
+class WeekParts:
+    """The part of a row (0 fit, 1 val, 2 test; null where the value is missing) and rows by name."""
+
+    number: Column
+    rows: dict[str, int]
+
+
+def split_weeks(df: DataFrame, values: Sequence[str], *, ts: str) -> list[WeekParts | None]:
+    """The nested split of `nested_holdout` for the rows that have each of the values, in one pass.
+
+    None for a value with too few weeks, which is split by rows.
+    """
+    week = week_start(ref(ts))
+    found = df.where(ref(ts).isNotNull()).groupBy(week.alias("w")).agg(
+        *[F.count(ref(v)).alias(f"n{i}") for i, v in enumerate(values)]).collect()
+    out: list[WeekParts | None] = []
+    for i, value in enumerate(values):
+        rows = {r["w"]: r[f"n{i}"] for r in found if r[f"n{i}"]}
+        weeks, starts = sorted(rows), []
+        for ratio in (N.TEST_RATIO, N.VALIDATION_RATIO):
+            if len(weeks) >= N.MIN_WEEKS:
+                kept = len(weeks) - _held_out(len(weeks), ratio)
+                starts.append(weeks[kept])
+                weeks = weeks[:kept]
+        if len(starts) < 2:
+            out.append(None)
+            continue
+        test, val = (F.lit(s.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz") for s in starts)
+        number = F.when(ref(ts) >= test, 2).when(ref(ts) >= val, 1).otherwise(0)
+        counts = dict.fromkeys(("fit", "val", "test"), 0)
+        for w, n in rows.items():
+            counts["test" if w >= starts[0] else "val" if w >= starts[1] else "fit"] += n
+        out.append(WeekParts(F.when(ref(value).isNotNull() & ref(ts).isNotNull(), number), counts))
+    return out
+
+
 def split_counts(df: DataFrame, split: str = "split") -> DataFrame:
     return df.groupBy(ref(split)).agg(F.count(F.lit(1)).alias("rows"))
 
