@@ -79,11 +79,12 @@ def weather_lag_folder(
     spark: SparkSession, folder: str, out: str, bucket: str | int = "auto",
     tiebreak: Sequence[str] = (),
 ) -> str:
-    """Air-temperature lags for every file of a folder, each file a series of its own.
+    """Air-temperature lags for every file of a folder, each file a series of its own, read by its
+    own header.
 
     `tiebreak` names columns, read as numbers, that order rows of equal time.
     """
-    table = with_numbers(read_series_folder(spark, folder), tiebreak)
+    table = with_numbers(read_series_folder(spark, folder, mixed=True), tiebreak)
     lagged = add_weather_lags(table, keys=["series"], tiebreak=tiebreak, bucket=bucket)
     return write_by_series(lagged, out, order_by=N.DATE)
 

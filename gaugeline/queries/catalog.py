@@ -39,7 +39,7 @@ from gaugeline.queries.inputs import (
 from gaugeline.session import settle, shared_folder
 from gaugeline.sources.registry import delete_model, list_models, load_model, save_model
 from gaugeline.sources.tables import (
-    default_output, peek_targets, read_table, read_text_table, table_size, write_metrics,
+    default_output, peek_targets, read_table, read_text_table, table_size, write_by_series, write_metrics,
     write_reports, write_table,
 )
 
@@ -457,24 +457,12 @@ WINDOW up AS (PARTITION BY station ORDER BY d, o_orderkey ROWS BETWEEN UNBOUNDED
 """
 
 
-def _one_file(df: DataFrame, path: str) -> None:
-    """One CSV file of that name, beside files of other kinds."""
-    spark, parts = df.sparkSession, f"{path}.parts"
-    df.coalesce(1).write.option("header", True).csv(parts)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    files = jvm_path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = files.globStatus(jvm_path(f"{parts}/part-*"))[0].getPath()
-    files.rename(part, jvm_path(path))
-
-
 @registered(_WEATHER_LAGS_SQL)
 def weather_folder_lags(spark: SparkSession, folder: str) -> DataFrame:
-    """One file for each station, the folder run, and its files read back."""
+    """A sub-folder of files for each station, the folder run, and its files read back."""
     home = f"{shared_folder(spark).rstrip('/')}/gaugeline-folder-{uuid.uuid4().hex}"
     rows = settle(normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"]))
-    for (station,) in rows.select("station").distinct().collect():
-        _one_file(rows.where(F.col("station") == station).drop("station"), f"{home}/in/{station}.csv")
-    rows.limit(1).select("station").write.text(f"{home}/in/notes.txt")
+    write_by_series(rows.withColumnRenamed("station", "series"), f"{home}/in", order_by=N.DATE)
     out = weather_lag_folder(spark, f"{home}/in", f"{home}/out", tiebreak=["o_orderkey"])
     back = spark.read.option("header", True).csv(out)
     lagged = list(N.WEATHER_LAG_HOURS)
@@ -484,6 +472,26 @@ def weather_folder_lags(spark: SparkSession, folder: str) -> DataFrame:
         timestamp(back, N.DATE).alias(N.DATE), N.AIR_TEMP, *lagged))
 
 
+@registered(_WEATHER_LAGS_SQL.replace("a.air, b1", "a.air, a.rh, b1").replace(
+    "d, air,", "d, air, CASE WHEN station >= '3' THEN rh END AS rh,"))
+def weather_folder_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of two headers in one folder: other orders, a column more, a column less."""
+    home = f"{shared_folder(spark).rstrip('/')}/gaugeline-headers-{uuid.uuid4().hex}"
+    rows = settle(normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"]))
+    rows = rows.withColumnRenamed("station", "series")
+    early = rows.where("series < '3'").drop(N.HUMIDITY)
+    early = early.select(*reversed([ref(c) for c in early.columns])).withColumn("remark", F.lit("none"))
+    write_by_series(early, f"{home}/in/early", order_by=N.DATE)
+    write_by_series(rows.where("series >= '3'"), f"{home}/in/late", order_by=N.DATE)
+    back = spark.read.option("header", True).csv(
+        weather_lag_folder(spark, f"{home}/in", f"{home}/out", tiebreak=["o_orderkey"]))
+    lagged = list(N.WEATHER_LAG_HOURS)
+    return snake(with_numbers(back, [N.AIR_TEMP, N.HUMIDITY, *lagged]).select(
+        F.col("o_orderkey").cast("double").cast("bigint").alias("o_orderkey"),
+        F.col("series").alias("station"), timestamp(back, N.DATE).alias(N.DATE), N.AIR_TEMP,
+        ref(N.HUMIDITY).alias("rh"), *lagged))
+
+
 @registered(_WEATHER_LAGS_SQL)
 def weather_lags_filled(spark: SparkSession, folder: str) -> DataFrame:
     parsed = normalise_weather(raw_weather(spark, folder), keep=["station", "o_orderkey"])

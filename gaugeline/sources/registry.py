@@ -1,10 +1,19 @@
-"""Saved models as rows of an append-only table."""
+"""Saved models as rows of an append-only table.
+
+Every row of a name carries a version. A writer claims the number after the highest claimed so far by
+creating a file that must not exist yet, then adds its row; the row with the highest version counts.
+Clocks play no part. Where a store lets two writers create the file at once, as a local disk may, both
+have one version and are told apart by a random claim in their rows, the same way by every reader.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +40,8 @@ _FIELDS = {
     "validation_rows": "bigint",
     "test_rows": "bigint",
     "trees": "array<array<struct<feature:int,threshold:double,left:int,right:int,value:double>>>",
+    "version": "bigint",
+    "claim": "string",
 }
 _SCHEMA = ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items())
 
@@ -39,8 +50,25 @@ def model_name(target: str, label: str) -> str:
     return f"model_{re.sub(UNSAFE, '_', target)}_quantile_{label}"
 
 
+def _claimed(spark: SparkSession, folder: str, name: str) -> int:
+    """A version of `name` that no other writer has: files starting with `_` are no part of the table."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_versions/{re.sub(UNSAFE, '_', name)}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    version = max((int(f.getPath().getName()) for f in files.listStatus(place)), default=0) + 1
+    while True:
+        try:
+            files.create(jvm.org.apache.hadoop.fs.Path(place, str(version)), False).close()
+            return version
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            version += 1
+
+
 def _append(spark: SparkSession, folder: str, row: dict) -> None:
-    values = {"live": True, **row}
+    values = {"live": True, "version": _claimed(spark, folder, row["name"]), "claim": uuid.uuid4().hex, **row}
     df = spark.createDataFrame([tuple(values.get(f) for f in _FIELDS)], _SCHEMA)
     df.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(folder)
 
@@ -68,7 +96,9 @@ def _current(spark: SparkSession, folder: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], _SCHEMA)
-    newest = Window.partitionBy("name").orderBy(F.col("saved_at").desc())
+    # Rows without a version are older than all that have one.
+    newest = Window.partitionBy("name").orderBy(
+        F.col("version").desc_nulls_last(), F.col("claim").desc(), F.col("saved_at").desc())
     return rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1 AND live").drop("__n")
 
 

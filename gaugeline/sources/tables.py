@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Mapping
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.functions.columns import targets, trim_names
@@ -19,11 +21,15 @@ MISSING_TEXTS = (
 )
 
 
-def _scan(spark: SparkSession, path: str, multi_line: bool = False, **options: str) -> DataFrame:
+def _scan(spark: SparkSession, path: str | list[str], multi_line: bool = False, **options: str) -> DataFrame:
     reader = spark.read.option("header", True).option("escape", '"').options(**options)
-    reader = reader.option("multiLine", multi_line)
+    reader = reader.option("multiLine", multi_line).option("enforceSchema", False)
+    return _found(reader.csv, path)
+
+
+def _found(read: Callable[..., DataFrame], path: str | list[str]) -> DataFrame:
     try:
-        return reader.option("enforceSchema", False).csv(path)
+        return read(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"Input not found: {path}") from error
@@ -48,16 +54,60 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     return trim_names(df.select(*cells))
 
 
-def read_series_folder(spark: SparkSession, folder: str, series: str = "series") -> DataFrame:
+_CSV = "*.[cC][sS][vV]"
+
+
+def read_series_folder(
+    spark: SparkSession, folder: str, series: str = "series", mixed: bool = False
+) -> DataFrame:
     """All CSV files of a folder as one table; the file's stem names the series.
 
-    Files of other kinds are left alone. The CSV files must share one header; a file with another
-    header raises while it is read.
+    A file in a sub-folder `<series>=<name>`, as `write_by_series` writes them, belongs to that name,
+    so a series may have several files. Files of other kinds are left alone. The CSV files must share
+    one header; a file with another header raises while it is read. With `mixed`, each file is read by
+    its own header, and a column that it lacks is missing in its rows.
     """
-    df = _scan(spark, folder, pathGlobFilter="*.[cC][sS][vV]")
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    if not mixed:
+        return _series(_scan(spark, folder, pathGlobFilter=_CSV, recursiveFileLookup="true"), series)
+    parts = [_series(_scan(spark, paths), series) for paths in _by_header(spark, folder)]
+    if not parts:
+        raise FileNotFoundError(f"No CSV files in {folder}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _series(df: DataFrame, series: str) -> DataFrame:
+    path = F.col("_metadata.file_path")
+    inside = F.regexp_extract(path, rf"/{re.escape(series)}=([^/]*)/[^/]*$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    # Sub-folder names are escaped twice: once as a name, once as a part of the path.
+    name = F.when(inside != "", _unescaped(_unescaped(inside))).otherwise(_unescaped(stem))
     cells = [F.when(~ref(c).isin(*MISSING_TEXTS), ref(c)).alias(c.strip()) for c in df.columns]
-    return df.select(F.url_decode(name).alias(series), *cells)
+    return df.select(name.alias(series), *cells)
+
+
+def _unescaped(text: Column) -> Column:
+    """Percent signs undone; a plus sign stays one."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _by_header(spark: SparkSession, folder: str) -> list[list[str]]:
+    """Paths of the CSV files by header, in one pass: tasks keep the first line of each file."""
+    lines = _found(spark.read.option("pathGlobFilter", _CSV).option("recursiveFileLookup", True).text, folder)
+    heads = (
+        lines.select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"),
+                     F.col("_metadata.file_block_start").alias("begin"))
+        .where("begin = 0").groupBy("path").agg(F.min_by("value", "at").alias("head")))
+    # Spark lists the files of a scan on the driver, so their paths have room there.
+    grouped = heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [[_literal(path) for path in r["paths"]] for r in grouped.orderBy("head").collect()]
+
+
+def _literal(path: str) -> str:
+    """A file's path from its metadata as a path to read: nothing escaped, nothing a pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(path))
 
 
 def table_size(df: DataFrame) -> DataFrame:

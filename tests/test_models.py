@@ -197,6 +197,33 @@ def test_registry(spark, readings, tiers, tmp_path):
         delete_model(spark, folder, name)
 
 
+def test_registry_does_not_ask_the_clock(spark, tiers, tmp_path):
+    """Rows of one moment, and of a writer whose clock is late, are told apart by their versions."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "models")
+    with ThreadPoolExecutor(4) as writers:
+        list(writers.map(lambda t: save_model(spark, tiers[t], folder, "shared"), ["low", "mid", "high", "low"]))
+    # A local disk may let two writers have one version; all readers still see the same one row.
+    versions = [r["version"] for r in spark.read.parquet(folder).collect()]
+    assert len(versions) == 4 and len(set(versions)) > 1 and set(versions) <= {1, 2, 3, 4}
+    assert list_models(spark, folder).count() == 1
+    seen = [load_model(spark, folder, "shared").label for _ in range(2)]
+    assert seen[0] == seen[1]
+    save_model(spark, tiers["high"], folder, "shared")
+    assert load_model(spark, folder, "shared") == tiers["high"]
+    delete_model(spark, folder, "shared")
+    same = str(tmp_path / "same")
+    spark.read.parquet(folder).withColumn("saved_at", F.lit("2000-01-01").cast("timestamp")).write.parquet(same)
+    assert list_models(spark, same).count() == 0
+    late = spark.read.parquet(folder).withColumn(
+        "saved_at", F.timestamp_seconds(F.lit(2_000_000_000) - F.col("version")))
+    late.write.parquet(str(tmp_path / "late"))
+    assert list_models(spark, str(tmp_path / "late")).count() == 0
+    save_model(spark, tiers["mid"], folder, "shared")
+    assert load_model(spark, folder, "shared") == tiers["mid"]
+
+
 def test_targets_that_fail_are_reported(spark, readings):
     models, failures = train_targets(readings, ["DO_delta_1h", "DO_6h", "gone"], **OPTIONS)
     assert [m.target for m in models] == ["DO_delta_1h"] and set(failures) == {"DO_6h"}

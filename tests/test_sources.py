@@ -101,3 +101,23 @@ def test_weather_stream_equals_batch(spark, tmp_path):
     batch = normalise_weather(spark.read.schema(schema).option("header", True).csv(str(landing)))
     assert sorted(spark.read.parquet(out).collect()) == sorted(batch.collect())
     assert batch.count() == 2
+
+
+def test_folder_of_several_headers(spark, tmp_path):
+    put(tmp_path / "a+b [1].csv", " DATE ,x\n1,2\n3,NaN\n")
+    put(tmp_path / "b 100%.CSV", "x,DATE\n5,6\n")
+    put(tmp_path / "c.csv", "DATE,y\n7,8\n")
+    put(tmp_path / "empty.csv", "DATE,z\n")
+    put(tmp_path / "notes.txt", "no table")
+    (tmp_path / "series=d:e").mkdir()
+    put(tmp_path / "series=d:e" / "part-1.csv", "DATE,x\n9,10\n")
+    df = S.read_series_folder(spark, str(tmp_path), mixed=True)
+    assert set(df.columns) == {"series", "DATE", "x", "y", "z"}
+    got = sorted(tuple(r[c] for c in ("series", "DATE", "x", "y", "z")) for r in df.collect())
+    assert got == [("a+b [1]", "1", "2", None, None), ("a+b [1]", "3", None, None, None),
+                   ("b 100%", "6", "5", None, None), ("c", "7", None, "8", None), ("d:e", "9", "10", None, None)]
+    with pytest.raises(FileNotFoundError):
+        S.read_series_folder(spark, str(tmp_path / "series=d:e" / "none"), mixed=True)
+    out = S.write_by_series(df.select("series", "DATE"), str(tmp_path / "out"))
+    back = S.read_series_folder(spark, out)
+    assert {r["series"] for r in back.collect()} == {"a+b [1]", "b 100%", "c", "d:e"}

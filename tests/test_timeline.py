@@ -260,3 +260,23 @@ def test_the_lake_plan_reads_its_source_once(spark):
     # What is left to run starts from the written tables; no row is sorted before it moves.
     assert len(reads) == 1 and "events.parquet" not in plan
     assert "SortAggregate" not in plan
+
+
+def test_medians_of_values_that_share_a_bin(spark):
+    """A million distinct values in one narrow bin: it is cut until a task gets few of them."""
+    from gaugeline.operators import quantiles
+
+    df = spark.range(1_000_001).select(
+        (F.lit(1013.0) + F.col("id") / 10_000_000).alias("v"),
+        F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("w"),
+        F.when(F.col("id") < 2, F.lit(float("inf"))).otherwise(-1e308 * (F.col("id") % 2)).alias("x"),
+        (F.col("id") % 2).alias("key"))
+    got = exact_medians(df, {"v": "v", "w": "w", "x": "x"}, bin_rows=1000).first()
+    assert got["v"] == 1013.0 + 500_000 / 10_000_000 and got["w"] == 5.0 and got["x"] == 0.0
+    long = df.select(F.lit(0).alias("__which"), "key", F.col("v").alias("__value"))
+    bins = quantiles.middle_bins(long, ["key"], 1000).collect()
+    assert {r["key"] for r in bins} == {0, 1} and all(r["n"] <= 1000 for r in bins)
+    by_key = {r["key"]: r["m"] for r in exact_medians(df, {"v": "m"}, keys=["key"], bin_rows=1000).collect()}
+    ids = {0: (500_000, 500_000), 1: (499_999, 500_001)}
+    for key, (low, high) in ids.items():
+        assert by_key[key] == ((1013.0 + low / 10_000_000) + (1013.0 + high / 10_000_000)) / 2
