@@ -70,7 +70,8 @@ def _claimed(spark: SparkSession, folder: str, name: str) -> int:
 def _append(spark: SparkSession, folder: str, row: dict) -> None:
     values = {"live": True, "version": _claimed(spark, folder, row["name"]), "claim": uuid.uuid4().hex, **row}
     df = spark.createDataFrame([tuple(values.get(f) for f in _FIELDS)], _SCHEMA)
-    df.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(folder)
+    # A folder for each row: jobs that add to one folder at a time clear away each other's files.
+    df.withColumn("saved_at", F.current_timestamp()).write.parquet(f"{folder.rstrip('/')}/row-{values['claim']}")
 
 
 def save_model(
@@ -91,7 +92,7 @@ def save_model(
 
 def _current(spark: SparkSession, folder: str) -> DataFrame:
     try:
-        rows = spark.read.schema(_SCHEMA).parquet(folder)
+        rows = spark.read.schema(_SCHEMA).option("recursiveFileLookup", True).parquet(folder)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise

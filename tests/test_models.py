@@ -205,7 +205,8 @@ def test_registry_does_not_ask_the_clock(spark, tiers, tmp_path):
     with ThreadPoolExecutor(4) as writers:
         list(writers.map(lambda t: save_model(spark, tiers[t], folder, "shared"), ["low", "mid", "high", "low"]))
     # A local disk may let two writers have one version; all readers still see the same one row.
-    versions = [r["version"] for r in spark.read.parquet(folder).collect()]
+    whole = spark.read.option("recursiveFileLookup", True)
+    versions = [r["version"] for r in whole.parquet(folder).collect()]
     assert len(versions) == 4 and len(set(versions)) > 1 and set(versions) <= {1, 2, 3, 4}
     assert list_models(spark, folder).count() == 1
     seen = [load_model(spark, folder, "shared").label for _ in range(2)]
@@ -214,9 +215,9 @@ def test_registry_does_not_ask_the_clock(spark, tiers, tmp_path):
     assert load_model(spark, folder, "shared") == tiers["high"]
     delete_model(spark, folder, "shared")
     same = str(tmp_path / "same")
-    spark.read.parquet(folder).withColumn("saved_at", F.lit("2000-01-01").cast("timestamp")).write.parquet(same)
+    whole.parquet(folder).withColumn("saved_at", F.lit("2000-01-01").cast("timestamp")).write.parquet(same)
     assert list_models(spark, same).count() == 0
-    late = spark.read.parquet(folder).withColumn(
+    late = whole.parquet(folder).withColumn(
         "saved_at", F.timestamp_seconds(F.lit(2_000_000_000) - F.col("version")))
     late.write.parquet(str(tmp_path / "late"))
     assert list_models(spark, str(tmp_path / "late")).count() == 0
