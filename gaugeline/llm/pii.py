@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ MOST_CANDIDATES = 60_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_NUMBERS = re.compile(r"[+0-9][0-9 ().+-]*[0-9]")
+_NUMBERS = re.compile(r"[0-9 ().+-]++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -52,8 +52,24 @@ def _luhn(digits: str) -> bool:
     return (twice + sum(map(int, digits[-1::-2]))) % 10 == 0
 
 
+#: What numbers hold beside digits.
+_BETWEEN = " ().+-/\u00a0\u2010\u2011\u2012\u2013"
+
+
+def _within(runs: re.Pattern, text: str, first: str) -> list[tuple[int, int]]:
+    """In each run of characters, from the first one of `first` to the last digit; each is read once."""
+    out = []
+    for m in runs.finditer(text):
+        run = m.group()
+        end = len(run.rstrip(_BETWEEN))
+        start = next((i for i, c in enumerate(run) if c in first), end)
+        if start + 1 < end:
+            out.append((m.start() + start, m.start() + end))
+    return out
+
+
 def _numbers(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _NUMBERS.finditer(text)] if _DIGIT.search(text) else []
+    return _within(_NUMBERS, text, "+0123456789") if _DIGIT.search(text) else []
 
 
 def rule_spans(text: str, numbers: list[tuple[int, int]] | None = None) -> list[Span]:
@@ -90,6 +106,7 @@ def rule_spans(text: str, numbers: list[tuple[int, int]] | None = None) -> list[
     return sorted(found, key=lambda s: (s[0], order[s[1]], s[2]))
 
 
+_ENDS = frozenset("<>()[],;:\"'")
 _WORDY = re.compile(r"[^\s<>()\[\],;:\"']+")
 #: Signs that stand for "@" and for dots, and numbers with any usual separators.
 _MARK = re.compile(r" ?[(\[{] ?(?:at|@) ?[)\]}] ?| @ ?|@ | at (?=[a-z0-9-]{1,63}(?: dot |[.][a-z]))", re.I)
@@ -97,36 +114,32 @@ _HOST = re.compile(
     r"[^\W_][\w-]{0,62}(?:(?: ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| dot |\.)[^\W_][\w-]{0,62}){1,8}", re.I)
 _QUAD = re.compile(
     r"(?<![0-9])[0-9]{1,3}(?:(?: ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| dot | \. |\.)[0-9]{1,3}){3}(?![0-9])", re.I)
-_LOOSE = re.compile("[+0-9][0-9 ().+/\u00a0\u2010-\u2013-]*[0-9]")
-_GROUPED = re.compile(r"[0-9+(][0-9().+-]*[0-9]")
+_LOOSE = re.compile("[0-9 ().+/\u00a0\u2010-\u2013-]++")
+_GROUPED = re.compile(r"[0-9().+-]++")
 _SPACED = re.compile("[^ \u00a0]+")
-#: A number run longer than this is a table or noise; its groups are still proposed one by one.
-_LONGEST = 64
-#: Neighbouring groups of a number run that are proposed together at most.
-_MOST_GROUPS = 8
+#: Digits of the kinds of numbers: the least and the most a candidate has. No number has more than all.
+_DIGITS = {"ip": (4, 12), "card": (11, 20), "phone": (7, 16)}
+_MOST_DIGITS = 20
 
 
 def candidates(text: str) -> list[Span]:
     """Overlapping spans that may be personal data; far more than there are."""
     found: set[Span] = set()
-    at = text.find("@")
+    end, at = 0, text.find("@")
     while at >= 0:
+        # The stretch around the sign, which ends at blanks, brackets and quotes; each is read once.
         start = at
-        while start > 0 and at - start < 128 and not text[start - 1].isspace():
+        while start > end and text[start - 1] not in _ENDS and not text[start - 1].isspace():
             start -= 1
-        m = _WORDY.match(text, start)
-        while m and m.end() <= at:
-            m = _WORDY.search(text, m.end(), at + 256)
-        if m and m.end() - m.start() <= 256:
-            found.add((m.start(), "email", m.end()))
-            last = m.end()
-            while last > at + 1 and not text[last - 1].isalnum():
-                last -= 1
-            found.add((m.start(), "email", last))
-        at = text.find("@", at + 1)
+        end = _WORDY.match(text, start).end()
+        last = end
+        while last > at + 1 and not text[last - 1].isalnum():
+            last -= 1
+        found.update(((start, "email", end), (start, "email", last)))
+        at = text.find("@", end)
     for mark in _MARK.finditer(text):
         start = mark.start()
-        while start > 0 and mark.start() - start < 64 and text[start - 1] in _LOCAL:
+        while start > 0 and text[start - 1] in _LOCAL:
             start -= 1
         host = _HOST.match(text, mark.end())
         if start < mark.start() and host:
@@ -134,29 +147,31 @@ def candidates(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return sorted(found)
     found.update((m.start(), "ip", m.end()) for m in _QUAD.finditer(text))
-    for run in _LOOSE.finditer(text):
-        start, stop = run.span()
+    for start, stop in _within(_LOOSE, text, "+0123456789"):
         if start and text[start - 1] == "(":
             start -= 1
-        spans = {(start, stop)} if stop - start <= _LONGEST else set()
-        spans.update((start + m.start(), start + m.end()) for m in _GROUPED.finditer(text[start:stop])
-                     if m.end() - m.start() <= _LONGEST)
-        groups = [(start + m.start(), start + m.end()) for m in _SPACED.finditer(text[start:stop])]
-        for i, (a, _) in enumerate(groups):
-            for _, b in groups[i:i + _MOST_GROUPS]:
-                if b - a > _LONGEST:
+        run = text[start:stop]
+        spans = {(start, stop)} | {(start + a, start + b) for a, b in _within(_GROUPED, run, "(+0123456789")}
+        groups = [(start + m.start(), start + m.end()) for m in _SPACED.finditer(run)]
+        counts = [sum(c in "0123456789" for c in text[a:b]) for a, b in groups]
+        full = [i for i, n in enumerate(counts) if n]
+        for k, i in enumerate(full):
+            begins = [groups[i][0]]
+            if i and not counts[i - 1] and text[groups[i - 1][0]] in "+(":
+                begins.append(groups[i - 1][0])
+            digits = 0
+            for j in full[k:]:
+                digits += counts[j]
+                if digits > _MOST_DIGITS:
                     break
-                if text[a] in "+(0123456789" and text[b - 1].isdigit():
-                    spans.add((a, b))
+                b = groups[j][1]
+                spans.update((a, b) for a in begins if text[a] in "+(0123456789" and text[b - 1].isdigit())
         for a, b in spans:
             part = text[a:b]
-            digits = sum(c in "0123456789" for c in part)
-            if part.count(".") >= 2 and digits >= 4:
-                found.add((a, "ip", b))
-            if 11 <= digits <= 20:
-                found.add((a, "card", b))
-            if 7 <= digits <= 16:
-                found.add((a, "phone", b))
+            digits = sum(map(part.count, "0123456789"))
+            for kind, (least, most) in _DIGITS.items():
+                if least <= digits <= most and (kind != "ip" or part.count(".") >= 2):
+                    found.add((a, kind, b))
     return sorted(found)
 
 
@@ -365,108 +380,164 @@ def _proposed(text: str) -> tuple[list[Span], list[Span]]:
 _VARIANTS = 8
 
 
-def _touches(s: Span, others: Sequence[Span]) -> bool:
-    return any(s[0] < r[2] and r[0] < s[2] for r in others)
+class Taken:
+    """Spans by where they lie, so that a span is compared with those beside it only."""
 
+    def __init__(self, spans: Iterable[Span] = ()):
+        self._by_place: dict[int, list[Span]] = {}
+        for s in spans:
+            self.add(s)
 
-def examples(text: str) -> list[tuple[str, Span, int]]:
-    """(text, span, label) to learn from: rewritten finds, what stands in their place, clear others."""
+    def add(self, s: Span) -> None:
+        for place in range(s[0] >> 8, (s[2] - 1 >> 8) + 1):
+            self._by_place.setdefault(place, []).append(s)
+
+    def touches(self, s: Span) -> bool:
+        return any(s[0] < r[2] and r[0] < s[2] for place in range(s[0] >> 8, (s[2] - 1 >> 8) + 1)
+                   for r in self._by_place.get(place, ()))
+
+
+def examples(text: str) -> Iterator[tuple[str, Span, int, str]]:
+    """(text, span, label, find) to learn from: rewritten finds, what stands in their place, clear
+    others. `find` is the text that an example was made from."""
     rules, spans = _proposed(text)
-    out = [(text, s, 0) for s in spans if not _touches(s, rules) and clearly_other(text, s)]
+    taken = Taken(rules)
+    for s in spans:
+        if not taken.touches(s) and clearly_other(text, s):
+            yield text, s, 0, text[s[0]:s[2]]
     for a, kind, b in rules:
-        before, after = text[max(a - 48, 0):a], text[b:b + 32]
-        draw = random.Random(before + text[a:b] + after)
+        find, before, after = text[a:b], text[max(a - 48, 0):a], text[b:b + 32]
+        draw = random.Random(before + find + after)
         hinted = any(h.search(before[-24:]) for h in _HINTS[3:])
         for label in (1, 0):
             for _ in range(_VARIANTS):
-                form = (varied(text[a:b], kind, draw, hinted) if label else counter(text[a:b], kind, draw))
+                form = (varied(find, kind, draw, hinted) if label else counter(find, kind, draw))
                 # Another number behind it is no part of it.
                 own = before + form + (f" {draw.randrange(2, 400)}" if draw.random() < 0.2 else "") + after
                 place = (len(before), kind, len(before) + len(form))
                 again, proposed = rule_spans(own), candidates(own)
-                if _touches(place, again):
+                if Taken(again).touches(place):
                     continue  # a rule finds it, or something beside it, in this form too
                 for s in proposed:
                     if s == place:
                         if label or clearly_other(own, s):
-                            out.append((own, s, label))
-                    elif _touches(s, [place]) and (label or clearly_other(own, s)):
-                        out.append((own, s, 0))  # cut, too long or of another kind
-    return out
+                            yield own, s, label, find
+                    elif s[0] < place[2] and place[0] < s[2] and (label or clearly_other(own, s)):
+                        yield own, s, 0, find  # cut, too long or of another kind
+
+
+#: Examples a task writes at once.
+_AT_ONCE = 4_096
+
+
+def _hashed(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+                          "little", signed=True)
 
 
 def candidate_table(df: DataFrame, text: str = "text") -> DataFrame:
-    """(mark, kind, label, x) of all examples of every whole text; `mark` is a hash of their place."""
+    """(mark, find, kind, label, x) of all examples of every whole text: hashes of an example with what
+    is around it, and of the find it was made from."""
     own = df.select(F.col(f"`{text}`").cast("string").alias("body"))
-    schema = "mark long, kind string, label int, x array<double>"
+    schema = "mark long, find long, kind string, label int, x array<double>"
 
     def rows(batches):
+        out: list[tuple] = []
+
+        def written() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()))
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["mark", "find", "kind", "label", "x"])
+            out.clear()
+            return batch
+
         for batch in batches:
-            mark, kind, label, x = [], [], [], []
             for body in batch.column(0):
-                body = body.as_py() or ""
-                for own, s, y in examples(body):
+                for own, s, y, find in examples(body.as_py() or ""):
                     near = own[max(s[0] - 48, 0):s[2] + 32]
-                    mark.append(int.from_bytes(hashlib.blake2b(
-                        f"{s[1]} {y} {s[2] - s[0]} {near}".encode(), digest_size=8).digest(), "little", signed=True))
-                    kind.append(s[1])
-                    label.append(y)
-                    x.append(features(own, s))
-            if mark:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mark, pa.int64()), pa.array(kind), pa.array(label, pa.int32()),
-                     pa.array(x, pa.list_(pa.float64()))], names=["mark", "kind", "label", "x"])
+                    out.append((_hashed(f"{s[1]} {y} {s[2] - s[0]} {near}"), _hashed(find), s[1], y, features(own, s)))
+                    if len(out) >= _AT_ONCE:
+                        yield written()
+            if out:
+                yield written()
             give_back()
 
     return own.mapInArrow(rows, schema)
 
 
+#: One find of so many is held back from the fit with all its rewritings; thresholds are set on them.
+HELD_BACK = 5
+#: Steps of the probabilities that the examples are counted by.
+_CELLS = 1_000
+
+
 def train(df: DataFrame, text: str = "text", precision: float = 0.98,
           most_candidates: int = MOST_CANDIDATES) -> Model:
-    """A model from the candidates of all texts, or a bounded part of them by hash."""
+    """A model from the examples of all texts, fitted on a bounded part of them by hash.
+
+    Each kind has an equal share of `most_candidates`, equal examples count once in the fit, and finds
+    are held back whole. The thresholds come from all held-back examples of all texts, copies too,
+    counted by kind and probability; of a kind without any held back, from those of the fit.
+    """
     table = settle(candidate_table(df, text))
-    n = table.count()
-    if n > most_candidates:
-        table = table.where(F.pmod("mark", F.lit(1 << 30)) < int((1 << 30) * most_candidates / n))
-    rows = table.collect()
+    sizes = {r.kind: r.n for r in table.groupBy("kind").agg(F.approx_count_distinct("mark").alias("n")).collect()}
+    back = F.pmod("find", F.lit(HELD_BACK)) == 0
+    drawn = F.lit(False)
+    for kind, n in sizes.items():
+        part = min(1.0, most_candidates / len(KINDS) / n)
+        drawn = drawn | (F.col("kind") == kind) & (F.pmod("mark", F.lit(1 << 30)) < int((1 << 30) * part))
+    rows = (table.where(drawn).groupBy("mark", "kind", "label", back.alias("back"))
+            .agg(F.any_value("x").alias("x")).collect())
     never = {k: np.inf for k in KINDS}
-    if len({r.label for r in rows}) < 2:
+    rows.sort(key=lambda r: (r.mark, r.kind, r.label, r.back))
+    own = [r for r in rows if not r.back]
+    own = own if len({r.label for r in own}) == 2 else rows
+    if len({r.label for r in own}) < 2:
         return Model(0.0, (), never)
-    rows.sort(key=lambda r: r.mark)
-    x, y = np.array([r.x for r in rows], float), np.array([r.label for r in rows], float)
-    kind, back = np.array([r.kind for r in rows]), np.array([r.mark % 5 == 0 for r in rows])
-    if len(set(y[~back])) < 2:
-        back[:] = False
-    base, trees = boosted(x[~back], y[~back])
+    base, trees = boosted(np.array([r.x for r in own], float), np.array([r.label for r in own], float))
     model = Model(base, trees, never)
-    p = model.probability(x)
-    test = back if back.any() else np.ones(len(y), dtype=bool)
-    least = dict(never)
-    for k in KINDS:
-        own = test & (kind == k)
-        order = np.argsort(-p[own])
-        good = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-        enough = np.flatnonzero(good >= precision)
-        if len(enough) and y[own].any():
-            # Halfway to the first one that is left out: as precise on these, and not fitted to the last.
-            last = p[own][order][enough[-1]:enough[-1] + 2]
-            least[k] = max(0.5, float(last.mean()))
-    return Model(base, trees, least)
+
+    def scored(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                cell = np.minimum(model.probability(x) * _CELLS, _CELLS - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], pa.array(cell)], names=["kind", "label", "back", "cell"])
+
+    counts = (
+        table.select("kind", "label", back.alias("back"), "x")
+        .mapInArrow(scored, "kind string, label int, back boolean, cell int")
+        .groupBy("kind", "label", "back", "cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    return Model(base, trees, {k: _least([r for r in counts if r.kind == k], precision) for k in KINDS})
+
+
+def _least(counts: Sequence, precision: float) -> float:
+    """The least probability from which on examples of a kind are right often enough."""
+    held = [r for r in counts if r.back]
+    counts = held if any(r.label for r in held) else counts
+    good, bad = np.zeros(_CELLS), np.zeros(_CELLS)
+    for r in counts:
+        (good if r.label else bad)[r.cell] += r.n
+    upto, wrong = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
+    enough = np.flatnonzero((upto > 0) & (upto >= precision * (upto + wrong)))
+    return max(0.5, enough[0] / _CELLS) if len(enough) else np.inf
 
 
 def judged_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     """(spans of the rules, all spans); the likeliest candidate of those that overlap wins."""
     rules, spans = _proposed(text)
-    taken = list(rules)
-    spans = [s for s in spans if not _touches(s, rules)]
+    taken, found = Taken(rules), list(rules)
+    spans = [s for s in spans if not taken.touches(s)]
     if spans and model.trees:
         p = model.probability(np.array([features(text, s) for s in spans], float))
         for i in np.argsort(-p, kind="stable").tolist():
             s = spans[i]
-            if p[i] >= model.least[s[1]] and not _touches(s, taken):
-                taken.append(s)
+            if p[i] >= model.least[s[1]] and not taken.touches(s):
+                taken.add(s)
+                found.append(s)
     order = {k: i for i, k in enumerate(KINDS)}
-    return rules, sorted(taken, key=lambda s: (s[0], order[s[1]], s[2]))
+    return rules, sorted(found, key=lambda s: (s[0], order[s[1]], s[2]))
 
 
 def written(spans: Sequence[Span]) -> str:

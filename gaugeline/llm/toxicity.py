@@ -52,12 +52,12 @@ def terms(texts: Texts) -> tuple[Runs, list[tuple[np.ndarray, np.ndarray]]]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), in one pass over the positive runs.
+    """All maximal scoring segments (start, end, score), in time linear in the positive runs.
 
-    Each is a run that no part of outscores and that no longer stretch improves on.
+    Each is a run that no part of outscores and that no longer stretch improves on. A segment that is
+    kept knows the nearest one before it that begins on a lower sum, so none is looked at twice; where
+    there is none, all segments so far are final.
     """
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum with it
-    total, at = 0.0, 0
     sums = np.concatenate([[0.0], np.cumsum(scores)])
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
@@ -65,18 +65,26 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     breaks = np.flatnonzero(np.diff(positive) > 1)
     starts = positive[np.concatenate([[0], breaks + 1])]
     ends = positive[np.concatenate([breaks, [len(positive) - 1]])] + 1
+    final: list[tuple[int, int, float]] = []
+    # Start, end, sum before, sum with it, and the place of the nearest one on a lower sum.
+    kept: list[tuple[int, int, float, float, int]] = []
     for start, end in zip(starts.tolist(), ends.tolist()):
         before, after = float(sums[start]), float(sums[end])
+        j = len(kept) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= before:
-                j -= 1
-            if j < 0 or found[j][3] >= after:
-                found.append((start, end, before, after))
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0:
+                final += [(a, b, high - low) for a, b, low, high, _ in kept]
+                kept = [(start, end, before, after, -1)]
                 break
-            start, before = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, b, after - before) for a, b, before, after in found]
+            if kept[j][3] >= after:
+                kept.append((start, end, before, after, j))
+                break
+            start, _, before, _, lower = kept[j]
+            del kept[j:]
+            j = lower
+    return final + [(a, b, high - low) for a, b, low, high, _ in kept]
 
 
 @dataclass(frozen=True)
