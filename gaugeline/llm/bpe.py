@@ -36,6 +36,8 @@ STORED_WORDS = 1_200_000
 ASKED_WORDS = 4096
 #: Ids on each side of a join that are encoded again at first.
 WINDOW = 16
+#: Ids of the smallest window around a join.
+LEAST_WINDOW = 16
 
 # The characters that end a word for the library's expressions.
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -293,11 +295,16 @@ class Encoder:
         return raw
 
     def join(self, left: bytes, right: bytes, window: int = WINDOW) -> bytes:
-        """Ids of the text whose parts have the ids `left` and `right`, cut anywhere."""
+        """Ids of the text whose parts have the ids `left` and `right`, cut anywhere.
+
+        Both sides must agree on half a window, which is at least `LEAST_WINDOW` ids: fewer do not tell
+        that the words in between are cut as in the whole text.
+        """
+        window = max(window, LEAST_WINDOW)
         a, b = np.frombuffer(left, dtype=IDS), np.frombuffer(right, dtype=IDS)
         if not len(a) or not len(b):
             return left + right
-        margin = max(window // 2, 1)
+        margin = window // 2
         while True:
             i, j = max(len(a) - window, 0), min(window, len(b))
             raw = self._cut_of(np.concatenate([a[i:], b[:j]]))

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from gaugeline.llm.bpe import IDS, binary_rows, encode_texts
 from gaugeline.llm.text import give_back
@@ -211,9 +212,12 @@ def pack(
 ) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids) of every piece of all documents.
 
-    `ids` are little-endian unsigned 32-bit. Every sequence is full or a power of two long.
+    `ids` are little-endian unsigned 32-bit. Every sequence is full or a power of two long. Between
+    its steps ids take two bytes where the vocabulary and `end_id` fit in them, else four.
     """
-    narrow = np.dtype("<u2")
+    # The largest id, not the number of them: added tokens may leave gaps.
+    largest = max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    narrow = np.dtype("<u2" if largest < 1 << 16 else "<u4")
     kind = T.StructField("doc_id", df.schema[doc_id].dataType)
     written = T.StructType([
         kind, T.StructField("block", T.IntegerType()), T.StructField("rest", T.IntegerType()),
@@ -226,7 +230,7 @@ def pack(
         block, seen, whole = TaskContext.get().partitionId(), np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             column = pa.array([x.as_py() + end for x in batch.column(1)], pa.large_binary())
-            tokens = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[:len(column) + 1]) // 2
+            tokens = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[:len(column) + 1]) // narrow.itemsize
             rest = tokens % size
             order = np.argsort(rest, kind="stable")
             own = np.bincount(rest, minlength=size)
@@ -241,7 +245,7 @@ def pack(
             ], names=written.names)
             whole += int(wholes[-1]) if len(wholes) else 0
 
-    table = settle(encode_texts(df, path, text, (doc_id,), id_bytes=2, then=(numbered, written)))
+    table = settle(encode_texts(df, path, text, (doc_id,), id_bytes=narrow.itemsize, then=(numbered, written)))
     counts = settle(table.groupBy("block", "rest").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("tokens") / size)).alias("wholes")))
     histogram = {r.rest: r.n for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect()}

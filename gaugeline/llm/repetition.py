@@ -1,8 +1,8 @@
 """Quality rules on repetition: suffix arrays over the words of a text.
 
 The suffixes of all texts of a slice are sorted by prefix doubling; only suffixes that are not yet
-told apart are sorted again. The longest common prefix of neighbours in that order gives, for each
-position, the longest passage that starts there and occurs again in the same text. These passages
+told apart are sorted again. The longest common prefix of neighbours in that order, found on sums
+that tell stretches of words apart, gives, for each position, the longest passage that starts there and occurs again in the same text. These passages
 are the longest-common-prefix intervals seen from their members; the union of their spans is the
 repeated part of the text. A text is kept if its repeated part and its longest repeat are in limits.
 
@@ -35,8 +35,8 @@ FIELDS = (
 )
 
 
-def suffix_ranks(symbols: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, until all differ.
+def suffix_ranks(symbols: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes, by their first 1, 2, 4, ... symbols until all differ.
 
     `stop[i]` is where the text of position i ends. `symbols` of different texts must differ.
     """
@@ -47,8 +47,7 @@ def suffix_ranks(symbols: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
     rank = np.empty(n, dtype=np.int32)
     rank[order] = head
     sizes = np.bincount(head, minlength=n)
-    active = order[sizes[head] > 1]
-    levels, step = [rank.copy()], 1
+    active, step = order[sizes[head] > 1], 1
     while len(active):
         after = active + step
         inside = after < stop[active]
@@ -64,9 +63,71 @@ def suffix_ranks(symbols: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
         rank[active] = own + head - np.maximum.accumulate(np.where(old, index, 0))
         sizes = np.bincount(head, minlength=len(active))
         active = active[sizes[head] > 1]
-        levels.append(rank.copy())
         step *= 2
-    return levels
+    return rank
+
+
+#: Pairs of suffixes looked at at once.
+_PAIRS = 1 << 18
+#: Primes below 2^31, whose products fit in 64 bits, and a base for each.
+_PRIMES = ((2147483647, 1103515245), (2147483629, 1481765933))
+
+
+class Stretches:
+    """Sums of symbols times powers, by two primes: a stretch is told by differences of two numbers."""
+
+    def __init__(self, symbols: np.ndarray):
+        self.sums, self.powers = [], []
+        for prime, base in _PRIMES:
+            power = np.ones(len(symbols) + 1, dtype=np.int64)
+            done, factor = 1, base
+            while done < len(power):
+                power[done:2 * done] = power[:min(done, len(power) - done)] * factor % prime
+                done, factor = 2 * done, factor * factor % prime
+            total = np.zeros(len(symbols) + 1, dtype=np.int64)
+            # Below 2^31 each, so that four billion of them add up in 63 bits.
+            np.cumsum((symbols % np.uint64(prime)).astype(np.int64) * power[:-1] % prime, out=total[1:])
+            self.sums.append(total)
+            self.powers.append(power)
+
+    def same(self, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+        """Whether the `n` symbols from i on, which is before j, are those from j on."""
+        out = np.ones(len(i), dtype=bool)
+        for (prime, _), total, power in zip(_PRIMES, self.sums, self.powers):
+            out &= ((total[i + n] - total[i]) % prime * power[j - i] % prime == (total[j + n] - total[j]) % prime)
+        return out
+
+
+def common_prefixes(symbols: np.ndarray, stop: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at `left` and `right` share: doubled until they differ, then halved.
+
+    Memory is a few numbers for each symbol, however long the passages are.
+    """
+    stretches = Stretches(symbols)
+    out = np.zeros(len(left), dtype=np.int64)
+    for at in range(0, len(left), _PAIRS):
+        i = np.minimum(left[at:at + _PAIRS], right[at:at + _PAIRS])
+        j = np.maximum(left[at:at + _PAIRS], right[at:at + _PAIRS])
+        most = np.minimum(stop[i] - i, stop[j] - j)
+        common, fails = np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.int64)
+
+        def longer(pairs: np.ndarray, step: int) -> np.ndarray:
+            """Of some pairs those that share `step` symbols more."""
+            pairs = pairs[common[pairs] + step <= most[pairs]]
+            return pairs[stretches.same(i[pairs] + common[pairs], j[pairs] + common[pairs], step)]
+
+        going, step = np.arange(len(i)), 1
+        while len(going):
+            passed = longer(going, step)
+            common[passed] += step
+            fails[np.setdiff1d(going, passed, assume_unique=True)] = step
+            going, step = passed, 2 * step
+        while step > 1:
+            step //= 2
+            passed = longer(np.flatnonzero(fails > step), step)
+            common[passed] += step
+        out[at:at + _PAIRS] = common
+    return out
 
 
 def repeat_lengths(symbols: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -75,17 +136,10 @@ def repeat_lengths(symbols: np.ndarray, stop: np.ndarray) -> np.ndarray:
     longest = np.zeros(n, dtype=np.int64)
     if n < 2:
         return longest
-    levels = suffix_ranks(symbols, stop)
     suffixes = np.empty(n, dtype=np.int64)
-    suffixes[levels[-1]] = np.arange(n)
+    suffixes[suffix_ranks(symbols, stop)] = np.arange(n)
     left, right = suffixes[:-1], suffixes[1:]
-    common = np.zeros(n - 1, dtype=np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        i, j = left + common, right + common
-        inside = (i < stop[left]) & (j < stop[right])
-        same = np.zeros(n - 1, dtype=bool)
-        same[inside] = levels[k][i[inside]] == levels[k][j[inside]]
-        common[same] += 1 << k
+    common = common_prefixes(symbols, stop, left, right)
     longest[left] = common
     longest[right] = np.maximum(longest[right], common)
     return longest

@@ -2,8 +2,8 @@
 
 Log-odds of words and word beginnings between toxic and other labelled texts are shrunk by a
 Dirichlet prior in proportion to their overall use, and by a use of each term that is dealt to both
-sides as all words are: so a term of one side only is told however large the tables are. A text is scanned once for all of its maximal
-scoring segments. How large the largest segment of a clean text grows follows an extreme-value law
+sides as all words are: so a term of one side only is told however large the tables are. A text is
+scanned once for all of its maximal scoring segments. How large the largest segment of a clean text grows follows an extreme-value law
 with the text's length; a segment's expected count under that law tells whether it is significant.
 The expected count of a text's best segments, calibrated on the labelled rows, is its score.
 
@@ -26,15 +26,15 @@ from pyspark.sql import types as T
 
 from gaugeline.llm.quality import held_out
 from gaugeline.llm.text import LOWER, Runs, Texts, byte_set, give_back, mixed, run_hashes, runs, texts_of
-from gaugeline.session import settle
+from gaugeline.session import discard, settle
 
 _LETTER = byte_set(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
 #: Beginnings of words that are terms of their own, in bytes.
 BEGINNINGS = (4, 5, 6)
 #: About so many labelled rows are learnt from, chosen by a hash of the id; they are broadcast.
 MOST_LABELS = 400_000
-#: Terms of the lexicon, the ones with the largest standardised log-odds.
-MOST_TERMS = 1 << 16
+#: Terms of the lexicon (16 bytes each) that are sent to all tasks at once.
+SENT_TERMS = 1 << 20
 
 
 def terms(texts: Texts) -> tuple[Runs, list[tuple[np.ndarray, np.ndarray]]]:
@@ -89,23 +89,46 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Hashes of terms in ascending order, their log-odds, and the law of chance segments."""
+    """Hashes of terms in ascending order and their log-odds; `drift` is what each word costs.
+
+    More terms than are sent at once stay in `table` and are looked up block by block.
+    """
 
     hashes: np.ndarray
     odds: np.ndarray
     drift: float
-    rate: float = 0.0
+    table: DataFrame | None = None
+    blocks: int = 1
 
-    def scores(self, texts: Texts) -> tuple[Runs, np.ndarray]:
-        """The log-odds of each word: of its most telling term, less the drift."""
+    def block(self, number: int) -> Lexicon:
+        """The lexicon of the terms of one block."""
+        return _lexicon(self.table.where(F.pmod("term", F.lit(self.blocks)) == number), self.drift)
+
+    def best(self, texts: Texts, best: np.ndarray | None = None) -> tuple[Runs, np.ndarray]:
+        """The log-odds of the most telling term of each word, or what `best` has already."""
         words, kinds = terms(texts)
-        best = np.full(len(words.start), -np.inf)
+        best = np.full(len(words.start), -np.inf) if best is None else best.copy()
         for at, hashes in kinds:
             if len(self.hashes):
                 place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
                 hit = self.hashes[place] == hashes
                 np.maximum.at(best, at[hit], self.odds[place[hit]])
-        return words, np.where(np.isfinite(best), best, 0.0) - self.drift
+        return words, best
+
+    def less_drift(self, best: np.ndarray) -> np.ndarray:
+        return np.where(np.isfinite(best), best, 0.0) - self.drift
+
+    def scores(self, texts: Texts) -> tuple[Runs, np.ndarray]:
+        """The log-odds of each word: of its most telling term, less the drift."""
+        words, best = self.best(texts)
+        return words, self.less_drift(best)
+
+
+def _lexicon(told: DataFrame, drift: float) -> Lexicon:
+    found = told.select("term", "odds").toArrow()
+    hashes = found["term"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Lexicon(hashes[order], found["odds"].to_numpy()[order], drift)
 
 
 def _labelled(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int) -> DataFrame:
@@ -121,7 +144,7 @@ def _labelled(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
 
 def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
           label: str = "toxic", prior: float = 500.0, even: float = 1.0, least_z: float = 2.5, drift: float = 2.0,
-          most_labels: int = MOST_LABELS, most_terms: int = MOST_TERMS) -> Lexicon:
+          most_labels: int = MOST_LABELS, sent_terms: int = SENT_TERMS) -> Lexicon:
     """Log-odds of all telling terms. `prior` is the Dirichlet mass of all terms, `even` that of each
     term, dealt by the sides' words; `drift` is what each word costs."""
     rows = _labelled(df, labels, doc_id, text, label, most_labels).select("label", "body")
@@ -164,13 +187,11 @@ def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     odds = (F.log(bad / (n_bad + prior + even_bad - bad))
             - F.log(good / (n_good + prior + even_good - good)))
     told = counts.select("term", odds.alias("odds"), (odds / F.sqrt(1 / bad + 1 / good)).alias("z"))
-    top = (told.where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "term").limit(most_terms)
-           .select("term", "odds").collect())
-    if not top:
-        return nothing
-    hashes = np.array([r.term for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return Lexicon(hashes[order], np.array([r.odds for r in top])[order], drift)
+    told = told.where(F.abs("z") >= least_z).select("term", "odds")
+    n = told.count()
+    if n <= sent_terms:
+        return _lexicon(told, drift)
+    return Lexicon(nothing.hashes, nothing.odds, drift, settle(told), -(-n // sent_terms))
 
 
 def _worst(scores: np.ndarray, words: Runs, n: int) -> Iterator[tuple[int, list]]:
@@ -189,10 +210,18 @@ def find_segments(df: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text:
                            T.StructField("segments", T.ArrayType(span))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
+    if lexicon.table is not None:
+        own = _best_by_blocks(own, lexicon)
+    here = lexicon if lexicon.table is None else Lexicon(lexicon.hashes, lexicon.odds, lexicon.drift)
+
     def rows(batches):
         for batch in batches:
             for texts in texts_of(batch.column(1)):
-                words, scores = lexicon.scores(texts)
+                if batch.num_columns == 2:
+                    words, scores = here.scores(texts)
+                else:
+                    words, best = here.best(texts, _known(batch, texts))
+                    scores = here.less_drift(best)
                 n_words = np.bincount(words.text, minlength=len(texts))
                 first = np.cumsum(n_words) - n_words
                 found: list[list] = [[] for _ in range(len(texts))]
@@ -209,6 +238,42 @@ def find_segments(df: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text:
     return own.mapInArrow(rows, schema)
 
 
+def _known(batch: pa.RecordBatch, texts: Texts) -> np.ndarray | None:
+    """What earlier blocks of terms found for the words of some texts, which follow one another."""
+    parts = batch.column(2).slice(texts.first, len(texts))
+    if parts.null_count:
+        return None
+    return np.frombuffer(b"".join(x.as_py() for x in parts), dtype=np.float64)
+
+
+def _best_by_blocks(own: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(doc_id, body, best): the most telling term of each word, over all blocks of the lexicon.
+
+    Texts are written once for each block with what was found so far, and the copy before is deleted.
+    """
+    names, old = ["doc_id", "body", "best"], None
+    schema = T.StructType([*own.schema.fields, T.StructField("best", T.BinaryType())])
+    rows = own.withColumn("best", F.lit(None).cast("binary"))
+    for number in range(lexicon.blocks):
+        here = lexicon.block(number)
+
+        def looked_up(batches, here=here):
+            for batch in batches:
+                for texts in texts_of(batch.column(1)):
+                    words, best = here.best(texts, _known(batch, texts))
+                    ends = np.searchsorted(words.text, np.arange(len(texts) + 1))
+                    found = [best[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(texts.first, len(texts)), batch.column(1).slice(texts.first, len(texts)),
+                        pa.array(found, pa.binary())], names=names)
+
+        rows = settle(rows.mapInArrow(looked_up, schema))
+        if old is not None:
+            discard(old)
+        old = rows
+    return rows
+
+
 #: Texts have their evidence counted on a grid of this step, up to this many cells.
 _STEP, _CELLS = 0.25, 2000
 

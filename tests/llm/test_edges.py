@@ -70,6 +70,30 @@ def test_minhash(docs):
             map(str, [1, 1, 2, 3, 4, 6, 7, 9, None, None]))
 
 
+def test_packing_of_a_large_vocabulary(spark, tmp_path):
+    """Ids beyond two bytes stay whole."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    vocabulary = {f"w{i}": i for i in range(70_000)}
+    file = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None,
+            "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+            "post_processor": None, "decoder": None, "model": {}}
+    file["model"] = json.load(open(BYTES))["model"]
+    highest = max(file["model"]["vocab"].values())
+    file["model"]["vocab"] |= {w: highest + 1 + i for w, i in vocabulary.items()}
+    file["model"]["vocab"]["\u0120the"] = highest + len(vocabulary) + 1
+    path = str(tmp_path / "large.json")
+    json.dump(file, open(path, "w"))
+    ids = Tokenizer.from_file(path).encode("one the two", add_special_tokens=False).ids
+    assert max(ids) > 1 << 16
+    df = spark.createDataFrame([(1, "one the two")], "doc_id long, text string")
+    out = got(packing.pack(df, path, end_id=0, size=16))
+    raw = b"".join(r["ids"] for r in sorted(out, key=lambda r: r["start"]))
+    assert [int.from_bytes(raw[i:i + 4], "little") for i in range(0, len(raw), 4)] == [*ids, 0]
+
+
 @pytest.mark.parametrize("data", [[], [
     (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [0.0, 0.0], 0), (5, None, 0),
     (6, [1.0, None], 0), (7, [float("nan"), 1.0], 0), (8, [float("inf"), 1.0], 0), (9, [1.0, 0.0], None),

@@ -109,3 +109,57 @@ def test_words_from_a_small_store_are_the_library_s():
             own = texts[at:at + 50]
             theirs = encoder.tokenizer.encode_batch(own, add_special_tokens=False)
             assert encoder.encode_all(own) == [np.array(x.ids, dtype="<u4").tobytes() for x in theirs]
+
+
+def test_long_repeats_without_levels():
+    """Passages of half a text, equal words, and a sequence that fools sums without a prime."""
+    import tracemalloc
+
+    from gaugeline.llm import repetition
+
+    def longest(symbols):
+        symbols = np.array(symbols, dtype=np.uint64)
+        return repetition.repeat_lengths(symbols, np.full(len(symbols), len(symbols)))
+
+    def plain(symbols):
+        n, out = len(symbols), []
+        for i in range(n):
+            best = 0
+            for j in range(n):
+                k = 0
+                while i != j and max(i, j) + k < n and symbols[i + k] == symbols[j + k]:
+                    k += 1
+                best = max(best, k)
+            out.append(best)
+        return out
+
+    random.seed(8)
+    for _ in range(60):
+        s = [random.randrange(3) for _ in range(random.randrange(1, 40))]
+        assert longest(s).tolist() == plain(s)
+    half = [random.randrange(10 ** 6) for _ in range(5000)]
+    assert longest(half + half)[0] == 5000 and longest(half + [1] + half[1:])[1] == 4999
+    morse = [bin(i).count("1") % 2 for i in range(4096)]
+    other = [1 - x for x in morse]
+    assert longest(morse + [7] + other).max() == longest([2 * x for x in morse] + [7] + [2 * x for x in other]).max()
+    tracemalloc.start()
+    assert longest([5] * 300_000)[0] == 299_999
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def test_joins_with_the_smallest_windows():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gaugeline.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    encoder = bpe.Encoder(path)
+    text = "  aa  \u1680aaa  aa  \u1680aaa" * 3
+    wanted = library.encode(text, add_special_tokens=False).ids
+    for at in range(0, len(text) + 1):
+        left, right = (encoder.whole(x) for x in (text[:at], text[at:]))
+        for window in (1, 2, 4):
+            assert np.frombuffer(encoder.join(left, right, window), dtype=bpe.IDS).tolist() == wanted
