@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.components import components
+from gaugeline.llm.components import components, with_least_id
 from gaugeline.session import settle
 
 #: Distinct vectors that share a cell before pivots are used, for a label.
@@ -36,6 +36,8 @@ BLOCK = 4096
 def _unit(column: pa.Array) -> np.ndarray:
     lists = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = lists.reshape(len(column), -1)
+    # Powers of two first, which change no digit: squares of very large or small components do not fit.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -76,8 +78,7 @@ def _pivots(nodes: DataFrame, sizes: list, cell: int, most: int) -> dict[tuple,
     for (label, dim), n in sorted(wanted.items(), key=lambda x: -x[1])[:most // 2]:
         rows = (nodes.where((F.col("label") == label) & (F.col("dim") == dim))
                 .orderBy(rank).limit(SAMPLE * n).select("vector").collect())
-        x = np.array([r.vector for r in rows], dtype=np.float64)
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = _unit(pa.array([r.vector for r in rows], pa.list_(pa.float64())))
         picked = [0]
         far = np.linalg.norm(x - x[0], axis=1)
         while len(picked) < min(n, len(x)):
@@ -193,8 +194,7 @@ def near_vectors(
                 F.coalesce("component", "node").alias("component"))
     )
     linked = settle(good.join(known, ["label", "vector"]).select("vec_id", "n_links", "component"))
-    smallest = linked.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = linked.join(smallest, "component").select("vec_id", "n_links", "component_id")
+    out = with_least_id(linked, "vec_id")
     alone = rows.where(~usable).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

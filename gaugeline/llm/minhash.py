@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.llm.components import components
+from gaugeline.llm.components import components, with_least_id
 from gaugeline.llm.text import (
     _PLACE, BLANKS, LOWER, Texts, give_back, mixed, numbers, run_hashes, runs, shingle_hashes, texts_of,
 )
 from gaugeline.session import settle
 
-#: Bins of a sketch. Bands take 8 bins from 85 percent on, else 6: a pair at 85 percent shares no
-#: bucket once in 25,000 times, one at 80 percent once in 300,000.
+#: Bins of a sketch.
 BINS = 256
+#: How often a pair that is just similar enough may share no bucket.
+MISS = 1e-5
 #: Members of a bucket compared at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 512
 #: Ids of candidates up to this many are broadcast (8 bytes each) to pick their sets from the files.
@@ -39,6 +40,14 @@ MOST_IDS_SENT = 1_000_000
 _SIZE = 6  # bytes kept of a shingle's hash
 
 
+def band_rows(percent: int, miss: float = MISS) -> int:
+    """The widest bands, in bins, at which a pair at `percent` shares no bucket at most `miss` times."""
+    def missed(rows: int) -> float:
+        return (1 - (percent / 100) ** rows) ** (BINS // rows)
+
+    return max((r for r in range(1, 17) if missed(r) <= miss), default=1)
+
+
 def _borrowed(sketch: np.ndarray, full: np.ndarray) -> np.ndarray:
     """Every empty bin takes the value of the first full bin on a path that only the bin decides."""
     out = sketch.copy()
@@ -263,11 +272,19 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, size: int = 5,
-    block: int = BLOCK,
+    block: int = BLOCK, miss: float = MISS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): texts whose shingle sets are linked, directly or by
-    a chain, at a Jaccard similarity of `percent` or more are one component."""
-    sketched = sketch_table(df, doc_id, text, size, 8 if percent >= 85 else 6)
+    a chain, at a Jaccard similarity of `percent` or more are one component.
+
+    Every link is confirmed on whole sets. Candidates come from buckets: a pair at exactly `percent`
+    shares none at most `miss` times, a more similar pair far less often, and the bands are made as
+    narrow as that takes (7 bins at 85 percent, 6 at 80, 4 at 70, 2 at 50). Inside a bucket, a pair in
+    different components is passed over if its sketches are 4.5 standard deviations too far apart,
+    some 3 times in a million at exactly `percent`. A pair that is missed still ends up in one
+    component if any chain of other links joins it.
+    """
+    sketched = sketch_table(df, doc_id, text, size, band_rows(percent, miss))
     table = settle(sketched.withColumn("row", F.monotonically_increasing_id()))
     filled = table.where("n > 0")
     first = filled.groupBy("one", "two", "n").agg(F.min("row").alias("node"))
@@ -324,9 +341,7 @@ def near_duplicates(
         .join(by_node.select("node", "component"), "node", "left")
         .select("row", "doc_id", "n", F.coalesce("component", "node").alias("component"))
     )
-    ids = settle(ids)
-    smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = ids.join(smallest, "component").select("doc_id", "n", "component_id")
+    linked = with_least_id(settle(ids.select("doc_id", "n", "component")), "doc_id")
     alone = table.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import public_tokenizers
 import pyarrow as pa
 
@@ -163,3 +164,72 @@ def test_joins_with_the_smallest_windows():
         left, right = (encoder.whole(x) for x in (text[:at], text[at:]))
         for window in (1, 2, 4):
             assert np.frombuffer(encoder.join(left, right, window), dtype=bpe.IDS).tolist() == wanted
+
+
+def test_band_widths_follow_the_similarity():
+    from gaugeline.llm import minhash
+
+    assert [minhash.band_rows(p) for p in (95, 85, 80, 70, 60, 50)] == [14, 7, 6, 4, 3, 2]
+    for p in range(30, 100, 5):
+        rows = minhash.band_rows(p)
+        assert rows == 1 or (1 - (p / 100) ** rows) ** (minhash.BINS // rows) <= minhash.MISS
+
+
+@pytest.mark.parametrize("percent", [50, 70, 85])
+def test_near_duplicates_against_all_pairs(spark, percent):
+    from gaugeline.llm import minhash
+
+    draw = random.Random(percent)
+    texts = []
+    for _ in range(25):
+        words = [f"w{draw.randrange(4000)}" for _ in range(draw.randrange(20, 120))]
+        for _ in range(draw.randrange(1, 9)):
+            own = list(words)
+            for _ in range(draw.randrange(0, 6)):
+                own[draw.randrange(len(own))] = f"v{draw.randrange(4000)}"
+            texts.append(" ".join(own))
+    texts += [texts[0]] * 700
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)))
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, percent=percent).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_vectors_of_any_size(spark):
+    from gaugeline.llm import metric
+
+    base = [[1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [0.0, 1.0, 0.0]]
+    rows = [(10 * k + i, [c * s for c in v], 0) for k, s in enumerate((1.0, 1e200, 1e-200, 1e-308)) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metric.near_vectors(df).collect()}
+    assert got == {i: ((3, 2) if i % 10 == 2 else (7, 0)) for i, _, _ in rows}
+
+
+def test_least_ids_of_large_components(spark):
+    from gaugeline.llm.components import with_least_id
+    from gaugeline.session import settle
+
+    rows = [(i, 1 if i % 3 == 0 else 2 if i % 3 == 1 else 1000 + i // 30) for i in range(3000)] + [(None, 5), (7, None)]
+    df = settle(spark.createDataFrame(rows, "doc_id long, component long"))
+    wanted = {}
+    for i, c in rows:
+        if c is not None and i is not None:
+            wanted[c] = min(i, wanted.get(c, i))
+    for large in (2, 500, 10 ** 6):
+        got = sorted(((r.doc_id, r.component_id) for r in with_least_id(df, "doc_id", large).collect()), key=str)
+        assert got == sorted(((i, wanted.get(c)) for i, c in rows if c is not None), key=str)
