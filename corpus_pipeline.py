@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import pii, quality
-from gaugeline.llm.minhash import keep_one
+from gaugeline.llm.minhash import MOST_IDS_SENT, keep_one
 from gaugeline.llm.packing import pack
 from gaugeline.llm.queries import importable, table
 from gaugeline.llm.repetition import keep_passing
@@ -27,8 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.3 or more by a model of the labelled ones among them; without labels, all."""
     importable(spark)
-    stats = settle(quality.document_statistics(docs))
     labels = table(spark, sf_dir, "labels")
+    # The model needs the statistics of labelled documents only; the score takes its own of all.
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id").distinct()
+    few = known.count() <= MOST_IDS_SENT
+    labelled = docs.join(F.broadcast(known) if few else known, "doc_id", "left_semi")
+    stats = settle(quality.document_statistics(labelled))
     return quality.keep_good(docs, quality.fit(quality.training_rows(stats, labels, "quality")))
 
 
