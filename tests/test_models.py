@@ -178,6 +178,23 @@ def test_missing_features_take_the_median(spark, readings, tiers):
         score(readings.drop(N.DATE), model)
 
 
+def test_both_ways_of_scoring_agree(spark, readings, tiers):
+    """To the last digit; the expression needs no Python worker."""
+    from dataclasses import replace
+
+    from gaugeline.operators.boosting import Node
+
+    column = "pred_DO_quantile_low"
+    low = tiers["low"]
+    odd = [Node(0, float("inf"), 1, 2, 0.0), Node(-1, 0.0, -1, -1, 1e-300), Node(-1, 0.0, -1, -1, -1e300)]
+    for model in (low, replace(low, trees=[]), replace(low, trees=[*low.trees, odd], base=-0.1)):
+        native, arrow = score(readings, model, native=True), score(readings, model, native=False)
+        got = [sorted((r["id"], r[column]) for r in df.collect()) for df in (native, arrow)]
+        assert got[0] == got[1]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (native, arrow)]
+        assert "ArrowEvalPython" not in plans[0] and ("ArrowEvalPython" in plans[1])
+
+
 def test_registry(spark, readings, tiers, tmp_path):
     folder = str(tmp_path / "models")
     assert list_models(spark, folder).count() == 0
