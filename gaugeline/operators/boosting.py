@@ -131,9 +131,20 @@ def train_quantile(
     `accuracy` rows. Training stops once the validation error has not improved for `patience` rounds;
     the best run of trees is kept (see `forest.boost`).
     """
+    (model,) = _trained(
+        df, target, [tier], ts, tiebreak, features, require_features, mode, rounds=rounds, learning_rate=learning_rate,
+        patience=patience, depth=depth, max_bins=max_bins, feature_fraction=feature_fraction, accuracy=accuracy,
+        seed=seed)
+    return model
+
+
+def _trained(
+    df: DataFrame, target: str, tiers: Sequence[str], ts: str, tiebreak: Sequence[str],
+    features: Sequence[str] | None, require_features: bool, mode: str, **schedule,
+) -> list[QuantileModel]:
+    """Models of one target, one for each tier, on the same rows."""
     if target not in targets(df.columns):
         raise ValueError(f"{target!r} is no level, change or future level of the table.")
-    label, alpha = quantile_alpha(tier)
     features = list(features or feature_columns(df.columns))
     raw = settle(
         training_table(
@@ -148,13 +159,13 @@ def train_quantile(
     medians = {c: found[x] for c, x in zip(features, xs)}
     usable = [i for i, c in enumerate(features) if medians[c] is not None]
     filled = raw.fillna({xs[i]: medians[features[i]] for i in usable}).fillna(0.0, subset=xs)
-    part = F.array_position(F.array(*[F.lit(p) for p in _PARTS]), F.col("split")) - 1
-    table = filled.select(*xs, F.col("y").alias("y0"), part.cast("int").alias("p0"))
-    (model,) = _models(table, [target], [counts], [medians], features, usable, alpha, label, mode,
-                       max_bins=max_bins, accuracy=accuracy, rounds=rounds, learning_rate=learning_rate,
-                       patience=patience, depth=depth, feature_fraction=feature_fraction, seed=seed)
+    part = (F.array_position(F.array(*[F.lit(p) for p in _PARTS]), F.col("split")) - 1).cast("int")
+    n = range(len(tiers))
+    table = filled.select(*xs, *[F.col("y").alias(f"y{g}") for g in n], *[part.alias(f"p{g}") for g in n])
+    models = _models(table, [target] * len(n), [counts] * len(n), [medians] * len(n), features, usable,
+                     [quantile_alpha(t) for t in tiers], mode, **schedule)
     discard(raw)
-    return model
+    return models
 
 
 _PARTS = ("fit", "val", "test")
@@ -162,8 +173,8 @@ _PARTS = ("fit", "val", "test")
 
 def _models(
     table: DataFrame, names: Sequence[str], counts: Sequence[Mapping[str, int]],
-    medians: Sequence[Mapping[str, float | None]], features: Sequence[str], usable: Sequence[int], alpha: float,
-    label: str, mode: str, *, max_bins: int, accuracy: int, **schedule,
+    medians: Sequence[Mapping[str, float | None]], features: Sequence[str], usable: Sequence[int],
+    tiers: Sequence[tuple[str, float]], mode: str, *, max_bins: int, accuracy: int, **schedule,
 ) -> list[QuantileModel]:
     """Models of `y0..` from `x0..`, by the parts `p0..`, trained together on the same codes.
 
@@ -175,24 +186,39 @@ def _models(
     points = [(k + 1) / max_bins for k in range(max_bins - 1)]
     measured = table.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.percentile_approx(F.when(F.col(f"p{g}") == 0, F.col(f"y{g}")), alpha, accuracy).alias(f"y{g}") for g in n],
+        *[F.percentile_approx(F.when(F.col(f"p{g}") == 0, F.col(f"y{g}")), tiers[g][1], accuracy).alias(f"y{g}")
+          for g in n],
         *[F.percentile_approx(F.when(fit, F.col(x)), points, accuracy).alias(x) for x in xs],
     ).first()
     cuts = [np.unique(np.array(measured[x], dtype=float)) for x in xs]
-    goals = [Goal(alpha, float(measured[f"y{g}"])) for g in n]
+    goals = [Goal(tiers[g][1], float(measured[f"y{g}"])) for g in n]
     boost(table, cuts, usable, goals, measured["rows"], accuracy=accuracy, **schedule)
     return [
         QuantileModel(name, list(features), dict(medians[g]), goals[g].base,
-                      [[plain(node, cuts) for node in tree] for tree in goals[g].trees], alpha, label, mode,
+                      [[plain(node, cuts) for node in tree] for tree in goals[g].trees], tiers[g][1], tiers[g][0], mode,
                       goals[g].mae, goals[g].mae_validation, dict(counts[g]))
         for g, name in enumerate(names)
     ]
 
 
 def train_tiers(
-    df: DataFrame, target: str, tiers: Sequence[str] = tuple(N.QUANTILE_TIERS), **options
+    df: DataFrame, target: str, tiers: Sequence[str] = tuple(N.QUANTILE_TIERS), *, ts: str = N.DATE,
+    tiebreak: Sequence[str] = (), features: Sequence[str] | None = None, rounds: int = N.BOOST_ROUNDS,
+    learning_rate: float = N.LEARNING_RATE, patience: int = N.PATIENCE, depth: int = TREE_DEPTH,
+    max_bins: int = MAX_BINS, feature_fraction: float = N.FEATURE_FRACTION, accuracy: int = ACCURACY,
+    seed: int = N.SEED, require_features: bool = False, mode: str = "pure_weather", shared: bool = False,
 ) -> dict[str, QuantileModel]:
-    return {tier: train_quantile(df, target, tier, **options) for tier in tiers}
+    """Models of one target at several quantiles, trained in the same passes.
+
+    Each equals the model that `train_quantile` gives. With `shared`, all have the same splits, each
+    its own values in the leaves: what they say of a row then comes from the same rows. Either way
+    `scoring.score_tiers` puts what they say of a row in order.
+    """
+    models = _trained(
+        df, target, tiers, ts, tiebreak, features, require_features, mode, rounds=rounds, learning_rate=learning_rate,
+        patience=patience, depth=depth, max_bins=max_bins, feature_fraction=feature_fraction, accuracy=accuracy,
+        seed=seed, shared=shared)
+    return dict(zip(tiers, models))
 
 
 def train_targets(
@@ -216,7 +242,6 @@ def train_targets(
     failures = {name: f"ValueError: {name!r} is no level, change or future level of the table."
                 for name in names if name not in known}
     names = [name for name in dict.fromkeys(names) if name in known]
-    label, alpha = quantile_alpha("mid")
     schedule = dict(max_bins=max_bins, accuracy=accuracy, rounds=rounds, learning_rate=learning_rate,
                     patience=patience, depth=depth, feature_fraction=feature_fraction, seed=seed)
     work = calendar_features(df, ts)
@@ -242,7 +267,7 @@ def train_targets(
         table = settle(table.where(F.greatest(*[F.col(f"p{i}") for i in range(len(together))], F.lit(-1)) >= 0))
         medians = _medians(table, xs, features, len(together))
         models = _models(table, [names[g] for g in together], [parts[g].rows for g in together], medians, features,
-                         range(len(features)), alpha, label, mode, **schedule)
+                         range(len(features)), [quantile_alpha("mid")] * len(together), mode, **schedule)
         trained |= {m.target: m for m in models}
         discard(table)
     for name in by_rows:

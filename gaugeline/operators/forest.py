@@ -234,8 +234,8 @@ def _count(
     return cells, error
 
 
-def _best(cells: np.ndarray, codes: Codes, alpha: float) -> list[tuple[float, int, int, int, int]]:
-    """Gain, feature, cut and rows on both sides of the best split of each node; feature -1 if none."""
+def _gains(cells: np.ndarray, codes: Codes, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node and cut the gain of splitting there, and the rows on both sides."""
     begin = codes.first[:-1].repeat(codes.sizes)
     end = codes.first[1:].repeat(codes.sizes) - 1
     upto = np.cumsum(cells.astype(np.int64), axis=1)
@@ -246,10 +246,13 @@ def _best(cells: np.ndarray, codes: Codes, alpha: float) -> list[tuple[float, in
     n, slope = nl[:, end], sl[:, end]
     nr, sr = n - nl, slope - sl
     gain = sl ** 2 / np.maximum(nl, 1) + sr ** 2 / np.maximum(nr, 1) - slope ** 2 / np.maximum(n, 1)
-    gain = np.where((nl >= LEAST_ROWS) & (nr >= LEAST_ROWS), gain, 0.0)
-    at = gain.argmax(axis=1)
+    return np.where((nl >= LEAST_ROWS) & (nr >= LEAST_ROWS), gain, 0.0), nl, nr
+
+
+def _best(gain: np.ndarray, nl: np.ndarray, nr: np.ndarray, codes: Codes) -> list[tuple[float, int, int, int, int]]:
+    """Gain, feature, cut and rows on both sides of the best split of each node; feature -1 if none."""
     out = []
-    for node, k in enumerate(at.tolist()):
+    for node, k in enumerate(gain.argmax(axis=1).tolist()):
         i = int(np.searchsorted(codes.first, k, "right")) - 1
         found = gain[node, k] > 1e-9
         out.append((float(gain[node, k]), codes.chosen[i] if found else -1, k - int(codes.first[i]),
@@ -258,7 +261,7 @@ def _best(cells: np.ndarray, codes: Codes, alpha: float) -> list[tuple[float, in
 
 
 def _grow(
-    rdd: RDD, pending: list, goals: Sequence[Goal], growing: Sequence[int], codes: Codes, depth: int,
+    rdd: RDD, pending: list, goals: Sequence[Goal], growing: Sequence[int], codes: Codes, depth: int, shared: bool,
 ) -> tuple[dict[int, list[Node]], dict[int, tuple[float, int]]]:
     """A tree without leaf values for each goal, all level by level, and the errors before them."""
     trees = {g: [_LEAF] for g in growing}
@@ -273,15 +276,22 @@ def _grow(
             break
         cells, found = _count(rdd, pending, active, trees, counted, codes, level == 0)
         errors = found if level == 0 else errors
+        by_goal, gains = {}, {}
         for g in active:
             if cells.get(g) is None:
                 counted[g] = []
                 continue
             by_node = {node: cells[g][i] for i, node in enumerate(counted[g])}
             by_node |= {node: whole - by_node[other] for node, other, whole in rest[g]}
-            nodes = sorted(by_node)
-            best = _best(np.stack([by_node[n] for n in nodes]), codes, goals[g].alpha)
-            splits = [(b, node) for b, node in zip(best, nodes) if b[1] >= 0]
+            by_goal[g] = by_node
+            gains[g] = _gains(np.stack([by_node[n] for n in sorted(by_node)]), codes, goals[g].alpha)
+        if shared and gains:
+            # The slopes of a quantile vary by alpha (1 - alpha), so that is each goal's measure.
+            whole_gain = sum(gains[g][0] / (goals[g].alpha * (1 - goals[g].alpha)) for g in gains)
+            gains = {g: (whole_gain, *gains[g][1:]) for g in gains}
+        for g, by_node in by_goal.items():
+            best = _best(*gains[g], codes)
+            splits = [(b, node) for b, node in zip(best, sorted(by_node)) if b[1] >= 0]
             counted[g], rest[g] = [], []
             # The best splits first, while leaves are left to give.
             for (_, f, k, nl, nr), node in sorted(splits, key=lambda s: (-s[0][0], s[1])):
@@ -372,12 +382,15 @@ def _rescored(pending: list) -> Callable:
 def boost(
     df: DataFrame, cuts: Sequence[np.ndarray], usable: Sequence[int], goals: Sequence[Goal], rows: int, *,
     rounds: int, learning_rate: float, patience: int, depth: int, feature_fraction: float, accuracy: int, seed: int,
+    shared: bool = False,
 ) -> None:
     """Grow the trees of all goals, at most `rounds`, in place; each goal stops on its own.
 
     A round is one pass for each level of the trees and one for their values, whatever the number of
     goals. Every `ROUNDS_PER_TABLE` rounds the blocks are written with their scores and the table
     before is deleted. Each goal keeps its best run of trees by validation error, then gets its errors.
+    `shared` goals, quantiles of one value on the same rows, split alike, where all that still grow gain
+    most together, and differ in the values of their leaves.
     """
     spark = df.sparkSession
     table = settle(blocks(df, cuts, goals, rows))
@@ -388,7 +401,7 @@ def boost(
     for done in range(rounds + 1):
         growing = [g for g, goal in enumerate(goals) if goal.growing]
         chosen = sorted(picker.sample(list(usable), take)) if done < rounds else []
-        trees, errors = _grow(rdd, pending, goals, growing, Codes(cuts, chosen), depth if chosen else 0)
+        trees, errors = _grow(rdd, pending, goals, growing, Codes(cuts, chosen), depth if chosen else 0, shared)
         for g in growing:
             goal, (wrong, n) = goals[g], errors.get(g, (0.0, 0))
             error = wrong / n if n else math.inf

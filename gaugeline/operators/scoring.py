@@ -77,6 +77,22 @@ def score_all(df: DataFrame, models: Sequence[QuantileModel], *, ts: str = N.DAT
     return df
 
 
+def score_tiers(df: DataFrame, models: Mapping[str, QuantileModel], *, ts: str = N.DATE) -> DataFrame:
+    """The predictions of all quantiles of one target, of each row in the order of the quantiles.
+
+    Quantiles that are fitted apart may cross. Put in order, none is farther from the true ones.
+    """
+    ordered = sorted(models.values(), key=lambda m: m.alpha)
+    names = [prediction_column(m.target, m.label, False) for m in ordered]
+    if len({m.target for m in ordered}) != 1 or len(set(names)) < len(names):
+        raise ValueError("Need one model for each quantile of one target.")
+    scored = score_all(df, ordered, ts=ts)
+    rest = [ref(c) for c in scored.columns if c not in names]
+    sorted_ = F.array_sort(F.array(*map(ref, names)))
+    return scored.select(*rest, sorted_.alias("__q")).select(
+        *rest, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 def absolute_error(truth: str, predicted: str) -> Column:
     return F.avg(F.abs(ref(truth) - ref(predicted)))
 

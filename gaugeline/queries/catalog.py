@@ -17,7 +17,7 @@ from gaugeline.functions.values import (
 )
 from gaugeline.operators import clean, climate, lags, sequence
 from gaugeline.operators.boosting import (
-    Node, QuantileModel, train_quantile, train_targets, training_table,
+    Node, QuantileModel, train_quantile, train_targets, train_tiers, training_table,
 )
 from gaugeline.operators.coverage import daily_coverage, day_blocks
 from gaugeline.operators.fit import append_fit_summary, daily_fit
@@ -25,7 +25,7 @@ from gaugeline.operators.holdout import holdout, nested_holdout, split_counts, w
 from gaugeline.operators.neighbourhood import near_events, pair_predictions
 from gaugeline.operators.quantiles import exact_medians
 from gaugeline.operators.scoring import (
-    impute, mean_absolute_error, metrics_report, score, score_all,
+    impute, mean_absolute_error, metrics_report, score, score_all, score_tiers,
 )
 from gaugeline.plans.files import weather_lag_folder
 from gaugeline.plans.lake import lake_features, lake_lag_table
@@ -1066,6 +1066,15 @@ def quantile_scores(spark: SparkSession, folder: str) -> DataFrame:
     return snake(score(rows, load_model(spark, folder_, name)))
 
 
+@registered()
+def quantile_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """All three quantiles from one training, in order on every row."""
+    rows = _training_rows(spark, folder)
+    models = train_tiers(rows, N.LEVEL, tiebreak=["event_id"], shared=True)
+    names = [f"pred_DO_quantile_{t}" for t in models]
+    return rounded(score_tiers(rows, models).select("event_id", *names), *names)
+
+
 @registered()
 def model_report(spark: SparkSession, folder: str) -> DataFrame:
     """All eleven targets, on the operator's own schedule."""

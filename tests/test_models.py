@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -15,7 +16,7 @@ from gaugeline.operators.holdout import (
     check_split_sizes, holdout, nested_holdout, split_counts, week_key,
 )
 from gaugeline.operators.neighbourhood import pair_predictions
-from gaugeline.operators.scoring import metrics_report, score
+from gaugeline.operators.scoring import metrics_report, score, score_tiers
 from gaugeline.sources.registry import delete_model, list_models, load_model, save_model
 
 START = datetime(2024, 1, 1)
@@ -155,6 +156,27 @@ def test_quantiles(readings, tiers):
     assert repeat.trees == tiers["mid"].trees
 
 
+def test_tiers_of_one_structure(spark, readings):
+    """One training: the same splits, an order on every row, and the share of rows each tier asks for."""
+    models = train_tiers(readings, "DO", shared=True, tiebreak=["id"], rounds=40, learning_rate=0.1, patience=40)
+    shape = lambda m, n: [[(x.feature, x.threshold, x.left, x.right) for x in t] for t in m.trees[:n]]
+    n = min(len(m.trees) for m in models.values())
+    assert n > 5 and shape(models["low"], n) == shape(models["mid"], n) == shape(models["high"], n)
+    scored = score_tiers(readings, models)
+    low, mid, high = (f"pred_DO_quantile_{t}" for t in ("low", "mid", "high"))
+    assert scored.count() == 1500 and scored.where(f"NOT (`{low}` <= `{mid}` AND `{mid}` <= `{high}`)").isEmpty()
+    share = scored.agg(*[F.avg((F.col("DO") <= F.col(c)).cast("int")) for c in (low, mid, high)]).first()
+    assert list(share) == pytest.approx([0.1, 0.5, 0.9], abs=0.1)
+    for model, column in zip((models["low"], models["high"]), (low, high)):
+        base = scored.withColumn("base", F.lit(model.base))
+        assert pinball(base, column, model.alpha) < 0.8 * pinball(base, "base", model.alpha)
+    # Crossing predictions of any models are put in order.
+    crossing = {"low": models["low"], "high": replace(models["high"], base=models["low"].base - 100)}
+    assert score_tiers(readings, crossing).where(f"`{low}` > `{high}`").isEmpty()
+    with pytest.raises(ValueError):
+        score_tiers(readings, {"a": models["low"], "b": models["low"]})
+
+
 def test_training_by_default_stops_and_beats_the_constant(spark, readings):
     """300 rounds at most, 50 without a gain."""
     model = train_quantile(readings, "DO", "low", tiebreak=["id"])
@@ -180,8 +202,6 @@ def test_missing_features_take_the_median(spark, readings, tiers):
 
 def test_both_ways_of_scoring_agree(spark, readings, tiers):
     """To the last digit; the expression needs no Python worker."""
-    from dataclasses import replace
-
     from gaugeline.operators.boosting import Node
 
     column = "pred_DO_quantile_low"
