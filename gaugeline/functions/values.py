@@ -51,8 +51,12 @@ def timestamp(df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMATS) -
 
 def _this_century(when: Column, text: Column) -> Column:
     """Two-digit years from 69 on belong to the last century."""
-    late = (F.year(when) >= 2069) & ~text.rlike("[0-9]{4}")
-    return F.when(late, when - F.expr("INTERVAL '100' YEAR")).otherwise(when)
+    return F.when(text.rlike("[0-9]{4}"), when).otherwise(last_century(when))
+
+
+def last_century(when: Column) -> Column:
+    """Years from 2069 on, read off two digits, moved to the last century."""
+    return F.when(F.year(when) >= 2069, when - F.expr("INTERVAL '100' YEAR")).otherwise(when)
 
 
 def with_timestamp(

@@ -1,4 +1,8 @@
-"""Whole runs from input files to output files."""
+"""Whole runs from input files to output files.
+
+Dates are read by the layouts that the whole column shows (`functions/dates.py`), which is one pass over
+the text before the run; the plans themselves go row by row and take columns that are times already.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline import names as N
 from gaugeline.functions.columns import date_column, prediction_column
-from gaugeline.functions.values import with_numbers, with_timestamp
+from gaugeline.functions.dates import with_dates
+from gaugeline.functions.values import with_numbers
 from gaugeline.operators.boosting import QuantileModel, train_quantile, train_targets
 from gaugeline.operators.coverage import day_blocks
 from gaugeline.operators.scoring import metrics_record, metrics_report, score
@@ -25,6 +30,12 @@ from gaugeline.sources.tables import (
 )
 
 
+def _read(spark: SparkSession, source: str, date: str | None = None) -> DataFrame:
+    """A table whose date column (`functions.columns.date_column`) is a time."""
+    df = read_table(spark, source)
+    return with_dates(df, date_column(df.columns, date))
+
+
 def _beside(path: str) -> str:
     return path.rstrip("/").rpartition("/")[0] or "."
 
@@ -34,7 +45,7 @@ def lake_file(
     horizons: Sequence[int] | None = N.HORIZONS, **options,
 ) -> str:
     """Lake readings to features, with future levels unless `horizons` is None."""
-    df = read_table(spark, source)
+    df = _read(spark, source, options.get("date"))
     options = {"bucket": "auto"} | options
     if horizons is None:
         table, suffix = lake_lag_table(df, **options), N.PARSED_SUFFIX
@@ -46,13 +57,15 @@ def lake_file(
 
 def weather_file(spark: SparkSession, source: str, out: str | None = None) -> str:
     """Raw weather to a parsed table."""
-    table = normalise_weather(read_table(spark, source))
+    raw = read_table(spark, source)
+    date = next((c for c in raw.columns if c.lower() in N.WEATHER_ALIASES[N.DATE]), None)
+    table = normalise_weather(with_dates(raw, date) if date else raw)
     return write_table(table, out or default_output(source, N.PARSED_SUFFIX), source)
 
 
 def yearly_files(spark: SparkSession, source: str, folder: str | None = None) -> dict[str, str]:
     """Parsed weather to the three yearly reports, from one reading of the text."""
-    table = settle(prepare_parsed(read_table(spark, source)))
+    table = settle(prepare_parsed(_read(spark, source, N.DATE)))
     return write_reports(
         yearly_analytics(table), folder or _beside(source), source, order_by=N.DATE
     )
@@ -60,7 +73,7 @@ def yearly_files(spark: SparkSession, source: str, folder: str | None = None) ->
 
 def coverage_files(spark: SparkSession, source: str, folder: str) -> dict[str, str]:
     """Daily coverage and day blocks; both come from one pass over the readings."""
-    days = settle(coverage_report(read_table(spark, source))["daily_time_coverage"])
+    days = settle(coverage_report(_read(spark, source))["daily_time_coverage"])
     tables = {
         "daily_time_coverage": (days, "calendar_date"),
         "consecutive_day_blocks": (day_blocks(days), "block_id"),
@@ -72,7 +85,7 @@ def coverage_files(spark: SparkSession, source: str, folder: str) -> dict[str, s
 
 
 def daily_fit_file(spark: SparkSession, source: str, out: str) -> str:
-    return write_table(daily_fit_report(read_table(spark, source)), out, source, order_by="date")
+    return write_table(daily_fit_report(_read(spark, source)), out, source, order_by="date")
 
 
 def weather_lag_folder(
@@ -85,6 +98,7 @@ def weather_lag_folder(
     `tiebreak` names columns, read as numbers, that order rows of equal time.
     """
     table = with_numbers(read_series_folder(spark, folder, mixed=True), tiebreak)
+    table = with_dates(table, N.DATE) if N.DATE in table.columns else table
     lagged = add_weather_lags(table, keys=["series"], tiebreak=tiebreak, bucket=bucket)
     return write_by_series(lagged, out, order_by=N.DATE)
 
@@ -94,7 +108,7 @@ def transition_file(
     bucket: str | int = "auto",
 ) -> str:
     table = transition_table(
-        read_table(spark, features), read_table(spark, readings), bucket=bucket
+        _read(spark, features), _read(spark, readings), bucket=bucket
     )
     return write_table(table, out, features)
 
@@ -104,9 +118,8 @@ def train_file(
     name: str | None = None, **options,
 ) -> tuple[str, QuantileModel]:
     """Train on a feature table and save the model; returns its name and the model."""
-    df = read_table(spark, source)
-    ts = date_column(df.columns)
-    model = train_quantile(with_timestamp(df, ts), target, tier, ts=ts, **options)
+    df = _read(spark, source)
+    model = train_quantile(df, target, tier, ts=date_column(df.columns), **options)
     return save_model(spark, model, registry, name), model
 
 
@@ -115,7 +128,7 @@ def train_all_file(
     wanted: Sequence[str] | None = None, **options,
 ) -> DataFrame:
     """Train every target, save the models and write the record of the run; returns the report."""
-    table = settle(with_timestamp(read_table(spark, source), N.DATE))
+    table = settle(_read(spark, source, N.DATE))
     models, failures = train_targets(table, wanted, **options)
     paths = {}
     for model in models:

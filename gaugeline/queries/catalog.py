@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugeline import names as N
 from gaugeline.functions.columns import date_column, level_column, prediction_column, reorder
 from gaugeline.functions.time import ref
+from gaugeline.functions.dates import read_dates, with_dates
 from gaugeline.functions.values import (
     calendar_features, ceil_hour, count_unreadable_dates, date_text, halve_positive, hours_of_day,
     number, timestamp, with_numbers, with_timestamp,
@@ -141,6 +142,48 @@ def parsed_date_layouts(spark: SparkSession, folder: str) -> DataFrame:
     return snake(with_timestamp(rows, N.DATE))
 
 
+# Layouts by the remainder of the key: formatter, shape with a short and with a full month name, orders.
+_SHAPES = (
+    ("dd/MM/yyyy HH:mm", "N/N/Y N:N", "N/N/Y N:N", "dmy", "values"),
+    ("HH:mm d/M/yyyy", "N:N N/N/Y", "N:N N/N/Y", "dmy", "values"),
+    ("EEEE, d MMMM yyyy H:mm", "W, N S Y N:N", "W, N B Y N:N", "dmy", "only"),
+    ("yyyy.dd.MM HH:mm", "Y.N.N N:N", "Y.N.N N:N", "ydm", "values"),
+    ("MMMM d, yyyy h:mm a", "S N, Y N:N P", "B N, Y N:N P", "mdy", "only"),
+    ("yyyyMMddHHmmss", "E", "E", "ymd", "only"),
+    ("EEE MMM d yyyy HH:mm", "W S N Y N:N", "W S N Y N:N", "mdy", "only"),
+    ("h:mm a, d-MMM-yyyy", "N:N P, N-S-Y", "N:N P, N-S-Y", "dmy", "only"),
+)
+
+
+def _shaped_texts(spark: SparkSession, folder: str) -> DataFrame:
+    minutes = F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    when, text = F.col("o_orderdate") + minutes, F.lit("no date")
+    for i, (layout, *_) in enumerate(_SHAPES):
+        text = F.when(F.col("o_orderkey") % (len(_SHAPES) + 1) == i, F.date_format(when, layout)).otherwise(text)
+    return table(spark, folder, "orders").select("o_orderkey", text.alias(N.DATE))
+
+
+@registered(f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % {len(_SHAPES) + 1} < {len(_SHAPES)}
+  THEN o_orderdate + to_minutes((o_orderkey % 1440)::INTEGER) END AS d FROM orders
+""")
+def dates_by_column(spark: SparkSession, folder: str) -> DataFrame:
+    """Layouts with their parts in many orders; that days come first is told by the whole column."""
+    return snake(with_dates(_shaped_texts(spark, folder), N.DATE))
+
+
+@registered(f"""
+WITH layout(i, short, long, orders, decided) AS (VALUES {", ".join(
+    f"({i}, '{short}', '{long}', '{orders}', '{decided}')"
+    for i, (_, short, long, orders, decided) in enumerate((*_SHAPES, ("", "", "", "", "unknown"))))})
+SELECT CASE WHEN month(o_orderdate) = 5 THEN short ELSE long END AS shape, count(*) AS rows, orders, decided
+FROM orders JOIN layout ON o_orderkey % {len(_SHAPES) + 1} = i GROUP BY ALL
+""")
+def date_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """What the column of `dates_by_column` holds and how each shape is read."""
+    return read_dates(_shaped_texts(spark, folder), N.DATE).report(spark)
+
+
 @registered("""
 SELECT count(*) AS total, count(*) FILTER (WHERE o_orderpriority LIKE '5%') AS dropped FROM orders
 """)

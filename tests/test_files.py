@@ -92,3 +92,12 @@ def test_weather_files(spark, tmp_path):
     # The short series has no reading 6 hours back, so there is nothing to fill from.
     empty = back.where("AT_TLAG_6hrs IS NULL")
     assert [(r["series"], r["count"]) for r in empty.groupBy("series").count().collect()] == [("b", 5)]
+
+
+def test_days_first_are_told_by_the_whole_file(spark, tmp_path):
+    start = datetime(2024, 7, 1)
+    lines = [f"{(start + timedelta(hours=i)).strftime('%d/%m/%Y %H:%M')},{i % 11 + 0.5}" for i in range(720)]
+    source = put(tmp_path / "days.csv", [f"{N.DATE},DO", *lines])
+    fits = read_table(spark, files.daily_fit_file(spark, source, str(tmp_path / "fits")))
+    days = sorted(r["date"] for r in fits.collect())
+    assert len(days) == 31 and days[:30] == [(start + timedelta(days=i)).strftime("%Y-%m-%d") for i in range(30)]
