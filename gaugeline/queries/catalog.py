@@ -305,6 +305,23 @@ def csv_text_size(spark: SparkSession, folder: str) -> DataFrame:
     return table_size(back).withColumn("nan_texts", kept)
 
 
+@registered("""
+SELECT doc_id, lang, length(t) - length(replace(t, chr(10), '')) AS breaks, sha256(t) AS text_sha256
+FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)
+""")
+def quoted_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with line breaks and quotes written as cells, and read back by several tasks a file."""
+    out = f"{shared_folder(spark).rstrip('/')}/gaugeline-quoted-{uuid.uuid4().hex}.csv"
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                       ignoreTrailingWhiteSpace=False).csv(out)
+    back = read_text_table(spark, out, multi_line=True)
+    return back.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "lang",
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("bigint").alias("breaks"),
+        F.sha2("text", 256).alias("text_sha256"))
+
+
 # ---------------------------------------------------------------- lags, futures, rolling sums
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.columns import targets, trim_names
 from gaugeline.functions.time import ref
+from gaugeline.sources.quoted import cells, csv_records
 
 # Texts that stand for a missing cell.
 MISSING_TEXTS = (
@@ -27,6 +28,14 @@ def _scan(spark: SparkSession, path: str | list[str], multi_line: bool = False,
     return _found(reader.csv, path)
 
 
+def _rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """The scan, or, where quoted cells may hold line breaks, records put together split by split."""
+    if not multi_line:
+        return _scan(spark, path)
+    names = _scan(spark, path, True).columns  # From the first record; nothing else is read.
+    return cells(csv_records(spark, path), names)
+
+
 def _found(read: Callable[..., DataFrame], path: str | list[str]) -> DataFrame:
     try:
         return read(path)
@@ -38,7 +47,7 @@ def _found(read: Callable[..., DataFrame], path: str | list[str]) -> DataFrame:
 
 def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Every cell as the text it is; only an empty cell becomes an empty string."""
-    df = _scan(spark, path, multi_line)
+    df = _rows(spark, path, multi_line)
     return trim_names(df.select(*[F.coalesce(ref(c), F.lit("")).alias(c) for c in df.columns]))
 
 
@@ -46,10 +55,10 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     """Text columns with trimmed names; texts for a missing cell become missing.
 
     No type is inferred, which would be a second pass over the data; the operators turn the
-    columns they use into numbers and times. With `multi_line` a quoted cell may hold line breaks;
-    a file is then read by one task.
+    columns they use into numbers and times. With `multi_line` a quoted cell may hold line breaks
+    (`sources/quoted.py`); a file is then still read by several tasks, but read twice.
     """
-    df = _scan(spark, path, multi_line)
+    df = _rows(spark, path, multi_line)
     cells = [F.when(~ref(c).isin(*MISSING_TEXTS), ref(c)).alias(c) for c in df.columns]
     return trim_names(df.select(*cells))
 

@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 from gaugeline.queries import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("orders", "lineitem", "events")
+TABLES = ("orders", "lineitem", "events", "documents")
 
 
 @pytest.fixture(scope="module")
