@@ -11,6 +11,10 @@ arrives as one extra *carry row*:
 No join and no broadcast. The rows are shuffled once, but read twice, once for the fold, which moves
 summaries only. Whoever chains several of these operators writes the table in between
 (`session.settle`), as `plans/lake.py` does; else each reading repeats all steps before it.
+
+Buckets have one width, except where a series has a burst: `Buckets` lists the few stretches that hold
+more rows than a task should get, with the narrower width of each. What a bucket learns from others goes
+by their order alone, so it does not matter how wide they are.
 """
 
 from __future__ import annotations
@@ -75,12 +79,42 @@ def with_carries(rows: DataFrame, carries: Sequence[Carry], keys: Sequence[str])
     return marked.unionByName(carry_rows, allowMissingColumns=True)
 
 
-def bucketed(df: DataFrame, ts: str, keys: Sequence[str], bucket: str | int) -> DataFrame:
+@dataclass(frozen=True)
+class Buckets:
+    """Stretches of one width, and the narrower width of those that are too full.
+
+    `dense` has a row (keys, cell, width) for each stretch, by its number, that is cut; there are at most
+    as many as the table has rows, over the row limit of a bucket, so it may be sent to all tasks.
+    """
+
+    width: int
+    keys: tuple[str, ...]
+    dense: DataFrame
+
+
+def with_starts(df: DataFrame, buckets: Buckets, keys: Sequence[str], places: dict[str, str]) -> DataFrame:
+    """For each position (SQL) of `places` the start of the bucket that holds it, under its name."""
+    if tuple(keys) != buckets.keys:
+        raise ValueError(f"Buckets of {buckets.keys} do not serve {tuple(keys)}")
+    for name, at in places.items():
+        dense = buckets.dense.toDF(*[f"{name}k{i}" for i in range(len(keys))], f"{name}cell", f"{name}width")
+        on = bucket_of(at, buckets.width) == F.col(f"{name}cell")
+        for i, k in enumerate(keys):
+            on = on & ref(k).eqNullSafe(F.col(f"{name}k{i}"))
+        inside = f"pmod({at}, {buckets.width}L)"
+        step = f"coalesce({name}width, {buckets.width}L)"
+        start = F.expr(f"({at}) - {inside} + ({inside} div {step}) * {step}")
+        df = df.join(F.broadcast(dense), on, "left").withColumn(name, start).drop(*dense.columns)
+    return df
+
+
+def bucketed(df: DataFrame, ts: str, keys: Sequence[str], bucket: str | int | Buckets) -> DataFrame:
     """Rows that have a time, with their position and bucket."""
     width = resolve_bucket(df, ts, keys, bucket)
-    return df.where(ref(ts).isNotNull()).withColumn(POS, position(df, ts)).withColumn(
-        BUCKET, bucket_of(POS, width)
-    )
+    dated = df.where(ref(ts).isNotNull()).withColumn(POS, position(df, ts))
+    if isinstance(width, Buckets):
+        return with_starts(dated, width, keys, {BUCKET: POS})
+    return dated.withColumn(BUCKET, bucket_of(POS, width))
 
 
 def row_order(keys: Sequence[str], tiebreak: Sequence[str]) -> WindowSpec:
@@ -90,11 +124,27 @@ def row_order(keys: Sequence[str], tiebreak: Sequence[str]) -> WindowSpec:
     )
 
 
-def resolve_bucket(df: DataFrame, ts: str, keys: Sequence[str], bucket: str | int) -> int:
+def resolve_bucket(df: DataFrame, ts: str, keys: Sequence[str], bucket: str | int | Buckets) -> int | Buckets:
     """Bucket width in microseconds; `"auto"` measures the table first."""
     if bucket == "auto":
-        bucket = suggest_bucket(df, ts, keys)
-    return width_micros(bucket)
+        return suggest_buckets(df, ts, keys)
+    return bucket if isinstance(bucket, Buckets) else width_micros(bucket)
+
+
+def _minutes(df: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
+    """Rows by (series, minute), counted on the map side in one pass."""
+    least = width_micros(BUCKET_LADDER[-2])
+    return settle(
+        df.where(ref(ts).isNotNull()).withColumn(POS, position(df, ts))
+        .groupBy(*[ref(k) for k in keys], bucket_of(POS, least).alias("__cell"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+    )
+
+
+def _steps(counts: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """The counts of `_minutes` added up by a wider step."""
+    cell = bucket_of(f"__cell * {width_micros(BUCKET_LADDER[-2])}L", width).alias(BUCKET)
+    return counts.groupBy(*[ref(k) for k in keys], cell).agg(F.sum("__rows").alias("__rows"))
 
 
 def suggest_bucket(
@@ -105,20 +155,65 @@ def suggest_bucket(
     The table is read once: rows are counted by (series, minute) on the map side, and the wider
     steps add up these counts.
     """
-    least = width_micros(BUCKET_LADDER[-2])
-    counts = settle(
-        df.where(ref(ts).isNotNull()).withColumn(POS, position(df, ts))
-        .groupBy(*[ref(k) for k in keys], bucket_of(POS, least).alias("__cell"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-    )
+    counts = _minutes(df, ts, keys)
     for step in BUCKET_LADDER[:-1]:
-        cell = bucket_of(f"__cell * {least}L", width_micros(step)).alias(BUCKET)
-        fullest = counts.groupBy(*[ref(k) for k in keys], cell).agg(F.sum("__rows").alias("__rows"))
-        if (fullest.agg(F.max("__rows")).first()[0] or 0) <= rows_per_bucket:
+        fullest = _steps(counts, keys, width_micros(step)).agg(F.max("__rows")).first()[0]
+        if (fullest or 0) <= rows_per_bucket:
             return step
     return BUCKET_LADDER[-1]
 
 
+def suggest_buckets(
+    df: DataFrame, ts: str, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+) -> int | Buckets:
+    """The widest step of the ladder at which at most one (series, bucket) in a hundred is over the
+    row limit; those are cut on their own, so a burst in one series leaves the others alone."""
+    counts = _minutes(df, ts, keys)
+    for step in BUCKET_LADDER[:-1]:
+        width = width_micros(step)
+        over, every = _steps(counts, keys, width).agg(
+            F.count_if(F.col("__rows") > rows_per_bucket), F.count(F.lit(1))).first()
+        if over * 100 <= every:
+            return cut_buckets(df, ts, keys, width, rows_per_bucket) if over else width
+    return cut_buckets(df, ts, keys, width_micros(BUCKET_LADDER[-2]), rows_per_bucket)
+
+
+def cut_buckets(
+    df: DataFrame, ts: str, keys: Sequence[str], bucket: str | int, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> int | Buckets:
+    """Buckets of a width, those over the row limit cut into equal parts, each time four for one, until
+    the fullest part is under it, or until parts are a 4^9th. Rows of one series at one time stay together.
+
+    Two passes over the table: one counts by (series, bucket); one, over the rows of full buckets only,
+    by their smallest parts, whose counts give those of all wider ones.
+    """
+    width = width_micros(bucket)
+    series = [f"__d{i}" for i in range(len(keys))]
+    rows = df.where(ref(ts).isNotNull()).select(
+        *[ref(k).alias(d) for k, d in zip(keys, series)], position(df, ts).alias(POS))
+    cells = rows.groupBy(*series, bucket_of(POS, width).alias("__cell")).agg(F.count(F.lit(1)).alias("__rows"))
+    full = settle(cells.where(F.col("__rows") > rows_per_bucket).select(*series, "__cell"))
+    if full.isEmpty():
+        return width
+    least = -(-width // 4**9)
+    steps = [least * 4**i for i in range(9)]
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*series, "__cell"]]
+    on = same[0]
+    for more in same[1:]:
+        on = on & more
+    parts = (
+        rows.withColumn("__cell", bucket_of(POS, width)).alias("r").join(F.broadcast(full).alias("f"), on, "left_semi")
+        .groupBy(*series, "__cell", F.expr(f"pmod({POS}, {width}L) div {least}L").alias("__part"))
+        .agg(F.count(F.lit(1)).alias("__rows")))
+    by_step = parts.withColumn("__step", F.explode(F.array(*[F.lit(x).cast("bigint") for x in steps])))
+    counted = by_step.groupBy(*series, "__cell", "__step", F.expr(f"__part div (__step div {least}L)").alias("__part")).agg(
+        F.sum("__rows").alias("__rows"))
+    fits = counted.groupBy(*series, "__cell", "__step").agg(F.max("__rows").alias("__rows"))
+    best = fits.groupBy(*series, "__cell").agg(F.coalesce(
+        F.max(F.when(F.col("__rows") <= rows_per_bucket, F.col("__step"))), F.min("__step")).alias("__width"))
+    return Buckets(width, tuple(keys), settle(best))
+
+
 @dataclass(frozen=True)
 class Lookup:
     """The last candidate row at or before `t - offset`, or the first at or after `t + offset`."""
@@ -201,12 +296,14 @@ def look_up(
     A row `s` can answer questions asked at `s + offset` (backward) or `s - offset` (forward). It
     is copied, without its other columns, into the buckets of those times when they differ from
     its own; rows that fall even earlier (or later) reach a bucket through its carry row. So the
-    bucket may be narrower or wider than the offsets.
+    bucket may be narrower or wider than the offsets. With rolling sums of floating numbers all
+    buckets have one width.
     """
     width = resolve_bucket(df, ts, keys, bucket)
     # Sums that are only added up want buckets no wider than their span.
     added = [s for s in sums if isinstance(df.schema[s.column].dataType, (T.DoubleType, T.FloatType))]
-    width = min([width, *[s.span for s in added]])
+    cut = width if isinstance(width, Buckets) and not added else None
+    width = min([width.width if isinstance(width, Buckets) else width, *[s.span for s in added]])
     sums = [s for s in sums if s not in added]
     shifts = sorted({0} | {x.shift for x in lookups} | {s.span for s in [*sums, *added]})
     far = max(abs(s) for s in shifts) + 1
@@ -215,7 +312,11 @@ def look_up(
     cell = {c: ref(c) for c in dict.fromkeys([*columns, *narrow])}
     pos, home, carry = F.col(POS), F.col(HOME), F.col(CARRY)
     target = {shift: bucket_of(f"{POS} + {shift}L", width) for shift in shifts}
-    seen = {shift: F.col(BUCKET) == target[shift] for shift in shifts}
+    if cut:
+        target = {shift: F.col(f"__t{i}") for i, shift in enumerate(shifts)}
+    here = {shift: F.col(BUCKET) == target[shift] for shift in shifts}
+    # Buckets of several widths cannot be worked out again later; one bit a shift goes with the row.
+    seen = {s: F.expr(f"__seen & {1 << i} <> 0") for i, s in enumerate(shifts)} if cut else here
     # A lookup that only asks when needs no struct, and its summaries are plain hash aggregates.
     picked = pos
     if sources:
@@ -229,13 +330,17 @@ def look_up(
     # Buckets rise with the shift, so a repeated one equals the one before it.
     places = [target[shifts[0]]]
     places += [F.nullif(target[b], target[a]) for a, b in zip(shifts, shifts[1:])]
+    dated = df.where(cell[ts].isNotNull()).select("*", position(df, ts).alias(POS), candidate.alias("__cand"))
+    bits = []
+    if cut:
+        dated = with_starts(dated, cut, keys, {f"__t{i}": f"{POS} + {s}L" for i, s in enumerate(shifts)})
+        bits = [sum((F.when(here[s], 1 << i).otherwise(0) for i, s in enumerate(shifts)), F.lit(0)).alias("__seen")]
     placed = (
-        df.where(cell[ts].isNotNull())
-        .select("*", position(df, ts).alias(POS), candidate.alias("__cand"))
-        .withColumn(BUCKET, F.explode(F.array(*places)))
+        dated.withColumn(BUCKET, F.explode(F.array(*places)))
         .where(F.col(BUCKET).isNotNull())
-        .withColumn(HOME, seen[0])
+        .withColumn(HOME, here[0])
         .select(
+            *bits,
             *[cell[c] for c in narrow],
             *[F.when(home, cell[c]).alias(c) for c in columns if c not in narrow],
             POS, BUCKET, HOME, *[F.when(F.col("__cand"), picked).alias(PICKED)] * bool(lookups),
@@ -262,7 +367,7 @@ def look_up(
     parts: dict[str, Column] = {}
     ends: list[list[tuple[str, int]]] = []
     for s in sums:
-        local = s.span <= width
+        local = s.span <= width and not cut
         names = []
         for shift in (0, s.span):
             tag = (s.column, s.span if local else shift, local)
@@ -285,10 +390,13 @@ def look_up(
         if q > 1:
             carries.append(Carry(f"__m{i}", F.sum(F.when(home, cell[s.column])), F.sum, (1 - q, -1)))
 
+    # A carry row stands before all that its bucket can ask for.
+    first = f"-{1 << 61}L" if cut else f"{BUCKET} * {width}L - {far}L"
+    last = f"-{1 << 61}L" if cut else f"-({BUCKET} + 1) * {width}L - {far}L"
     rows = with_carries(placed, carries, keys).select(
         "*",
-        F.expr(f"if({CARRY}, {BUCKET} * {width}L - {far}L, {POS})").alias(ASC),
-        F.expr(f"if({CARRY}, -({BUCKET} + 1) * {width}L - {far}L, -{POS})").alias(DESC),
+        F.expr(f"if({CARRY}, {first}, {POS})").alias(ASC),
+        F.expr(f"if({CARRY}, {last}, -{POS})").alias(DESC),
     )
     part = Window.partitionBy(*[cell[k] for k in keys], BUCKET)
 

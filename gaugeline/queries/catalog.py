@@ -31,6 +31,7 @@ from gaugeline.operators.scoring import (
 from gaugeline.plans.files import weather_lag_folder
 from gaugeline.plans.lake import lake_features, lake_lag_table
 from gaugeline.plans.reports import transition_table
+from gaugeline.plans.timeline import cut_buckets
 from gaugeline.plans.weather import (
     add_weather_lags, normalise_weather, prepare_parsed, yearly_analytics,
 )
@@ -368,6 +369,15 @@ def lag_features_global(spark: SparkSession, folder: str) -> DataFrame:
     return _lags(typed_lake(spark, folder), [])
 
 
+@registered(_lags_sql(""))
+def lag_features_by_count(spark: SparkSession, folder: str) -> DataFrame:
+    """One series in buckets of a year, those with more than 2,000 rows cut."""
+    rows, wanted = settle(typed_lake(spark, folder)), lags.lake_lags(N.LEVEL)
+    cut = cut_buckets(rows, N.DATE, [], "365 days", 2_000)
+    out = lags.add_time_lags(rows, wanted, ts=N.DATE, tiebreak=["event_id"], bucket=cut)
+    return out.select("event_id", *wanted)
+
+
 def _future_sql(keys: str) -> str:
     columns, joins = [], []
     for h in N.HORIZONS:
