@@ -4,8 +4,10 @@ Vectors of one label are scaled to length one, where a cosine limit is a distanc
 belongs to the cell of its nearest pivot. By the triangle inequality a vector can only be within the
 limit of a cell's vectors if it is at most twice the limit farther from that cell's pivot than from
 its own, so it is also sent there; a sharper bound from the line between the two pivots is applied
-too. Every cell then finds all neighbours of its own vectors by itself. Large cells are dealt out in
-pairs of blocks. Cells give counts and a spanning forest of their links, never pairs.
+too. A cell that is still large gets pivots of its own, chosen among its vectors, and is split by the
+same bounds, which hold for vectors sent to it as well. Every cell then finds all neighbours of its own
+vectors by itself. What stays large is dealt out in pairs of blocks. Cells give counts and a spanning
+forest of their links, never pairs.
 
 Equal vectors of a label are one node with a count. Defined results: a vector that is null, zero,
 or holds null or non-finite components, and one whose label is null, links with nothing; vectors of
@@ -27,6 +29,8 @@ from gaugeline.session import settle
 CELL = 8192
 #: Pivots of all labels together; they are broadcast (1,024 of 64 doubles: half a megabyte).
 MOST_PIVOTS = 1024
+#: Pivots inside all large cells together, broadcast too (65,536 of 64 doubles: 34 megabytes).
+MOST_INNER_PIVOTS = 65536
 #: Vectors a pivot is picked from.
 SAMPLE = 64
 #: Vectors of a cell compared at once.
@@ -65,32 +69,95 @@ class Forest:
         return kept
 
 
-def _pivots(nodes: DataFrame, sizes: list, cell: int, most: int) -> dict[tuple, np.ndarray]:
-    """Pivots of the labels that need them, from a fixed number of vectors of each."""
-    wanted = {(r.label, r.dim): -(-r.n // cell) for r in sizes if r.n > cell}
-    total = sum(wanted.values())
-    if total > most:
-        wanted = {k: max(2, v * most // total) for k, v in wanted.items()}
-    if not wanted:
+def _beyond(x: np.ndarray, p: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector, and the other pivots whose cells may hold a neighbour of it."""
+    far = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
+    near = far.argmin(axis=1)
+    least = far[np.arange(len(x)), near][:, None]
+    apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))[near]
+    over = far - least <= 2 * reach
+    over &= far ** 2 - least ** 2 <= 2 * reach * apart + 1e-9
+    over[np.arange(len(x)), near] = False
+    return near, over
+
+
+def _pivots(members: DataFrame, cell: int, most: int, reach: float, paying: bool) -> dict[tuple, np.ndarray]:
+    """Pivots by (label, dim, cell) of the cells with more than `cell` vectors of their own, the largest
+    first, `most` in all. One job picks them, each cell's from a bounded number of its vectors.
+
+    With `paying`, a cell gets none where its vectors would go to more than half of its new cells.
+    """
+    where = ["label", "dim", "cell"]
+    sizes = settle(members.where("own").groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
+                   .orderBy(F.desc("n"), *where).limit(most // 2))
+    share = F.ceil(F.col("n") / cell)
+    total = sizes.agg(F.sum(share)).first()[0]
+    if not total:
         return {}
-    rank = F.xxhash64("node")
-    out = {}
-    for (label, dim), n in sorted(wanted.items(), key=lambda x: -x[1])[:most // 2]:
-        rows = (nodes.where((F.col("label") == label) & (F.col("dim") == dim))
-                .orderBy(rank).limit(SAMPLE * n).select("vector").collect())
-        x = _unit(pa.array([r.vector for r in rows], pa.list_(pa.float64())))
+    if total > most:
+        share = F.greatest(F.lit(2), F.floor(share * most / total))
+    wanted = sizes.select(*where, "n", share.cast("int").alias("wanted"))
+    every = F.greatest(F.lit(1), F.floor(F.col("n") / (SAMPLE * F.col("wanted"))))
+    sample = (members.where("own").join(F.broadcast(wanted), where)
+              .where(F.pmod(F.xxhash64("node"), every) == 0).select(*where, "wanted", "vector"))
+
+    def pick(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        vectors, n = group.column("vector").combine_chunks(), group.column("wanted")[0].as_py()
+        x = _unit(vectors)
         picked = [0]
         far = np.linalg.norm(x - x[0], axis=1)
         while len(picked) < min(n, len(x)):
             picked.append(int(far.argmax()))
             far = np.minimum(far, np.linalg.norm(x - x[picked[-1]], axis=1))
-        out[(label, dim)] = x[picked]
-    return out
+        if paying and (1 + _beyond(x, x[picked], reach)[1].sum(axis=1).mean()) * 2 > len(picked):
+            picked = []
+        return group.select([*where, "vector"]).take(pa.array(picked, pa.int64()))
+
+    kind = members.schema["label"].dataType.simpleString()
+    rows = sample.groupBy(*where).applyInArrow(
+        pick, f"label {kind}, dim int, cell long, vector array<double>").collect()
+    found: dict[tuple, list] = {}
+    for r in rows:
+        found.setdefault((r.label, r.dim, r.cell), []).append(r.vector)
+    return {k: _unit(pa.array(v, pa.list_(pa.float64()))) for k, v in found.items()}
+
+
+def _split(members: DataFrame, pivots: dict[tuple, np.ndarray], reach: float) -> DataFrame:
+    """Members of cells that have pivots, in the cells of these; others keep theirs under a new number."""
+    names = ["label", "vector", "node", "copies", "dim", "cell", "own"]
+
+    def split(batches):
+        for batch in batches:
+            cell = batch.column(5).to_numpy()
+            own = batch.column(6).to_numpy(zero_copy_only=False)
+            kinds: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), cell.tolist())):
+                if k in pivots:
+                    kinds.setdefault(k, []).append(i)
+            target = cell << 20
+            places, targets, owns = [np.arange(batch.num_rows)], [target], [own]
+            for k, at in kinds.items():
+                at = np.array(at)
+                near, over = _beyond(_unit(batch.column(1).take(pa.array(at))), pivots[k], reach)
+                target[at] += near
+                i, j = np.nonzero(over)
+                places.append(at[i])
+                targets.append((cell[at[i]] << 20) + j)
+                owns.append(np.zeros(len(i), dtype=bool))
+            out = batch.take(pa.array(np.concatenate(places)))
+            yield pa.RecordBatch.from_arrays(
+                [*out.columns[:5], pa.array(np.concatenate(targets)), pa.array(np.concatenate(owns))], names=names)
+
+    kind = members.schema["label"].dataType.simpleString()
+    return settle(members.select(*names).mapInArrow(
+        split, f"label {kind}, vector array<double>, node long, copies long, dim int, cell long, own boolean"))
 
 
 def near_vectors(
     df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
     least_cosine: float = 0.98, cell: int = CELL, most_pivots: int = MOST_PIVOTS, block: int = BLOCK,
+    most_inner_pivots: int = MOST_INNER_PIVOTS,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): all pairs of one label with a cosine of at least
     `least_cosine` are linked. A component's id is its smallest id that is not null; a row is kept
@@ -104,45 +171,16 @@ def near_vectors(
     good = rows.where(usable)
     nodes = settle(good.groupBy("label", "vector").agg(
         F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.size(F.first("vector")).alias("dim")))
-    sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    # More labels than pivots keep one cell each; no more rows than that come here.
-    pivots = _pivots(nodes, sizes.orderBy(F.desc("n"), "label", "dim").limit(most_pivots).collect(),
-                     cell, most_pivots)
     # A hair more than the limit, so that rounding sends a vector too far rather than not.
     reach = float(np.sqrt(max(2 - 2 * least_cosine, 0.0))) + 1e-7
-
-    def cells(batches):
-        for batch in batches:
-            labels, dims = batch.column(0).to_pylist(), batch.column(4).to_pylist()
-            home = np.zeros(batch.num_rows, dtype=np.int64)
-            places, targets = [np.arange(batch.num_rows)], [home]
-            kinds: dict[tuple, list[int]] = {}
-            for i, k in enumerate(zip(labels, dims)):
-                if k in pivots:
-                    kinds.setdefault(k, []).append(i)
-            for k, at in kinds.items():
-                at, p = np.array(at), pivots[k]
-                x = _unit(batch.column(1).take(pa.array(at)))
-                far = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
-                near = far.argmin(axis=1)
-                least = far[np.arange(len(at)), near]
-                apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))[near]
-                over = far - least[:, None] <= 2 * reach
-                over &= far ** 2 - least[:, None] ** 2 <= 2 * reach * apart + 1e-9
-                over[np.arange(len(at)), near] = False
-                home[at] = near
-                i, j = np.nonzero(over)
-                places.append(at[i])
-                targets.append(j)
-            place, target = np.concatenate(places), np.concatenate(targets)
-            out = batch.take(pa.array(place))
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(target), pa.array(home[place] == target)],
-                names=["label", "vector", "node", "copies", "dim", "cell", "own"])
-
-    kind = nodes.schema["label"].dataType.simpleString()
-    sent = settle(nodes.select("label", "vector", "node", "copies", "dim").mapInArrow(
-        cells, f"label {kind}, vector array<double>, node long, copies long, dim int, cell long, own boolean"))
+    sent = nodes.select("label", "vector", "node", "copies", "dim", F.lit(0).cast("long").alias("cell"),
+                        F.lit(True).alias("own"))
+    for most, paying in ((most_pivots, False), (most_inner_pivots, True)):
+        # Labels or cells beyond the number of pivots stay whole; no more rows than that come here.
+        pivots = _pivots(sent, cell, most, reach, paying)
+        if not pivots:
+            break
+        sent = _split(sent, pivots, reach)
     where = ["label", "dim", "cell"]
     blocks = sent.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
