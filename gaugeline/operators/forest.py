@@ -3,8 +3,9 @@
 A goal is a column to learn, a quantile of it, and its own dealing of rows to fit, validation and
 test. All goals share the codes of the features. The blocks are kept by Spark as binary records whose
 lineage is one written table, so a lost executor costs a re-read of its blocks. A pass is one job over
-them: every task answers for all goals still growing, and partial answers of fixed size are added up,
-on the executors if there are many.
+them: every task answers for all goals still growing, and partial answers of fixed size are added up
+on the executors. What comes to the driver is the best split of a node and the value of a leaf; only
+of small tables, of which all rounds together send little, partial answers come there themselves.
 """
 
 from __future__ import annotations
@@ -24,15 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import names as N
-from gaugeline.session import discard, settle
+from gaugeline.session import discard, forget, settle
 
 #: Trees a pass walks at most before the running scores are written.
 ROUNDS_PER_TABLE = 25
 LEAST_ROWS = 20
 #: Rows of a block: enough to be worth a task, few enough for its memory.
 ROWS_PER_TASK, MOST_ROWS = 20_000, 400_000
-#: Partial answers that come to the driver one by one; more of them are added up by executors first.
+#: Errors of tasks that come to the driver one by one; more of them are added up by executors first.
 MOST_PARTIALS = 32
+#: Most bytes of partial answers in all rounds up to which the driver adds them up, which saves a
+#: stage for each pass (0.1 s); tables of some 100,000 rows at most come under it.
+DRIVER_BYTES = 512 << 20
+#: Bytes of partial counts or values for one task to add up; the features of more are dealt to several.
+BYTES_PER_SUM = 32 << 20
+#: Rows of all goals up to which leaf values take one pass. Of more, a first one with so many values of
+#: each leaf and block tells between which two the value lies.
+ONE_PASS_ROWS, PROBES = 500_000, 64
 FIT, VAL, TEST = range(3)
 
 
@@ -190,48 +199,100 @@ class Codes:
         self.total = int(self.first[-1])
 
 
+def _slices(cuts: Sequence[np.ndarray], chosen: Sequence[int], goals: int, rdd: RDD) -> list[Codes]:
+    """The chosen features in neighbouring slices, each with counts for one task to add up."""
+    whole = Codes(cuts, chosen)
+    # At most half of the nodes are counted, each code by 32-bit numbers for two sides.
+    sent = rdd.getNumPartitions() * goals * 8 * whole.total * (N.TREE_LEAVES + 1) // 2
+    n = max(1, min(len(chosen), rdd.context.defaultParallelism, -(-sent // BYTES_PER_SUM)))
+    ends = [len(chosen) * i // n for i in range(n + 1)]
+    return [Codes(cuts, chosen[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def _count(
-    rdd: RDD, pending: list, growing: Sequence[int], trees: dict[int, list[Node]], counted: dict[int, list[int]],
-    codes: Codes, errors: bool,
-) -> tuple[dict[int, np.ndarray], dict[int, tuple[float, int]]]:
-    """For each goal its rows by open node, code and side of the score; the validation error first."""
+    rdd: RDD, before: RDD | list | None, pending: list, alphas: Sequence[float], growing: Sequence[int],
+    trees: dict[int, list[Node]], counted: dict[int, list[int]], rest: dict[int, list[tuple[int, int, int]]],
+    slices: Sequence[Codes], errors: bool, shared: bool, on_driver: bool,
+) -> RDD | list:
+    """For each slice of the features: validation errors of the goals (in the first, if asked), by goal
+    the best split of each open node, in their order, and the rows of each by code and side of the score.
+
+    `before` is what the level above gave; nodes of `rest` are counted as what is left of their parent.
+    """
     grown = {g: Compiled(trees[g]) for g in growing}
     place = {}
     for g in growing:
         place[g] = np.full(len(trees[g]), -1, dtype=np.int64)
         place[g][counted[g]] = np.arange(len(counted[g]))
 
-    def answer(block: Block) -> list:
+    def answer(block: Block) -> list[list]:
         score = _scores(block, pending)
-        out = []
-        own = block.codes[codes.chosen] if codes.chosen else block.codes[:0]
+        out: list[list] = [[] for _ in slices]
         for g in growing:
             part, y = block.part[g], block.y[g]
             if errors:
                 val = part == VAL
-                out.append(np.array([np.abs(y[val] - score[g][val]).sum(), val.sum()]))
-            if not counted[g] or not codes.chosen:
-                out.append(None)
-                continue
+                out[0].append(np.array([np.abs(y[val] - score[g][val]).sum(), val.sum()]))
             fit = np.flatnonzero(part == FIT)
             node = place[g][grown[g].leaves(block.codes[:, fit])]
             fit, node = fit[node >= 0], node[node >= 0]
             above = y[fit] > score[g][fit]
-            cell = 2 * (node * codes.total) + above
-            cells = (cell[None, :] + 2 * (own[:, fit].astype(np.int64) + codes.first[:-1, None])).ravel()
-            sums = np.bincount(cells, minlength=2 * codes.total * len(counted[g]))
-            # A block has far fewer rows than a 32-bit number may count.
-            out.append(sums.astype(np.int32).reshape(len(counted[g]), codes.total, 2))
+            for own, codes in zip(out, slices):
+                if not codes.chosen:
+                    own.append(None)
+                    continue
+                cell = 2 * (node * codes.total) + above
+                code = block.codes[codes.chosen][:, fit].astype(np.int64)
+                cells = (cell[None, :] + 2 * (code + codes.first[:-1, None])).ravel()
+                sums = np.bincount(cells, minlength=2 * codes.total * len(counted[g]))
+                # A block has far fewer rows than a 32-bit number may count.
+                own.append(sums.astype(np.int32).reshape(len(counted[g]), codes.total, 2))
         return out
 
     def add(a: list, b: list) -> list:
         return _added([x if x is None else x.astype(np.float64 if x.ndim == 1 else np.int64) for x in a], b)
 
-    total = _summed(rdd, answer, add) or []
-    step = 2 if errors else 1
-    cells = {g: total[step * i + step - 1] for i, g in enumerate(growing)} if total else {}
-    error = {g: tuple(total[step * i]) for i, g in enumerate(growing)} if total and errors else {}
-    return cells, error
+    def partial(records: Iterator[bytes]) -> Iterator[tuple]:
+        total = None
+        for record in records:
+            own = answer(pickle.loads(record))
+            total = own if total is None else [add(x, y) for x, y in zip(total, own)]
+        for i, sums in enumerate(total or []):
+            yield i, (False, sums)
+
+    def parents(record: tuple) -> tuple:
+        i, (_, _, by_goal) = record
+        return i, (True, {g: {p: by_goal[g][p] for _, _, p in rest[g]} for g in growing})
+
+    def split(records: Iterator[tuple]) -> Iterator[tuple]:
+        totals, whole = {}, {}
+        for i, (is_whole, own) in records:
+            if is_whole:
+                whole[i] = own
+            else:
+                totals[i] = add(totals[i], own) if i in totals else own
+        for i, total in totals.items():
+            step = 2 if errors and i == 0 else 1
+            wrong = {g: tuple(total[step * k]) for k, g in enumerate(growing)} if step == 2 else {}
+            by_goal, gains = {}, {}
+            for g, cells in zip(growing, total[step - 1:: step]):
+                if cells is not None:
+                    by_node = dict(zip(counted[g], cells.astype(np.int64)))
+                    by_node |= {node: whole[i][g][parent] - by_node[other] for node, other, parent in rest[g]}
+                    by_goal[g] = by_node
+                    gains[g] = _gains(np.stack([by_node[n] for n in sorted(by_node)]), slices[i], alphas[g])
+            if shared and gains:
+                # The slopes of a quantile vary by alpha (1 - alpha), so that is each goal's measure.
+                whole_gain = sum(gains[g][0] / (alphas[g] * (1 - alphas[g])) for g in gains)
+                gains = {g: (whole_gain, *gains[g][1:]) for g in gains}
+            yield i, (wrong, {g: np.array(_best(*gains[g], slices[i])) for g in gains}, by_goal)
+
+    if on_driver:
+        return list(split([*rdd.mapPartitions(partial).collect(), *map(parents, before or [])]))
+    dealt = rdd.mapPartitions(partial).partitionBy(len(slices))
+    if before is not None:
+        dealt = dealt.union(before.map(parents).partitionBy(len(slices)))
+    return dealt.mapPartitions(split)
 
 
 def _gains(cells: np.ndarray, codes: Codes, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,48 +322,49 @@ def _best(gain: np.ndarray, nl: np.ndarray, nr: np.ndarray, codes: Codes) -> lis
 
 
 def _grow(
-    rdd: RDD, pending: list, goals: Sequence[Goal], growing: Sequence[int], codes: Codes, depth: int, shared: bool,
+    rdd: RDD, pending: list, goals: Sequence[Goal], growing: Sequence[int], slices: Sequence[Codes], depth: int,
+    shared: bool, on_driver: bool,
 ) -> tuple[dict[int, list[Node]], dict[int, tuple[float, int]]]:
     """A tree without leaf values for each goal, all level by level, and the errors before them."""
+    alphas = [goal.alpha for goal in goals]
     trees = {g: [_LEAF] for g in growing}
     leaves = dict.fromkeys(growing, 1)
     counted: dict[int, list[int]] = {g: [0] for g in growing}
     # Of two children the smaller one is counted, the other is what is left of their parent.
-    rest: dict[int, list[tuple[int, int, np.ndarray]]] = {g: [] for g in growing}
+    rest: dict[int, list[tuple[int, int, int]]] = {g: [] for g in growing}
     errors: dict[int, tuple[float, int]] = {}
+    sums = None
     for level in range(max(depth, 1)):
         active = list(growing) if level == 0 else [g for g in growing if counted[g]]
         if not active:
             break
-        cells, found = _count(rdd, pending, active, trees, counted, codes, level == 0)
-        errors = found if level == 0 else errors
-        by_goal, gains = {}, {}
+        sums = _count(rdd, sums, pending, alphas, active, trees, dict(counted), dict(rest), slices, level == 0,
+                      shared, on_driver)
+        small_part = lambda r: (r[0], *r[1][:2])
+        found = sorted(map(small_part, sums) if on_driver else sums.map(small_part).collect(), key=lambda r: r[0])
+        errors = found[0][1] if level == 0 and found else errors
         for g in active:
-            if cells.get(g) is None:
-                counted[g] = []
-                continue
-            by_node = {node: cells[g][i] for i, node in enumerate(counted[g])}
-            by_node |= {node: whole - by_node[other] for node, other, whole in rest[g]}
-            by_goal[g] = by_node
-            gains[g] = _gains(np.stack([by_node[n] for n in sorted(by_node)]), codes, goals[g].alpha)
-        if shared and gains:
-            # The slopes of a quantile vary by alpha (1 - alpha), so that is each goal's measure.
-            whole_gain = sum(gains[g][0] / (goals[g].alpha * (1 - goals[g].alpha)) for g in gains)
-            gains = {g: (whole_gain, *gains[g][1:]) for g in gains}
-        for g, by_node in by_goal.items():
-            best = _best(*gains[g], codes)
-            splits = [(b, node) for b, node in zip(best, sorted(by_node)) if b[1] >= 0]
+            nodes = sorted([*counted[g], *(node for node, _, _ in rest[g])])
             counted[g], rest[g] = [], []
+            bests = [best[g] for _, _, best in found if g in best]
+            if not bests:
+                continue
+            # Of equal gains the first feature counts, as within a slice.
+            first = np.argmax([b[:, 0] for b in bests], axis=0)
+            best = [bests[i][k] for k, i in enumerate(first)]
+            splits = [(b, node) for b, node in zip(best, nodes) if b[1] >= 0]
             # The best splits first, while leaves are left to give.
             for (_, f, k, nl, nr), node in sorted(splits, key=lambda s: (-s[0][0], s[1])):
                 if leaves[g] < N.TREE_LEAVES and depth > 0:
                     left = len(trees[g])
                     trees[g] += [_LEAF, _LEAF]
-                    trees[g][node] = Node(f, float(k), left, left + 1, 0.0)
+                    trees[g][node] = Node(int(f), float(k), left, left + 1, 0.0)
                     leaves[g] += 1
                     small, large = (left, left + 1) if nl <= nr else (left + 1, left)
                     counted[g].append(small)
-                    rest[g].append((large, small, by_node[node]))
+                    rest[g].append((large, small, node))
+    if sums is not None and not on_driver:
+        forget(sums)
     return trees, errors
 
 
@@ -317,57 +379,94 @@ def _summary(values: np.ndarray, weights: np.ndarray, most: int) -> tuple[np.nda
     return values[at], np.full(most, upto[-1] / most)
 
 
+def _at(values: np.ndarray, weights: np.ndarray, rank: float) -> float:
+    return float(values[min(np.searchsorted(np.cumsum(weights), rank), len(values) - 1)])
+
+
+def _rank(alpha: float, rows: float) -> float:
+    return alpha * rows * (1 - 1e-12)
+
+
 def _quantile(values: np.ndarray, weights: np.ndarray, alpha: float) -> float:
-    upto = np.cumsum(weights)
-    return float(values[min(np.searchsorted(upto, alpha * upto[-1] * (1 - 1e-12)), len(values) - 1)])
+    return _at(values, weights, _rank(alpha, np.cumsum(weights)[-1]))
+
+
+def _residuals(
+    rdd: RDD, pending: list, trees: dict[int, list[Node]], most: int, tasks: int, on_driver: bool,
+    between: dict[tuple[int, int], tuple[float, float]], found: Callable,
+) -> dict[tuple[int, int], object]:
+    """What `found` tells by goal and leaf of: the goal, rows of the leaf, residuals less than all of a
+    range (`between`, else all of them are in it), and the values and weights of those in the range.
+
+    Up to `most` rows of a leaf and block go as they are. Of more, as many values go as `most` for all
+    of the leaf make for its range, so a rank is off by at most half a row in `most`.
+    """
+    grown = {g: Compiled(tree) for g, tree in trees.items()}
+
+    def partial(records: Iterator[bytes]) -> Iterator[tuple]:
+        for record in records:
+            block = pickle.loads(record)
+            score = _scores(block, pending)
+            for g, tree in grown.items():
+                fit = block.part[g] == FIT
+                leaf = tree.leaves(block.codes[:, fit])
+                residual = (block.y[g] - score[g])[fit]
+                order = np.argsort(leaf, kind="stable")
+                leaf, residual = leaf[order], residual[order]
+                each, first = np.unique(leaf, return_index=True)
+                for n, r in zip(each.tolist(), np.split(residual, first[1:])):
+                    low, high = between.get((g, n), (-math.inf, math.inf))
+                    inside = r[(r >= low) & (r <= high)]
+                    points = -(-most * len(inside) // len(r))
+                    yield (g, n), (len(r), int((r < low).sum()), *_summary(*np.unique(inside, return_counts=True), points))
+
+    def gathered(records: Iterator[tuple]) -> Iterator[tuple]:
+        by_leaf: dict = {}
+        for key, own in records:
+            by_leaf.setdefault(key, []).append(own)
+        for key, owns in by_leaf.items():
+            rows, below, values, weights = zip(*owns)
+            values, weights = np.concatenate(values), np.concatenate(weights)
+            order = np.argsort(values, kind="stable")
+            yield key, found(key[0], sum(rows), sum(below), values[order], weights[order])
+
+    if on_driver:
+        return dict(gathered(rdd.mapPartitions(partial).collect()))
+    dealt = rdd.mapPartitions(partial).partitionBy(tasks).mapPartitions(gathered)
+    out = dict(dealt.collect())
+    forget(dealt)
+    return out
 
 
 def _valued(
     rdd: RDD, pending: list, goals: Sequence[Goal], trees: dict[int, list[Node]], learning_rate: float, accuracy: int,
+    rows: int, on_driver: bool,
 ) -> dict[int, list[Node]]:
     """The trees with the quantile of the residuals in each leaf, times the learning rate.
 
-    Up to `accuracy` / 2 rows of a leaf and task go as they are. More are summed up by as many values,
-    and so are sums of them, each time with a rank error of at most one in `accuracy` rows.
+    The quantiles are exact to one in `accuracy` rows, and to the row in leaves of
+    at most `accuracy` / 2 rows a block.
     """
-    growing = sorted(trees)
-    grown = {g: Compiled(trees[g]) for g in growing}
+    alphas = {g: goals[g].alpha for g in trees}
     most = max(accuracy // 2, 2)
+    blocks_ = max(rdd.getNumPartitions(), -(-rows // MOST_ROWS))
 
-    def answer(block: Block) -> list:
-        score = _scores(block, pending)
-        out = []
-        for g in growing:
-            fit = block.part[g] == FIT
-            leaf = grown[g].leaves(block.codes[:, fit])
-            residual = (block.y[g] - score[g])[fit]
-            order = np.argsort(leaf, kind="stable")
-            leaf, residual = leaf[order], residual[order]
-            each, first = np.unique(leaf, return_index=True)
-            out.append({int(n): _summary(r, np.ones(len(r)), most)
-                        for n, r in zip(each, np.split(residual, first[1:]))} if len(leaf) else {})
-        return out
+    def ends(g: int, n: int, below: int, values: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+        # Ranks by these values are off by half of what is left to both sides.
+        low, high = (_rank(alphas[g], n) + side * n / PROBES for side in (-1, 1))
+        return (_at(values, weights, low) if low > 0 else -math.inf, _at(values, weights, high) if high < n else math.inf)
 
-    def add(a: list, b: list) -> list:
-        out = []
-        for x, y in zip(a, b):
-            both = dict(x)
-            for n, (v, w) in y.items():
-                if n in both:
-                    v, w = np.concatenate([both[n][0], v]), np.concatenate([both[n][1], w])
-                    # The error of summing up again is made once for many sums.
-                    v, w = _summary(v, w, most) if len(v) > 16 * most else (v, w)
-                both[n] = v, w
-            out.append(both)
-        return out
+    def value(g: int, n: int, below: int, values: np.ndarray, weights: np.ndarray) -> float:
+        return _at(values, weights, _rank(alphas[g], n) - below)
 
-    total = _summed(rdd, answer, add) or [{}] * len(growing)
-    out = {}
-    for g, by_leaf in zip(growing, total):
-        values = {n: _quantile(*_summary(*s, len(s[0])), goals[g].alpha) for n, s in by_leaf.items()}
-        out[g] = [replace(n, value=learning_rate * values.get(i, 0.0)) if n.feature < 0 else n
-                  for i, n in enumerate(trees[g])]
-    return out
+    between, sent = {}, 16 * min(rows, blocks_ * N.TREE_LEAVES * most) * len(trees)
+    if rows * len(trees) > ONE_PASS_ROWS:
+        between = _residuals(rdd, pending, trees, PROBES, 1, on_driver, {}, ends)
+        sent = sent * 4 // PROBES
+    tasks = max(1, min(rdd.context.defaultParallelism, -(-sent // BYTES_PER_SUM)))
+    values = _residuals(rdd, pending, trees, most, tasks, on_driver, between, value)
+    return {g: [replace(n, value=learning_rate * values.get((g, i), 0.0)) if n.feature < 0 else n
+                for i, n in enumerate(trees[g])] for g in sorted(trees)}
 
 
 def _rescored(pending: list) -> Callable:
@@ -386,8 +485,8 @@ def boost(
 ) -> None:
     """Grow the trees of all goals, at most `rounds`, in place; each goal stops on its own.
 
-    A round is one pass for each level of the trees and one for their values, whatever the number of
-    goals. Every `ROUNDS_PER_TABLE` rounds the blocks are written with their scores and the table
+    A round is one pass for each level of the trees and one or two for their values, whatever the number
+    of goals. Every `ROUNDS_PER_TABLE` rounds the blocks are written with their scores and the table
     before is deleted. Each goal keeps its best run of trees by validation error, then gets its errors.
     `shared` goals, quantiles of one value on the same rows, split alike, where all that still grow gain
     most together, and differ in the values of their leaves.
@@ -398,10 +497,14 @@ def boost(
     picker = random.Random(seed)
     take = max(1, round(len(usable) * feature_fraction))
     pending: list[list[Compiled | None]] = []
+    # Counts of all nodes that are counted in a round, and a value and a weight for each row.
+    a_round = rdd.getNumPartitions() * 8 * Codes(cuts, usable).total * (N.TREE_LEAVES + 1) // 2 + 16 * rows
+    on_driver = rounds * len(goals) * a_round <= DRIVER_BYTES
     for done in range(rounds + 1):
         growing = [g for g, goal in enumerate(goals) if goal.growing]
         chosen = sorted(picker.sample(list(usable), take)) if done < rounds else []
-        trees, errors = _grow(rdd, pending, goals, growing, Codes(cuts, chosen), depth if chosen else 0, shared)
+        slices = _slices(cuts, chosen, len(growing), rdd)
+        trees, errors = _grow(rdd, pending, goals, growing, slices, depth if chosen else 0, shared, on_driver)
         for g in growing:
             goal, (wrong, n) = goals[g], errors.get(g, (0.0, 0))
             error = wrong / n if n else math.inf
@@ -413,7 +516,7 @@ def boost(
         trees = {g: t for g, t in trees.items() if goals[g].growing}
         if done == rounds or not trees:
             break
-        trees = _valued(rdd, pending, goals, trees, learning_rate, accuracy)
+        trees = _valued(rdd, pending, goals, trees, learning_rate, accuracy, rows, on_driver)
         for g, tree in trees.items():
             goals[g].trees.append(tree)
         pending.append([Compiled(trees[g]) if g in trees else None for g in range(len(goals))])

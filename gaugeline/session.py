@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,3 +57,8 @@ def discard(settled: DataFrame) -> None:
     spark = settled.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(settled._settled_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(rdd: RDD) -> None:
+    """Delete the shuffled rows that `rdd` was made of, up to what is persisted; it is not used again."""
+    rdd._jrdd.rdd().cleanShuffleDependencies(False)

@@ -1,10 +1,12 @@
 """Rounds of several goals at once against boosting written out plainly."""
 
 import math
+import pickle
 import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from gaugeline import names as N
@@ -169,3 +171,52 @@ def test_all_targets_in_one_run(spark, rows):
     assert (both.base, both.medians, both.rows) == (alone.base, alone.medians, alone.rows)
     assert both.trees == alone.trees and both.mae == pytest.approx(alone.mae)
     assert both.mae_validation == pytest.approx(alone.mae_validation)
+
+
+def test_executors_add_up_and_the_driver_gets_little(spark, monkeypatch):
+    """Only best splits and leaf values come to the driver, however many rows and blocks there are."""
+    x, ys, parts, cuts = data(3000)
+    monkeypatch.setattr(forest, "ROWS_PER_TASK", 300)
+    monkeypatch.setattr(forest, "ROUNDS_PER_TABLE", 2)
+    sizes, collect = [], RDD.collect
+
+    def measured(rdd):
+        found = collect(rdd)
+        sizes.append(len(pickle.dumps(found)))
+        return found
+
+    def trained(**settings):
+        for name, value in settings.items():
+            monkeypatch.setattr(forest, name, value)
+        alphas = [0.5, 0.9, 0.1]
+        goals = [Goal(a, float(np.quantile(y[p == 0], a, method="lower"))) for y, p, a in zip(ys, parts, alphas)]
+        sizes.clear()
+        forest.boost(frame(spark, x, ys, parts), cuts, range(3), goals, len(x), accuracy=10_000, rounds=4,
+                     learning_rate=0.4, patience=2, depth=3, feature_fraction=0.7, seed=5)
+        return [(g.trees, round(g.mae, 9), round(g.best_error, 9)) for g in goals], max(sizes)
+
+    monkeypatch.setattr(RDD, "collect", measured)
+    wanted, all_parts = trained()
+    assert all_parts > 30_000
+    for settings in (dict(DRIVER_BYTES=0), dict(BYTES_PER_SUM=1), dict(ONE_PASS_ROWS=0, PROBES=8)):
+        got, most = trained(**settings)
+        assert got == wanted
+        assert most < 8_000
+
+
+def test_ranges_hold_the_quantile_of_ties_and_uneven_blocks(spark, monkeypatch):
+    """With few probes, and with most rows of one value, the value of a leaf is the plain quantile."""
+    monkeypatch.setattr(forest, "ONE_PASS_ROWS", 0)
+    monkeypatch.setattr(forest, "PROBES", 4)
+    rng = np.random.RandomState(3)
+    blocks = []
+    for n in (1, 7, 400, 3000):
+        y = np.where(rng.uniform(size=n) < 0.6, 0.0, rng.normal(size=n))[None]
+        blocks.append(forest.Block(f"b{n}", np.zeros((1, n), np.uint8), y, np.zeros((1, n), np.int8), np.zeros((1, n))))
+    whole = np.sort(np.concatenate([b.y[0] for b in blocks]))
+    rdd = spark.sparkContext.parallelize([pickle.dumps(b) for b in blocks], 4)
+    for alpha in (0.001, 0.1, 0.3, 0.5, 0.9, 0.9999):
+        for on_driver in (False, True):
+            tree = forest._valued(rdd, [], [Goal(alpha, 0.0)], {0: [Node(-1, 0.0, -1, -1, 0.0)]}, 1.0, 10_000, len(whole),
+                                  on_driver)[0]
+            assert tree[0].value == whole[math.ceil(alpha * len(whole) - 1e-9) - 1]
