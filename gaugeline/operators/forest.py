@@ -1,9 +1,9 @@
 """Boosting rounds for several goals at once, over blocks of coded rows.
 
 A goal is a column to learn, a quantile of it, and its own dealing of rows to fit, validation and
-test. All goals share the codes of the features. The blocks are kept by Spark as binary records whose
-lineage is one written table, so a lost executor costs a re-read of its blocks. A pass is one job over
-them: every task answers for all goals still growing, and partial answers of fixed size are added up
+test. All goals share the codes of the features. Goals of at most some million rows are trained by a task each
+(`rounds`). Of more, the blocks are kept by Spark as binary records whose lineage is one written table,
+so a lost executor costs a re-read of its blocks. A pass is one job over them: every task answers for all goals still growing, and partial answers of fixed size are added up
 on the executors. What comes to the driver is the best split of a node and the value of a leaf; only
 of small tables, of which all rounds together send little, partial answers come there themselves.
 """
@@ -16,7 +16,7 @@ import random
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,52 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import names as N
+from gaugeline.operators import rounds as rounds_
+from gaugeline.operators.trees import FIT, LEAF, TEST, VAL, Codes, Goal, Node, best_splits, gains, opened, rank_of
 from gaugeline.session import discard, forget, settle
 
 #: Trees a pass walks at most before the running scores are written.
 ROUNDS_PER_TABLE = 25
-LEAST_ROWS = 20
 #: Rows of a block: enough to be worth a task, few enough for its memory.
 ROWS_PER_TASK, MOST_ROWS = 20_000, 400_000
 #: Errors of tasks that come to the driver one by one; more of them are added up by executors first.
 MOST_PARTIALS = 32
-#: Most bytes of partial answers in all rounds up to which the driver adds them up, which saves a
-#: stage for each pass (0.1 s); tables of some 100,000 rows at most come under it.
-DRIVER_BYTES = 512 << 20
+#: Most bytes of partial answers in all rounds up to which the driver adds them up: a few rounds over
+#: some thousand rows.
+DRIVER_BYTES = 2 << 20
 #: Bytes of partial counts or values for one task to add up; the features of more are dealt to several.
 BYTES_PER_SUM = 32 << 20
 #: Rows of all goals up to which leaf values take one pass. Of more, a first one with so many values of
 #: each leaf and block tells between which two the value lies.
 ONE_PASS_ROWS, PROBES = 500_000, 64
-FIT, VAL, TEST = range(3)
-
-
-@dataclass(frozen=True)
-class Node:
-    """A split (`feature <= threshold` goes left) or, with feature -1, a leaf with a value."""
-
-    feature: int
-    threshold: float
-    left: int
-    right: int
-    value: float
-
-
-_LEAF = Node(-1, 0.0, -1, -1, 0.0)
-
-
-@dataclass
-class Goal:
-    """What one model learns, and how far it has come. In training a node's threshold is a cut's number."""
-
-    alpha: float
-    base: float
-    trees: list[list[Node]] = field(default_factory=list)
-    best_error: float = math.inf
-    best_size: int = 0
-    growing: bool = True
-    mae: float | None = None
-    mae_validation: float | None = None
 
 
 class Compiled:
@@ -126,12 +98,16 @@ def _scores(block: Block, pending: Sequence[Sequence[Compiled | None]]) -> np.nd
     return score
 
 
+def _tasks(df: DataFrame, rows: int) -> int:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(-(-rows // ROWS_PER_TASK), max(2 * cores, -(-rows // MOST_ROWS))))
+
+
 def blocks(df: DataFrame, cuts: Sequence[np.ndarray], goals: Sequence[Goal], rows: int) -> DataFrame:
     """(block binary): `df` has features `x0..`, values `y0..` and parts `p0..`; coded by `cuts`."""
     n_features, n_goals = len(cuts), len(goals)
     bases = [g.base for g in goals]
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(-(-rows // ROWS_PER_TASK), max(2 * cores, -(-rows // MOST_ROWS))))
+    tasks = _tasks(df, rows)
     columns = [*[f"x{i}" for i in range(n_features)],
                *[F.col(f"y{g}").cast("double").alias(f"y{g}") for g in range(n_goals)],
                *[F.col(f"p{g}").cast("byte").alias(f"p{g}") for g in range(n_goals)]]
@@ -189,16 +165,6 @@ def _added(a: list, b: list) -> list:
     return [x if y is None else y if x is None else x + y for x, y in zip(a, b)]
 
 
-class Codes:
-    """Where the codes of each chosen feature begin in one row of counts."""
-
-    def __init__(self, cuts: Sequence[np.ndarray], chosen: Sequence[int]):
-        self.sizes = [len(cuts[f]) + 1 for f in chosen]
-        self.chosen = list(chosen)
-        self.first = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
-        self.total = int(self.first[-1])
-
-
 def _slices(cuts: Sequence[np.ndarray], chosen: Sequence[int], goals: int, rdd: RDD) -> list[Codes]:
     """The chosen features in neighbouring slices, each with counts for one task to add up."""
     whole = Codes(cuts, chosen)
@@ -274,18 +240,18 @@ def _count(
         for i, total in totals.items():
             step = 2 if errors and i == 0 else 1
             wrong = {g: tuple(total[step * k]) for k, g in enumerate(growing)} if step == 2 else {}
-            by_goal, gains = {}, {}
+            by_goal, found = {}, {}
             for g, cells in zip(growing, total[step - 1:: step]):
                 if cells is not None:
                     by_node = dict(zip(counted[g], cells.astype(np.int64)))
                     by_node |= {node: whole[i][g][parent] - by_node[other] for node, other, parent in rest[g]}
                     by_goal[g] = by_node
-                    gains[g] = _gains(np.stack([by_node[n] for n in sorted(by_node)]), slices[i], alphas[g])
-            if shared and gains:
+                    found[g] = gains(np.stack([by_node[n] for n in sorted(by_node)]), slices[i], alphas[g])
+            if shared and found:
                 # The slopes of a quantile vary by alpha (1 - alpha), so that is each goal's measure.
-                whole_gain = sum(gains[g][0] / (alphas[g] * (1 - alphas[g])) for g in gains)
-                gains = {g: (whole_gain, *gains[g][1:]) for g in gains}
-            yield i, (wrong, {g: np.array(_best(*gains[g], slices[i])) for g in gains}, by_goal)
+                whole_gain = sum(found[g][0] / (alphas[g] * (1 - alphas[g])) for g in found)
+                found = {g: (whole_gain, *found[g][1:]) for g in found}
+            yield i, (wrong, {g: np.array(best_splits(*found[g], slices[i])) for g in found}, by_goal)
 
     if on_driver:
         return list(split([*rdd.mapPartitions(partial).collect(), *map(parents, before or [])]))
@@ -295,40 +261,13 @@ def _count(
     return dealt.mapPartitions(split)
 
 
-def _gains(cells: np.ndarray, codes: Codes, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each node and cut the gain of splitting there, and the rows on both sides."""
-    begin = codes.first[:-1].repeat(codes.sizes)
-    end = codes.first[1:].repeat(codes.sizes) - 1
-    upto = np.cumsum(cells.astype(np.int64), axis=1)
-    upto = np.concatenate([np.zeros_like(upto[:, :1]), upto], axis=1)
-    left = upto[:, 1:] - upto[:, begin]
-    nl, above = left.sum(axis=2), left[:, :, 1]
-    sl = above - (1 - alpha) * nl
-    n, slope = nl[:, end], sl[:, end]
-    nr, sr = n - nl, slope - sl
-    gain = sl ** 2 / np.maximum(nl, 1) + sr ** 2 / np.maximum(nr, 1) - slope ** 2 / np.maximum(n, 1)
-    return np.where((nl >= LEAST_ROWS) & (nr >= LEAST_ROWS), gain, 0.0), nl, nr
-
-
-def _best(gain: np.ndarray, nl: np.ndarray, nr: np.ndarray, codes: Codes) -> list[tuple[float, int, int, int, int]]:
-    """Gain, feature, cut and rows on both sides of the best split of each node; feature -1 if none."""
-    out = []
-    for node, k in enumerate(gain.argmax(axis=1).tolist()):
-        i = int(np.searchsorted(codes.first, k, "right")) - 1
-        found = gain[node, k] > 1e-9
-        out.append((float(gain[node, k]), codes.chosen[i] if found else -1, k - int(codes.first[i]),
-                    int(nl[node, k]), int(nr[node, k])))
-    return out
-
-
 def _grow(
     rdd: RDD, pending: list, goals: Sequence[Goal], growing: Sequence[int], slices: Sequence[Codes], depth: int,
     shared: bool, on_driver: bool,
 ) -> tuple[dict[int, list[Node]], dict[int, tuple[float, int]]]:
     """A tree without leaf values for each goal, all level by level, and the errors before them."""
     alphas = [goal.alpha for goal in goals]
-    trees = {g: [_LEAF] for g in growing}
-    leaves = dict.fromkeys(growing, 1)
+    trees = {g: [LEAF] for g in growing}
     counted: dict[int, list[int]] = {g: [0] for g in growing}
     # Of two children the smaller one is counted, the other is what is left of their parent.
     rest: dict[int, list[tuple[int, int, int]]] = {g: [] for g in growing}
@@ -352,17 +291,8 @@ def _grow(
             # Of equal gains the first feature counts, as within a slice.
             first = np.argmax([b[:, 0] for b in bests], axis=0)
             best = [bests[i][k] for k, i in enumerate(first)]
-            splits = [(b, node) for b, node in zip(best, nodes) if b[1] >= 0]
-            # The best splits first, while leaves are left to give.
-            for (_, f, k, nl, nr), node in sorted(splits, key=lambda s: (-s[0][0], s[1])):
-                if leaves[g] < N.TREE_LEAVES and depth > 0:
-                    left = len(trees[g])
-                    trees[g] += [_LEAF, _LEAF]
-                    trees[g][node] = Node(int(f), float(k), left, left + 1, 0.0)
-                    leaves[g] += 1
-                    small, large = (left, left + 1) if nl <= nr else (left + 1, left)
-                    counted[g].append(small)
-                    rest[g].append((large, small, node))
+            if depth > 0:
+                counted[g], rest[g] = opened(trees[g], best, nodes)
     if sums is not None and not on_driver:
         forget(sums)
     return trees, errors
@@ -383,12 +313,8 @@ def _at(values: np.ndarray, weights: np.ndarray, rank: float) -> float:
     return float(values[min(np.searchsorted(np.cumsum(weights), rank), len(values) - 1)])
 
 
-def _rank(alpha: float, rows: float) -> float:
-    return alpha * rows * (1 - 1e-12)
-
-
 def _quantile(values: np.ndarray, weights: np.ndarray, alpha: float) -> float:
-    return _at(values, weights, _rank(alpha, np.cumsum(weights)[-1]))
+    return _at(values, weights, rank_of(alpha, np.cumsum(weights)[-1]))
 
 
 def _residuals(
@@ -453,11 +379,11 @@ def _valued(
 
     def ends(g: int, n: int, below: int, values: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
         # Ranks by these values are off by half of what is left to both sides.
-        low, high = (_rank(alphas[g], n) + side * n / PROBES for side in (-1, 1))
+        low, high = (rank_of(alphas[g], n) + side * n / PROBES for side in (-1, 1))
         return (_at(values, weights, low) if low > 0 else -math.inf, _at(values, weights, high) if high < n else math.inf)
 
     def value(g: int, n: int, below: int, values: np.ndarray, weights: np.ndarray) -> float:
-        return _at(values, weights, _rank(alphas[g], n) - below)
+        return _at(values, weights, rank_of(alphas[g], n) - below)
 
     between, sent = {}, 16 * min(rows, blocks_ * N.TREE_LEAVES * most) * len(trees)
     if rows * len(trees) > ONE_PASS_ROWS:
@@ -485,21 +411,25 @@ def boost(
 ) -> None:
     """Grow the trees of all goals, at most `rounds`, in place; each goal stops on its own.
 
-    A round is one pass for each level of the trees and one or two for their values, whatever the number
-    of goals. Every `ROUNDS_PER_TABLE` rounds the blocks are written with their scores and the table
-    before is deleted. Each goal keeps its best run of trees by validation error, then gets its errors.
-    `shared` goals, quantiles of one value on the same rows, split alike, where all that still grow gain
-    most together, and differ in the values of their leaves.
+    Up to `rounds.MOST_ROWS` rows, a task goes through all rounds of a goal. Of more, a round is one pass
+    for each level of the trees and one or two for their values, whatever the number of goals, and every `ROUNDS_PER_TABLE` rounds the blocks are written with their scores and the table before is
+    deleted. Each goal keeps its best run of trees by validation error, then gets its errors. `shared`
+    goals, quantiles of one value on the same rows, split alike, where all that still grow gain most
+    together, and differ in the values of their leaves.
     """
     spark = df.sparkSession
+    # Counts of all nodes that are counted in a round, and a value and a weight for each row.
+    a_round = _tasks(df, rows) * 8 * Codes(cuts, usable).total * (N.TREE_LEAVES + 1) // 2 + 16 * rows
+    on_driver = rounds * len(goals) * a_round <= DRIVER_BYTES
+    if not on_driver and rows <= rounds_.MOST_ROWS:
+        rounds_.boost_in_tasks(df, cuts, usable, goals, rounds=rounds, learning_rate=learning_rate, patience=patience,
+                               depth=depth, feature_fraction=feature_fraction, seed=seed, shared=shared)
+        return
     table = settle(blocks(df, cuts, goals, rows))
     first, rdd = table, kept(table)
     picker = random.Random(seed)
     take = max(1, round(len(usable) * feature_fraction))
     pending: list[list[Compiled | None]] = []
-    # Counts of all nodes that are counted in a round, and a value and a weight for each row.
-    a_round = rdd.getNumPartitions() * 8 * Codes(cuts, usable).total * (N.TREE_LEAVES + 1) // 2 + 16 * rows
-    on_driver = rounds * len(goals) * a_round <= DRIVER_BYTES
     for done in range(rounds + 1):
         growing = [g for g, goal in enumerate(goals) if goal.growing]
         chosen = sorted(picker.sample(list(usable), take)) if done < rounds else []
@@ -507,12 +437,7 @@ def boost(
         trees, errors = _grow(rdd, pending, goals, growing, slices, depth if chosen else 0, shared, on_driver)
         for g in growing:
             goal, (wrong, n) = goals[g], errors.get(g, (0.0, 0))
-            error = wrong / n if n else math.inf
-            # Sums of other orders of the rows differ in the last digits.
-            if error < goal.best_error * (1 - 1e-12):
-                goal.best_error, goal.best_size = error, done
-            elif done - goal.best_size >= patience:
-                goal.growing = False
+            goal.seen(wrong / n if n else math.inf, done, patience)
         trees = {g: t for g, t in trees.items() if goals[g].growing}
         if done == rounds or not trees:
             break
